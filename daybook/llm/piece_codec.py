@@ -65,12 +65,13 @@ class PieceCodec:
         self.decimal = [str(i) for i in range(len(self.texts))]
         split = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if split else r"(?s).+")
+        self.pairs: dict[int, bool] = {}
+        self.histories: dict[int, list[tuple[float, str, str]]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            self.automaton.add_word(piece, (i, len(piece)))
+            if self._history(i):
+                self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.histories: dict[int, list[tuple[float, str, str]]] = {}
         self.cache: dict[str, list[int]] = {}
         self.cache_size = cache_size
 
@@ -105,9 +106,6 @@ class PieceCodec:
         """Whether merging the joined texts never joins across the boundary:
         both tokens' own steps are replayed in order of score, and the pair of
         parts at the boundary must never come first."""
-        known = self.pairs.get((left, right))
-        if known is not None:
-            return known
         if len(self.pairs) > 1_000_000:
             self.pairs.clear()
         a, b = self._history(left), self._history(right)
@@ -127,16 +125,26 @@ class PieceCodec:
                 i += 1
             else:
                 j += 1
-        self.pairs[left, right] = known
+        self.pairs[left << 32 | right] = known
         return known
 
     def _known_run(self, text: str) -> list[int]:
         """Ids of a text whose every character is a piece."""
-        last: list[int] = [-1] * (len(text) + 1)
+        last = [-1] * (len(text) + 1)
+        pairs, done = self.pairs, -1
         for end, (token, size) in self.automaton.iter(text):
+            if end == done:  # a prefix has one last token only
+                continue
             start = end + 1 - size
-            if self._history(token) and (start == 0 or (last[start] >= 0 and self._compatible(last[start], token))):
-                last[end + 1] = token
+            if start:
+                left = last[start]
+                if left < 0:
+                    continue
+                ok = pairs.get(left << 32 | token)
+                if not (self._compatible(left, token) if ok is None else ok):
+                    continue
+            last[end + 1] = token
+            done = end
         ids, at = [], len(text)
         while at:
             ids.append(last[at])
