@@ -13,7 +13,7 @@ marker can come out of a text (``%0A`` does the same for a line end in a role).
 
 Defined results: a null text is empty, a null role the empty role, a null or
 empty array of parts an empty body; a part of an unknown type is rendered as
-text. Turns are ordered by (turn, role, body), so ties and repeated rows have
+text. Turns are ordered by (turn, role, text, parts), so ties and repeated rows have
 one order, and repeated rows are turns of their own. A null conversation id is
 a conversation of its own. A conversation is one row of the result, as its
 digest asks for, so its turns do meet in one task; only rendered turns travel,
@@ -73,8 +73,8 @@ def format_conversations(turns: DataFrame, *, loss_role: str = "assistant") -> D
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
     flat = turns.select("conv_id", "turn", F.col("role").alias("raw_role"), _role(F.col("role")).alias("role"), parts.alias("parts"))
     flat = flat.withColumn("files", F.size(F.filter("parts", _is_attachment)))
-    # bodies with numbers counted within the turn give the order of ties
-    order = [F.col("turn"), F.col("role"), F.to_json("parts")]
+    said = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    order = [F.col("turn"), F.coalesce("raw_role", F.lit("")), said, F.to_json("parts")]
     so_far = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     flat = flat.withColumn("base", F.coalesce(F.sum("files").over(so_far), F.lit(0)))
 

@@ -16,7 +16,8 @@ What is broadcast is bounded by the numbers of pivots and annuli.
 Defined results: vectors that are null, or hold null or non-finite components,
 take no part, and neither do rows without an id. Shorter vectors count as
 filled up with zeros. Ties go to the smaller id; a row never is its own
-candidate, but rows that repeat an id are candidates of other ids each.
+candidate. Rows that repeat an id are candidates of other ids each; as queries
+equal ones are one, and different vectors of one id compete for its k places.
 Scores are exact while sums of products stay below 2**53.
 """
 
@@ -92,7 +93,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     tiles = stash(tiles.select("pivot", "annulus", "tile", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes")), "topk-tiles")
 
     # queries in blocks of one annulus
-    asked = tiled.where(F.pmod("id", F.lit(query_modulus)) == 0)
+    asked = tiled.where(F.pmod("id", F.lit(query_modulus)) == 0).dropDuplicates(["id", "code"])
     sizes = asked.groupBy("pivot", "annulus").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
     asked = asked.join(F.broadcast(sizes), ["pivot", "annulus"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")))
 
@@ -147,7 +148,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
             r, c = np.nonzero((d >= lo - reach) & (d <= hi + reach) & ~done)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), batch.column(1).take(pa.array(r)), batch.column(2).take(pa.array(r)), pa.array(where[c, 0].astype(np.int32)), pa.array(where[c, 1].astype(np.int32))], ["id", "code", "least", "pivot", "annulus"])
 
-    open_ = asked.select("id", "code", "pivot", "annulus").dropDuplicates(["id", "code"]).join(bound.withColumnRenamed("query_id", "id"), "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    open_ = asked.select("id", "code", "pivot", "annulus").join(bound.withColumnRenamed("query_id", "id"), "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
     wide = open_.select("id", "code", "least", "pivot", "annulus").mapInArrow(expand, "id long, code binary, least double, pivot int, annulus int")
     wide = wide.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, n // query_modulus // QUERY_BLOCK))))
     second = found(packed(wide, "pivot", "annulus", "block"))
