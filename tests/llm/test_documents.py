@@ -164,9 +164,10 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed,max_hot,block", [(1, 200_000, 512), (2, 0, 4)])
-def test_jaccard_against_brute_force(spark, monkeypatch, seed, max_hot, block):
+@pytest.mark.parametrize("seed,max_hot,block,large", [(1, 200_000, 512, 32), (2, 0, 4, 5)])
+def test_jaccard_against_brute_force(spark, monkeypatch, seed, max_hot, block, large):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
     rows = near_copies(seed)
     out = jaccard_join.similar_components(table(spark, [(i, t, None, None) for i, t in rows]), max_hot=max_hot)
     assert Counter(tuple(r) for r in out.collect()) == brute_components(rows)
