@@ -43,7 +43,7 @@ def parse_rules(text: str | None) -> tuple[str, ...]:
 
 def passes_luhn(digits: Column) -> Column:
     only = F.regexp_replace(digits, r"[^0-9]", "")
-    return F.coalesce(F.luhn_check(only), F.lit(False)) & F.length(only).between(13, 19)
+    return F.coalesce(F.call_function("luhn_check", only), F.lit(False)) & F.length(only).between(13, 19)
 
 
 def redact(text: Column, rules: tuple[str, ...] = DEFAULT_RULES) -> Column:
@@ -207,7 +207,7 @@ def context_text(organised: Column, ocr: Column, width: int = 3000) -> Column:
 
 def header_map(text: Column) -> Column:
     """``Key: Value`` lines as a map."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: F.contains(x, F.lit(":")))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.contains(x, F.lit(":")))
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
@@ -243,7 +243,7 @@ def to_int16(samples: Column) -> Column:
 
 def blocks(text: Column, width: int = 2000) -> Column:
     """Paragraphs split on blank lines, each cut to a page block."""
-    return F.transform(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), F.trim), lambda x: x != ""), lambda x: F.substring(x, 1, width))
+    return F.transform(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.substring(x, 1, width))
 
 
 def decode_array(text: Column) -> Column:

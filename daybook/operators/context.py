@@ -54,7 +54,7 @@ def with_latest_run(agents: DataFrame, log: DataFrame) -> DataFrame:
 def route(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """Events to the addresses that want them. ``hooks``: name, enabled, events
     and urls (comma-separated), secret; no events means all."""
-    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     h = hooks.where(F.coalesce("enabled", F.lit(True))).select("name", "secret", listed(F.col("events")).alias("wanted"), F.explode(listed(F.col("urls"))).alias("url"))
     some = h.where(F.size("wanted") > 0).withColumn("event", F.explode("wanted")).select("name", "secret", "url", "event").distinct()
     exact = events.join(F.broadcast(some), "event")

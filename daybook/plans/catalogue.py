@@ -24,11 +24,14 @@ WORDS = ["thorou", "eauoi"]
 PAGE_COLUMNS = ["id", "timestamp", "app_name", "category", "status", "repo_name"]
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, days: tuple[str, ...] = ()):
+    """Register a query and its SQL. ``days``: date columns, given as text by both."""
+
     def keep(f):
-        QUERIES[name] = f
+        QUERIES[name] = (lambda spark, d: f(spark, d).withColumns({c: F.col(c).cast("string") for c in days})) if days else f
         if sql:
-            ORACLES[name] = with_tables(sql)
+            shown = ", ".join(f"{c}::date::varchar as {c}" for c in days)
+            ORACLES[name] = f"select * replace ({shown}) from ({with_tables(sql)})" if days else with_tables(sql)
         return f
 
     return keep
@@ -93,8 +96,7 @@ def _(spark, d):
     "storage_span",
     """select active_days, first_date, last_date, n, days, 1500.0::double / greatest(active_days, 1) * days as mb
     from (select count(distinct date) as active_days, min(date) as first_date, max(date) as last_date, count(*) as n from activities),
-    (select unnest([1, 7, 30, 90, 365])::integer as days)""",
-)
+    (select unnest([1, 7, 30, 90, 365])::integer as days)""", days=('first_date', 'last_date'))
 def _(spark, d):
     return stats.storage_estimate(activities(spark, d), 1500.0)
 
@@ -109,8 +111,7 @@ def _(spark, d):
     f"""with j as (select a.*, repo_name, row_number() over (partition by a.date order by a.timestamp desc, a.id desc) as r from activities a left join dev_contexts d on d.activity_id = a.id),
     c as (select date, repo_name, count(*) as n, max(row(timestamp, id)) as last from j where r <= 200 and {_OK} and repo_name <> '' group by 1, 2),
     p as (select date, repo_name, n, row_number() over (partition by date order by n desc, last desc)::integer as place from c)
-    select * from p where place <= 5""",
-)
+    select * from p where place <= 5""", days=('date',))
 def _(spark, d):
     return stats.repos_of_newest(activities(spark, d), dev_contexts(spark, d))
 
@@ -120,12 +121,12 @@ _PRODUCTIVE_SQL = """with {src} g as (select date, epoch_us(timestamp) - epoch_u
     select date, sum(coalesce(least(gap, 80000000), 40000000))::bigint as micros from g group by 1"""
 
 
-@query("productive_hours", _PRODUCTIVE_SQL.format(src="", table="activities"))
+@query("productive_hours", _PRODUCTIVE_SQL.format(src="", table="activities"), days=('date',))
 def _(spark, d):
     return stats.productive_seconds(activities(spark, d))
 
 
-@query("productive_hours_newest", _PRODUCTIVE_SQL.format(src="t as (select * from (select *, row_number() over (partition by date order by timestamp desc, id desc) as r from activities) where r <= 200),", table="t"))
+@query("productive_hours_newest", _PRODUCTIVE_SQL.format(src="t as (select * from (select *, row_number() over (partition by date order by timestamp desc, id desc) as r from activities) where r <= 200),", table="t"), days=('date',))
 def _(spark, d):
     return stats.productive_seconds(activities(spark, d), newest=200)
 
@@ -256,7 +257,7 @@ def _(spark, d):
     return timeline.memos(activities(spark, d), DAY).select("id", "timestamp", "status")
 
 
-@query("relative_range", f"select date, count(*) as n from activities where date between date '{DAY}' - 6 and '{DAY}' group by 1")
+@query("relative_range", f"select date, count(*) as n from activities where date between date '{DAY}' - 6 and '{DAY}' group by 1", days=('date',))
 def _(spark, d):
     return stats.count_by(stats.in_range(activities(spark, d), *timeline.relative_range("7d", DAY)), "date")
 
@@ -361,13 +362,13 @@ def _(spark, d):
 
 @query(
     "url_extract",
-    r"""with u as (select page_id, regexp_extract_all(html || ' seen at ' || url || '. and (' || url || ')', '(?i)https?://[^\s<>"'']+') as m from pages),
+    r"""with u as (select page_id, regexp_extract_all(replace(html || ' seen at ' || url || '. and (' || url || ')', 'www.', 'w3.'), '(?i)https?://[^\s<>"'']+') as m from pages),
     e as (select page_id, list_filter(list_transform(m, lambda x: regexp_replace(x, '[.,;:)\]''"]+$', '')), lambda x: len(x) >= 10 and not starts_with(x, 'http://localhost')) as m from u)
     select page_id, array_to_string(list_filter(m, lambda x, i: list_position(list_transform(m, lambda y: lower(y)), lower(x)) = i), ' ') as urls from e""",
 )
 def _(spark, d):
     said = F.concat("html", F.lit(" seen at "), "url", F.lit(". and ("), "url", F.lit(")"))
-    return read(spark, d, "pages").select("page_id", F.array_join(T.urls(said), " ").alias("urls"))
+    return read(spark, d, "pages").select("page_id", F.array_join(T.urls(F.replace(said, F.lit("www."), F.lit("w3."))), " ").alias("urls"))
 
 
 @query("url_host", "select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) as host from pages")
@@ -602,13 +603,12 @@ def _daily(spark, d, *, late: bool):
     "daily_upsert",
     """with o as (select date, count(*) as total_activities, case when day(date) % 3 = 0 then '' else 'early ' || date end as summary from activities where day(date) <= 20 group by 1),
     n as (select date, count(*) as total_activities, case when day(date) % 3 = 0 then '' else 'late ' || date end as summary from activities where day(date) >= 10 group by 1)
-    select coalesce(n.date, o.date) as date, case when n.date is not null then n.total_activities else o.total_activities end as total_activities, coalesce(nullif(n.summary, ''), o.summary) as summary from o full join n on n.date = o.date""",
-)
+    select coalesce(n.date, o.date) as date, case when n.date is not null then n.total_activities else o.total_activities end as total_activities, coalesce(nullif(n.summary, ''), o.summary) as summary from o full join n on n.date = o.date""", days=('date',))
 def _(spark, d):
     return maintain.upsert(_daily(spark, d, late=False), _daily(spark, d, late=True), "date", ["summary"])
 
 
-@query("retention_delete", "select id, date from activities where date >= date '2024-01-20' - 7")
+@query("retention_delete", "select id, date from activities where date >= date '2024-01-20' - 7", days=('date',))
 def _(spark, d):
     return maintain.retain(activities(spark, d), "2024-01-20", 7).select("id", "date")
 
@@ -655,12 +655,12 @@ def _entries(spark, d):
     return context.entries(a.withColumn("organized_text", F.when(F.col("id") % 2 == 0, F.col("ocr_text")).otherwise("")))
 
 
-@query("quota_context", f"with {_ENTRIES} select * from en")
+@query("quota_context", f"with {_ENTRIES} select * from en", days=('date',))
 def _(spark, d):
     return _entries(spark, d)
 
 
-@query("budget_context", f"with {_ENTRIES}, u as (select *, sum(length(entry) + 1) over (partition by date order by place rows unbounded preceding) as used from en) select date, string_agg(entry, chr(10) order by place) as text from u where used <= 6000 group by 1")
+@query("budget_context", f"with {_ENTRIES}, u as (select *, sum(length(entry) + 1) over (partition by date order by place rows unbounded preceding) as used from en) select date, string_agg(entry, chr(10) order by place) as text from u where used <= 6000 group by 1", days=('date',))
 def _(spark, d):
     return context.report(context.within_budget(_entries(spark, d), 6000))
 
@@ -741,7 +741,7 @@ def _(spark, d):
 
 @query(
     "known_categories",
-    """select page_id, case page_id % 6 when 0 then 'terminal' when 1 then 'communication' when 2 then 'writing' when 3 then 'communication' when 4 then null else 'terminal' end as category from pages""",
+    """select page_id, case page_id % 6 when 0 then 'terminal' when 1 then 'communication' when 2 then 'writing' when 3 then 'communication' else 'terminal' end as category from pages""",
 )
 def _(spark, d):
     from daybook.functions.titles import known_category
