@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +41,11 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def parse_rules(text: str | None) -> tuple[str, ...]:
     """Names of redaction rules from a comma-separated list; unknown ones are dropped, nothing means the defaults."""
     return tuple(t for t in (x.strip() for x in text.split(",")) if t in RULES) if text else DEFAULT_RULES
@@ -81,8 +91,7 @@ def urls(text: Column) -> Column:
     """Distinct addresses in order, without closing punctuation, noise and very short ones."""
     found = F.transform(matches(F.coalesce(text, F.lit("")), URL), lambda u: F.regexp_replace(u, r"[.,;:)\]'\"]+$", ""))
     found = F.filter(found, lambda u: F.length(u) >= 10)
-    for noise in URL_NOISE:
-        found = F.filter(found, lambda u, noise=noise: ~F.startswith(u, F.lit(noise)))
+    found = F.filter(found, lambda u: ~F.exists(F.array(*[F.lit(n) for n in URL_NOISE]), lambda n: F.startswith(u, n)))
     low = F.transform(found, F.lower)
     return F.filter(found, lambda u, i: F.array_position(low, F.lower(u)) == i + 1)
 
@@ -258,9 +267,6 @@ def decode_counts(text: Column) -> Column:
 
 def decode_vector(blob: Column) -> Column:
     """Little-endian 32-bit floats of a binary column."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def run(values: pd.Series) -> pd.Series:
         return pd.Series([None if not v else np.frombuffer(v[: len(v) // 4 * 4], dtype="<f4").tolist() for v in values], dtype=object)
@@ -269,9 +275,6 @@ def decode_vector(blob: Column) -> Column:
 
 
 def encode_vector(vector: Column) -> Column:
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(values: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in values], dtype=object)
@@ -281,11 +284,6 @@ def encode_vector(vector: Column) -> Column:
 
 def signature(secret: Column, payload: Column) -> Column:
     """``sha256=`` and the keyed digest of a payload: no built-in function makes one."""
-    import hashlib
-    import hmac
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(keys: pd.Series, bodies: pd.Series) -> pd.Series:
         return pd.Series([None if not k or b is None else "sha256=" + hmac.new(k.encode(), b.encode(), hashlib.sha256).hexdigest() for k, b in zip(keys, bodies, strict=True)], dtype=object)

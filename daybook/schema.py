@@ -37,6 +37,6 @@ def migrate(df, version: int):
     from pyspark.sql import functions as F
 
     for field in T.StructType.fromDDL(ACTIVITIES).fields:
-        if field.name not in df.columns and (version < VERSION or field.name not in ADDED):
+        if field.name not in df.columns and (version >= VERSION or field.name not in ADDED):
             df = df.withColumn(field.name, F.lit(ADDED.get(field.name)).cast(field.dataType))
     return df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.functions.text import header_map, schedule_seconds
+from daybook.functions.text import header_map, schedule_seconds, strip
 
 _DEFAULTS = {"md": {"schedule": "every 6h", "data": "timeline, apps"}, "py": {"schedule": "every 1h", "data": ""}}
 
@@ -26,7 +26,7 @@ def definition(text: Column, stem: Column, kind: Column) -> dict[str, Column]:
     pairs = header_map(head)
     lowered = F.map_from_entries(F.transform(F.map_entries(pairs), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v"))))
     get = lambda key, otherwise: F.coalesce(F.try_element_at(lowered, F.lit(key)), otherwise)
-    body = F.when(head_md != "", F.trim(F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---\s*\n(.*)", 2))).otherwise(F.trim(text))
+    body = F.when(head_md != "", strip(F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---\s*\n(.*)", 2))).otherwise(strip(text))
     schedule = get("schedule", F.when(kind == "md", _DEFAULTS["md"]["schedule"]).otherwise(_DEFAULTS["py"]["schedule"]))
     data = get("data", F.when(kind == "md", _DEFAULTS["md"]["data"]).otherwise(_DEFAULTS["py"]["data"]))
     return {

@@ -147,20 +147,18 @@ def meeting_kernel(state, rows, *, confirm: float = 20, silent: int = 3, away: f
 
 
 def poll_kernel(rows, *, interval: float = 40, change: float = 10, idle_after: int = 3):
-    """When a frame is looked at: rows are (seconds, changed). After
-    ``idle_after`` unchanged looks only every ``interval`` seconds, else every
-    ``change`` seconds; at ``interval`` a frame is taken in any case."""
-    saved, looked, skips, out = None, None, 0, []
+    """When a screen is looked at: rows are (seconds, changed). Since the last
+    saved frame at least ``change`` seconds must have passed, and ``interval``
+    seconds once ``idle_after`` looks in a row found no change. Outputs
+    (seconds, saved) of each look; the first look saves."""
+    saved, skips, out = None, 0, []
     for now, changed in rows:
-        wait = interval if skips >= idle_after else change
-        if looked is not None and now - looked < wait:
+        since = float("inf") if saved is None else now - saved
+        if since < (interval if skips >= idle_after else change):
             continue
-        looked = now
-        if saved is None or changed or now - saved >= interval:
-            saved, skips = now, 0
-            out.append(now)
-        else:
-            skips += 1
+        keep = saved is None or changed
+        saved, skips = (now, 0) if keep else (saved, skips + 1)
+        out.append((now, keep))
     return out
 
 
