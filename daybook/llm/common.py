@@ -58,7 +58,7 @@ def bounded_rows(df: DataFrame, key: str, limit: int) -> DataFrame:
 _U = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
-CHUNK = 4 << 20  # bytes hashed at once
+CHUNK = 1 << 20  # bytes hashed at once
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
