@@ -749,3 +749,21 @@ def _(spark, d):
     i = F.col("page_id") % 6
     app = F.when(i == 0, "gnome-terminal-").when(i == 1, "Microsoft Teams").when(i == 2, "AnyType 0.38").when(i == 3, "thunderbir").when(i == 4, "steam").otherwise("Windows cmd")
     return read(spark, d, "pages").select("page_id", known_category(app).alias("category"))
+
+
+@query("agent_payload", None, days=("date",))
+def _(spark, d):
+    from daybook.operators.payload import day_payload
+
+    return day_payload(activities(spark, d, "url", "text"), meetings(spark, d), newest=None)
+
+
+@query("organized_boxes", "select doc_id, '[MAIN CONTENT]' || chr(10) || trim(substr(text, 1, 20)) as text from documents where length(trim(substr(text, 1, 20))) > 1")
+def _(spark, d):
+    from daybook.functions.layout import column_regions, organised_text
+
+    said = F.trim(F.substring("text", 1, 20))
+    point = lambda x, y: F.array(F.lit(x), F.lit(y))
+    box = F.struct(F.array(point(900, 10), point(980, 10), point(980, 30), point(900, 30)).alias("box"), said.alias("text"), F.lit(0.9).alias("conf"))
+    rows = read(spark, d, "documents").where(F.length(said) > 1).select("doc_id", F.array(box).alias("boxes"))
+    return rows.select("doc_id", organised_text(F.col("boxes"), column_regions(F.col("boxes"), F.lit(1920)), F.lit(1920), F.lit(1080)).alias("text"))
