@@ -758,11 +758,11 @@ def _(spark, d):
     return day_payload(activities(spark, d, "url", "text"), meetings(spark, d), newest=None)
 
 
-@query("organized_boxes", "select doc_id, '[MAIN CONTENT]' || chr(10) || trim(substr(text, 1, 20)) as text from documents where length(trim(substr(text, 1, 20))) > 1")
+@query("organized_boxes", "select doc_id, '[MAIN CONTENT]' || chr(10) || s as text from (select doc_id, trim(replace(substr(text, 1, 20), chr(10), ' ')) as s from documents) where length(s) > 1")
 def _(spark, d):
     from daybook.functions.layout import column_regions, organised_text
 
-    said = F.trim(F.substring("text", 1, 20))
+    said = F.trim(F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" ")))
     point = lambda x, y: F.array(F.lit(x), F.lit(y))
     box = F.struct(F.array(point(900, 10), point(980, 10), point(980, 30), point(900, 30)).alias("box"), said.alias("text"), F.lit(0.9).alias("conf"))
     rows = read(spark, d, "documents").where(F.length(said) > 1).select("doc_id", F.array(box).alias("boxes"))
