@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.llm.common import connected_components, stash
@@ -151,12 +151,11 @@ def similar_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     placed = placed.withColumn("ring", ring)
     extent = placed.groupBy("dim", "pivot", "ring").agg(F.count(F.lit(1)).alias("c"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
     # neighbouring rings share a tile until it is full
-    from pyspark.sql import Window
-
     upto = F.sum("c").over(Window.partitionBy("dim", "pivot").orderBy("ring").rowsBetween(Window.unboundedPreceding, -1))
     extent = extent.withColumn("group", F.floor(F.coalesce(upto, F.lit(0)) / TILE)).withColumn("gc", F.sum("c").over(Window.partitionBy("dim", "pivot", "group")))
     extent = stash(extent.withColumn("parts", F.greatest(F.ceil(F.col("gc") / TILE), F.lit(1))), "embed-extent")
-    placed = placed.join(F.broadcast(extent.select("dim", "pivot", "ring", "group", "parts")), ["dim", "pivot", "ring"]) if _few(extent) else placed.join(extent.select("dim", "pivot", "ring", "group", "parts"), ["dim", "pivot", "ring"])
+    spots = extent.select("dim", "pivot", "ring", "group", "parts")
+    placed = placed.join(F.broadcast(spots) if _few(spots) else spots, ["dim", "pivot", "ring"])
     placed = placed.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
     tile = F.concat_ws("/", "dim", "pivot", "group", "part")
     tiles = placed.groupBy(tile.alias("tile"), "dim", "pivot").agg(F.collect_list(F.struct("cid", "m", "raw")).alias("rows"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))

@@ -227,7 +227,6 @@ def _url(url: Column) -> tuple[Column, Column]:
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``(page_id, url, text, n_chars)`` per row of ``pages`` (page_id, url, html)."""
-    spark = pages.sparkSession
     keys = [F.xxhash64("page_id", "url", "html").alias("k1"), F.xxhash64(F.lit(7), "html", "url", "page_id").alias("k2")]
     pages = pages.select("page_id", "url", "html", *keys)
     host, path = _url(F.col("url"))
@@ -287,5 +286,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             yield pd.Series([" ".join(x[0] for x in deletable(page_lines(p), [] if g is None else list(g))) for p, g in zip(some, gone, strict=True)], dtype=object)
 
     out = pages.join(shared, ["k1", "k2"], "left").select("page_id", "url", left("html", "shared").alias("text"))
-    del spark
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -97,7 +97,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     sizes = asked.groupBy("pivot", "annulus").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("blocks"))
     asked = asked.join(F.broadcast(sizes), ["pivot", "annulus"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("blocks")))
 
-    def packed(frame: DataFrame, *keys: str, least: str = "double") -> DataFrame:
+    def packed(frame: DataFrame, *keys: str) -> DataFrame:
         q = F.struct("id", "code", "least")
         return frame.groupBy(*keys).agg(F.collect_list(q).alias("q")).select(*keys, F.col("q.id").alias("qids"), F.col("q.code").alias("qcodes"), F.col("q.least").alias("least"))
 
