@@ -77,21 +77,30 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     totals = counts.groupBy("n", "piece").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
     totals = stash(totals, "lang-counts")  # read twice below
     order = [F.col("total").desc(), F.col("piece")]
-    known = totals.where("n = 0").orderBy(*order).limit(max_words).collect()
-    pieces = totals.where("n > 0").orderBy(*order).limit(max_grams).collect()
-    langs = sorted({lang for r in (*known, *pieces) for lang in r["by"]})
+
+    def gathered(which: DataFrame, limit: int) -> list[tuple[str, int, str, int]]:
+        """Rows of ``(piece, n, lang, count)`` of the most frequent pieces, as columns rather than row objects."""
+        rows = which.orderBy(*order).limit(limit).select("piece", "n", F.explode("by").alias("lang", "c")).toArrow()
+        return list(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True))
+
+    known, pieces = gathered(totals.where("n = 0"), max_words), gathered(totals.where("n > 0"), max_grams)
+    langs = sorted({lang for _, _, lang, _ in (*known, *pieces)})
     model = LangModel(langs, max_n=max_n)
     if not langs:
         return model
     at = {lang: i for i, lang in enumerate(langs)}
 
-    def table(found: list, orders: list[int]) -> tuple[dict[str, int], np.ndarray]:
-        index = {r["piece"]: i for i, r in enumerate(found)}
-        c = np.zeros((len(found), len(langs)))
-        for i, r in enumerate(found):
-            for lang, v in r["by"].items():
-                c[i, at[lang]] = v
-        which = np.array([r["n"] for r in found])
+    def table(found: list[tuple[str, int, str, int]], orders: list[int]) -> tuple[dict[str, int], np.ndarray]:
+        index: dict[str, int] = {}
+        of: list[int] = []
+        for piece, n, _, _ in found:
+            if piece not in index:
+                index[piece] = len(index)
+                of.append(n)
+        c = np.zeros((len(index), len(langs)))
+        for piece, _, lang, v in found:
+            c[index[piece], at[lang]] = v
+        which = np.array(of)
         out = np.zeros_like(c)
         for n in orders:
             part = c[which == n]
