@@ -3,8 +3,8 @@
 Keyword scores are BM25 with k1 1.2 and b 0.75; an idf that would not be
 positive is 1e-6. A score's sign is that of a rank: more negative is better.
 Corpus statistics cover all indexed rows; filters come after the match.
-One scan gathers the statistics of the terms asked for, one scores; no
-postings are shuffled. ``postings`` makes the inverted index as a table for
+One scan finds the terms asked for; the statistics and the scores read the
+same narrow exchange of it, and no postings are shuffled. ``postings`` makes the inverted index as a table for
 those who query it often.
 """
 
@@ -63,8 +63,12 @@ def bm25(rows: DataFrame, columns: list[str], phrases: list[list[str]], id_col:
     sized = words.select("id", sum((F.size(f"_{i}") for i in range(len(columns))), F.lit(0)).alias("len"), *[sum((_hits(F.col(f"_{i}"), p) for i in range(len(columns))), F.lit(0)).alias(f"f{j}") for j, p in enumerate(phrases)])
     if not phrases:
         return sized.where("false").select("id", F.lit(0.0).alias("score"))
-    stats = sized.agg(F.count(F.lit(1)).alias("N"), F.sum("len").alias("total"), *[F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(len(phrases))])
-    both = sized.where(" or ".join(f"f{j} > 0" for j in range(len(phrases)))).crossJoin(F.broadcast(stats))  # one row
+    # one narrow exchange that both the statistics and the scores read, so texts are split into tokens once;
+    # conditions that name both sides of the join keep either side's plan the same
+    sized = sized.repartition("id")
+    stats = sized.agg(F.count(F.lit(1)).alias("N"), F.max("id").alias("top"), F.sum("len").alias("total"), *[F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(len(phrases))])
+    hit = (sum((F.col(f"f{j}") for j in range(len(phrases))), F.lit(0)) > F.least(F.col("N"), F.lit(0))) & F.coalesce(F.col("id") <= F.col("top"), F.lit(True))
+    both = sized.join(F.broadcast(stats), hit)  # one row
     score = F.lit(0.0)
     for j in range(len(phrases)):
         f, n = F.col(f"f{j}"), F.col(f"n{j}")
