@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -56,35 +57,54 @@ def passes_luhn(digits: Column) -> Column:
     return F.coalesce(F.call_function("luhn_check", only), F.lit(False)) & F.length(only).between(13, 19)
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def redact(text: Column, rules: tuple[str, ...] = DEFAULT_RULES) -> Column:
     """``struct<clean_text, redacted_count, types_found, details>``. Rules apply
     in the order given, each to what the ones before left. A card is replaced
     only if its check digit is right, but its type counts as found either way."""
-    clean = F.coalesce(text, F.lit(""))
-    steps = []
-    for name in rules:
-        pattern, mark = RULES[name]
-        if name == "credit_card":
-            found = matches(clean, pattern)
+
+    def state(clean: Column, hits: Column) -> Column:
+        return F.struct(clean.alias("clean"), hits.alias("hits"))
+
+    def with_hit(s: Column, name: str, count: Column, hits: Column) -> Column:
+        return F.concat(s["hits"], F.array(F.struct(F.lit(name).alias("type"), count.cast("int").alias("count"), hits.alias("hits"))))
+
+    def card_step(s: Column, name: str, pattern: str, mark: str) -> Column:
+        def replaced(found: Column) -> Column:
             # the pieces between matches, each followed by its match or by the mark
-            between = F.split(F.regexp_replace(clean, pattern, "\u0000"), "\u0000", -1)
+            between = F.split(F.regexp_replace(s["clean"], pattern, "\u0000"), "\u0000", -1)
             shown = F.transform(found, lambda m: F.when(passes_luhn(m), F.lit(mark)).otherwise(m))
             after = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-            count = F.size(F.filter(found, passes_luhn))
-            steps.append((name, F.size(found), count))
-            clean = F.when(F.size(found) > 0, after).otherwise(clean)
-        else:
-            count = F.size(matches(clean, pattern))
-            steps.append((name, count, count))
-            clean = F.regexp_replace(clean, pattern, mark)
-    all_ = F.array(*[F.struct(F.lit(n).alias("type"), c.cast("int").alias("count"), h.alias("hits")) for n, h, c in steps])
-    hit = F.filter(all_, lambda x: x["hits"] > 0)
-    return F.struct(
-        clean.alias("clean_text"),
-        F.aggregate(hit, F.lit(0), lambda s, x: s + x["count"]).alias("redacted_count"),
-        F.transform(hit, lambda x: x["type"]).alias("types_found"),
-        F.transform(hit, lambda x: F.struct(x["type"].alias("type"), x["count"].alias("count"))).alias("details"),
-    )
+            return state(F.when(F.size(found) > 0, after).otherwise(s["clean"]), with_hit(s, name, F.size(F.filter(found, passes_luhn)), F.size(found)))
+
+        return bound(matches(s["clean"], pattern), replaced)
+
+    def plain_step(s: Column, name: str, pattern: str, mark: str) -> Column:
+        after = F.regexp_replace(s["clean"], pattern, mark)
+        return bound(F.size(matches(s["clean"], pattern)), lambda n: state(F.when(n > 0, after).otherwise(s["clean"]), with_hit(s, name, n, n)))
+
+    def partial_step(step: Callable[..., Column], name: str) -> Callable[[Column], Column]:
+        return lambda s: step(s, name, *RULES[name])
+
+    now = state(F.coalesce(text, F.lit("")), F.array().cast("array<struct<type:string,count:int,hits:int>>"))
+    for name in rules:
+        step = card_step if name == "credit_card" else plain_step
+        now = bound(now, partial_step(step, name))
+
+    def report(s: Column) -> Column:
+        hit = F.filter(s["hits"], lambda x: x["hits"] > 0)
+        return F.struct(
+            s["clean"].alias("clean_text"),
+            F.aggregate(hit, F.lit(0), lambda n, x: n + x["count"]).alias("redacted_count"),
+            F.transform(hit, lambda x: x["type"]).alias("types_found"),
+            F.transform(hit, lambda x: F.struct(x["type"].alias("type"), x["count"].alias("count"))).alias("details"),
+        )
+
+    return bound(now, report)
 
 
 def urls(text: Column) -> Column:
@@ -92,8 +112,7 @@ def urls(text: Column) -> Column:
     found = F.transform(matches(F.coalesce(text, F.lit("")), URL), lambda u: F.regexp_replace(u, r"[.,;:)\]'\"]+$", ""))
     found = F.filter(found, lambda u: F.length(u) >= 10)
     found = F.filter(found, lambda u: ~F.exists(F.array(*[F.lit(n) for n in URL_NOISE]), lambda n: F.startswith(u, n)))
-    low = F.transform(found, F.lower)
-    return F.filter(found, lambda u, i: F.array_position(low, F.lower(u)) == i + 1)
+    return bound(found, lambda v: bound(F.transform(v, F.lower), lambda low: F.filter(v, lambda u, i: F.array_position(low, F.lower(u)) == i + 1)))
 
 
 def first_url(text: Column) -> Column:
