@@ -13,7 +13,9 @@ the first ``n - ceil(t n) + DEPTH`` members.
 3. Links found so far give components. Where the groups of a prefix member
    still lie in different components, all class pairs across components are
    tested, in blocks, inside a task: by size, by position, in large buckets by
-   bitmap, and then by the number of members in which they meet. Survivors are
+   bitmap, and then by the number of members in which they meet. A group whose
+   own classes lie in different components is a bucket of its own, where one
+   meeting is enough: its classes share the whole prefix. Survivors are
    verified. Pairs within a component cannot change the result and are not made.
 
 The order puts frequent k-grams last, so prefixes hold rare ones. The list of
@@ -353,12 +355,17 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(links, name)
     short = lambda c: F.conv(F.substring(F.hex(c), 1, 15), 16, 10).cast("long")
     placed = stash(classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("gid", "n", short(F.col("cid")).alias("key"), short(F.coalesce("root", "cid")).alias("comp"), "cid", "small"), f"{name}-placed")
-    lean = shared.select("token", "gid", "n", "pos").join(placed.groupBy("gid", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")), ["gid", "n"])
+    spread = placed.groupBy("gid", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    lean = shared.select("token", "gid", "n", "pos").join(spread, ["gid", "n"])
     mixed = lean.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo <> hi").select("token", "m")
     open_ = stash(shared.select("token", "gid", "n", "pos").join(mixed, "token"), f"{name}-open")
     few = open_.where(F.col("m") <= LARGE).join(placed.select("gid", "n", "key", "comp"), ["gid", "n"]).select("token", "key", "n", "pos", "comp", "m")
     many = open_.where(F.col("m") > LARGE).join(placed.select("gid", "n", "key", "comp", "small"), ["gid", "n"]).select("token", "key", "n", "pos", "comp", "m", "small")
     met = _across(few, t, bitmaps=False).unionByName(_across(many, t, bitmaps=True))
+    # a group that the comparisons with its head left in several components, whether or not others hold its members
+    split = placed.join(spread.where("lo <> hi").select("gid", "n", "m"), ["gid", "n"]).select(F.xxhash64("gid", "n").alias("token"), "key", "n", F.lit(0).alias("pos"), "comp", "m", "small")
+    own = _across(split.where(F.col("m") <= LARGE).drop("small"), t, bitmaps=False).unionByName(_across(split.where(F.col("m") > LARGE), t, bitmaps=True))
+    met = met.unionByName(own.withColumn("least", F.lit(1)))
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("least")).where("times >= least").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
     met = stash(met, f"{name}-met")
     wide = classes.select(short(F.col("cid")).alias("key"), "cid", "n", "wide")

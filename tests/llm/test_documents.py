@@ -6,6 +6,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from daybook.llm import jaccard_join, lang_id, lm_scoring, mixing, piece_codec, quality_crf
@@ -173,6 +174,34 @@ def test_jaccard_against_brute_force(spark, monkeypatch, seed, max_hot, block, l
     assert Counter(tuple(r) for r in out.collect()) == brute_components(rows)
 
 
+def split_group(seed):
+    """Texts A, B, C of one prefix and size: B and C are similar, A (the head of the group) is similar to neither."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    shingler = jaccard_join.Shingler(3)
+    while True:
+        a = [word() for _ in range(30)]
+        b = [word(), *a[1:-1], word()]
+        c = [word(), *b[1:]]
+        texts = [" ".join(x) for x in (a, b, c)]
+        sets = [m for _, m in shingler.sets(pa.array(texts))]
+        head = min(map(jaccard_join._identity, sets))
+        if len({m[:6].tobytes() for m in sets}) == 1 and {len(m) for m in sets} == {28} and head == jaccard_join._identity(sets[0]):
+            return texts
+
+
+@pytest.mark.parametrize("large", [32, 2])
+def test_jaccard_links_within_a_group(spark, monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    a, b, c = split_group(4)
+    rows = [(1, a), (2, b), (3, c)]
+    alone = jaccard_join.similar_components(table(spark, [(i, t, None, None) for i, t in rows]))
+    assert Counter(tuple(r) for r in alone.collect()) == brute_components(rows) == Counter([(1, 28, 1), (2, 28, 2), (3, 28, 2)])
+    rows = near_copies(4) + [(601, a), (602, b), (603, c)]
+    among = jaccard_join.similar_components(table(spark, [(i, t, None, None) for i, t in rows]))
+    assert Counter(tuple(r) for r in among.collect()) == brute_components(rows)
+
+
 def test_jaccard_empty_and_stage(spark):
     assert jaccard_join.similar_components(table(spark, EMPTY)).count() == 0
     rows = near_copies(3)
