@@ -7,10 +7,15 @@ background's counts are scaled to the target's size, so smoothing acts alike
 on both. Per token the losses are subtracted, and their mean is the document's
 score: the lower, the nearer to the target.
 
-The vocabulary is the ``max_words`` most frequent word hashes of all documents.
-Bigrams are counted in ``2**bits`` cells by hash, over all documents: each task
-sends the cells it has met, so what is gathered grows with the corpus, while
-the model that is broadcast has a fixed size (16 bytes a cell).
+The vocabulary is every word, and bigrams are counted one by one; both are known
+by exact 64-bit hashes and grow with the corpus. No model is gathered or
+broadcast:
+
+1. Documents are taken in chunks of about ``CHUNK_BYTES``. Each chunk sends its
+   distinct words and bigrams with their counts, packed by range of hash.
+2. A range of hashes adds up its counts and answers every chunk in the order of
+   the chunk's own hashes. Ranges get more as the corpus grows.
+3. A chunk meets its answers and scores its documents.
 
 Defined results: a null, empty or blank text has no tokens and scores 0 under
 both models. Without any target document (or background document) that model
@@ -22,165 +27,158 @@ read whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.llm.common import WordHasher, chunks, mix64, stash, text_bytes
 
 _U = np.uint64
+CHUNK_BYTES = 16 << 20
+RANGE_BYTES = 16 << 20  # of text for each range of hashes
 
 
-@dataclass
-class Tables:
-    """Sorted word hashes; per model unigram probabilities (the last for unknown
-    words), context counts, and bigram counts by cell."""
+def _pack(values: np.ndarray) -> bytes:
+    """64-bit values as compressed planes of bytes."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), asbytes=True)
 
-    words: np.ndarray
-    unigram: np.ndarray  # 2 x (V + 1)
-    context: np.ndarray  # 2 x (V + 1)
-    cells: np.ndarray  # 2 x 2**bits
-    weight: float
 
+def _unpack(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(packed, 8 * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.int64).reshape(n)
 
-def word_ids(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Positions in the sorted vocabulary; its size for unknown words."""
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at, len(words))
 
+def _hashed(column: pa.Array, hasher: WordHasher) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of all rows, how many each row has, and where a row's first word is."""
+    data, offsets = text_bytes(column)
+    words, counts = [np.empty(0, _U)], [np.empty(0, np.int64)]
+    for i, j in chunks(offsets):
+        found, spans = hasher.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        words.append(found)
+        counts.append(np.diff(spans))
+    w, n = np.concatenate(words), np.concatenate(counts)
+    first = np.zeros(len(w), bool)
+    first[(np.cumsum(n) - n)[n > 0]] = True
+    return w, n, first
 
-def bigram_cells(ids: np.ndarray, bits: int) -> np.ndarray:
-    """Cells of each token with the one before it."""
-    return (mix64(ids[:-1].astype(_U) * _U(0x9E3779B97F4A7C15) ^ mix64(ids[1:].astype(_U) + _U(1))) >> _U(64 - bits)).astype(np.int64)
 
+def _bigrams(words: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Hashes of each word with the one before it, but for first words."""
+    return mix64(words[:-1] * _U(0x9E3779B97F4A7C15) ^ mix64(words[1:] + _U(1)))[~first[1:]]
 
-def vocabulary(texts: DataFrame, *, text_col: str, max_words: int) -> np.ndarray:
-    """The most frequent word hashes of all texts, sorted by hash."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for batch in batches:
-            keys, counts = np.empty(0, _U), np.empty(0, np.int64)
-            data, offsets = text_bytes(batch.column(0))
-            for i, j in chunks(offsets):
-                words, _ = hasher.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                new, times = np.unique(words, return_counts=True)
-                both, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(at, weights=np.concatenate([counts, times]), minlength=len(both)).astype(np.int64)
-                keys = both
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["w", "c"])
-
-    found = texts.select(text_col).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    top = found.orderBy(F.col("c").desc(), "w").limit(max_words).toArrow()
-    return np.sort(np.asarray(top.column("w"), dtype=np.int64).view(_U))
-
-
-def train(texts: DataFrame, *, text_col: str = "text", target_col: str = "target", max_words: int = 50_000, bits: int = 20, smoothing: float = 0.5, weight: float = 2.0) -> Tables:
-    """Count both models over ``texts`` (text, boolean target)."""
-    spark = texts.sparkSession
-    words = vocabulary(texts, text_col=text_col, max_words=max_words)
-    shared = spark.sparkContext.broadcast(words)
-    size, cells = len(words) + 1, 1 << bits
+def _digest(texts: DataFrame, *, id_col: str, kind: str, bits: int) -> DataFrame:
+    """Two kinds of rows. 'd', one per document: chunk, id, text. 'q': chunk,
+    whether of words, range of hashes, how many, hashes, and counts per model."""
+    schema = f"kind string, chunk long, id {kind}, text string, word boolean, part int, n int, keys binary, background binary, target binary"
+    names = "kind chunk id text word part n keys background target".split()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
-        known = shared.value
-        pairs = np.zeros((2, cells), np.int64)
-        single = np.zeros((2, size), np.int64)
+        chunk = TaskContext.get().partitionId() << 32
+
+        def flush(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            none = lambda kind_: pa.nulls(table.num_rows, kind_)
+            where = pa.array(np.full(table.num_rows, chunk))
+            docs = [pa.array(["d"] * table.num_rows, pa.string()), where, table.column(0), table.column(1).cast(pa.string()), none(pa.bool_()), none(pa.int32()), none(pa.int32()), none(pa.binary()), none(pa.binary()), none(pa.binary())]
+            yield from pa.table(docs, names).to_batches(max_chunksize=1000)
+            words, n, first = _hashed(table.column(1), hasher)
+            if not len(words):
+                return
+            side = np.repeat(table.column(2).to_numpy().astype(bool), n)
+            rows: list[tuple] = []
+            for is_word, keys, good in ((True, words, side), (False, _bigrams(words, first), side[1:][~first[1:]])):
+                keys, at = np.unique(keys, return_inverse=True)
+                counts = [np.bincount(at[good == m], minlength=len(keys)).astype(np.int64) for m in (False, True)]
+                parts = (keys >> _U(63 - bits) >> _U(1)).astype(np.int64)
+                edges = np.flatnonzero(np.diff(parts, prepend=-1, append=1 << 62))
+                for lo, hi in zip(edges[:-1], edges[1:]):
+                    rows.append((is_word, int(parts[lo]), int(hi - lo), _pack(np.diff(keys[lo:hi], prepend=_U(0))), *(_pack(c[lo:hi]) for c in counts)))
+            for lo in range(0, len(rows), 200):
+                some = rows[lo : lo + 200]
+                c = len(some)
+                kinds = (pa.bool_(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(["q"] * c), pa.array(np.full(c, chunk)), pa.nulls(c, table.column(0).type), pa.nulls(c, pa.string()), *(pa.array(x, k) for x, k in zip(zip(*some), kinds))], names)
+
+        waiting: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            is_target = np.asarray(batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)).astype(np.int64)
-            for i, j in chunks(offsets):
-                hashes, spans = hasher.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if not len(hashes):
-                    continue
-                ids = word_ids(known, hashes)
-                side = np.repeat(is_target[i:j], np.diff(spans))
-                at = bigram_cells(ids, bits)
-                starts = spans[:-1][np.diff(spans) > 0]
-                within = np.ones(len(ids), bool)
-                within[starts] = False
-                within = within[1:]
-                for m in (0, 1):
-                    single[m] += np.bincount(ids[side == m], minlength=size)
-                    pairs[m] += np.bincount(at[within & (side[1:] == m)], minlength=cells)
-        for m in (0, 1):
-            for kind, counts in ((0, single[m]), (1, pairs[m])):
-                some = np.flatnonzero(counts)
-                for lo in range(0, len(some), 200_000):
-                    part = some[lo : lo + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), 2 * m + kind, np.int8)), pa.array(part.astype(np.int32)), pa.array(counts[part])], ["kind", "at", "c"])
-
-    found = texts.select(text_col, target_col).mapInArrow(run, "kind byte, at int, c long").groupBy("kind", "at").agg(F.sum("c").alias("c"))
-    total = found.toArrow()  # at most 2 * (vocabulary + cells) rows
-    kind, at, c = (np.asarray(total.column(i)) for i in range(3))
-    tables = [np.zeros((2, size)), np.zeros((2, cells))]
-    for m in (0, 1):
-        for k in (0, 1):
-            use = kind == 2 * m + k
-            tables[k][m, at[use]] = c[use]
-    mass = tables[0].sum(1)
-    if mass.min() > 0:  # the background counts as much text as the target
-        for t in tables:
-            t[0] *= mass[1] / mass[0]
-    context = tables[0].copy()
-    unigram = (tables[0] + smoothing) / (tables[0].sum(1, keepdims=True) + smoothing * size)
-    return Tables(words, unigram.astype(np.float64), context.astype(np.float32), tables[1].astype(np.float32), weight)
-
-
-def losses(t: Tables, ids: np.ndarray, first: np.ndarray, bits: int) -> np.ndarray:
-    """Per token the negative log probability under (background, target)."""
-    at = np.concatenate([[0], bigram_cells(ids, bits)]) if len(ids) else np.zeros(0, np.int64)
-    before = np.concatenate([[0], ids[:-1]]) if len(ids) else ids
-    out = np.empty((2, len(ids)))
-    for m in (0, 1):
-        base = t.unigram[m][ids]
-        pair = np.where(first, 0.0, t.cells[m][at])
-        seen = np.where(first, 0.0, t.context[m][before])
-        # cells may hold several bigrams, so a cell can exceed its context's count
-        out[m] = -np.log((np.minimum(pair, seen) + t.weight * base) / (seen + t.weight))
-    return out
-
-
-def score(docs: DataFrame, tables: Tables, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_tokens, ce_target, ce_background, ce_diff)`` per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-
-    @F.pandas_udf("n_tokens long, ce_target double, ce_background double, ce_diff double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hasher, t = WordHasher(), shared.value
-        bits = int(t.cells.shape[1]).bit_length() - 1
-        for texts in batches:
-            data, offsets = text_bytes(pa.array(texts, pa.large_string(), from_pandas=True))
-            n = np.zeros(len(texts), np.int64)
-            ce = np.zeros((3, len(texts)))
-            for i, j in chunks(offsets):
-                hashes, spans = hasher.words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                counts = np.diff(spans)
-                n[i:j] = counts
-                some = np.flatnonzero(counts)
-                if not len(some):
-                    continue
-                first = np.zeros(len(hashes), bool)
-                first[spans[:-1][some]] = True
-                loss = losses(t, word_ids(t.words, hashes), first, bits)
-                each = np.stack([loss[1], loss[0], loss[1] - loss[0]])
-                ce[:, i + some] = np.add.reduceat(each, spans[:-1][some], axis=1) / counts[some]
-            yield pd.DataFrame({"n_tokens": n, "ce_target": ce[0], "ce_background": ce[1], "ce_diff": ce[2]})
-
-    return docs.select(id_col, run(text_col).alias("s")).select(id_col, "s.*")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """Scores of every row of ``docs``; the target is what ``labels`` call good (quality 1) and not toxic."""
+            waiting.append(batch)
+            size += batch.column(1).nbytes
+            if size >= CHUNK_BYTES:
+                yield from flush(pa.Table.from_batches(waiting))
+                waiting, size = [], 0
+                chunk += 1
+        if waiting:
+            yield from flush(pa.Table.from_batches(waiting))
+
+    return texts.select(id_col, "text", "target").mapInArrow(run, schema)
+
+
+def _answer(table: pa.Table) -> pa.Table:
+    """Counts over all chunks for each chunk's hashes of one range; and a row
+    without a chunk: how many hashes the range has, and their counts."""
+    chunk, word, part, n, keys, background, target = (table.column(x).to_pylist() for x in ("chunk", "word", "part", "n", "keys", "background", "target"))
+    every = np.concatenate([np.cumsum(_unpack(k, c).view(_U), dtype=_U) for k, c in zip(keys, n)])
+    distinct, at = np.unique(every, return_inverse=True)
+    total = []
+    for packed in (background, target):
+        own = np.concatenate([_unpack(x, c) for x, c in zip(packed, n)])
+        total.append(np.bincount(at, weights=own, minlength=len(distinct)).astype(np.int64))
+    ends = np.cumsum(n)
+    out = [[_pack(t[at[e - c : e]]) for c, e in zip(n, ends)] + [None] for t in total]
+    rest = len(n) * [None]
+    return pa.table({
+        "chunk": pa.array([*chunk, None], pa.int64()), "word": pa.array([*word, word[0]]), "part": pa.array([*part, part[0]], pa.int32()), "n": pa.array([*n, None], pa.int32()),
+        "background": pa.array(out[0], pa.binary()), "target": pa.array(out[1], pa.binary()),
+        "size": pa.array([*rest, len(distinct)], pa.int64()), "mass0": pa.array([*rest, int(total[0].sum())], pa.int64()), "mass1": pa.array([*rest, int(total[1].sum())], pa.int64()),
+    })
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, smoothing: float = 0.5, weight: float = 2.0, max_words: int | None = None, bits: int | None = None) -> DataFrame:
+    """``(doc_id, n_tokens, ce_target, ce_background, ce_diff)`` of every row of
+    ``docs``; the target is what ``labels`` call good (quality 1) and not toxic.
+    ``max_words`` and ``bits`` bounded an earlier model and have no effect."""
     good = stash(labels.where((F.col("quality") == 1) & ~F.coalesce(F.col("toxic") == 1, F.lit(False))).select("doc_id").where("doc_id is not null").distinct(), "lm-target").withColumn("target", F.lit(True))
     if good.count() <= 1_000_000:
         good = F.broadcast(good)
-    texts = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    return score(docs, train(texts, **settings))
+    texts = docs.select("doc_id", "text").join(good, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(False)).alias("target"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = stash(_digest(texts, id_col="doc_id", kind=kind, bits=max(6, (n_bytes // RANGE_BYTES).bit_length())), "lm-digest", by="kind")
+    asked = rows.where("kind = 'q'").select("chunk", "word", "part", "n", "keys", "background", "target")
+    answers = stash(asked.groupBy("word", "part").applyInArrow(_answer, "chunk long, word boolean, part int, n int, background binary, target binary, size long, mass0 long, mass1 long"), "lm-answers")
+    size, *mass = answers.where("chunk is null and word").agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "mass0", "mass1"))).first()
+    size += 1  # the unknown word
+    scale = (mass[1] / mass[0] if min(mass) > 0 else 1.0, 1.0)  # the background counts as much text as the target
+
+    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
+        words, n, first = _hashed(texts.column("text"), WordHasher())
+        ce = np.zeros((3, len(n)))
+        if len(words):
+            _, word_at = np.unique(words, return_inverse=True)
+            _, pair_at = np.unique(_bigrams(words, first), return_inverse=True)
+            found = found.sort_by("part")
+            is_word, sizes = np.asarray(found.column("word")), found.column("n").to_pylist()
+            later = ~first
+            for m, name in enumerate(("background", "target")):
+                packed = found.column(name).to_pylist()
+                single, pairs = (np.concatenate([np.empty(0, np.int64), *(_unpack(packed[i], sizes[i]) for i in np.flatnonzero(is_word == flag))]) * scale[m] for flag in (True, False))
+                own = single[word_at]
+                seen, pair = np.zeros(len(words)), np.zeros(len(words))
+                seen[1:] = own[:-1]
+                seen[first] = 0.0
+                pair[later] = pairs[pair_at]
+                base = (own + smoothing) / (scale[m] * mass[m] + smoothing * size)
+                loss = -np.log((pair + weight * base) / (seen + weight))
+                some = n > 0
+                ce[1 - m, some] = np.add.reduceat(loss, np.flatnonzero(first)) / n[some]
+            ce[2] = ce[0] - ce[1]
+        return pa.table({"doc_id": texts.column("id"), "n_tokens": n, "ce_target": ce[0], "ce_background": ce[1], "ce_diff": ce[2]})
+
+    left = rows.where("kind = 'd'").select("chunk", "id", "text").groupBy("chunk")
+    right = answers.where("chunk is not null").select("chunk", "word", "part", "n", "background", "target").groupBy("chunk")
+    return left.cogroup(right).applyInArrow(score, f"doc_id {kind}, n_tokens long, ce_target double, ce_background double, ce_diff double")

@@ -320,3 +320,27 @@ def test_lm_scores_against_plain_counts(spark, docs):
         n, target, back = want[r.doc_id]
         assert r.n_tokens == n and abs(r.ce_target - target) < 1e-3 and abs(r.ce_background - back) < 1e-3 and abs(r.ce_diff - (target - back)) < 2e-3
     assert lm_scoring.cross_entropy_difference(table(spark, EMPTY), labels).count() == 0
+
+
+def test_lm_counts_every_word_and_bigram(spark, monkeypatch):
+    """More words than 50,000 and more bigrams than 2**20, in many chunks."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 1 << 20)
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(60_000):x}" for _ in range(6000)), None, None) for i in range(200)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 200, 2)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(table(spark, rows), labels).collect()}
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for i, t, _, _ in rows:
+        w = t.split()
+        uni[1 - i % 2].update(w)
+        bi[1 - i % 2].update(zip(w, w[1:]))
+    size = len(uni[0] | uni[1]) + 1
+    assert size > 50_001 and len(bi[0] | bi[1]) > 1 << 20
+    assert uni[0].total() == uni[1].total()  # so the background's counts stay as they are
+    for i, t, _, _ in rows[:20]:
+        w = t.split()
+        for m, got in ((0, out[i].ce_background), (1, out[i].ce_target)):
+            mass = uni[m].total() + 0.5 * size
+            base = lambda x: (uni[m][x] + 0.5) / mass  # noqa: B023, E731
+            want = -math.log(base(w[0])) - sum(math.log((bi[m][a, b] + 2 * base(b)) / (uni[m][a] + 2)) for a, b in zip(w, w[1:]))
+            assert math.isclose(got, want / len(w), rel_tol=1e-9)
