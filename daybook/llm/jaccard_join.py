@@ -382,11 +382,11 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "tkey")
 
 
-def keep_one(docs: DataFrame, *, name: str = "jaccard") -> DataFrame:
+def keep_one(docs: DataFrame, *, k: int = 3, percent: int = 90, name: str = "jaccard") -> DataFrame:
     """The rows of ``docs`` but for those of a component that has a smaller id
     (a null id is larger than any). Rows that repeat the kept id and text stay.
     Columns stay."""
-    found = _components(docs, name=name)
+    found = _components(docs, k=k, percent=percent, name=name)
     gone = stash(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct(), f"{name}-gone")
     if gone.count() <= 2 * BROADCAST_ROWS:
         gone = F.broadcast(gone)

@@ -24,3 +24,13 @@ def test_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, d).collect()
     want = piece_codec.round_trip(docs, piece_codec.default_model()).collect()
     assert Counter(map(tuple, out)) == Counter(map(tuple, want))
+
+
+def test_near_duplicates_of_four_edits(spark):
+    """4 edits in 200 words: 0.886 on 3-word shingles, 0.815 on 5-word shingles."""
+    words = [f"w{i}" for i in range(200)]
+    edited = [f"x{i}" if i in (30, 70, 110, 150) else w for i, w in enumerate(words)]
+    more = [f"y{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(words)]  # 5 edits: 0.774
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((words, edited, more))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(docs, k=5, percent=80).collect()) == [0, 2]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(docs).collect()) == [0, 1, 2]
