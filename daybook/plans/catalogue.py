@@ -767,3 +767,28 @@ def _(spark, d):
     box = F.struct(F.array(point(900, 10), point(980, 10), point(980, 30), point(900, 30)).alias("box"), said.alias("text"), F.lit(0.9).alias("conf"))
     rows = read(spark, d, "documents").where(F.length(said) > 1).select("doc_id", F.array(box).alias("boxes"))
     return rows.select("doc_id", organised_text(F.col("boxes"), column_regions(F.col("boxes"), F.lit(1920)), F.lit(1920), F.lit(1080)).alias("text"))
+
+
+@query("organized_screens", None)
+def _(spark, d):
+    """Every word of every text as a box: three columns, two boxes a row, the
+    right one a chat for even ids; doubtful boxes between, and all in reverse."""
+    from daybook.functions.layout import column_regions, organised_text
+
+    def box(x, y, said, conf):
+        x, y = x.cast("int"), y.cast("int")
+        point = lambda a, b: F.array(a, b)
+        return F.struct(F.array(point(x, y), point(x + 60, y), point(x + 60, y + 20), point(x, y + 20)).alias("box"), said.alias("text"), F.lit(conf).alias("conf"))
+
+    def placed(word, i):
+        k = F.floor(i / 3)
+        x = F.when(i % 3 == 0, 100).when(i % 3 == 1, 900).otherwise(1600) + 70 * (1 - k % 2)
+        return box(x, 40 * F.floor(k / 2) + 5 * (k % 2), word, 0.9)
+
+    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    rows = read(spark, d, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0)
+    stamp = F.when(F.col("doc_id") % 2 == 0, F.array(box(F.lit(1750), F.lit(0), F.lit("12.03.24"), 0.9))).otherwise(F.array().cast("array<struct<box:array<array<int>>,text:string,conf:double>>"))
+    doubtful = F.array(box(F.lit(900), F.lit(10), F.lit("doubtful"), 0.29))
+    boxes = F.reverse(F.concat(F.transform("words", placed), stamp, doubtful))
+    rows = rows.select("doc_id", boxes.alias("boxes"), (40 * F.size("words") + 60).alias("height"))
+    return rows.select("doc_id", organised_text(F.col("boxes"), column_regions(F.col("boxes"), F.lit(1920)), F.lit(1920), F.col("height")).alias("text"))
