@@ -19,10 +19,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import bounded_rows, held_out, stash
+from daybook.llm.common import held_out, stash
 
 UNKNOWN = "und"
 
@@ -53,11 +53,13 @@ class LangModel:
     max_n: int = 5
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1500, max_chars: int = 5_000, max_words: int = 60_000, max_grams: int = 60_000, max_n: int = 5, smoothing: float = 0.5) -> LangModel:
-    """Learn from at most ``max_rows`` labelled rows (spread by a hash of the
-    id), each cut to ``max_chars`` characters for learning only."""
-    rows = bounded_rows(labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col), id_col, max_rows)
-    rows = rows.select(F.substring(text_col, 1, max_chars).alias("text"), F.col(lang_col).alias("lang"))
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_n: int = 5, smoothing: float = 0.5) -> LangModel:
+    """Learn from the whole texts of at most ``max_rows`` labelled rows of each
+    language (spread by a hash of the id)."""
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    some = rows.select("lang", "id").where("id is not null").withColumn("at", first).where(F.col("at") <= max_rows).select("lang", "id").distinct()
+    rows = rows.join(F.broadcast(some), ["lang", "id"], "left_semi").select("text", "lang")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
