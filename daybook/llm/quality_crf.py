@@ -199,16 +199,29 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 2000, max_chars: int = 20_000) -> LineCrf:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 2000) -> LineCrf:
     """Learn from at most ``max_rows`` labelled documents (spread by a hash of
-    the id), each cut to ``max_chars`` characters for learning only."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(id_col, F.substring(text_col, 1, max_chars).alias("text"), F.col(label_col).cast("int").alias("label"))
+    the id). Features are taken from whole texts in the tasks."""
+    rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = bounded_rows(rows, id_col, max_rows).select(id_col, "text", "label")
-    pdf = rows.toPandas().sort_values([id_col, "label", "text"])
-    texts = pa.array(pdf["text"].tolist(), pa.large_string())
-    data, bounds = text_bytes(texts)
-    feats, lengths, spans = LineFeatures().of(data, bounds)
-    labels = pdf["label"].to_numpy(dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines = LineFeatures()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                feats, lengths, _ = lines.of(*text_bytes(batch.column(3).slice(i, 1)))
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), one.column(1), one.column(2), pa.array([feats.tobytes()], pa.binary()), pa.array([lengths.tobytes()], pa.binary())], ["id", "label", "key", "feats", "lengths"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    found = rows.select(id_col, "label", F.xxhash64("text"), "text").mapInArrow(run, f"id {kind}, label int, key long, feats binary, lengths binary")
+    table = found.toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("key", "ascending")])
+    lengths = [np.frombuffer(x) for x in table.column("lengths").to_pylist()]
+    spans = np.concatenate([[0], np.cumsum([len(x) for x in lengths])]).astype(np.int64)
+    lengths = np.concatenate([np.empty(0), *lengths])
+    width = LineFeatures().of(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].shape[1]
+    feats = np.frombuffer(b"".join(table.column("feats").to_pylist()), np.float32).reshape(-1, width)
+    labels = np.asarray(table.column("label"), dtype=np.int64)
     if len(set(labels[np.diff(spans) > 0])) < 2:
         return LineCrf(np.zeros((feats.shape[1], 2), np.float32), np.zeros((2, 2)), constant=float(labels.mean()) if len(labels) else 0.5)
     return _learn(feats, lengths, spans, labels)
