@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from daybook.functions.text import bound
+
 RECORD = "struct<app_name:string,activity_category:string,activity_summary:string,detailed_context:string,mood:string,confidence:double>"
 UNPARSED = "Unable to parse response"
 
@@ -17,47 +19,65 @@ def without_thinking(text: Column) -> Column:
     return F.regexp_replace(out, "<unused\\d+>", "")
 
 
+#: A string (its end may be missing), a bracket, a comma, or what lies between.
+_PIECE = r'"(?:[^"\\]|\\(?s:.))*+"?|[{}\[\],]|[^"{}\[\],]+'
+_WHOLE_STRING = r'(?s)^"(?:[^"\\]|\\.)*+"$'
+
+
 def json_object(text: Column) -> Column:
-    """A bare object, a fenced one, one with balanced inner braces, or all from the first brace to the last."""
-    t = F.trim(text)
-    bare = F.when(F.startswith(t, F.lit("{")) & F.endswith(t, F.lit("}")), t)
-    fenced = F.nullif(F.regexp_extract(t, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
-    balanced = F.nullif(F.regexp_extract(t, r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", 0), F.lit(""))
-    widest = F.nullif(F.regexp_extract(t, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(bare, fenced, balanced, widest)
+    """The first object of a text, mended while it is read; null without one.
+
+    One scan from the first brace keeps what is still to be closed. It ends where
+    the object is closed, or closes what the text's end left open, innermost
+    first. A comma waits until something follows it, so a trailing one goes. Line
+    ends inside strings are escaped, a string without an end gets one."""
+    rest = F.nullif(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(""))
+    pieces = F.regexp_extract_all(rest, F.lit(_PIECE), F.lit(0))
+    state = F.struct(F.lit("").alias("out"), F.lit("").alias("open"), F.lit("").alias("comma"), F.lit(False).alias("done"))
+
+    def then(s: Column, out: Column, opened: Column, comma: str) -> Column:
+        return F.struct(out.alias("out"), opened.alias("open"), F.lit(comma).alias("comma"), (opened == "").alias("done"))
+
+    def step(s: Column, piece: Column) -> Column:
+        string = F.concat(F.replace(piece, F.lit("\n"), F.lit("\\n")), F.when(F.rlike(piece, F.lit(_WHOLE_STRING)), "").otherwise('"'))
+        upto = F.instr(s["open"], piece)  # a bracket that closes more than the innermost
+        said = F.concat(s["out"], s["comma"])
+        return (
+            F.when(s["done"], s)
+            .when(piece == ",", then(s, s["out"], s["open"], ","))
+            .when(piece == "{", then(s, F.concat(said, piece), F.concat(F.lit("}"), s["open"]), ""))
+            .when(piece == "[", then(s, F.concat(said, piece), F.concat(F.lit("]"), s["open"]), ""))
+            .when(piece.isin("}", "]"), F.when(upto > 0, then(s, F.concat(s["out"], F.substr(s["open"], F.lit(1), upto)), F.substr(s["open"], upto + 1), "")).otherwise(s))
+            .when(F.startswith(piece, F.lit('"')), then(s, F.concat(said, string), s["open"], ""))
+            .when(F.trim(F.regexp_replace(piece, "\\s", "")) == "", s)
+            .otherwise(then(s, F.concat(said, piece), s["open"], ""))
+        )
+
+    return F.aggregate(pieces, state, step, lambda s: F.concat(s["out"], s["open"]))
 
 
 def _valid(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
-def _count(text: Column, sign: str) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
+_FIELD = r'(\w+)"?\s*[:=]\s*"([^"]+)"'
 
 
-def repaired(text: Column) -> Column:
-    """Line ends escaped, trailing commas gone, an open string, arrays and objects closed; null if that is no JSON."""
-    s = F.regexp_replace(F.trim(text), r"(?<!\\)\n", r"\\n")
-    s = F.regexp_replace(s, r",\s*([}\]])", "$1")
-    quotes = _count(s, '"') - F.floor(_count(s, '\\"') / 2)
-    s = F.concat(s, F.when(quotes % 2 != 0, '"').otherwise(""))
-    braces, brackets = _count(s, "{") - _count(s, "}"), _count(s, "[") - _count(s, "]")
-    s = F.concat(s, F.repeat(F.lit("]"), F.greatest(brackets, F.lit(0)).cast("int")), F.repeat(F.lit("}"), F.greatest(braces, F.lit(0)).cast("int")))
-    return F.when(_valid(s), s)
+def salvaged(text: Column) -> Column:
+    """The first value told for each field, wherever it stands; null without a summary."""
+    told = F.arrays_zip(F.regexp_extract_all(text, F.lit(_FIELD), F.lit(1)).alias("name"), F.regexp_extract_all(text, F.lit(_FIELD), F.lit(2)).alias("value"))
+    plain = dict(app_name="unknown", activity_category="other", activity_summary=UNPARSED, detailed_context="", mood="neutral")
 
+    def record(told: Column) -> Column:
+        first = lambda name: F.get(F.filter(told, lambda x: F.lower(x["name"]) == name), 0)["value"]
+        return F.struct(*(F.coalesce(F.nullif(F.trim(first(k)), F.lit("")), F.lit(v)).alias(k) for k, v in plain.items()), F.lit(0.3).alias("confidence"))
 
-def salvaged(text: Column) -> Column:
-    """Single fields by pattern; null without a summary."""
-    field = lambda name, otherwise: F.coalesce(F.nullif(F.trim(F.regexp_extract(text, rf'(?i)"?{name}"?\s*[:=]\s*"([^"]+)"', 1)), F.lit("")), F.lit(otherwise))
-    summary = field("activity_summary", UNPARSED)
-    record = F.struct(field("app_name", "unknown").alias("app_name"), field("activity_category", "other").alias("activity_category"), summary.alias("activity_summary"), field("detailed_context", "").alias("detailed_context"), field("mood", "neutral").alias("mood"), F.lit(0.3).alias("confidence"))
-    return F.when(summary != UNPARSED, record)
+    return bound(bound(told, record), lambda r: F.when(r["activity_summary"] != UNPARSED, r))
 
 
 def parsed(text: Column) -> Column:
-    """The record of an answer: read, else repaired and read, else salvaged, else null."""
-    found = json_object(text)
-    good = F.when(_valid(found), found).otherwise(repaired(found))
-    read = F.when(good.isNotNull(), F.from_json(good, RECORD.removeprefix("struct<").removesuffix(">").replace(":", " ")))
-    filled = F.when(read.isNotNull(), F.struct(F.coalesce(read["app_name"], F.lit("unknown")).alias("app_name"), F.coalesce(read["activity_category"], F.lit("other")).alias("activity_category"), F.coalesce(read["activity_summary"], F.lit("")).alias("activity_summary"), F.coalesce(read["detailed_context"], F.lit("")).alias("detailed_context"), F.coalesce(read["mood"], F.lit("neutral")).alias("mood"), F.coalesce(read["confidence"], F.lit(0.0)).alias("confidence")))
-    return F.coalesce(filled, salvaged(text))
+    """The record of an answer: its object read, else salvaged, else null."""
+    plain = dict(app_name="unknown", activity_category="other", activity_summary="", detailed_context="", mood="neutral", confidence=0.0)
+    filled = lambda read: F.when(read.isNotNull(), F.struct(*(F.coalesce(read[k], F.lit(v)).alias(k) for k, v in plain.items())))
+    read = lambda found: F.when(_valid(found), F.from_json(found, RECORD.removeprefix("struct<").removesuffix(">").replace(":", " ")))
+    return bound(text, lambda t: F.coalesce(bound(bound(json_object(t), read), filled), salvaged(t)))

@@ -34,6 +34,7 @@ STOPWORDS = tuple(
     am of i next now then than too message messages text send sent chat mail email wrote write writing hi hii hey hello
     please yeah yes thanks thank okay ok cool nice""".split()
 )
+#: Small talk, whole and as a word of a short question.
 CASUAL = ("hi", "hii", "hey", "hello", "sup", "yo", "thanks", "thank", "bye", "goodbye", "how are you", "what's up", "whats up", "tell me a joke", "joke", "funny", "who are you", "what are you", "your name", "good morning", "good night", "good evening")
 GREETINGS = ("hi", "hii", "hey", "hello", "sup", "yo", "thanks", "bye")
 

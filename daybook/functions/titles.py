@@ -20,9 +20,12 @@ KNOWN = {
 }
 #: File extensions that rule out a title's last part as an application.
 EXTENSIONS = tuple("py js ts rs go java c cpp h rb php cs kt swift lua sh bash zsh ps1 html css json yaml yml toml xml ini cfg conf txt md log csv pdf doc docx xls xlsx ppt pptx mp4 mkv avi mov webm mp3 flac wav ogg png jpg jpeg gif svg bmp webp ico".split())
+#: How browsers end their titles, and their process names.
 BROWSER_TITLES = ("- Google Chrome", "- Mozilla Firefox", "- Firefox", "- Microsoft Edge", "- Brave", "- Opera", "- Safari", "- Vivaldi", "- Arc", "- Chromium", "- Zen Browser")
 BROWSERS = tuple("chrome chromium firefox firefox-esr brave opera safari vivaldi arc msedge".split())
+#: Signs that a title names content rather than an application.
 NO_SIMPLE_TITLE = ("/", "\\", "@", ":", "$", "#", "~", ".txt", ".py", ".js", ".ts", ".rs", ".go", ".html", ".css", ".md", ".json", ".yaml")
+#: Process names and title endings that tell of coding.
 CODING_APPS = ("code", "code - insiders", "devenv", "idea64", "pycharm64", "webstorm64", "goland64", "sublime_text", "atom", "notepad++", "windowsterminal", "cmd", "powershell", "pwsh", "wt", "mintty", "git-bash", "alacritty", "wezterm")
 CODING_TITLES = (".py", ".js", ".ts", ".go", ".rs", ".java", ".cpp", ".c", ".html", ".css", ".jsx", ".tsx", ".vue", ".rb", ".php", "visual studio code", "vs code", "pycharm", "intellij", "terminal", "powershell", "cmd.exe", "git ", "npm ", "pip ", "python ", "node ")
 
