@@ -3,9 +3,9 @@
 Keyword scores are BM25 with k1 1.2 and b 0.75; an idf that would not be
 positive is 1e-6. A score's sign is that of a rank: more negative is better.
 Corpus statistics cover all indexed rows; filters come after the match.
-One scan finds the terms asked for; the statistics and the scores read the
-same narrow exchange of it, and no postings are shuffled. ``postings`` makes the inverted index as a table for
-those who query it often.
+
+Scores come from a stored index (``textindex``), which reads only the buckets
+of the terms asked for, or, for rows without one, from one scan of their texts.
 """
 
 from __future__ import annotations
@@ -15,60 +15,66 @@ from pyspark.sql import functions as F
 
 from daybook.functions.text import snippet
 from daybook.operators.stats import in_range, ok
+from daybook.operators.textindex import MARKED, PLAIN, TextIndex, tokens
 from daybook.operators.timeline import contains, newest_first
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Letters and what they are without their marks.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-
-
 def fold(text: str) -> str:
     return text.lower().translate(str.maketrans(MARKED, PLAIN))
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased, without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
-
-
 def query_tokens(text: str) -> list[str]:
     import re
 
     return re.findall(r"[^\W_]+", fold(text))
 
 
-def postings(rows: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
-    """The inverted index: ``(term, id, column, position)``."""
-    out = None
-    for c in columns:
-        part = rows.select(F.col(id_col).alias("id"), F.lit(c).alias("column"), F.posexplode(tokens(F.col(c))).alias("position", "term"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("term", "id", "column", "position")
-
-
 def _hits(words: Column, phrase: list[str]) -> Column:
     """How often the phrase occurs, word by word, in an array of tokens."""
-    if len(phrase) == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    n, want = len(phrase), F.array(*[F.lit(w) for w in phrase])
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(starts, lambda i: F.slice(words, i, F.lit(n)) == want))
 
+    def starts(w: Column, i: Column) -> Column:
+        found = w == phrase[0]
+        for n, word in enumerate(phrase[1:], 1):
+            found = found & F.coalesce(F.get(words, i + n) == word, F.lit(False))
+        return found
 
-def bm25(rows: DataFrame, columns: list[str], phrases: list[list[str]], id_col: str = "id") -> DataFrame:
-    """``(id, score)`` of the rows that match any of the phrases (lists of words)."""
-    phrases = [p for p in phrases if p]
+    return F.size(F.filter(words, starts))
+
+
+def _counts(rows: DataFrame, columns: list[str], phrases: list[list[str]], id_col: str) -> DataFrame:
+    """``(id, len, f0, f1 ...)`` of every row, by one scan of its texts."""
     words = rows.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
-    sized = words.select("id", sum((F.size(f"_{i}") for i in range(len(columns))), F.lit(0)).alias("len"), *[sum((_hits(F.col(f"_{i}"), p) for i in range(len(columns))), F.lit(0)).alias(f"f{j}") for j, p in enumerate(phrases)])
+    every = range(len(columns))
+    return words.select("id", sum((F.size(f"_{i}") for i in every), F.lit(0)).alias("len"), *[sum((_hits(F.col(f"_{i}"), p) for i in every), F.lit(0)).alias(f"f{j}") for j, p in enumerate(phrases)])
+
+
+def _indexed_counts(index: TextIndex, phrases: list[list[str]]) -> DataFrame:
+    """``(id, len, f0, f1 ...)`` of the rows that match, out of the index."""
+    found = None
+    for j, phrase in enumerate(phrases):
+        part = index.hits(phrase).select("key", *[(F.col("f") if i == j else F.lit(0)).alias(f"f{i}") for i in range(len(phrases))])
+        found = part if found is None else found.unionByName(part)
+    sums = [F.sum(f"f{j}").alias(f"f{j}") for j in range(len(phrases))]
+    return index.table("rows").join(found.groupBy("key").agg(*sums), "key").groupBy("id").agg(F.first("len").alias("len"), *sums)
+
+
+def bm25(rows: DataFrame | None, columns: list[str], phrases: list[list[str]], id_col: str = "id", *, index: TextIndex | None = None) -> DataFrame:
+    """``(id, score)`` of the rows that match any of the phrases (lists of words):
+    out of ``index`` if there is one, else of ``rows``."""
+    phrases = [p for p in phrases if p]
     if not phrases:
-        return sized.where("false").select("id", F.lit(0.0).alias("score"))
-    # one narrow exchange that both the statistics and the scores read, so texts are split into tokens once;
-    # conditions that name both sides of the join keep either side's plan the same
-    sized = sized.repartition("id")
-    stats = sized.agg(F.count(F.lit(1)).alias("N"), F.max("id").alias("top"), F.sum("len").alias("total"), *[F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(len(phrases))])
-    hit = (sum((F.col(f"f{j}") for j in range(len(phrases))), F.lit(0)) > F.least(F.col("N"), F.lit(0))) & F.coalesce(F.col("id") <= F.col("top"), F.lit(True))
-    both = sized.join(F.broadcast(stats), hit)  # one row
+        none = rows if rows is not None else index.table("rows")
+        return none.where("false").select(F.col(id_col if rows is not None else "id").alias("id"), F.lit(0.0).alias("score"))
+    if index is not None:
+        sized = _indexed_counts(index, phrases)
+        totals = [F.lit(index.rows).alias("N"), F.lit(index.words).alias("total")]
+    else:
+        # one narrow exchange that both the statistics and the scores read, so texts are split into words once
+        sized = _counts(rows, columns, phrases, id_col).repartition("id")
+        totals = [F.count(F.lit(1)).alias("N"), F.sum("len").alias("total")]
+    stats = sized.agg(*totals, *[F.count_if(F.col(f"f{j}") > 0).alias(f"n{j}") for j in range(len(phrases))])
+    hit = sum((F.col(f"f{j}") for j in range(len(phrases))), F.lit(0)) > 0
+    both = sized.crossJoin(F.broadcast(stats)).where(hit)  # one row of statistics
     score = F.lit(0.0)
     for j in range(len(phrases)):
         f, n = F.col(f"f{j}"), F.col(f"n{j}")
@@ -94,9 +100,9 @@ def nearest(rows: DataFrame, query: list[float], top: int, *, cap: int | None =
     return scored.orderBy(F.col("similarity").desc(), F.col("id").desc()).limit(top)
 
 
-def keyword_hits(activities: DataFrame, columns: list[str], phrases: list[list[str]], limit: int, *, only_ok: bool = True, first: str | None = None, last: str | None = None) -> DataFrame:
+def keyword_hits(activities: DataFrame, columns: list[str], phrases: list[list[str]], limit: int, *, only_ok: bool = True, first: str | None = None, last: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """``(id, score, place)`` of the best matches, places from 0."""
-    found = bm25(activities, columns, phrases)
+    found = bm25(activities, columns, phrases, index=index)
     kept = ok(activities) if only_ok else activities
     found = found.join(in_range(kept, first, last).select("id"), "id", "left_semi").orderBy("score", "id").limit(limit)
     return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "id")) - 1)  # over ``limit`` rows
@@ -110,12 +116,12 @@ def meeting_hits(meetings: DataFrame, query: str, limit: int, *, around: int = 8
     return m.select("id", "start_time", "app_name", "duration_minutes", "summary", snippet(F.col("transcript"), query, around, otherwise).alias("snippet"))
 
 
-def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 20, *, category: str | None = None, first: str | None = None, last: str | None = None) -> DataFrame:
+def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 20, *, category: str | None = None, first: str | None = None, last: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """Vector, keyword and meeting results fused. The category limits the
     vector results only; the dates limit all three."""
     rows = in_range(ok(activities), first, last)
     sem = nearest(rows.where(F.col("category") == category) if category else rows, vector, limit).select("id", F.round("similarity", 3).alias("sem"))
-    hits = keyword_hits(activities, columns, [query_tokens(query)], limit, first=first, last=last)
+    hits = keyword_hits(activities, columns, [query_tokens(query)], limit, first=first, last=last, index=index)
     n = hits.agg(F.count(F.lit(1)).alias("n"))
     kw = hits.crossJoin(F.broadcast(n)).select("id", F.round(0.7 - F.col("place") * 0.4 / F.greatest(F.col("n") - 1, F.lit(1)), 3).alias("kw"))
     both = sem.join(kw, "id", "full_outer")
@@ -126,19 +132,19 @@ def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query
     return out.unionByName(met).orderBy(F.col("relevance").desc(), "match_type", "id").limit(limit)
 
 
-def tool_search(activities: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 10) -> DataFrame:
+def tool_search(activities: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 10, *, index: TextIndex | None = None) -> DataFrame:
     """Vector results, then keyword results at a constant relevance; nothing is boosted."""
     sem = nearest(ok(activities), vector, limit).select("id", F.round("similarity", 3).alias("relevance"), F.lit("semantic").alias("match"))
-    kw = keyword_hits(activities, columns, [query_tokens(query)], limit).join(sem.select("id"), "id", "left_anti").select("id", F.lit(0.5).alias("relevance"), F.lit("keyword").alias("match"))
+    kw = keyword_hits(activities, columns, [query_tokens(query)], limit, index=index).join(sem.select("id"), "id", "left_anti").select("id", F.lit(0.5).alias("relevance"), F.lit("keyword").alias("match"))
     return sem.unionByName(kw).orderBy(F.col("relevance").desc(), F.col("match").desc(), "id").limit(limit)
 
 
-def chat_candidates(activities: DataFrame, columns: list[str], words: list[str], *, probe: int = 25, fill: int = 10, enough: int = 3) -> DataFrame:
+def chat_candidates(activities: DataFrame, columns: list[str], words: list[str], *, probe: int = 25, fill: int = 10, enough: int = 3, index: TextIndex | None = None) -> DataFrame:
     """Rows for an answer: the best ``probe`` matches of any word, whatever
     their status, of which analysed ones are kept; if fewer than ``enough``
     are, the newest embedded rows fill up to ``fill``. Column place: that of
     the match, null for filled ones."""
-    hits = keyword_hits(activities, columns, [query_tokens(w) for w in words], probe, only_ok=False).select("id", "place")
+    hits = keyword_hits(activities, columns, [query_tokens(w) for w in words], probe, only_ok=False, index=index).select("id", "place")
     good = ok(activities)
     found = good.join(F.broadcast(hits), "id")
     newest = good.where(F.col("embedding").isNotNull()).orderBy(*newest_first()).limit(fill)
@@ -150,16 +156,19 @@ def chat_candidates(activities: DataFrame, columns: list[str], words: list[str],
 
 
 def rerank(candidates: DataFrame, vector: list[float], now: str, hits: int, top: int = 5) -> DataFrame:
-    """Of ``candidates`` the best by similarity, recency and keyword place."""
+    """Of ``candidates`` the best by similarity, recency and keyword place. If none
+    of them has a vector, all count 0.5 and keep their order (place, then newest)."""
     scored = candidates.withColumn("similarity", cosine("embedding", vector))
-    near = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("similarity").desc(), F.col("id").desc()))  # candidates are few
-    scored = scored.withColumn("near", near)
+    all_ = Window.partitionBy(F.lit(0))  # candidates are few
+    near = F.row_number().over(all_.orderBy(F.col("similarity").desc(), F.col("id").desc()))
+    scored = scored.withColumn("near", near).withColumn("embedded", F.count("embedding").over(all_) > 0)
     age = F.greatest((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("timestamp").cast("timestamp"))) / F.lit(3.6e9), F.lit(0.0))
     recency = 1.0 / (1.0 + F.coalesce(age, F.lit(24.0)) * 0.05)
     keyword = 0.1 * (1.0 - F.coalesce("place", F.lit(hits)) / F.lit(float(max(hits, 1))))
     final = F.round(F.col("similarity") * 0.7 + recency * 0.2 + keyword * 0.1, 3)
-    relevance = F.when(F.col("embedding").isNotNull() & (F.col("near") <= 5) & (F.col("similarity") > 0.1), final).otherwise(0.05)
-    return scored.select("id", "timestamp", relevance.alias("relevance")).orderBy(F.col("relevance").desc(), *newest_first()).limit(top)
+    relevance = F.when(~F.col("embedded"), 0.5).when(F.col("embedding").isNotNull() & (F.col("near") <= 5) & (F.col("similarity") > 0.1), final).otherwise(0.05)
+    order = F.when(~F.col("embedded"), F.col("place")).asc_nulls_last()
+    return scored.withColumn("relevance", relevance).orderBy(F.col("relevance").desc(), order, *newest_first()).limit(top).select("id", "timestamp", "relevance")
 
 
 def fallback(activities: DataFrame, vector: list[float], gate: float = 0.35, top: int = 5) -> DataFrame:
