@@ -1,10 +1,19 @@
-"""Folds over ordered rows of a key: one kernel serves batch and stream."""
+"""Folds over ordered rows of a key: one kernel serves batch and stream.
+
+In batch, rows are dealt out by key and sorted within partitions, and a kernel
+is fed batch by batch with the state of the key at hand (``per_key``): a task
+holds one batch and one state, however long a key's history is.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Applications that count as distraction.
 ENTERTAINMENT = ("youtube", "netflix", "twitch", "reddit", "twitter", "instagram", "tiktok", "facebook", "x.com")
@@ -13,20 +22,20 @@ COMMUNICATION = ("discord", "slack", "teams", "whatsapp", "telegram", "gmail", "
 MINUTE = 60
 
 
-def frame_dedup(rows: DataFrame, key: str = "user_id", hash_col: str = "h", threshold: int = 8, *, distance=None) -> DataFrame:
+def frame_dedup(rows: DataFrame, key: str = "user_id", hash_col: str = "h", threshold: int = 8) -> DataFrame:
     """The rows of each key that differ from the last *kept* one by more than
-    the threshold; the first is kept. A fold over the key's rows in order of
-    time, in the JVM."""
-    distance = distance or (lambda a, b: F.bit_count(a.bitwiseXOR(b)))
-    ordered = F.array_sort(F.collect_list(F.struct("timestamp", "id", F.col(hash_col).alias("h"))))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    the threshold bits; the first is kept."""
+    kind = rows.schema[key].dataType.simpleString()
 
-    def step(s: Column, x: Column) -> Column:
-        new = s["last"].isNull() | (distance(s["last"], x["h"]) > threshold)
-        return F.struct(F.when(new, x["h"]).otherwise(s["last"]).alias("last"), F.when(new, F.concat(s["kept"], F.array(x["id"]))).otherwise(s["kept"]).alias("kept"))
+    def kernel(state, some):
+        kept, last = [], state
+        for id_, h in some:
+            if h is not None and (last is None or ((last ^ h) & 0xFFFFFFFFFFFFFFFF).bit_count() > threshold):
+                last = h
+                kept.append(id_)
+        return kept, last
 
-    folded = rows.groupBy(key).agg(F.aggregate(ordered, start, step, lambda s: s["kept"]).alias("kept"))
-    return folded.select(key, F.explode("kept").alias("id"))
+    return per_key(rows, kernel, key, ["id", hash_col], f"{key} {kind}, id {rows.schema['id'].dataType.simpleString()}")
 
 
 # Kernels: state (a tuple of plain values, or None at the start) and rows in
@@ -75,6 +84,11 @@ def tier_kernel(state, rows, app: str = "", *, near: int = 3, like: int = 10):
     return out, entry
 
 
+def title_tiers(state, rows):
+    """``tier_kernel`` of rows (id, seconds, hash, bookmarked, app): the app of a key is that of its rows."""
+    return tier_kernel(state, [r[:4] for r in rows], (rows[0][4] or "") if rows else "")
+
+
 def tiers_with_eviction(rows, capacity: int = 30):
     """Tiers over all keys in one order, as a cache of limited size gives them:
     beyond ``capacity`` keys the one inserted first goes. Rows are
@@ -146,32 +160,49 @@ def meeting_kernel(state, rows, *, confirm: float = 20, silent: int = 3, away: f
     return out, (start, probe, quiet, left)
 
 
-def poll_kernel(rows, *, interval: float = 40, change: float = 10, idle_after: int = 3):
+def look_kernel(state, rows, *, interval: float = 40, change: float = 10, idle_after: int = 3):
     """When a screen is looked at: rows are (seconds, changed). Since the last
     saved frame at least ``change`` seconds must have passed, and ``interval``
     seconds once ``idle_after`` looks in a row found no change. Outputs
     (seconds, saved) of each look; the first look saves."""
-    saved, skips, out = None, 0, []
+    saved, skips = state or (None, 0)
+    out = []
     for now, changed in rows:
         since = float("inf") if saved is None else now - saved
         if since < (interval if skips >= idle_after else change):
             continue
-        keep = saved is None or changed
+        keep = saved is None or bool(changed)
         saved, skips = (now, 0) if keep else (saved, skips + 1)
         out.append((now, keep))
-    return out
-
-
-def per_key(rows: DataFrame, kernel, key: str, columns: list[str], schema: str) -> DataFrame:
-    """A kernel over each key's rows in order of (timestamp, id), in batch."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["timestamp", "id"])
-        seconds = pdf["timestamp"].astype("datetime64[us]").astype("int64") / 1e6
-        data = {"seconds": seconds, **{c: pdf[c] for c in pdf.columns}}
-        out, _ = kernel(None, list(zip(*(data[c] for c in columns), strict=True)))
-        names = [x.split()[0] for x in schema.split(",")]
-        made = [(x,) if not isinstance(x, tuple) else x for x in out]
-        return pd.DataFrame([(pdf[key].iloc[0], *x) for x in made], columns=names)
-
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return out, (saved, skips)
+
+
+def poll_kernel(rows, **settings):
+    """The looks of one whole history."""
+    return look_kernel(None, rows, **settings)[0]
+
+
+def per_key(rows: DataFrame, kernel: Callable, key: str | list[str], columns: list[str], schema: str) -> DataFrame:
+    """A kernel over each key's rows in order of (timestamp, id), in batch. The
+    outputs follow the key's columns; ``seconds`` among ``columns`` is the time in seconds."""
+    keys = [key] if isinstance(key, str) else key
+    wanted = list(dict.fromkeys([*keys, "timestamp", "id", *(c for c in columns if c != "seconds")]))
+    shape = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            values = {c: batch.column(c).to_pylist() for c in wanted if c != "timestamp"}
+            micros = batch.column("timestamp").cast(pa.timestamp("us", batch.column("timestamp").type.tz)).cast(pa.int64()).to_pylist()
+            values["seconds"] = [None if x is None else x / 1e6 for x in micros]
+            out = []
+            spots = zip(zip(*(values[k] for k in keys)), zip(*(values[c] for c in columns)))
+            for own, some in groupby(spots, lambda x: x[0]):
+                if own != at:
+                    at, state = own, None
+                made, state = kernel(state, [x for _, x in some])
+                out += [(*own, *(x if isinstance(x, tuple) else (x,))) for x in made]
+            made = list(zip(*out)) if out else [()] * len(shape)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, shape)], schema=shape)
+
+    return rows.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, "timestamp", "id").mapInArrow(run, schema)
