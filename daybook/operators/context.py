@@ -9,6 +9,9 @@ from daybook.operators.stats import ok
 from daybook.operators.timeline import newest_first
 
 
+FEW_HOOKS = 10_000  # hooks that are broadcast
+
+
 def entries(activities: DataFrame, *, rich: int = 20, width: int = 300, most: int = 150) -> DataFrame:
     """Lines of a day's report, newest first; the first ``rich`` rows with
     organised text show some of it. Columns: date, place, entry."""
@@ -55,14 +58,27 @@ def route(events: DataFrame, hooks: DataFrame) -> DataFrame:
     """Events to the addresses that want them. ``hooks``: name, enabled, events
     and urls (comma-separated), secret; no events means all."""
     listed = lambda c: F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    few = lambda side: F.broadcast(side) if side.limit(FEW_HOOKS + 1).count() <= FEW_HOOKS else side
     h = hooks.where(F.coalesce("enabled", F.lit(True))).select("name", "secret", listed(F.col("events")).alias("wanted"), F.explode(listed(F.col("urls"))).alias("url"))
     some = h.where(F.size("wanted") > 0).withColumn("event", F.explode("wanted")).select("name", "secret", "url", "event").distinct()
-    exact = events.join(F.broadcast(some), "event")
+    exact = events.join(few(some), "event")
     every = h.where(F.size("wanted") == 0).select("name", "secret", "url").withColumn("one", F.lit(1))
-    rest = events.withColumn("one", F.lit(1)).join(F.broadcast(every), "one").drop("one")
+    rest = events.withColumn("one", F.lit(1)).join(few(every), "one").drop("one")
     return exact.select("id", "event", "name", "url").unionByName(rest.select("id", "event", "name", "url"))
 
 
+def deliveries(routed: DataFrame, answers: DataFrame, *, attempts: int = 2) -> DataFrame:
+    """What sending each routed event left behind: ``(id, name, url, event, attempt, status, status_code)``.
+    ``answers`` (id, url, attempt, status_code) are those of the addresses; none is a failure. A further
+    attempt is made only after a failed one, ``attempts`` at most."""
+    tried = routed.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts)))).join(answers, ["id", "url", "attempt"], "left")
+    good = F.coalesce(F.col("status_code").between(200, 299), F.lit(False))
+    first = F.min(F.when(good, F.col("attempt"))).over(Window.partitionBy("id", "name", "url"))
+    tried = tried.withColumn("fine", good).withColumn("first", first)
+    sent = tried.where(F.col("first").isNull() | (F.col("attempt") <= F.col("first")))
+    return sent.select("id", "name", F.substring("url", 1, 80).alias("url"), "event", "attempt", F.when(F.col("fine"), "ok").otherwise("failed").alias("status"), F.coalesce("status_code", F.lit(0)).alias("status_code"))
+
+
 def payload(event: Column, timestamp: Column, data: Column, source: str = "daybook") -> Column:
     """The body sent to a hook."""
     return F.to_json(F.struct(event.alias("event"), timestamp.cast("string").alias("timestamp"), F.lit(source).alias("source"), data.alias("data")))

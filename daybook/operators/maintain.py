@@ -51,6 +51,25 @@ def retain(df: DataFrame, today: str, days: int, column: str = "date") -> DataFr
     return df if days <= 0 else df.where(F.col(column) >= F.date_sub(F.lit(today).cast("date"), days))
 
 
+def _days(name: str) -> Column:
+    """The day of a journal table's rows."""
+    return F.col("start_time").cast("date") if name == "meetings" else F.col("date")
+
+
+def delete_day(tables: dict[str, DataFrame], day: str) -> dict[str, DataFrame]:
+    """Every table (activities, dev_contexts, meetings, daily_summaries) without a day's rows."""
+    left = {n: delete(t, _days(n) == F.lit(day).cast("date")) for n, t in tables.items() if n != "dev_contexts"}
+    return left | ({"dev_contexts": cascade(tables["dev_contexts"], left["activities"])} if "dev_contexts" in tables else {})
+
+
+def retain_all(tables: dict[str, DataFrame], today: str, days: int) -> dict[str, DataFrame]:
+    """Every table without rows older than ``days``; contexts go with their activities."""
+    if days <= 0:
+        return dict(tables)
+    left = {n: t.where(_days(n) >= F.date_sub(F.lit(today).cast("date"), days)) for n, t in tables.items() if n != "dev_contexts"}
+    return left | ({"dev_contexts": cascade(tables["dev_contexts"], left["activities"])} if "dev_contexts" in tables else {})
+
+
 def _starts(column: str, prefix: str) -> Column:
     return F.startswith(ascii_lower(F.col(column)), F.lit(prefix.lower()))
 

@@ -60,8 +60,14 @@ def run_log(spark: SparkSession, path: str, newest: int = 30) -> DataFrame:
     return spark.read.schema("id bigint, agent string, timestamp timestamp_ntz, status string, message string").json(path).orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(newest)
 
 
-def settings(path: str, allowed: dict[str, type]) -> dict:
-    """Allow-listed overrides of a JSON file; values of the wrong type are left out."""
+def _fits(value, rule) -> bool:
+    """A rule is a type, or a type and a test."""
+    kind, test = rule if isinstance(rule, tuple) else (rule, None)
+    return isinstance(value, kind) and not (kind is int and isinstance(value, bool)) and (test is None or bool(test(value)))
+
+
+def settings(path: str, allowed: dict) -> dict:
+    """Allow-listed overrides of a JSON file; values that do not fit their rule are left out."""
     import json
 
     try:
@@ -69,4 +75,14 @@ def settings(path: str, allowed: dict[str, type]) -> dict:
             found = json.load(f)
     except (OSError, ValueError):
         return {}
-    return {k: v for k, v in found.items() if k in allowed and isinstance(v, allowed[k]) and not (allowed[k] is int and isinstance(v, bool))} if isinstance(found, dict) else {}
+    return {k: v for k, v in found.items() if k in allowed and _fits(v, allowed[k])} if isinstance(found, dict) else {}
+
+
+def save_settings(path: str, changes: dict, allowed: dict) -> dict:
+    """Put the changes that fit into the file, beside what it holds already; returns what it holds then."""
+    import json
+
+    kept = settings(path, allowed) | {k: v for k, v in changes.items() if k in allowed and _fits(v, allowed[k])}
+    with open(path, "w") as f:
+        json.dump(kept, f, indent=1, sort_keys=True)
+    return kept

@@ -28,6 +28,20 @@ def write_texts(df: DataFrame, folder: str) -> None:
     df.select("name", F.col("text").alias("value")).repartition("name").write.mode("append").partitionBy("name").option("lineSep", "\n").text(folder)
 
 
+def write_notes(summaries: DataFrame, folder: str) -> None:
+    """Daily notes (date, summary, standup, total_activities) as texts of a vault, one per day."""
+    from daybook.operators.context import markdown
+
+    title = F.col("date").cast("string")
+    write_texts(summaries.select(title.alias("name"), markdown(title, F.col("summary"), F.col("standup"), F.col("total_activities")).alias("text")), folder)
+
+
+def write_agent_outputs(outputs: DataFrame, folder: str) -> None:
+    """Agent outputs (slug, at, text) under ``{slug}/{time}.md``, as ``output_path`` names them."""
+    name = F.concat("slug", F.lit("/"), F.date_format("at", "yyyy-MM-dd_HH-mm"), F.lit(".md"))
+    write_texts(outputs.select(name.alias("name"), "text"), folder)
+
+
 def output_path(folder: str, slug: str, at: str) -> str:
     """``{folder}/{slug}/{YYYY-MM-DD_HH-MM}.md`` for a time ``YYYY-MM-DD HH:MM``."""
     return f"{folder.rstrip('/')}/{slug}/{at.replace(' ', '_').replace(':', '-')}.md"
