@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions import text as T
-from daybook.operators import context, maintain, search, stats, timeline
+from daybook.operators import context, maintain, search, stats, textindex, timeline
+from daybook.sources.store import shared_dir, signature
 from daybook.sources.tables import activities, dev_contexts, meetings, read, with_tables
 from daybook.streaming import folds
 
@@ -42,6 +43,16 @@ def _vector(spark: SparkSession, d: str) -> list[float]:
     return [float(x) for x in read(spark, d, "embeddings").where("vec_id = 7").first()["embedding"]]
 
 
+def _index(spark: SparkSession, d: str) -> textindex.TextIndex:
+    """The stored text index of the activities, built when their tables have changed."""
+    sign = signature(spark, *(f"{d}/{name}.parquet" for name in ("events", "documents")))
+    return textindex.ensure(activities(spark, d, "text"), ["ocr_text", "app_name"], f"{shared_dir(spark)}/activity-texts", sign)
+
+
+def _document_index(spark: SparkSession, d: str) -> textindex.TextIndex:
+    return textindex.ensure(read(spark, d, "documents"), ["text", "source"], f"{shared_dir(spark)}/document-texts", signature(spark, f"{d}/documents.parquet"), "doc_id")
+
+
 _OK = "status = 'ok'"
 
 # ------------------------------------------------------------------ statistics
@@ -487,7 +498,7 @@ def _bm25_sql(table: str, id_col: str, columns: list[str], phrases: list[list[st
 
 
 def _bm25(columns, phrases):
-    return lambda spark, d: search.bm25(read(spark, d, "documents"), columns, phrases, "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+    return lambda spark, d: search.bm25(None, columns, phrases, index=_document_index(spark, d)).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 for _name, _columns, _phrases in (("bm25_term", ["text", "source"], [["thorou"]]), ("bm25_or", ["text", "source"], [["thorou"], ["src3"], ["the"]]), ("bm25_phrase", ["text", "source"], [["of", "the"]])):
@@ -496,7 +507,24 @@ for _name, _columns, _phrases in (("bm25_term", ["text", "source"], [["thorou"]]
 
 @query("postings", f"select word as term, doc_id, count(*) as n from (select doc_id, unnest({_WT}) as word from documents) group by 1, 2")
 def _(spark, d):
-    return search.postings(read(spark, d, "documents"), ["text"], "doc_id").groupBy("term", F.col("id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    index = _document_index(spark, d)
+    texts = index.table("rows").where(F.col("column") == 0).select(F.col("id").alias("doc_id"), "key")
+    return texts.join(index.table("postings"), "key").select("term", "doc_id", F.size("positions").cast("long").alias("n"))
+
+
+@query("bm25_scan", f"with {_bm25_sql('documents', 'doc_id', ['text'], [['thorou'], ['of', 'the']])} select id as doc_id, round(score, 6) as score from bm")
+def _(spark, d):
+    """The same scores without an index."""
+    return search.bm25(read(spark, d, "documents"), ["text"], [["thorou"], ["of", "the"]], "doc_id").select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("index_differences", "select doc_id as id, case when doc_id % 10 = 0 then 'missing' when doc_id % 10 = 2 then 'stale' else 'extra' end as problem from documents where doc_id % 10 in (0, 1, 2)")
+def _(spark, d):
+    """The index of a table that lacks some rows, has lost some since, and knows others with another text."""
+    docs = read(spark, d, "documents")
+    known = docs.where("doc_id % 10 <> 0").withColumn("source", F.when(F.col("doc_id") % 10 == 2, "other").otherwise(F.col("source")))
+    index = textindex.ensure(known, ["text", "source"], f"{shared_dir(spark)}/known-texts", signature(spark, f"{d}/documents.parquet"), "doc_id")
+    return textindex.differences(index, docs.where("doc_id % 10 <> 1"), "doc_id")
 
 
 _DOT = "list_sum(list_transform(list_zip(embedding, (select embedding from embeddings where vec_id = 7)), lambda p: p[1]::double * p[2]::double))"
@@ -533,7 +561,7 @@ _MET = "(contains(lower(transcript), 'thorou') or coalesce(contains(lower(summar
     select id, relevance, match_type from r order by relevance desc, match_type, id limit 20""",
 )
 def _(spark, d):
-    return search.hybrid(activities(spark, d, "text", "embedding"), meetings(spark, d), ["ocr_text", "app_name"], "thorou", _vector(spark, d))
+    return search.hybrid(activities(spark, d, "text", "embedding"), meetings(spark, d), ["ocr_text", "app_name"], "thorou", _vector(spark, d), index=_index(spark, d))
 
 
 @query(
@@ -543,7 +571,7 @@ def _(spark, d):
     select * from r order by relevance desc, match desc, id limit 10""",
 )
 def _(spark, d):
-    return search.tool_search(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], "thorou", _vector(spark, d))
+    return search.tool_search(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], "thorou", _vector(spark, d), index=_index(spark, d))
 
 
 _CHAT = f"""{_bm25_sql('activities', 'id', ['ocr_text', 'app_name'], [['thorou'], ['eauoi']])}, h as (select id, (row_number() over (order by score, id) - 1) as place from bm order by score, id limit 25),
@@ -555,7 +583,7 @@ _CHAT = f"""{_bm25_sql('activities', 'id', ['ocr_text', 'app_name'], [['thorou']
 
 @query("chat_candidates", f"with {_CHAT} select id, place::integer as place from cand")
 def _(spark, d):
-    return search.chat_candidates(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], WORDS).select("id", "place")
+    return search.chat_candidates(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], WORDS, index=_index(spark, d)).select("id", "place")
 
 
 @query(
@@ -566,7 +594,7 @@ def _(spark, d):
     select id, timestamp, relevance from rr order by relevance desc, timestamp desc, id desc limit 5""",
 )
 def _(spark, d):
-    found = search.chat_candidates(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], WORDS)
+    found = search.chat_candidates(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], WORDS, index=_index(spark, d))
     return search.rerank(found, _vector(spark, d), NOW, 25)
 
 
@@ -706,16 +734,89 @@ def _(spark, d):
     return folds.frame_dedup(rows, threshold=4)
 
 
-@query("usage_alerts", None)
+_STEP = "row_number() over (partition by {by} order by timestamp, id) as rn"
+
+
+@query(
+    "usage_alerts",
+    f"""with recursive o as (select user_id, id, epoch_us(timestamp) / 1e6::double as now, case when id % 3 = 0 then 'youtube' else 'editor' end as app, category, {_STEP.format(by='user_id')} from activities),
+    f as (
+      select user_id, id, rn, now, app, now as since, now as work, null::double as td, null::double as tb, null::double as tf, false as d, false as b, false as c, 0::double as mins, 0::double as worked from o where rn = 1
+      union all
+      select user_id, id, rn, now, app, since, case when worked >= 90 then now else work end, case when d then now else td end, case when b then now else tb end, case when c then now else tf end, d, b, c, mins, worked from (
+        select *, app = 'youtube' and mins >= 45 and coalesce(now - td, 1e18) >= 1800 as d, worked >= 90 and coalesce(now - tb, 1e18) >= 1800 as b, category = 'coding' and mins >= 120 and coalesce(now - tf, 1e18) >= 1800 as c from (
+          select *, (now - since) / 60 as mins, (now - work) / 60 as worked from (
+            select o.user_id, o.id, o.rn, o.now, o.app, o.category, case when o.app <> f.app then o.now else f.since end as since, case when o.app <> f.app and o.now - f.work > 5400 then o.now else f.work end as work, f.td, f.tb, f.tf
+            from f join o on o.user_id = f.user_id and o.rn = f.rn + 1))))
+    select user_id, id, 'distraction' as kind, trunc(mins)::integer as minutes from f where d union all select user_id, id, 'break', trunc(worked)::integer from f where b union all select user_id, id, 'focus', trunc(mins)::integer from f where c""",
+)
 def _(spark, d):
     rows = activities(spark, d).select("user_id", "timestamp", "id", F.when(F.col("id") % 3 == 0, "YouTube").otherwise("Editor").alias("app_name"), "category")
     return folds.per_key(rows, folds.alert_kernel, "user_id", ["id", "seconds", "app_name", "category"], "user_id long, id long, kind string, minutes int")
 
 
-@query("cache_tiers", None)
+@query(
+    "cache_tiers",
+    f"""with recursive o as (select *, {_STEP.format(by='app_name, title')} from (select case when user_id % 12 = 0 then 'Slack' else app_name end as app_name, 'title ' || (user_id % 7) as title, id, timestamp, epoch_us(timestamp) / 1e6::double as now, (round(value * 100)::bigint // 64) as h, bookmarked from activities)),
+    f as (
+      select app_name, title, id, rn, h, now as since, 'full' as tier from o where rn = 1
+      union all
+      select app_name, title, id, rn, case when tier = 'identical' then eh else h end, case when tier = 'full' then now else since end, tier from (
+        select *, case when bookmarked then 'full' when bit_count(xor(eh, h)) <= 3 then 'identical' when bit_count(xor(eh, h)) <= 10 and now - since < (case when app_name = 'Slack' then 240 else 420 end) then 'minor' else 'full' end as tier from (
+          select o.app_name, o.title, o.id, o.rn, o.h, o.now, o.bookmarked, f.h as eh, f.since from f join o on o.app_name = f.app_name and o.title = f.title and o.rn = f.rn + 1)))
+    select app_name, title, id, tier from f""",
+)
+def _(spark, d):
+    app = F.when(F.col("user_id") % 12 == 0, "Slack").otherwise(F.col("app_name"))
+    rows = activities(spark, d).select(app.alias("app_name"), F.concat(F.lit("title "), (F.col("user_id") % 7).cast("string")).alias("title"), "timestamp", "id", F.floor(F.round(F.col("value") * 100) / 64).cast("bigint").alias("h"), "bookmarked")
+    return folds.per_key(rows, folds.title_tiers, ["app_name", "title"], ["id", "seconds", "h", "bookmarked", "app_name"], "app_name string, title string, id long, tier string")
+
+
+@query(
+    "screen_looks",
+    f"""with recursive o as (select user_id, epoch_us(timestamp) / 1e6::double as now, value > 60 as changed, {_STEP.format(by='user_id')} from activities),
+    f as (
+      select user_id, rn, now, now as saved, 0 as skips, true as looked, true as keep from o where rn = 1
+      union all
+      select user_id, rn, now, case when looked and changed then now else saved end, case when not looked then skips when changed then 0 else skips + 1 end, looked, looked and changed from (
+        select *, now - saved >= (case when skips >= 3 then 90000 else 20000 end) as looked from (
+          select o.user_id, o.rn, o.now, o.changed, f.saved, f.skips from f join o on o.user_id = f.user_id and o.rn = f.rn + 1)))
+    select user_id, round(now)::bigint as second, keep from f where looked""",
+)
 def _(spark, d):
-    rows = activities(spark, d).select("app_name", "timestamp", "id", F.round(F.col("value") * 100).cast("bigint").alias("h"), "bookmarked")
-    return folds.per_key(rows, folds.tier_kernel, "app_name", ["id", "seconds", "h", "bookmarked"], "app_name string, id long, tier string")
+    """Looks at a screen per user; a journal of days instead of seconds, so the waits are longer."""
+    rows = activities(spark, d).select("user_id", "timestamp", "id", (F.col("value") > 60).alias("changed"))
+    looks = folds.per_key(rows, _slow_looks, "user_id", ["seconds", "changed"], "user_id long, now double, keep boolean")
+    return looks.select("user_id", F.round("now").cast("long").alias("second"), "keep")
+
+
+def _slow_looks(state, rows):
+    return folds.look_kernel(state, rows, interval=90_000, change=20_000)
+
+
+@query(
+    "voice_meetings",
+    f"""with recursive o as (select user_id, epoch_us(timestamp) / 1e6::double as now, id % 2 = 0 as voice, id % 5 <> 0 as front, id % 7 <> 0 as alive, {_STEP.format(by='user_id')} from activities),
+    f as (
+      select user_id, rn, now, null::double as st, case when voice and front then now end as pr, 0 as quiet, null::double as lft, null::double as ended from o where rn = 1
+      union all
+      select user_id, rn, now, case when over then null when began then pr when st is not null then st end, case when st is not null then case when over then null else pr end when voice and front then case when began then null else now end else pr end,
+        case when over or began then 0 else q end, case when over or began then null else l end, case when over then st end from (
+        select *, st is not null and (q >= 3 or coalesce(now - l, 0) >= 90000 or (coalesce(now - l, 0) > 30000 and not alive)) as over, st is null and voice and front and pr is not null and now - pr <= 40000 as began from (
+          select o.user_id, o.rn, o.now, o.voice, o.front, o.alive, f.st, f.pr, case when f.st is null then f.quiet when not o.front then f.quiet when o.voice then 0 else f.quiet + 1 end as q, case when f.st is null then f.lft when o.front then null when f.lft is null then o.now else f.lft end as l
+          from f join o on o.user_id = f.user_id and o.rn = f.rn + 1)))
+    select user_id, round(ended)::bigint as started, round(now)::bigint as ended from f where ended is not null""",
+)
+def _(spark, d):
+    """Meetings out of voice probes per user; waits as long as the journal's gaps ask for."""
+    i = F.col("id")
+    rows = activities(spark, d).select("user_id", "timestamp", "id", (i % 2 == 0).alias("voice"), (i % 5 != 0).alias("front"), (i % 7 != 0).alias("alive"))
+    found = folds.per_key(rows, _slow_meetings, "user_id", ["seconds", "voice", "front", "alive"], "user_id long, a double, b double")
+    return found.select("user_id", F.round("a").cast("long").alias("started"), F.round("b").cast("long").alias("ended"))
+
+
+def _slow_meetings(state, rows):
+    return folds.meeting_kernel(state, rows, confirm=40_000, away=90_000, gone=30_000)
 
 
 @query(
