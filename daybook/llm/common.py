@@ -1,15 +1,20 @@
-"""What the training-data operators share: shared-folder tables, vectorised
-word hashing over Arrow buffers, and connected components."""
+"""What the training-data operators share: shared-folder tables, bounded
+samples, batch functions that give their memory back, vectorised word hashing
+over Arrow buffers, and connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # --------------------------------------------------------------- shared folder
@@ -45,12 +50,66 @@ def held_out(column: str, modulus: int, remainder: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def bounded_rows(df: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most about ``limit`` rows of ``df``, spread by a hash of ``key``; the
-    same rows at every run. Only keys reach the driver-side limit, and the
-    broadcast side has at most ``limit`` rows. Rows that repeat a chosen key all come along."""
-    ids = df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(limit).distinct()
-    return df.join(F.broadcast(ids), key, "left_semi")
+def bounded_rows(df: DataFrame, key: str, limit: int, *, per_key: int = 4) -> DataFrame:
+    """Rows of at most ``limit`` keys of ``df``, spread by a hash of ``key``, and
+    of a key that repeats at most ``per_key`` rows; the same rows at every run.
+    Only keys reach the driver-side limit, the broadcast side has at most
+    ``limit`` rows, and of each key no task passes on more than ``per_key`` rows."""
+    ids = df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key), key).limit(limit)
+    chosen = df.join(F.broadcast(ids), key, "left_semi")
+    at = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))))
+    return chosen.withColumn("_at", at).where(F.col("_at") <= per_key).drop("_at")
+
+
+# ------------------------------------------------------------ batch functions
+
+
+def tidy(run: Callable) -> Callable:
+    """Of a batch function for Spark: when a task ends, its memory goes back to
+    the system. Spark reuses Python workers, so a stage would otherwise start
+    beside all that earlier stages held."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``size`` bytes of one column, or of one longer row."""
+    for batch in batches:
+        if batch.num_rows:
+            for i, j in chunks(text_bytes(batch.column(column))[1], size):
+                yield batch.slice(i, j - i)
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Of rows sorted by the first ``keys`` columns, the rows of each key. One group is held at a time."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        first = rest.num_rows if rest is not None else 1  # before it, the rest has one key
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        changes = np.zeros(table.num_rows - first, bool)
+        for k in range(keys):
+            column = table.column(k)
+            changes |= pc.fill_null(pc.not_equal(column.slice(first), column.slice(first - 1, table.num_rows - first)), True).to_numpy()
+        lo = 0
+        for hi in (np.flatnonzero(changes) + first).tolist():
+            yield table.slice(lo, hi - lo)
+            lo = hi
+        rest = table.slice(lo)
+    if rest is not None:
+        yield rest
 
 
 # --------------------------------------------------------- vectorised hashing
@@ -154,18 +213,20 @@ def chunks(offsets: np.ndarray, size: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (columns a, b of one
-    orderable type; loops allowed): root is the smallest node reachable.
+    orderable type, structs included; loops allowed): root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edge set is a forest
-    of stars. Only per-node minima are aggregated (partial on the map side)
-    and joined back, so a hub is never gathered in one task."""
+    of stars. Per node only a minimum is aggregated (partial on the map side).
+    Minima and edges are written before they are joined, so both sides of a
+    join come straight from a shuffle (or the minima are small enough to be
+    broadcast), and adaptive execution splits the edges of a hub."""
     cur = stash(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-cc")
     seen = None
     while True:
         both = cur.select("a", "b").unionByName(cur.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = stash(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low")
+        large = stash(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), f"{name}-large")
+        low = stash(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}-low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         cur = stash(small, f"{name}-cc")
         state = tuple(cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -24,6 +24,8 @@ per-partition heavy hitters; any order gives the same result, so its being
 approximate costs time only.
 
 Sets are compared by 64-bit hashes of k-grams and identified by 128 bits.
+Classes are numbered, and known by (smallest id, number) from then on: the
+smallest label of a component holds the component's smallest id.
 
 Defined results: a null, empty or blank text has an empty set and links with
 nothing. A text of fewer than k words has one shingle, its whole word
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import WordHasher, chunks, connected_components, mix64, stash, text_bytes
+from daybook.llm.common import WordHasher, chunks, connected_components, mix64, sliced, stash, text_bytes, tidy
 
 _U = np.uint64
 BITS, FOLD = 1024, 256
@@ -50,6 +52,8 @@ BLOCK = 512
 LARGE = 32  # classes in a bucket from which on its entries carry bitmaps
 DEPTH = 4
 BROADCAST_ROWS = 500_000
+SLICE = 4 << 20  # bytes of texts handled at once
+SEEN_GROUPS = 100_000  # groups whose prefix members a task remembers having sent
 
 
 class Shingler:
@@ -98,6 +102,7 @@ def _table(names: str, *columns) -> pa.RecordBatch:
 def frequent_shingles(docs: DataFrame, *, text_col: str, k: int, max_hot: int, per_task: int = 50_000) -> np.ndarray:
     """At most ``max_hot`` shingles that many documents share, the rarest first."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         keys, counts = np.empty(0, _U), np.empty(0, np.int64)
@@ -119,7 +124,7 @@ def frequent_shingles(docs: DataFrame, *, text_col: str, k: int, max_hot: int, p
                 keys, counts = keys[top], counts[top]
 
         last = b""
-        for batch in batches:
+        for batch in sliced(batches, 0, SLICE):
             for _, members in shingler.sets(batch.column(0)):
                 if (now := members[:64].tobytes()) == last:
                     continue
@@ -141,7 +146,8 @@ def frequent_shingles(docs: DataFrame, *, text_col: str, k: int, max_hot: int, p
 def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k: int, t: Fraction, kind: str) -> DataFrame:
     """Two kinds of rows. 'd', one per document: id, text hash, class, size,
     group, bitmaps. 'p', one per prefix member: token, position, group, size,
-    and how many rare members the prefix has."""
+    and how many rare members the prefix has. A task sends the prefix of a group
+    once, as long as it remembers the group, so copies do not make members hot."""
     order = np.argsort(hot)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
     schema = f"kind string, id {kind}, tkey long, cid binary, n int, gid long, wide binary, small binary, token long, pos int, rare int"
@@ -160,10 +166,12 @@ def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k:
         late = members[common][np.argsort(hot_rank[at[common]], kind="stable")]
         return np.concatenate([rare, late[: size - len(rare)]]), len(rare)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
         keys, ranks = shared.value
-        for batch in batches:
+        sent: set[tuple[int, int, int]] = set()
+        for batch in sliced(batches, 2, SLICE):
             ids, tkeys = batch.column(0), batch.column(1)
             size = len(ids)
             cid, n, gid, wide, small, tokens, rares = [None] * size, np.zeros(size, np.int32), np.zeros(size, np.int64), [None] * size, [None] * size, [], []
@@ -174,16 +182,21 @@ def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k:
                 wide[row], small[row] = _bitmap(members)
                 first, rare = prefix(members, keys, ranks)
                 gid[row] = int(mix64(first * _U(0x9FB21C651E98DF25) + np.arange(len(first), dtype=_U)).sum(dtype=_U) >> _U(1))
-                tokens.append((row, first))
-                rares.append(rare)
+                group = (int(gid[row]), len(members), rare)
+                if group not in sent:
+                    if len(sent) >= SEEN_GROUPS:
+                        sent.clear()
+                    sent.add(group)
+                    tokens.append((row, first))
+                    rares.append(rare)
             none = lambda count, kind_: pa.nulls(count, kind_)
             yield _table(names, pa.array(["d"] * size), ids, tkeys, pa.array(cid, pa.binary()), pa.array(n), pa.array(gid), pa.array(wide, pa.binary()), pa.array(small, pa.binary()), none(size, pa.int64()), none(size, pa.int32()), none(size, pa.int32()))
-            for lo in range(0, len(tokens), 2000):
-                some = tokens[lo : lo + 2000]
+            for lo in range(0, len(tokens), 500):
+                some = tokens[lo : lo + 500]
                 rows = np.repeat([r for r, _ in some], [len(p) for _, p in some])
                 flat = np.concatenate([p for _, p in some])
                 pos = np.concatenate([np.arange(len(p), dtype=np.int32) for _, p in some])
-                rare = np.repeat(np.array(rares[lo : lo + 2000], np.int32), [len(p) for _, p in some])
+                rare = np.repeat(np.array(rares[lo : lo + 500], np.int32), [len(p) for _, p in some])
                 c = len(flat)
                 yield _table(names, pa.array(["p"] * c), none(c, ids.type), none(c, pa.int64()), none(c, pa.binary()), pa.array(n[rows]), pa.array(gid[rows]), none(c, pa.binary()), none(c, pa.binary()), pa.array(flat.view(np.int64)), pa.array(pos), pa.array(rare))
 
@@ -207,6 +220,7 @@ def _most(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
 def _bounded(pairs: DataFrame, t: Fraction) -> DataFrame:
     """Of ``(a, b, na, nb, wa, wb)`` the pairs that the wide bitmaps leave possible."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -217,21 +231,22 @@ def _bounded(pairs: DataFrame, t: Fraction) -> DataFrame:
             mask = pa.array(ok)
             yield _table("a b", a.filter(mask), b.filter(mask))
 
-    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, ", ".join(f"{x} {pairs.schema[x].dataType.simpleString()}" for x in "ab"))
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, text_col: str, k: int, t: Fraction, name: str) -> DataFrame:
-    """The ``(a, b)`` of ``pairs`` whose whole sets reach the threshold."""
+    """The ``(a, b)`` of ``pairs`` (labels of classes) whose whole sets reach the threshold."""
     pairs = stash(pairs, f"{name}-pairs")
-    need = stash(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct().join(classes.select("cid", "tkey"), "cid").select("cid", "tkey"), f"{name}-need")
+    need = stash(pairs.select("a.key").unionByName(pairs.select("b.key")).distinct().join(classes.select("key", "cid", "tkey"), "key"), f"{name}-need")
     keys = need.select("tkey").distinct()
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
     texts = docs.select(F.xxhash64(text_col).alias("tkey"), text_col).join(keys, "tkey", "left_semi")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(k)
-        for batch in batches:
+        for batch in sliced(batches, 0, SLICE):
             out, ids = [], []
             seen: set[bytes] = set()
             for _, members in shingler.sets(batch.column(0)):
@@ -244,8 +259,8 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, text_col
             yield _table("cid members", pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat)))
 
     sets = texts.select(text_col).mapInArrow(run, "cid binary, members array<long>")
-    sets = stash(sets.join(need.select("cid"), "cid", "left_semi").groupBy("cid").agg(F.first("members").alias("members")), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("cid").alias("b"), F.col("members").alias("mb")), "b")
+    sets = stash(sets.join(need.select("cid", "key"), "cid").groupBy("key").agg(F.first("members").alias("members")), f"{name}-sets")
+    both = pairs.join(sets.select(F.col("key").alias("ka"), F.col("members").alias("ma")), F.col("a.key") == F.col("ka")).join(sets.select(F.col("key").alias("kb"), F.col("members").alias("mb")), F.col("b.key") == F.col("kb"))
     common = F.size(F.array_intersect("ma", "mb"))
     both = both.select("a", "b", common.alias("common"), (F.size("ma") + F.size("mb")).alias("total"))
     return both.where(F.col("common").cast("long") * t.denominator >= (F.col("total") - F.col("common")).cast("long") * t.numerator).select("a", "b")
@@ -265,6 +280,7 @@ def _across(entries: DataFrame, t: Fraction, *, bitmaps: bool) -> DataFrame:
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos", "comp", *more)
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(batch: pa.RecordBatch) -> pa.RecordBatch:
             token, i, j, block, key = (batch.column(x).to_numpy() for x in range(5))
@@ -331,7 +347,9 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     hot = frequent_shingles(docs, text_col=text_col, k=k, max_hot=max_hot)
     rows = stash(_digest(docs, hot, id_col=id_col, text_col=text_col, k=k, t=t, kind=kind), f"{name}-digest", by="kind")
     each = rows.where("kind = 'd'").select("id", "tkey", "cid", "n", "gid", "wide", "small")
-    classes = stash(each.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("wide").alias("wide"), F.first("small").alias("small")), f"{name}-classes")
+    classes = each.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("wide").alias("wide"), F.first("small").alias("small"))
+    classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), f"{name}-classes")  # numbered as written
+    label = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
 
     # groups that share a prefix member
     members = rows.where("kind = 'p'").select("token", "gid", "n", "pos", "rare").repartition("token")
@@ -345,17 +363,16 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stars = stars.where(F.least("n", "c.n") * t.denominator >= F.greatest("n", "c.n") * t.numerator)
     stars = stars.groupBy("gid", "n", F.col("c.gid").alias("gid2"), F.col("c.n").alias("n2")).agg(F.count(F.lit(1)).alias("met"))
     stars = stars.where(F.col("met") * 4 >= F.least(size(F.col("n")), size(F.col("n2")))).select("gid", "n", "gid2", "n2")
-    heads = classes.groupBy("gid", "n").agg(F.min(F.struct("cid", "wide")).alias("h"))
-    pairs = stars.join(heads.select("gid", "n", F.col("h.cid").alias("a"), F.col("h.wide").alias("wa")), ["gid", "n"]).join(heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("h.cid").alias("b"), F.col("h.wide").alias("wb")), ["gid2", "n2"]).select("a", "b", F.col("n").alias("na"), F.col("n2").alias("nb"), "wa", "wb")
-    within = classes.select("gid", "n", F.col("cid").alias("b"), F.col("wide").alias("wb")).join(heads, ["gid", "n"]).where("b <> h.cid").select(F.col("h.cid").alias("a"), "b", F.col("n").alias("na"), F.col("n").alias("nb"), F.col("h.wide").alias("wa"), "wb")
+    heads = stash(classes.groupBy("gid", "n").agg(F.min(F.struct("cid", "wide", label.alias("at"))).alias("h")), f"{name}-heads")
+    pairs = stars.join(heads.select("gid", "n", F.col("h.at").alias("a"), F.col("h.wide").alias("wa")), ["gid", "n"]).join(heads.select(F.col("gid").alias("gid2"), F.col("n").alias("n2"), F.col("h.at").alias("b"), F.col("h.wide").alias("wb")), ["gid2", "n2"]).select("a", "b", F.col("n").alias("na"), F.col("n2").alias("nb"), "wa", "wb")
+    within = classes.select("gid", "n", label.alias("b"), F.col("wide").alias("wb")).join(heads, ["gid", "n"]).where("b <> h.at").select(F.col("h.at").alias("a"), "b", F.col("n").alias("na"), F.col("n").alias("nb"), F.col("h.wide").alias("wa"), "wb")
     first = _bounded(pairs.unionByName(within), t).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = stash(_verified(docs, classes, first, text_col=text_col, k=k, t=t, name=f"{name}-1"), f"{name}-links")
 
-    # what still lies in different components, class by class; 64 bits name classes until pairs are few
+    # what still lies in different components, class by class
     roots = connected_components(links, name)
-    short = lambda c: F.conv(F.substring(F.hex(c), 1, 15), 16, 10).cast("long")
-    placed = stash(classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("gid", "n", short(F.col("cid")).alias("key"), short(F.coalesce("root", "cid")).alias("comp"), "cid", "small"), f"{name}-placed")
-    spread = placed.groupBy("gid", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    placed = stash(classes.join(roots.select("node.key", F.col("root.key").alias("root")), "key", "left").select("gid", "n", "key", F.coalesce("root", "key").alias("comp"), "small"), f"{name}-placed")
+    spread = stash(placed.groupBy("gid", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")), f"{name}-spread")
     lean = shared.select("token", "gid", "n", "pos").join(spread, ["gid", "n"])
     mixed = lean.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo <> hi").select("token", "m")
     open_ = stash(shared.select("token", "gid", "n", "pos").join(mixed, "token"), f"{name}-open")
@@ -368,16 +385,15 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     met = met.unionByName(own.withColumn("least", F.lit(1)))
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("least")).where("times >= least").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
     met = stash(met, f"{name}-met")
-    wide = classes.select(short(F.col("cid")).alias("key"), "cid", "n", "wide")
-    second = met.join(wide.select(F.col("key").alias("ka"), F.col("cid").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "ka").join(wide.select(F.col("key").alias("kb"), F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "kb")
+    wide = classes.select("key", label.alias("at"), "n", "wide")
+    second = met.join(wide.select(F.col("key").alias("ka"), F.col("at").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "ka").join(wide.select(F.col("key").alias("kb"), F.col("at").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "kb")
     more = _verified(docs, classes, _bounded(second, t), text_col=text_col, k=k, t=t, name=f"{name}-2")
     links = links.unionByName(more)
 
-    # components of ids
+    # a component's smallest label names it: no join on components
     roots = connected_components(links, name)
-    named = classes.select("cid", "rep").join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    result = named.join(least, "root").select("cid", "component_id")
+    result = classes.select("key", "cid", "rep").join(roots.select("node.key", F.col("root.rep").alias("root"), F.lit(True).alias("joined")), "key", "left")
+    result = result.select("cid", F.when(F.col("joined"), F.col("root")).otherwise(F.col("rep")).alias("component_id"))
     out = each.join(result, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "tkey")
 
@@ -387,7 +403,9 @@ def keep_one(docs: DataFrame, *, k: int = 3, percent: int = 90, name: str = "jac
     (a null id is larger than any). Rows that repeat the kept id and text stay.
     Columns stay."""
     found = _components(docs, k=k, percent=percent, name=name)
-    gone = stash(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_gone_id"), F.col("tkey").alias("_gone_key")).distinct(), f"{name}-gone")
+    gone = stash(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct(), f"{name}-gone")
     if gone.count() <= 2 * BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.xxhash64("text") == F.col("_gone_key")), "left_anti")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = whole.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_key")), "left_anti")
+    return kept.select("row.*")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import WordHasher, chunks, mix64, stash, text_bytes
+from daybook.llm.common import WordHasher, chunks, mix64, stash, text_bytes, tidy
 
 _U = np.uint64
 CHUNK_BYTES = 16 << 20
@@ -76,6 +76,7 @@ def _digest(texts: DataFrame, *, id_col: str, kind: str, bits: int) -> DataFrame
     schema = f"kind string, chunk long, id {kind}, text string, word boolean, part int, n int, keys binary, background binary, target binary"
     names = "kind chunk id text word part n keys background target".split()
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         chunk = TaskContext.get().partitionId() << 32

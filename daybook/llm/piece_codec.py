@@ -20,14 +20,14 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-import sys
-import types
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.llm.common import tidy
+
 BLANK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -190,15 +190,6 @@ class PieceCodec:
         return data.decode("utf-8", "replace")
 
 
-def _codec(model: bytes) -> PieceCodec:
-    """The codec of this Python worker: built once, its caches serve later tasks too."""
-    kept = sys.modules.setdefault("_daybook_worker_codecs", types.ModuleType("_daybook_worker_codecs")).__dict__
-    key = hashlib.sha256(model).hexdigest()
-    if key not in kept:
-        kept[key] = PieceCodec(model)
-    return kept[key]
-
-
 def load_model(spark: SparkSession, path: str):
     """Broadcast the bytes of a model file that the driver can read (its size is that of the file)."""
     with open(path, "rb") as f:
@@ -219,8 +210,9 @@ def encoder(spark: SparkSession, path: str):
     shared = load_model(spark, path)
 
     @F.pandas_udf("array<int>")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(shared.value)
+        codec = PieceCodec(shared.value)  # of this task: goes with its caches
         for texts in batches:
             yield pd.Series([codec.encode(t) for t in texts], dtype=object)
 
@@ -232,8 +224,9 @@ def decoder(spark: SparkSession, path: str):
     shared = load_model(spark, path)
 
     @F.pandas_udf("string")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        codec = _codec(shared.value)
+        codec = PieceCodec(shared.value)  # of this task: goes with its caches
         for rows in batches:
             yield pd.Series([None if ids is None else codec.decode(list(ids)) for ids in rows], dtype=object)
 
@@ -246,8 +239,9 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     shared = load_model(docs.sparkSession, path)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = _codec(shared.value)
+        codec = PieceCodec(shared.value)  # of this task: goes with its caches
         for texts in batches:
             out = []
             for text in texts:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.llm.common import CHUNK, WordHasher, bounded_rows, chunks, held_out, text_bytes
+from daybook.llm.common import CHUNK, WordHasher, bounded_rows, chunks, held_out, text_bytes, tidy
 
 THRESHOLD = 0.3
 _CLASSES = 8  # of bytes: upper, lower, digit, blank, sentence sign, bang, pipe, other sign
@@ -205,6 +205,7 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = labelled.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"))
     rows = bounded_rows(rows, id_col, max_rows).select(id_col, "text", "label")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lines = LineFeatures()
         for batch in batches:
@@ -232,6 +233,7 @@ def scorer(spark: SparkSession, model: LineCrf):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m, lines = shared.value, LineFeatures()
         for texts in batches:

@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from daybook.llm import jaccard_join, lang_id, lm_scoring, mixing, piece_codec, quality_crf
+from daybook.llm.common import bounded_rows
 
 EN = "the cat sat on the mat and it was happy with the house of them this is good"
 FR = "le chat est sur la table et il est content avec la maison de nous cela est bon"
@@ -202,12 +204,39 @@ def test_jaccard_links_within_a_group(spark, monkeypatch, large):
     assert Counter(tuple(r) for r in among.collect()) == brute_components(rows)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_links_of_single_groups(spark, seed):
+    """A text; the same with its last word changed; the same with six words changed near its end."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for i in range(120):
+        a = [word() for _ in range(102)]
+        rows += [(3 * i, " ".join(a)), (3 * i + 1, " ".join([*a[:-1], word()])), (3 * i + 2, " ".join([*a[:-9], *(word() for _ in range(6)), *a[-3:]]))]
+    out = jaccard_join.similar_components(table(spark, [(i, t, None, None) for i, t in rows]))
+    assert Counter(tuple(r) for r in out.collect()) == brute_components(rows)
+
+
+def test_jaccard_long_texts_and_forgotten_groups(spark, monkeypatch):
+    """Texts longer than a slice, and prefixes sent again as a task forgets its groups."""
+    monkeypatch.setattr(jaccard_join, "SLICE", 2000)
+    monkeypatch.setattr(jaccard_join, "SEEN_GROUPS", 3)
+    rng = random.Random(8)
+    long = [f"w{rng.randrange(50_000)}" for _ in range(120_000)]
+    rows = near_copies(7) + [(700, " ".join(long)), (701, " ".join(["x", *long[1:]])), (702, " ".join(long[:60_000])), (703, "one " * 50_000)]
+    out = jaccard_join.similar_components(table(spark, [(i, t, None, None) for i, t in rows]))
+    assert Counter(tuple(r) for r in out.collect()) == brute_components(rows)
+
+
 def test_jaccard_empty_and_stage(spark):
     assert jaccard_join.similar_components(table(spark, EMPTY)).count() == 0
     rows = near_copies(3)
     docs = table(spark, [(i, t, None, None) for i, t in rows])
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
+    clash = docs.withColumnRenamed("lang", "gone_id").withColumnRenamed("source", "tkey").withColumn("row", docs.n_chars).withColumn("a.b", docs.n_chars)
+    again = jaccard_join.keep_one(clash)
+    assert again.columns == clash.columns and again.count() == kept.count()
     rows.append((2, rows[4][1]))  # one id with two texts: each row stands for itself
     docs = table(spark, [(i, t, None, None) for i, t in rows])
     kept = jaccard_join.keep_one(docs)
@@ -286,6 +315,25 @@ def test_mixing_against_brute_force(spark, docs):
     assert mixing.assign(table(spark, EMPTY)).count() == 0
 
 
+def test_mixing_of_one_repeated_id(spark):
+    """A source whose rows all have one id, or none: they rank equally and are taken or left together."""
+    rows = [(1, "a b c", None, "s")] * 500 + [(None, "a b", None, "t")] * 300 + [(i, "x y z", None, "u") for i in range(40)]
+    docs = table(spark, rows).withColumn("_row", F.lit(1)).withColumn("h", F.lit("x")).withColumn("_mix_source", F.lit(2))
+    out = mixing.assign(docs, entropy_share=0.9).collect()
+    copies = {s: {r.copies for r in out if r.source == s} for s in "stu"}
+    assert len(copies["s"]) == len(copies["t"]) == 1
+    mixed = mixing.mix(docs, entropy_share=0.9)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.copies for r in out)
+
+
+def test_bounded_rows_bounds_rows(spark):
+    """One id repeated 100,000 times among others."""
+    docs = spark.range(100_000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("a b "), "id").alias("text")).unionByName(spark.range(100, 400).select(F.col("id").alias("doc_id"), F.lit("x y").alias("text")))
+    some = bounded_rows(docs, "doc_id", 1000)
+    assert some.count() == 304 and some.columns == docs.columns
+    assert bounded_rows(docs, "doc_id", 10).count() <= 13
+
+
 def test_lm_scores_against_plain_counts(spark, docs):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 40)] + [(7, 1, 1), (9, 1, 0), (9, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     out = lm_scoring.cross_entropy_difference(docs, labels, max_words=1000, bits=20).collect()
