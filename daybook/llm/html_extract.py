@@ -1,32 +1,41 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are ordered by (host, path). Every page is paired with the neighbour of
-its host whose path has more leading segments in common with its own (the one
-before it, if both are alike). The lines of both pages are aligned by their
-longest common subsequence, and shared lines are deleted: they belong to the
-site, not to the page.
-
-Differencing alone is not right in two ways, so page structure helps. Menus
-and adverts that differ from page to page are not shared: elements that are
-navigation, adverts, forms, comments and the like by tag, role or class go
-whatever the alignment says, and where a page marks its article, text outside
-it goes. And copies of an article share paragraphs that are no boilerplate:
-text elements (paragraphs, headings, list items, cells, quotes) of a marked
-article stay though shared. A page without a marked article keeps its lines if
-the alignment would delete all of them (a copied page).
+Pages are ordered by (host, path). Every page is compared with the nearest ones
+of its host, ``NEIGHBOURS`` on either side. The lines of both pages, menus and
+footers included, are aligned by their longest common subsequence, and shared
+lines are deleted: they belong to the site, not to the page. A neighbour that
+shares every line of a page is a copy of it and tells nothing.
+
+Differencing alone is not right in two ways, so page structure helps where it
+cannot see. Menus, adverts and footers that no neighbour repeats are not
+shared: of the lines that differencing leaves, those of elements that are
+navigation, adverts, forms, comments and the like by tag, role or class go, and
+where a page marks its article, text outside it goes. And copies of an article
+share paragraphs that are no boilerplate: text elements (paragraphs, headings,
+list items, cells, quotes) of a marked article stay though shared.
 
 A line is the text of one block: references decoded, runs of white space one
 space, trimmed. The text of a page is its remaining lines joined by one space.
+Besides it every row tells how many lines its page has (``n_lines``), how many
+differencing deletes (``n_shared``), and how many only structure does
+(``n_marked``).
+
+Work and memory grow with a page's length, not with its square: a page whose
+quotes do not close is read without regard to quotes from there on, open
+elements are looked up by name, and long alignments are halved (see
+``shared_lines``).
 
 Defined results: a null or empty page has the empty text; a null or relative
 URL counts as host '' with the URL as path. Repeated rows come out alike and
-are one page when pages are paired. Pages are read whole.
+are one page when pages are compared. Pages are read whole; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,24 +45,47 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.common import stash
+from daybook.llm.common import stash, tidy
+
+NEIGHBOURS = 2  # compared pages on either side
+BLOCK_PAGES = 256  # pages that one block of the comparison holds, besides its neighbours
+DIRECT_BITS = 1 << 26  # cells of an alignment that is kept whole
+OFTEN = 64  # places of a line from which on its bits are kept
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
+# what HTML defines
 RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li td th dt dd blockquote pre figcaption caption".split())
+ARTICLE = frozenset("article main".split())
+_SHUTS_P = BLOCK - frozenset("br option summary legend caption td th tr tbody thead tfoot body html head".split())
+#: an opening tag ends the nearest open element of the first kind, unless one of the second kind is nearer
+_ENDS = {
+    "p": ("p", "div article section body td li blockquote aside nav form main"),
+    "li": ("li", "ul ol menu"),
+    "dt": ("dt dd", "dl"),
+    "dd": ("dt dd", "dl"),
+    "tr": ("tr td th", "table"),
+    "td": ("td th", "tr table"),
+    "th": ("td th", "tr table"),
+    "option": ("option", "select"),
+}
+_ENDS = {tag: (frozenset(shut.split()), frozenset(within.split())) for tag, (shut, within) in _ENDS.items()}
+
+# boilerplate by structure
 DROPPED = frozenset("nav header footer aside form head menu dialog button select option label fieldset object applet audio video canvas map".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-ARTICLE = frozenset("article main".split())
-_CLOSES_P = BLOCK - frozenset("br option summary legend caption td th tr tbody thead tfoot body html head".split())
-_SIBLINGS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "p": ("p", "div article section body td li blockquote")}
 _PARTS = "ads?|adverts?|advertisements?|advertising|adsense|adbox|adslot|banner|sponsor(?:ed)?|promo(?:tion|ted)?|cookies?|consent|gdpr|notice|alert|warning-bar|sidebar|side-bar|rail|menu|nav|navbar|navigation|topnav|breadcrumbs?|toc|footer|header|masthead|share|sharing|social|comments?|comment-list|respond|replies|disqus|related|recommended|subscribe|subscription|newsletter|signup|popup|modal|overlay|paywall|widget|pagination|pager|copyright|skip-link|toolbar"
 _JUNK = re.compile(rf"(?:{_PARTS})(?:[-_].*)?|.*[-_](?:{_PARTS})", re.I)
 _STATE = re.compile(r"(?:has|with|no|is|js|without)[-_]", re.I)
 
+INSIDE, TEXTUAL, BOILERPLATE = 1, 2, 4  # of a line: in a marked article, in a text element, in a dropped element
+Line = tuple[str, int]
+
 
 def _is_junk(tag: str, attributes: str) -> bool:
     if tag in DROPPED:
@@ -75,100 +107,152 @@ def _is_junk(tag: str, attributes: str) -> bool:
     return False
 
 
-def page_lines(page: str | None) -> list[tuple[str, bool, bool]]:
-    """``(line, inside, text element)`` of every block outside dropped elements;
-    inside: in a marked article. One pass, without recursion."""
-    lines: list[tuple[str, bool, bool]] = []
-    parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, in article, in a text element
-    page = page or ""
+def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """``(text before, tag, whether it ends, attributes)``; the last one's tag
+    is empty. Comments, declarations and the contents of ``RAW`` elements are left out."""
+    at, size, quotes = 0, len(page), True
+    lower = page.lower()
+    if len(lower) != size:  # some letters change their length: fold A to Z only
+        lower = page.translate({c: c + 32 for c in range(65, 91)})
+    text: list[str] = []
+    while at < size:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        if lt > at:
+            text.append(page[at:lt])
+        if page.startswith("<!--", lt) or page.startswith("<![CDATA[", lt):
+            end = "-->" if page[lt + 2] == "-" else "]]>"
+            upto = page.find(end, lt + 4)
+            at = size if upto < 0 else upto + 3
+            continue
+        if page.startswith(("<!", "<?"), lt):
+            upto = page.find(">", lt)
+            at = size if upto < 0 else upto + 1
+            continue
+        name = _NAME.match(page, lt + 1)
+        if not name:
+            text.append("<")
+            at = lt + 1
+            continue
+        rest = _QUOTED.match(page, name.end()) if quotes else None
+        if rest:
+            at = rest.end()
+        else:
+            quotes = False
+            upto = page.find(">", name.end())
+            if upto < 0:  # the page ends within a tag
+                at = size
+                break
+            at = upto + 1
+        tag, ends, attributes = name[2].lower(), bool(name[1]), page[name.end() : at - 1]
+        if tag in RAW:
+            if not ends and not attributes.endswith("/"):
+                upto = lower.find(f"</{tag}", at)
+                upto = page.find(">", upto) if upto >= 0 else -1
+                at = size if upto < 0 else upto + 1
+            continue
+        yield "".join(text), tag, ends, attributes
+        text.clear()
+    if at < size:
+        text.append(page[at:])
+    yield "".join(text), "", False, ""
+
+
+def page_lines(page: str | None) -> list[Line]:
+    """``(line, flags)`` of every block, in page order. One pass, without recursion."""
+    lines: list[Line] = []
+    buffers: tuple[list[str], list[str]] = ([], [])  # text of the line, and dropped text beside it
+    stack: list[tuple[str, int, dict[str, int]]] = [("", 0, {})]  # tag, flags, where what a tag would end is open
+    open_: Counter[str] = Counter()
 
     def flush() -> None:
-        if parts:
-            line = " ".join(html.unescape("".join(parts)).split())
-            parts.clear()
-            if line:
-                top = stack[-1] if stack else ("", False, False, False)
-                lines.append((line, top[2], top[3]))
-
-    def close(upto: int) -> None:
-        flush()
+        for buffer, drop in zip(buffers, (0, BOILERPLATE)):
+            if buffer:
+                line = " ".join(html.unescape("".join(buffer)).split())
+                buffer.clear()
+                if line:
+                    lines.append((line, stack[-1][1] & ~BOILERPLATE | drop))
+
+    def shut(upto: int, within_line: bool = False) -> None:
+        if not within_line:
+            flush()
+        open_.subtract(x[0] for x in stack[upto:])
         del stack[upto:]
 
-    at, size = 0, len(page)
-    lower = None
-    while at < size:
-        m = _TOKEN.search(page, at)
-        upto = m.start() if m else size
-        if upto > at and not (stack and stack[-1][1]):
-            parts.append(page[at:upto])
-        if not m:
-            break
-        at = m.end()
-        tag = m[2] or m[5]
+    for text, tag, ends, attributes in _tags(page or ""):
+        if text:
+            buffers[bool(stack[-1][1] & BOILERPLATE)].append(text)
         if not tag:
-            continue
-        tag, ends = tag.lower(), (m[1] or m[4]) == "/"
+            break
         if ends:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCK or any(x[0] in BLOCK for x in stack[i + 1 :]):
-                        close(i)
-                    else:
-                        del stack[i:]
-                    break
-            else:
-                if tag in BLOCK:
-                    flush()
-            continue
-        attributes = m[3] or m[6] or ""
-        if tag in RAW:
-            if not attributes.endswith("/"):
-                lower = page.lower() if lower is None else lower
-                if len(lower) == size:
-                    end = lower.find(f"</{tag}", at)
-                else:  # lower-casing changed the length: look for the end tag as written
-                    found = re.compile(f"</{tag}", re.I).search(page, at)
-                    end = found.start() if found else -1
-                if end < 0:
-                    at = size
-                else:
-                    close_at = page.find(">", end)
-                    at = size if close_at < 0 else close_at + 1
+            if open_[tag] > 0:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                shut(i, all(x[0] not in BLOCK for x in stack[i:]))
+            elif tag in BLOCK:
+                flush()
             continue
         if tag in BLOCK:
             flush()
         if tag in VOID:
             continue
-        if tag in _CLOSES_P:
-            shut, within = "p", "div article section body td li blockquote aside nav form main"
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == shut:
-                    close(i)
-                    break
-                if stack[i][0] in within.split():
-                    break
-        if tag in _SIBLINGS:
-            shut, within = (x.split() for x in _SIBLINGS[tag])
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in within:
-                    break
-                if stack[i][0] in shut:
-                    close(i)
-                    break
-        top = stack[-1] if stack else ("", False, False, False)
-        dropped = top[1] or _is_junk(tag, attributes)
-        inside = top[2] or (tag in ARTICLE and not dropped)
-        stack.append((tag, dropped, inside, tag in TEXT or (top[3] and tag not in BLOCK)))
+        for of in ("p", tag) if tag in _SHUTS_P else (tag,):
+            if (i := stack[-1][2].get(of, 0)) > 0:
+                shut(i)
+        _, flags, ended = stack[-1]
+        junk = flags & BOILERPLATE or (BOILERPLATE if _is_junk(tag, attributes) else 0)
+        inside = flags & INSIDE or (INSIDE if tag in ARTICLE and not junk else 0)
+        textual = TEXTUAL if tag in TEXT else (flags & TEXTUAL if tag not in BLOCK else 0)
+        changed = {of: len(stack) if tag in shuts else 0 for of, (shuts, within) in _ENDS.items() if tag in shuts or tag in within}
+        stack.append((tag, junk | inside | textual, ended | changed if changed else ended))
+        open_[tag] += 1
     flush()
     return lines
 
 
-def line_hashes(lines: list[tuple[str, bool, bool]]) -> list[int]:
+def line_hashes(lines: list[Line]) -> list[int]:
     """64-bit hashes of the lines' texts."""
     import xxhash
 
-    return [xxhash.xxh64_intdigest(line) - (1 << 63) for line, _, _ in lines]
+    return [xxhash.xxh64_intdigest(line) - (1 << 63) for line, _ in lines]
+
+
+class _Bits:
+    """Where each line is in ``b``, one bit a place. Only those of frequent lines are kept."""
+
+    def __init__(self, b: list[int]):
+        self.size = len(b)
+        self.at: dict[int, list[int]] = {}
+        for j, x in enumerate(b):
+            self.at.setdefault(x, []).append(j)
+        self.kept: dict[int, int] = {}
+
+    def of(self, x: int) -> int:
+        if x in self.kept:
+            return self.kept[x]
+        places = self.at[x]
+        if len(places) == 1:
+            return 1 << places[0]
+        row = np.zeros(self.size, np.uint8)
+        row[places] = 1
+        bits = int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little")
+        if len(places) > OFTEN:
+            self.kept[x] = bits
+        return bits
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` with every prefix of ``b``."""
+    where, full = _Bits(b), (1 << len(b)) - 1
+    flat = full
+    for x in a:
+        if x in where.at:
+            hit = flat & where.of(x)
+            flat = ((flat + hit) | (flat - hit)) & full
+    grows = np.unpackbits(np.frombuffer(flat.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)] == 0
+    return np.concatenate([[0], np.cumsum(grows)])
 
 
 def shared_lines(own: list[int], other: list[int]) -> list[int]:
@@ -176,46 +260,67 @@ def shared_lines(own: list[int], other: list[int]) -> list[int]:
 
     Row by row one bit per line of ``other`` tells where the subsequence's
     length does not grow; the rows are kept, and the alignment is read from
-    the end: a bit that turns 0 in a row is a match of that row's line."""
-    lo = 0
-    while lo < min(len(own), len(other)) and own[lo] == other[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(own), len(other)) - lo and own[-1 - hi] == other[-1 - hi]:
-        hi += 1
-    edges = [*range(lo), *range(len(own) - hi, len(own))]
-    a, b = own[lo : len(own) - hi], other[lo : len(other) - hi]
-    where: dict[int, int] = {}
-    for j, x in enumerate(b):
-        where[x] = where.get(x, 0) | 1 << j
-    rows = [i for i, x in enumerate(a) if x in where]
-    if not rows:
-        return sorted(edges)
-    full = (1 << len(b)) - 1
-    flat, states = full, []
-    for i in rows:
-        hit = flat & where[a[i]]
-        flat = ((flat + hit) | (flat - hit)) & full
-        states.append(flat)
-    found, r, j = [], len(rows) - 1, len(b) - 1
-    while r >= 0 and j >= 0:
-        if states[r] >> j & 1:
-            j -= 1
-        elif r and not states[r - 1] >> j & 1:
-            r -= 1
-        else:
-            found.append(rows[r] + lo)
-            r, j = r - 1, j - 1
-    return sorted([*edges, *found])
+    the end: a bit that turns 0 in a row is a match of that row's line. Where
+    the rows would take more than ``DIRECT_BITS``, ``own`` is halved, ``other``
+    cut where both halves together align best, and both parts are aligned."""
+    found: list[int] = []
+    todo = [(0, len(own), 0, len(other))]
+    while todo:
+        lo, hi, b_lo, b_hi = todo.pop()
+        while lo < hi and b_lo < b_hi and own[lo] == other[b_lo]:
+            found.append(lo)
+            lo, b_lo = lo + 1, b_lo + 1
+        while lo < hi and b_lo < b_hi and own[hi - 1] == other[b_hi - 1]:
+            hi, b_hi = hi - 1, b_hi - 1
+            found.append(hi)
+        b = other[b_lo:b_hi]
+        both = set(b)
+        rows = [i for i in range(lo, hi) if own[i] in both]
+        if not rows:
+            continue
+        if len(rows) > 1 and len(rows) * len(b) > DIRECT_BITS:
+            mid = rows[len(rows) // 2]
+            ahead = _lengths(own[lo:mid], b)
+            behind = _lengths(own[mid:hi][::-1], b[::-1])[::-1]
+            cut = b_lo + int((ahead + behind).argmax())
+            todo += [(lo, mid, b_lo, cut), (mid, hi, cut, b_hi)]
+            continue
+        where, full = _Bits(b), (1 << len(b)) - 1
+        flat, states = full, []
+        for i in rows:
+            hit = flat & where.of(own[i])
+            flat = ((flat + hit) | (flat - hit)) & full
+            states.append(flat)
+        r, j = len(rows) - 1, len(b) - 1
+        while r >= 0 and j >= 0:
+            if states[r] >> j & 1:
+                j -= 1
+            elif r and not states[r - 1] >> j & 1:
+                r -= 1
+            else:
+                found.append(rows[r])
+                r, j = r - 1, j - 1
+    return sorted(found)
+
 
+def site_lines(own: list[int], others: list[list[int]]) -> list[int]:
+    """Positions of the lines that any of the neighbours shares, but for copies of the page."""
+    gone: set[int] = set()
+    for other in others:
+        shared = shared_lines(own, other)
+        if len(shared) < len(own):
+            gone.update(shared)
+    return sorted(gone)
 
-def deletable(lines: list[tuple[str, bool, bool]], shared: list[int]) -> list[tuple[str, bool, bool]]:
-    """What is left of ``lines`` without the shared ones and without what lies outside a marked article."""
-    gone = set(shared)
-    if any(inside for _, inside, _ in lines):
-        return [x for i, x in enumerate(lines) if x[1] and (x[2] or i not in gone)]
-    left = [x for i, x in enumerate(lines) if i not in gone]
-    return left or lines
+
+def main_lines(lines: list[Line], shared: list[int]) -> tuple[list[str], int, int]:
+    """The lines that stay, how many differencing deletes, and how many only structure does."""
+    marked = any(flags & INSIDE and not flags & BOILERPLATE for _, flags in lines)
+    stays = lambda flags: marked and flags & (INSIDE | TEXTUAL | BOILERPLATE) == INSIDE | TEXTUAL
+    gone = {i for i in shared if not stays(lines[i][1])}
+    left = [(line, flags) for i, (line, flags) in enumerate(lines) if i not in gone]
+    kept = [line for line, flags in left if not flags & BOILERPLATE and (flags & INSIDE or not marked)]
+    return kept, len(gone), len(left) - len(kept)
 
 
 def _url(url: Column) -> tuple[Column, Column]:
@@ -225,20 +330,9 @@ def _url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def extract_main_text(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` per row of ``pages`` (page_id, url, html)."""
-    keys = [F.xxhash64("page_id", "url", "html").alias("k1"), F.xxhash64(F.lit(7), "html", "url", "page_id").alias("k2")]
-    pages = pages.select("page_id", "url", "html", *keys)
-    host, path = _url(F.col("url"))
-
-    @F.pandas_udf("array<long>")
-    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for some in batches:
-            yield pd.Series([line_hashes(page_lines(p)) for p in some], dtype=object)
-
-    narrow = pages.select("k1", "k2", host.alias("host"), path.alias("path"), hashes("html").alias("lines"))
-    # one order over all pages, dealt out by ranges: a large host spreads over many tasks
-    narrow = stash(narrow, "html-lines").dropDuplicates(["k1", "k2"]).repartitionByRange("host", "path", "k1", "k2").sortWithinPartitions("host", "path", "k1", "k2")
+def _numbered(pages: DataFrame) -> DataFrame:
+    """``pages`` in the order of host and path over all of them, with their place ``i``. The
+    order is dealt out by ranges, so a large host spreads over many tasks."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
@@ -247,43 +341,90 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n, dtype=np.int64))], [*batch.schema.names, "part", "at"])
             at += n
 
-    placed = stash(narrow.mapInArrow(counted, "k1 long, k2 long, host string, path string, lines array<long>, part int, at long"), "html-order")
-    sizes = sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect())  # one row per task
+    ordered = pages.repartitionByRange("host", "path", "k1", "k2").sortWithinPartitions("host", "path", "k1", "k2").select("k1", "k2", "host", "lines")
+    placed = stash(ordered.mapInArrow(counted, "k1 long, k2 long, host string, lines array<long>, part int, at long"), "html-order")
     start, begins = 0, []
-    for part, count in sizes:
+    for part, count in sorted((r["part"], r["count"]) for r in placed.groupBy("part").count().collect()):  # one row per task
         begins.append((part, start))
         start += count
-    begin = F.element_at(F.create_map(*[F.lit(x) for pair in begins for x in pair]), F.col("part")) if begins else F.lit(0)
-    line = placed.select((begin + F.col("at")).alias("i"), "k1", "k2", "host", "path", "lines")
+    begin = pages.sparkSession.createDataFrame(begins, "part int, begin long")
+    return placed.join(F.broadcast(begin), "part").select((F.col("begin") + F.col("at")).alias("i"), "host", "k1", "k2", "lines")
+
+
+def _compared(pages: DataFrame) -> DataFrame:
+    """``(k1, k2, shared)`` of numbered pages: positions of the lines that neighbours share."""
+    block = F.floor(F.col("i") / BLOCK_PAGES)
+    at_hand = F.array_distinct(F.transform(F.sequence(F.lit(-NEIGHBOURS), F.lit(NEIGHBOURS)), lambda d: F.floor((F.col("i") + d) / BLOCK_PAGES)))
+    dealt = pages.select(F.explode(F.filter(at_hand, lambda x: x >= 0)).alias("block"), "i", "host", "k1", "k2", "lines", block.alias("home"))
+    dealt = dealt.select("block", "i", (F.col("block") == F.col("home")).alias("own"), "host", "k1", "k2", "lines").repartition("block").sortWithinPartitions("block", "i")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window: deque[dict] = deque()
+        out: list[tuple[int, int, list[int]]] = []
+
+        def settle(at: int) -> None:
+            page = window[at]
+            if page["own"]:
+                others = [x["lines"] for j, x in enumerate(window) if 0 < abs(j - at) <= NEIGHBOURS and x["host"] == page["host"]]
+                out.append((page["k1"], page["k2"], site_lines(page["lines"], others)))
+
+        def drain() -> None:
+            for at in range(max(0, len(window) - NEIGHBOURS), len(window)):
+                settle(at)
+            window.clear()
+
+        def given() -> pa.RecordBatch:
+            k1, k2, shared = (list(x) for x in zip(*out)) if out else ([], [], [])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(shared, pa.list_(pa.int32()))], ["k1", "k2", "shared"])
 
-    def beside(step: int, mark: str) -> DataFrame:
-        return line.select((F.col("i") + step).alias("i"), F.col("host").alias(f"host_{mark}"), F.col("path").alias(f"path_{mark}"), F.col("lines").alias(f"lines_{mark}"))
-
-    def segments(path: Column) -> Column:
-        return F.split(path, "/")
-
-    def common(path: Column) -> Column:
-        """Leading path segments in common."""
-        same = F.zip_with(segments(F.col("path")), segments(path), lambda a, b: F.coalesce(a == b, F.lit(False)))
-        first = F.array_position(same, F.lit(False))
-        return F.when(first == 0, F.size(same)).otherwise(first - 1)
-
-    three = line.join(beside(1, "a"), "i", "left").join(beside(-1, "b"), "i", "left")
-    before = F.when(F.col("host_a") == F.col("host"), common(F.col("path_a"))).otherwise(-1)
-    after = F.when(F.col("host_b") == F.col("host"), common(F.col("path_b"))).otherwise(-1)
-    other = F.when((before >= after) & (before >= 0), F.col("lines_a")).when(after >= 0, F.col("lines_b"))
-
-    @F.pandas_udf("array<int>")
-    def align(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for own, near in batches:
-            yield pd.Series([[] if b is None else shared_lines(list(a), list(b)) for a, b in zip(own, near, strict=True)], dtype=object)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                page = batch.slice(at, 1).to_pylist()[0]
+                if window and window[-1]["block"] != page["block"]:
+                    drain()
+                window.append(page)
+                if len(window) > NEIGHBOURS:
+                    settle(len(window) - 1 - NEIGHBOURS)
+                if len(window) > 2 * NEIGHBOURS:
+                    window.popleft()
+            yield given()
+        drain()
+        yield given()
+
+    return dealt.mapInArrow(run, "k1 long, k2 long, shared array<int>")
+
+
+def extract_main_text(pages: DataFrame, *, differencing: bool = True) -> DataFrame:
+    """``(page_id, url, text, n_chars, n_lines, n_shared, n_marked)`` per row of
+    ``pages`` (page_id, url, html). Without ``differencing`` structure alone decides."""
+    null = [F.col(c).isNull() for c in ("page_id", "url", "html")]
+    keys = [F.xxhash64("page_id", "url", "html", *null).alias("k1"), F.xxhash64(F.lit(7), *null, "html", "url", "page_id").alias("k2")]
+    pages = pages.select("page_id", "url", "html", *keys)
+    host, path = _url(F.col("url"))
 
-    shared = three.select("k1", "k2", align("lines", other).alias("shared"))
+    @F.pandas_udf("array<long>")
+    @tidy
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([line_hashes(page_lines(p)) for p in some], dtype=object)
 
-    @F.pandas_udf("string")
-    def left(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("text string, n_lines int, n_shared int, n_marked int")
+    @tidy
+    def left(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for some, gone in batches:
-            yield pd.Series([" ".join(x[0] for x in deletable(page_lines(p), [] if g is None else list(g))) for p, g in zip(some, gone, strict=True)], dtype=object)
-
-    out = pages.join(shared, ["k1", "k2"], "left").select("page_id", "url", left("html", "shared").alias("text"))
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+            rows = []
+            for page, shared in zip(some, gone, strict=True):
+                lines = page_lines(page)
+                kept, by_site, by_mark = main_lines(lines, [] if shared is None else list(shared))
+                rows.append((" ".join(kept), len(lines), by_site, by_mark))
+            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_shared", "n_marked"])
+
+    if differencing:
+        narrow = stash(pages.select("k1", "k2", host.alias("host"), path.alias("path"), hashes("html").alias("lines")), "html-lines")
+        pages = pages.join(_compared(_numbered(narrow.dropDuplicates(["k1", "k2"]))), ["k1", "k2"], "left")
+    else:
+        pages = pages.withColumn("shared", F.lit(None).cast("array<int>"))
+    out = pages.select("page_id", "url", left("html", "shared").alias("r"))
+    return out.select("page_id", "url", "r.text", F.length("r.text").cast("long").alias("n_chars"), "r.n_lines", "r.n_shared", "r.n_marked")

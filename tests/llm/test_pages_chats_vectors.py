@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -14,11 +15,39 @@ PAGE = "<html><head><title>t</title></head><body><nav><a>{nav}</a></nav><div cla
 
 def test_lines_and_junk():
     page = '<body class="has-sidebar"><header>Top</header><div id="sidebar">s</div><main><h1>T &amp;amp; &lt;b&gt;</h1><p>a<b>b</b>c&nbsp;d <br>e<p title="x>y">f<aside>n</aside><div class="cookie-notice">n</div><form>q<input></form><ul><li>x<li>y</ul><section id="comments"><p>c</p></section><script>var t="</p>";</script><!-- z --></main><footer>F</footer>'
-    assert [x[0] for x in html_extract.page_lines(page)] == ["T &amp; <b>", "abc d", "e", "f", "x", "y"]
+    kept, _, by_mark = html_extract.main_lines(html_extract.page_lines(page), [])
+    assert kept == ["T &amp; <b>", "abc d", "e", "f", "x", "y"] and by_mark == 7
     assert html_extract.page_lines(None) == [] == html_extract.page_lines("")
+    inline = html_extract.page_lines("<p>a <span class='ad'>buy</span>b</p>")
+    assert [x[0] for x in inline] == ["a b", "buy"] and html_extract.main_lines(inline, [])[0] == ["a b"]
 
 
-def test_alignment_is_a_longest_common_subsequence():
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 1_200_000, '<a ">"' * 800_000, "<b>" * 800_000 + "</i>" * 800_000, "<b>" * 1_200_000, "<p><td>" + "<span>" * 300_000 + "<h1>" * 300_000, "<" * 4_000_000, "<!--" * 1_000_000, "<ul><li>x" * 300_000, "<a '>" * 700_000, "<script>" * 600_000],
+)
+def test_long_pages_take_time_in_proportion(page):
+    began = time.process_time()
+    html_extract.page_lines(page)
+    whole = time.process_time() - began
+    began = time.process_time()
+    html_extract.page_lines(page[: len(page) // 4])
+    assert whole < 60 and whole < 12 * (time.process_time() - began) + 1
+
+
+def test_long_alignment():
+    rng = random.Random(2)
+    own = [rng.getrandbits(60) for _ in range(60_000)]
+    other = [x if i % 2 else -x for i, x in enumerate(own)]
+    began = time.process_time()
+    assert html_extract.shared_lines(own, other) == list(range(1, 60_000, 2))
+    assert time.process_time() - began < 60
+
+
+@pytest.mark.parametrize("direct,often", [(1 << 26, 64), (1, 64), (20, 0)])
+def test_alignment_is_a_longest_common_subsequence(monkeypatch, direct, often):
+    monkeypatch.setattr(html_extract, "DIRECT_BITS", direct)
+    monkeypatch.setattr(html_extract, "OFTEN", often)
     rng = random.Random(1)
     for _ in range(500):
         a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 12))] for _ in range(2))
@@ -47,6 +76,62 @@ def test_extraction(spark):
     assert got == want
     assert all(r.n_chars == len(r.text) for r in out)
     assert html_extract.extract_main_text(pages.where("false")).count() == 0
+    # without differencing the site's lines of unmarked pages stay, and no line counts as shared
+    alone = {r.page_id: r for r in html_extract.extract_main_text(pages, differencing=False).collect()}
+    assert alone[20].text == "Site name one All rights" and alone[20].n_shared == 0
+    told = {r.page_id: r for r in out}
+    assert told[20].n_shared == 2 and told[20].n_marked == 0
+    assert told[3].n_shared == 2 and told[3].n_marked == 1  # the advert and the footer repeat, the menu does not
+
+
+def brute_pages(rows):
+    """The result by pairwise alignment of all pages in one sorted list."""
+    import re
+
+    host = lambda u: ((m := re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/]*)", u)) and m[1].lower()) or ""
+    path = lambda u: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "", u)
+    bare = lambda u: re.sub(r"[?#].*$", "", u or "")
+    order = sorted({(host(bare(u)).encode(), path(bare(u)).encode(), i, u, h) for i, u, h in rows})
+    out = {}
+    for at, (site, _, i, u, h) in enumerate(order):
+        near = [order[j] for j in range(max(0, at - 2), min(len(order), at + 3)) if j != at and order[j][0] == site]
+        own = html_extract.page_lines(h)
+        texts = [x[0] for x in own]
+        gone = set()
+        for other in near:
+            there = [x[0] for x in html_extract.page_lines(other[4])]
+            best = [[0] * (len(there) + 1) for _ in range(len(texts) + 1)]
+            for a in range(len(texts)):
+                for b in range(len(there)):
+                    best[a + 1][b + 1] = best[a][b] + 1 if texts[a] == there[b] else max(best[a][b + 1], best[a + 1][b])
+            if best[-1][-1] < len(texts):
+                a, b = len(texts), len(there)
+                while a and b:
+                    if texts[a - 1] == there[b - 1]:
+                        gone.add(a - 1)
+                        a, b = a - 1, b - 1
+                    elif best[a - 1][b] >= best[a][b - 1]:
+                        a -= 1
+                    else:
+                        b -= 1
+        out[i, u] = " ".join(html_extract.main_lines(own, sorted(gone))[0])
+    return out
+
+
+def test_extraction_against_pairwise_alignment(spark, monkeypatch):
+    """Blocks of three pages, unmarked pages whose lines are distinct within a page: one alignment only."""
+    monkeypatch.setattr(html_extract, "BLOCK_PAGES", 3)
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        site = rng.choice("abc")
+        lines = [f"own {i}", *(f"{site}{x}" for x in range(6) if rng.random() < 0.6)]
+        if i % 7 == 0:
+            lines = [f"own {i}"]
+        rows.append((i, f"https://{site}.example/{rng.choice('xyz')}/{i:03d}?v", "".join(f"<div>{x}</div>" for x in sorted(lines))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {(r.page_id, r.url): r.text for r in html_extract.extract_main_text(pages).collect()}
+    assert got == brute_pages(rows)
 
 
 def test_chat_parts(spark):
@@ -122,11 +207,19 @@ def test_top_k_against_brute_force(spark, monkeypatch, tile, pivots):
     assert topk_search.top_k(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("tile,pivots", [(4096, 128), (16, 4)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, tile, pivots):
-    monkeypatch.setattr(embedding_dedup, "TILE", tile)
+@pytest.mark.parametrize("tile,pivots,strip,kind", [(4096, 128, 512, "float"), (16, 4, 5, "float"), (16, 4, 512, "double")])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, tile, pivots, strip, kind):
+    monkeypatch.setattr(embedding_dedup, "STRIP", strip)
     rows = vectors(5)
-    got = embedding_dedup.similar_vectors(frame(spark, rows), max_pivots=pivots).collect()
+    # vectors at a cosine of 0.95 itself, and a hair beside it
+    for k, shift in enumerate((0.0, 1e-7, -1e-7, 1e-9, -1e-9)):
+        side = math.sqrt(1 - 0.95**2) + shift
+        rows += [(2000 + 2 * k, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]), (2001 + 2 * k, [side, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.95])]
+    rows += [(3000, [3.0, 4.0] + [0.0] * 6), (3001, [4.0, 3.0] + [0.0] * 6), (3002, [19.0, math.sqrt(39)] + [0.0] * 6), (None, rows[0][1]), (None, [0.0] * 7 + [-1.0])]
+    docs = frame(spark, rows)
+    if kind == "double":
+        docs = docs.withColumn("embedding", docs.embedding.cast("array<double>"))
+    got = embedding_dedup.similar_vectors(docs, max_pivots=pivots, tile_rows=tile).collect()
     clean = [(i, v if v and any(v) else None) for i, v in floats(rows)]
     n = len(clean)
     links = [[] for _ in range(n)]
@@ -144,7 +237,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, tile, pivots):
                 if b not in seen:
                     seen.add(b)
                     todo.append(b)
-        root = min(clean[b][0] for b in seen)
-        want[clean[a][0], len(links[a]), root, clean[a][0] == root] += 1
+        root = min((clean[b][0] for b in seen if clean[b][0] is not None), default=None)
+        want[clean[a][0], len(links[a]), root, clean[a][0] == root is not None] += 1
     assert Counter(tuple(r) for r in got) == want
     assert embedding_dedup.similar_vectors(frame(spark, [])).count() == 0
