@@ -109,7 +109,8 @@ def mixing_plan(rows: DataFrame, *, budget: int | None = None, entropy_share: fl
 
     # inside the bucket where the budget ends
     inside = rows.withColumn("b", at).join(_small(cut), F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("bucket")))
-    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("h", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = inside.groupBy("source", "h", "id", "base", "rest").agg(F.sum("tokens").alias("tokens"))  # rows of one id are one, however many
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     last = inside.withColumn("upto", F.col("base") + upto).where("upto <= rest").groupBy("source").agg(F.max(F.struct("h", "id")).alias("last")).withColumnRenamed("source", "s2")
     # a bucket holds hashes of one leading bit pattern, so the order of signed hashes inside it is that of unsigned ones
     plan = plan.join(cut.select("s", "bucket"), F.col("source").eqNullSafe(F.col("s")), "left").join(last, F.col("source").eqNullSafe(F.col("s2")), "left")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import stash
+from daybook.llm.common import stash, tidy
 from daybook.llm.vectors import distances, matrix, nearest, pivots, sample, usable
 
 TILE = 1024
@@ -73,13 +73,14 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     shared = spark.sparkContext.broadcast(centres)
     n_annuli = int(min(max_annuli, max(1, n // (len(centres) * TILE))))
 
+    @tidy
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             z = _codes(batch.column(1), dim)
             near, r = nearest(_lifted(z, top), shared.value) if len(z) else (np.zeros(0, np.int64), np.zeros(0))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in z], pa.binary()), pa.array(near.astype(np.int32)), pa.array(r)], ["id", "code", "pivot", "r"])
 
-    keyed = stash(rows.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(key, "id long, code binary, pivot int, r double"), "topk-keyed")
+    keyed = stash(rows.select(F.col("id").cast("long").alias("id"), "v").mapInArrow(key, "id long, code binary, pivot int, r double").withColumn("row", F.monotonically_increasing_id()), "topk-keyed")
 
     # annuli: bounds and sizes, pivots x annuli rows at most
     shares = [i / n_annuli for i in range(1, n_annuli)]
@@ -88,7 +89,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     extent = placed.groupBy("pivot", "annulus").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.ceil(F.count(F.lit(1)) / TILE).alias("parts"))
     extent = stash(extent, "topk-extent")
     tiled = placed.join(F.broadcast(extent.select("pivot", "annulus", "parts")), ["pivot", "annulus"])
-    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("row"), F.col("parts")))
     tiles = tiled.groupBy("pivot", "annulus", "tile").agg(F.collect_list(F.struct("id", "code")).alias("rows"))
     tiles = stash(tiles.select("pivot", "annulus", "tile", F.col("rows.id").alias("ids"), F.col("rows.code").alias("codes")), "topk-tiles")
 
@@ -101,6 +102,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
         q = F.struct("id", "code", "least")
         return frame.groupBy(*keys).agg(F.collect_list(q).alias("q")).select(*keys, F.col("q.id").alias("qids"), F.col("q.code").alias("qcodes"), F.col("q.least").alias("least"))
 
+    @tidy
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -130,6 +132,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     # expansion: the other annuli a better code can lie in
     bounded_extent = spark.sparkContext.broadcast([tuple(x) for x in extent.select("pivot", "annulus", "lo", "hi").collect()])
 
+    @tidy
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rings = bounded_extent.value
         where = np.array([[p, a] for p, a, _, _ in rings], dtype=np.int64).reshape(-1, 2)
