@@ -18,7 +18,7 @@ def test_stages(spark, tmp_path):
         assert docs.columns == names
         counts.append(docs.count())
         if name == "near_duplicates":
-            found = jaccard_join.similar_components(before)
+            found = jaccard_join.similar_components(before, k=5, percent=80)
             assert {r.doc_id for r in docs.collect()} == {r.component_id for r in found.collect()}
     assert counts[1] <= counts[0] and counts[2] < counts[1] and counts[3] < counts[2]
     out = corpus_pipeline.run(spark, d).collect()
