@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar rows the one of the smallest id stays."""
-    return jaccard_join.keep_one(docs)
+    """Of each group of similar rows (five-word shingles, similarity 0.8) the one of the smallest id stays."""
+    return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
