@@ -2,7 +2,8 @@
 
 A word that the model knows adds its log frequency in each language. For an
 unseen word the model backs off to the longest character n-grams of the padded
-word that it knows: order ``max_n`` first, then shorter ones down to 1.
+word that it knows: order ``max_n`` first, then shorter ones down to 1. The model
+holds every word and n-gram of the rows it is fitted on; only those rows are bounded.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; so is every text if the model was fitted on no labelled row. Repeated rows
@@ -19,12 +20,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from daybook.llm.common import held_out, stash
+from daybook.llm.common import held_out, stash, tidy
 
 UNKNOWN = "und"
+FEW_LANGS = 10_000  # languages whose counts are broadcast
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -43,7 +47,7 @@ def _grams(word: str, n: int) -> list[str]:
 
 @dataclass
 class LangModel:
-    """Bounded tables: at most ``max_words`` words and ``max_grams`` n-grams."""
+    """Log frequencies per language of words, and of n-grams of each order."""
 
     langs: list[str]
     words: dict[str, int] = field(default_factory=dict)
@@ -53,14 +57,22 @@ class LangModel:
     max_n: int = 5
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1500, max_words: int = 60_000, max_grams: int = 60_000, max_n: int = 5, smoothing: float = 0.5) -> LangModel:
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 1500, max_n: int = 5, smoothing: float = 0.5) -> LangModel:
     """Learn from the whole texts of at most ``max_rows`` labelled rows of each
-    language (spread by a hash of the id)."""
+    language (spread by a hash of the id, then of the text)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    some = rows.select("lang", "id").where("id is not null").withColumn("at", first).where(F.col("at") <= max_rows).select("lang", "id").distinct()
-    rows = rows.join(F.broadcast(some), ["lang", "id"], "left_semi").select("text", "lang")
-
+    # a hash of the id places every row between 0 and 1; only places low enough for some more than the sample are ranked
+    place = F.shiftrightunsigned(F.xxhash64("id"), 11) / F.lit(float(1 << 53))
+    rows = rows.where("id is not null").withColumns({"mark": F.xxhash64("text"), "place": place})
+    sizes = stash(rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("size")), "lang-sizes")
+    if sizes.limit(FEW_LANGS + 1).count() <= FEW_LANGS:
+        sizes = F.broadcast(sizes)
+    low = rows.select("lang", "id", "mark", "place").join(sizes, "lang").where(F.col("place") * F.col("size") < 2 * max_rows + 1000)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id", "mark"))
+    some = low.select("lang", "id", "mark", "place").distinct().withColumn("at", first).where(F.col("at") <= max_rows).select("lang", "id", "mark")
+    rows = rows.join(F.broadcast(some), ["lang", "id", "mark"], "left_semi").dropDuplicates(["lang", "id", "mark"]).select("text", "lang")
+
+    @tidy
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             seen: dict[tuple[str, int, str], int] = defaultdict(int)
@@ -76,39 +88,32 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["lang", "n", "piece", "c"])
 
     counts = rows.mapInPandas(count, "lang string, n int, piece string, c long").groupBy("n", "piece", "lang").agg(F.sum("c").alias("c"))
-    totals = counts.groupBy("n", "piece").agg(F.sum("c").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"))
-    totals = stash(totals, "lang-counts")  # read twice below
-    order = [F.col("total").desc(), F.col("piece")]
+    counts = stash(counts, "lang-counts")  # read twice below
 
-    def gathered(which: DataFrame, limit: int) -> list[tuple[str, int, str, int]]:
-        """Rows of ``(piece, n, lang, count)`` of the most frequent pieces, as columns rather than row objects."""
-        rows = which.orderBy(*order).limit(limit).select("piece", "n", F.explode("by").alias("lang", "c")).toArrow()
-        return list(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True))
+    def gathered(which: DataFrame) -> pa.Table:
+        """The counts of the sample as columns, in one order."""
+        return which.select("piece", "n", "lang", "c").toArrow().sort_by([("n", "ascending"), ("piece", "ascending"), ("lang", "ascending")])
 
-    known, pieces = gathered(totals.where("n = 0"), max_words), gathered(totals.where("n > 0"), max_grams)
-    langs = sorted({lang for _, _, lang, _ in (*known, *pieces)})
+    known, pieces = gathered(counts.where("n = 0")), gathered(counts.where("n > 0"))
+    langs = sorted(set(pc.unique(known.column("lang")).to_pylist()) | set(pc.unique(pieces.column("lang")).to_pylist()))
     model = LangModel(langs, max_n=max_n)
     if not langs:
         return model
-    at = {lang: i for i, lang in enumerate(langs)}
-
-    def table(found: list[tuple[str, int, str, int]], orders: list[int]) -> tuple[dict[str, int], np.ndarray]:
-        index: dict[str, int] = {}
-        of: list[int] = []
-        for piece, n, _, _ in found:
-            if piece not in index:
-                index[piece] = len(index)
-                of.append(n)
-        c = np.zeros((len(index), len(langs)))
-        for piece, _, lang, v in found:
-            c[index[piece], at[lang]] = v
-        which = np.array(of)
+
+    def table(found: pa.Table, orders: list[int]) -> tuple[dict[str, int], np.ndarray]:
+        piece = found.column("piece").combine_chunks().dictionary_encode()
+        names, row = piece.dictionary, piece.indices.to_numpy()
+        col = pc.index_in(found.column("lang"), pa.array(langs)).to_numpy()
+        c = np.zeros((len(names), len(langs)))
+        c[row, col] = found.column("c").to_numpy()
+        which = np.zeros(len(names), np.int64)
+        which[row] = found.column("n").to_numpy()
         out = np.zeros_like(c)
         for n in orders:
             part = c[which == n]
             if len(part):
                 out[which == n] = np.log((part + smoothing) / (part.sum(0) + smoothing * len(part)))
-        return index, out
+        return {p: i for i, p in enumerate(names.to_pylist())}, out
 
     model.words, model.word_logp = table(known, [0])
     model.grams, model.gram_logp = table(pieces, list(range(1, max_n + 1)))
@@ -131,6 +136,7 @@ def scorer(spark: SparkSession, model: LangModel):
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         seen = m.words.get if m.langs else None
