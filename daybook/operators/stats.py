@@ -108,12 +108,13 @@ def productive_seconds(activities: DataFrame, interval: int = 40, *, newest: int
 
 
 def url_visits(activities: DataFrame, newest: int | None = 200) -> DataFrame:
-    """Per URL its visits and the newest visit's app, time and summary."""
+    """Per URL its visits and the newest visit's app, time and, where a table has it, summary."""
     rows = activities.where(F.col("active_url").isNotNull() & (F.col("active_url") != ""))
     if newest:
         rows = rows.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(newest)
-    last = F.max_by(F.struct("app_name", "timestamp"), F.struct("timestamp", "id"))
-    return rows.groupBy(F.col("active_url").alias("url")).agg(F.count(F.lit(1)).alias("visits"), last.alias("l")).select("url", "visits", F.col("l.app_name").alias("app_name"), F.col("l.timestamp").alias("last_visit"))
+    more = ["summary"] if "summary" in activities.columns else []
+    last = F.max_by(F.struct("app_name", "timestamp", *more), F.struct("timestamp", "id"))
+    return rows.groupBy(F.col("active_url").alias("url")).agg(F.count(F.lit(1)).alias("visits"), last.alias("l")).select("url", "visits", F.col("l.app_name").alias("app_name"), F.col("l.timestamp").alias("last_visit"), *[F.col(f"l.{c}").alias(c) for c in more])
 
 
 def app_usage(activities: DataFrame, newest: int | None = 200) -> DataFrame:

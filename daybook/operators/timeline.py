@@ -84,8 +84,9 @@ def select_where(activities: DataFrame, *, date: str | None = None, app: str | N
 
 
 def unanalysed(activities: DataFrame, limit: int = 10) -> DataFrame:
-    """Oldest first."""
-    return activities.where(F.col("status") == "pending").orderBy("timestamp", "id").limit(limit)
+    """Rows that no analysis has touched, oldest first: by the column ``analyzed`` where a table has it, else by status."""
+    open_ = ~F.coalesce(F.col("analyzed"), F.lit(False)) if "analyzed" in activities.columns else F.col("status") == "pending"
+    return activities.where(open_).orderBy("timestamp", "id").limit(limit)
 
 
 def retryable(activities: DataFrame, today: str) -> DataFrame:
@@ -94,8 +95,11 @@ def retryable(activities: DataFrame, today: str) -> DataFrame:
 
 
 def memos(activities: DataFrame, date: str) -> DataFrame:
-    """Voice memos of a day, whatever their status."""
-    return in_range(activities, date, date).where(F.col("app_name") == "Voice Memo").orderBy(*newest_first())
+    """Voice memos of a day, whatever their status: by the detected application where a table has it, too."""
+    memo = F.coalesce(F.col("app_name") == "Voice Memo", F.lit(False))
+    if "detected_app" in activities.columns:
+        memo = memo | F.coalesce(F.col("detected_app") == "Voice Memo", F.lit(False))
+    return in_range(activities, date, date).where(memo).orderBy(*newest_first())
 
 
 def relative_range(name: str, today: str) -> tuple[str | None, str | None]:

@@ -160,6 +160,16 @@ def _(spark, d):
     return stats.app_usage(activities(spark, d))
 
 
+@query("app_usage_all", "select coalesce(app_name, 'Unknown') as app_name, count(*) as captures, string_agg(distinct category, ',' order by category) as categories from activities group by 1")
+def _(spark, d):
+    return stats.app_usage(activities(spark, d), None)
+
+
+@query("url_summaries", "with t as (select * from activities where active_url <> '') select active_url as url, count(*) as visits, arg_max(app_name, row(timestamp, id)) as app_name, max(timestamp) as last_visit, max(row(timestamp, id, summary))[3] as summary from t group by 1")
+def _(spark, d):
+    return stats.url_visits(activities(spark, d, "url", "text"), None)
+
+
 @query(
     "agent_facets",
     f"""with t as (select * from activities where {_OK})
@@ -268,6 +278,18 @@ def _(spark, d):
     return timeline.memos(activities(spark, d), DAY).select("id", "timestamp", "status")
 
 
+@query("detected_memos", f"select id, timestamp, status from activities where date = '{DAY}' and (app_name = 'Voice Memo' or id % 41 = 0)")
+def _(spark, d):
+    a = activities(spark, d).withColumn("detected_app", F.when(F.col("id") % 41 == 0, "Voice Memo"))
+    return timeline.memos(a, DAY).select("id", "timestamp", "status")
+
+
+@query("never_analysed", "select id, timestamp from activities where id % 3 = 0 order by timestamp, id limit 10")
+def _(spark, d):
+    a = activities(spark, d).withColumn("analyzed", F.when(F.col("id") % 3 != 0, True))
+    return timeline.unanalysed(a).select("id", "timestamp")
+
+
 @query("relative_range", f"select date, count(*) as n from activities where date between date '{DAY}' - 6 and '{DAY}' group by 1", days=('date',))
 def _(spark, d):
     return stats.count_by(stats.in_range(activities(spark, d), *timeline.relative_range("7d", DAY)), "date")
@@ -859,11 +881,12 @@ def _(spark, d):
     return day_payload(activities(spark, d, "url", "text"), meetings(spark, d), newest=None)
 
 
-@query("organized_boxes", "select doc_id, '[MAIN CONTENT]' || chr(10) || s as text from (select doc_id, trim(replace(substr(text, 1, 20), chr(10), ' ')) as s from documents) where length(s) > 1")
+@query("organized_boxes", r"select doc_id, '[MAIN CONTENT]' || chr(10) || s as text from (select doc_id, regexp_replace(replace(text, chr(10), ' '), '^\s+|\s+$', '', 'g') as s from documents) where length(s) > 1")
 def _(spark, d):
+    """A screen of one box that holds a whole text."""
     from daybook.functions.layout import column_regions, organised_text
 
-    said = F.trim(F.replace(F.substring("text", 1, 20), F.lit("\n"), F.lit(" ")))
+    said = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit(" ")), r"^\s+|\s+$", "")
     point = lambda x, y: F.array(F.lit(x), F.lit(y))
     box = F.struct(F.array(point(900, 10), point(980, 10), point(980, 30), point(900, 30)).alias("box"), said.alias("text"), F.lit(0.9).alias("conf"))
     rows = read(spark, d, "documents").where(F.length(said) > 1).select("doc_id", F.array(box).alias("boxes"))
