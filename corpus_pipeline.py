@@ -2,6 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read back as the next stage's ``docs``.
+
+All stages read whole texts, handle repeated rows and rows without an id like
+others, keep further columns of any name (the last stage has columns of its
+own), and return an empty table for an empty one.
 """
 
 from __future__ import annotations
@@ -13,27 +17,28 @@ from daybook.llm.common import stash
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a told language go."""
+    """Rows without a told language go, so rows whose text is null, empty or without a letter do."""
     return lang_id.keep_identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows below the quality threshold go."""
+    """Rows below the quality threshold go. A null or blank text scores 0. Without labels of both classes all rows score alike."""
     return quality_crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar rows (five-word shingles, similarity 0.8) the one of the smallest id stays."""
+    """Of each group of similar rows (five-word shingles, similarity 0.8) the one of the smallest id stays.
+    Repeats of its id and text stay with it; a text without words is similar to none; a null id is larger than any."""
     return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows come as often as their source's weight asks for."""
+    """Rows come as often as their source's weight asks for. A null source is a source; a text without words comes once or as often as its source's passes."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row, and what they decode to, as digests."""
+    """Ids of every row, and what they decode to, as digests. A null text is the empty one, which has no ids."""
     return piece_codec.round_trip(docs, piece_codec.default_model())
 
 
