@@ -299,6 +299,7 @@ def similar_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     roots = connected_components(found.where("b is not null").select("a", "b"), "embed")
     result = classes.select("cid", "rep", "m").join(roots.select(F.col("node.cid").alias("cid"), F.col("root.rep").alias("root"), F.lit(True).alias("joined")), "cid", "left").join(counts, "cid", "left")
     result = result.select("cid", F.when(F.col("joined"), F.col("root")).otherwise(F.col("rep")).alias("component_id"), (F.col("m") - 1 + F.coalesce("c", F.lit(0))).alias("n_links"))
+    result = stash(result, "embed-result")  # written, so that adaptive execution can split the rows of a class of many copies
     out = each.select("id", "cid").join(result, "cid", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -394,6 +394,7 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     roots = connected_components(links, name)
     result = classes.select("key", "cid", "rep").join(roots.select("node.key", F.col("root.rep").alias("root"), F.lit(True).alias("joined")), "key", "left")
     result = result.select("cid", F.when(F.col("joined"), F.col("root")).otherwise(F.col("rep")).alias("component_id"))
+    result = stash(result, f"{name}-result")  # written, so that adaptive execution can split the rows of a class of many copies
     out = each.join(result, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), "tkey")
 
