@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 BUCKETS = 64
+FORMAT = "format-1"  # below a store's folder: tables of another format are not looked at
 
 
 def tokens(text: Column) -> Column:
@@ -74,7 +75,7 @@ def _cells(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
 
 def _about(spark: SparkSession, folder: str) -> DataFrame | None:
     try:
-        return spark.read.parquet(f"{folder}/about")
+        return spark.read.parquet(f"{folder}/{FORMAT}/about")
     except AnalysisException:
         return None
 
@@ -85,13 +86,13 @@ def current(spark: SparkSession, folder: str, sign: str | None = None) -> TextIn
     if about is None:
         return None
     found = (about if sign is None else about.where(F.col("sign") == sign)).orderBy(F.col("built").desc(), "generation").first()
-    return TextIndex(spark, f"{folder}/{found['generation']}", list(found["columns"]), found["n"], found["words"], found["kind"]) if found else None
+    return TextIndex(spark, f"{folder}/{FORMAT}/{found['generation']}", list(found["columns"]), found["n"], found["words"], found["kind"]) if found else None
 
 
 def build(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_col: str = "id", *, old: TextIndex | None = None, splits: int = 4) -> TextIndex:
     """Write a generation. Texts that ``old`` knows are taken from it and not split into words again."""
     spark, generation = rows.sparkSession, uuid.uuid4().hex
-    path, kind = f"{folder}/{generation}", rows.schema[id_col].dataType.simpleString()
+    path, kind = f"{folder}/{FORMAT}/{generation}", rows.schema[id_col].dataType.simpleString()
     made = TextIndex(spark, path, columns, 0, 0, kind)
     cells = _cells(rows, columns, id_col)
     new = cells.select("key", "text")
@@ -110,7 +111,7 @@ def build(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_c
     whole.select("id", F.inline("cells"), "len").write.parquet(f"{path}/rows")
     n, words = made.table("rows").where(F.col("column") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
     about = spark.createDataFrame([(generation, sign, columns, n, words, kind)], "generation string, sign string, columns array<string>, n long, words long, kind string")
-    about.withColumn("built", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/about")
+    about.withColumn("built", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/{FORMAT}/about")
     return TextIndex(spark, path, columns, n, words, kind)
 
 
@@ -122,6 +123,15 @@ def differences(index: TextIndex, rows: DataFrame, id_col: str = "id") -> DataFr
     return here.join(there, "id", "full_outer").select("id", problem.alias("problem")).where("problem is not null")
 
 
+def there(index: TextIndex) -> bool:
+    """Whether a generation's tables are there and list its rows; looks at folders and footers only."""
+    try:
+        index.table("texts"), index.table("postings")
+        return index.table("rows").count() == index.rows * len(index.columns)
+    except Exception:  # noqa: BLE001  a table that cannot be read
+        return False
+
+
 def damaged(index: TextIndex) -> bool:
     """Whether the tables of a generation do not agree: a table is gone, or words lack postings."""
     try:
@@ -138,7 +148,7 @@ def ensure(rows: DataFrame, columns: list[str], folder: str, sign: str, id_col:
     mended (only texts it does not know are split into words), else a first one."""
     spark = rows.sparkSession
     found = current(spark, folder, sign)
-    if found is not None and found.columns == columns:
+    if found is not None and found.columns == columns and there(found):
         return found
     return repair(rows, columns, folder, sign, id_col)
 

@@ -65,6 +65,16 @@ def test_a_damaged_index_is_rebuilt(spark, tmp_path, harm):
     assert scores(search.bm25(None, COLUMNS, [["spark"]], index=new)) == scores(search.bm25(df, COLUMNS, [["spark"]]))
 
 
+def test_a_cleared_store_is_built_anew(spark, tmp_path):
+    folder, df = str(tmp_path), rows(spark)
+    index = textindex.ensure(df, COLUMNS, folder, "s")
+    for f in glob.glob(f"{index.path}/**/*.parquet", recursive=True):
+        os.remove(f)
+    spark.catalog.refreshByPath(index.path)
+    new = textindex.ensure(df, COLUMNS, folder, "s")
+    assert new.path != index.path and scores(search.bm25(None, COLUMNS, [["spark"]], index=new)) == scores(search.bm25(df, COLUMNS, [["spark"]]))
+
+
 def test_empty_table_and_signature(spark, tmp_path):
     index = textindex.build(rows(spark).where("false"), COLUMNS, str(tmp_path / "i"))
     assert index.rows == 0 and search.bm25(None, COLUMNS, [["spark"]], index=index).count() == 0
