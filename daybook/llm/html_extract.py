@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter, deque
+from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +53,7 @@ DIRECT_BITS = 1 << 26  # cells of an alignment that is kept whole
 OFTEN = 64  # places of a line from which on its bits are kept
 
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
-_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_TAG = re.compile(_NAME.pattern + r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 
 # what HTML defines
@@ -74,7 +74,8 @@ _ENDS = {
     "th": ("td th", "tr table"),
     "option": ("option", "select"),
 }
-_ENDS = {tag: (frozenset(shut.split()), frozenset(within.split())) for tag, (shut, within) in _ENDS.items()}
+#: of each element: whose endings it marks when it opens, and whose it hides
+_MARKS = {tag: (tuple(of for of, (shut, _) in _ENDS.items() if tag in shut.split()), tuple(of for of, (_, within) in _ENDS.items() if tag in within.split())) for tag in {x for pair in _ENDS.values() for x in " ".join(pair).split()}}
 
 # boilerplate by structure
 DROPPED = frozenset("nav header footer aside form head menu dialog button select option label fieldset object applet audio video canvas map".split())
@@ -121,31 +122,29 @@ def _tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
             break
         if lt > at:
             text.append(page[at:lt])
-        if page.startswith("<!--", lt) or page.startswith("<![CDATA[", lt):
-            end = "-->" if page[lt + 2] == "-" else "]]>"
-            upto = page.find(end, lt + 4)
-            at = size if upto < 0 else upto + 3
+        if page.startswith(("!", "?"), lt + 1):
+            end = "-->" if page.startswith("!--", lt + 1) else "]]>" if page.startswith("![CDATA[", lt + 1) else ">"
+            upto = page.find(end, lt + 4 if end != ">" else lt)
+            at = size if upto < 0 else upto + len(end)
             continue
-        if page.startswith(("<!", "<?"), lt):
-            upto = page.find(">", lt)
-            at = size if upto < 0 else upto + 1
-            continue
-        name = _NAME.match(page, lt + 1)
-        if not name:
-            text.append("<")
-            at = lt + 1
-            continue
-        rest = _QUOTED.match(page, name.end()) if quotes else None
-        if rest:
-            at = rest.end()
+        found = _TAG.match(page, lt + 1) if quotes else None
+        if found:
+            slash, tag, attributes = found.groups()
+            at = found.end()
         else:
+            name = _NAME.match(page, lt + 1)
+            if not name:
+                text.append("<")
+                at = lt + 1
+                continue
             quotes = False
+            slash, tag = name.groups()
             upto = page.find(">", name.end())
             if upto < 0:  # the page ends within a tag
                 at = size
                 break
-            at = upto + 1
-        tag, ends, attributes = name[2].lower(), bool(name[1]), page[name.end() : at - 1]
+            attributes, at = page[name.end() : upto], upto + 1
+        tag, ends = tag.lower(), bool(slash)
         if tag in RAW:
             if not ends and not attributes.endswith("/"):
                 upto = lower.find(f"</{tag}", at)
@@ -164,9 +163,11 @@ def page_lines(page: str | None) -> list[Line]:
     lines: list[Line] = []
     buffers: tuple[list[str], list[str]] = ([], [])  # text of the line, and dropped text beside it
     stack: list[tuple[str, int, dict[str, int]]] = [("", 0, {})]  # tag, flags, where what a tag would end is open
-    open_: Counter[str] = Counter()
+    open_: defaultdict[str, int] = defaultdict(int)
 
     def flush() -> None:
+        if not buffers[0] and not buffers[1]:
+            return
         for buffer, drop in zip(buffers, (0, BOILERPLATE)):
             if buffer:
                 line = " ".join(html.unescape("".join(buffer)).split())
@@ -177,7 +178,8 @@ def page_lines(page: str | None) -> list[Line]:
     def shut(upto: int, within_line: bool = False) -> None:
         if not within_line:
             flush()
-        open_.subtract(x[0] for x in stack[upto:])
+        for x in stack[upto:]:
+            open_[x[0]] -= 1
         del stack[upto:]
 
     for text, tag, ends, attributes in _tags(page or ""):
@@ -205,8 +207,10 @@ def page_lines(page: str | None) -> list[Line]:
         junk = flags & BOILERPLATE or (BOILERPLATE if _is_junk(tag, attributes) else 0)
         inside = flags & INSIDE or (INSIDE if tag in ARTICLE and not junk else 0)
         textual = TEXTUAL if tag in TEXT else (flags & TEXTUAL if tag not in BLOCK else 0)
-        changed = {of: len(stack) if tag in shuts else 0 for of, (shuts, within) in _ENDS.items() if tag in shuts or tag in within}
-        stack.append((tag, junk | inside | textual, ended | changed if changed else ended))
+        if tag in _MARKS:
+            marks, hides = _MARKS[tag]
+            ended = ended | dict.fromkeys(hides, 0) | dict.fromkeys(marks, len(stack))
+        stack.append((tag, junk | inside | textual, ended))
         open_[tag] += 1
     flush()
     return lines
