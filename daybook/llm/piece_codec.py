@@ -23,8 +23,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from daybook.llm.common import tidy
 
@@ -35,7 +37,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 class PieceCodec:
     """Encoder and decoder of one model; built from the bytes of its file."""
 
-    def __init__(self, model: bytes, cache_size: int = 400_000):
+    def __init__(self, model: bytes, cache_size: int = 100_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -106,7 +108,7 @@ class PieceCodec:
         """Whether merging the joined texts never joins across the boundary:
         both tokens' own steps are replayed in order of score, and the pair of
         parts at the boundary must never come first."""
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 250_000:
             self.pairs.clear()
         a, b = self._history(left), self._history(right)
         i = j = 0
@@ -238,16 +240,18 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     text, decodes its ids, and returns digests of both."""
     shared = load_model(docs.sparkSession, path)
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     @tidy
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(shared.value)  # of this task: goes with its caches
-        for texts in batches:
-            out = []
-            for text in texts:
-                ids = codec.encode(text)
-                listed = ",".join(map(codec.decimal.__getitem__, ids))
-                out.append((len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(codec.decode(ids).encode()).hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(id_col, run(text_col).alias("r")).select(id_col, "r.n_tokens", "r.ids_sha256", "r.decoded_sha256")
+        for batch in batches:
+            n_tokens, ids_sha256, decoded_sha256 = [], [], []
+            for text in batch.column(1):  # one text at a time, not a batch of them
+                ids = codec.encode(text.as_py())
+                n_tokens.append(len(ids))
+                ids_sha256.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
+                decoded_sha256.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+            columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha256, pa.string()), pa.array(decoded_sha256, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    out = T.StructType([docs.schema[id_col], *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))])
+    return docs.select(id_col, text_col).mapInArrow(run, out)
