@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daybook.llm import chat_format, embedding_dedup, html_extract, jaccard_join, lang_id, lm_scoring, mixing, piece_codec, quality_crf, topk_search
+from daybook.llm import chat_format, embedding_dedup, filter_audit, html_extract, jaccard_join, lang_id, lm_scoring, mixing, piece_codec, quality_crf, topk_search, turn_repair, word_codec
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.similar_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired_conversations(turn_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_codec.round_trip(_table(spark, sf_dir, "documents"), word_codec.default_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -128,4 +140,39 @@ ORACLES = {
         roots as (select a, min(b) as root from walk group by a)
         select s.doc_id, coalesce(len(s.s), 0)::bigint as n_shingles, r.root as component_id from sets s join roots r on r.a = s.doc_id
     """,
+    # masks and orders of the five filters; a document's mask has bit i for the i-th of ABCDE
+    "op11_filter_audit": """
+        with docs as (
+            select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, min(doc_id) over (partition by coalesce(text, '')) as least
+            from documents
+        ), counted as (
+            select *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from docs
+        ), own as (
+            select doc_id, coalesce(bool_or(quality = 1), false) as good, coalesce(bool_or(toxic = 1), false) as toxic from labels group by doc_id
+        ), masked as (
+            select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+                (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+                + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::int
+                + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce(counted.doc_id > least, false)::int as mask
+            from counted left join own on own.doc_id = counted.doc_id
+        ), profile as (select part, mask, good, toxic, count(*) as n from masked group by all),
+        f(name, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+        orders as (
+            select concat(a.name, b.name, c.name, d.name, e.name) as filter_order from f a, f b, f c, f d, f e
+            where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+        ), steps as (
+            select filter_order, step, f.bit, coalesce((select sum(g.bit) from f g where instr(filter_order, g.name) < step), 0)::int as before
+            from orders, range(1, 6) as r(step), f where f.name = filter_order[step]
+        ), cells as (
+            select part, filter_order, step, n, good, toxic, mask & bit <> 0 as fails, mask & before <> 0 as gone, mask = bit as alone
+            from profile, steps
+        ), sums as (
+            select part, filter_order, step::int as step, coalesce(sum(n) filter (not fails and not gone), 0)::bigint as kept,
+                coalesce(sum(n) filter (fails and not gone), 0)::bigint as removed, coalesce(sum(n) filter (fails and gone), 0)::bigint as redundant,
+                coalesce(sum(n) filter (alone), 0)::bigint as unique_fails, coalesce(sum(n) filter (fails and not gone and good), 0)::bigint as good_lost,
+                coalesce(sum(n) filter (fails and not gone and toxic), 0)::bigint as toxic_lost
+            from cells group by all
+        )
+        select sums.*, (sum(removed) over (partition by part, filter_order[step]))::bigint as shapley from sums
+    """,
 }
