@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.functions.text import header_map, schedule_seconds, strip
+from daybook.sources.files import read_files
 
 _DEFAULTS = {"md": {"schedule": "every 6h", "data": "timeline, apps"}, "py": {"schedule": "every 1h", "data": ""}}
 
@@ -50,9 +51,10 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def outputs(spark: SparkSession, folder: str, newest: int = 20, width: int = 3000) -> DataFrame:
-    """The newest output files by name, their size and first characters."""
-    df = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.substring_index("_metadata.file_path", "/", -1).alias("file"), F.col("_metadata.file_size").alias("size"), F.substring("value", 1, width).alias("text"))
-    return df.orderBy(F.col("file").desc()).limit(newest)
+    """An agent's newest output files by name: their size, first characters, and how many files there are in all."""
+    found = read_files(spark, folder, "*.md")
+    total = found.agg(F.count(F.lit(1))).scalar().alias("total")
+    return found.select(F.col("name").alias("file"), "size", F.substring("text", 1, width).alias("text"), total).orderBy(F.col("file").desc()).limit(newest)
 
 
 def run_log(spark: SparkSession, path: str, newest: int = 30) -> DataFrame:

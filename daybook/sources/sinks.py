@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.sources.files import confined, write_files  # noqa: F401  confined is part of this module's surface
+
 
 def append(df: DataFrame, path: str) -> None:
     """Append activities, partitioned by day, so a day's filter reads that day only."""
@@ -23,23 +25,26 @@ def snapshot(df: DataFrame, folder: str, name: str) -> str:
     return path
 
 
-def write_texts(df: DataFrame, folder: str) -> None:
-    """One text per value of ``name``, in a folder of that name."""
-    df.select("name", F.col("text").alias("value")).repartition("name").write.mode("append").partitionBy("name").option("lineSep", "\n").text(folder)
-
-
 def write_notes(summaries: DataFrame, folder: str) -> None:
-    """Daily notes (date, summary, standup, total_activities) as texts of a vault, one per day."""
+    """Daily notes (date, summary, standup, total_activities) as ``{YYYY-MM-DD}.md`` in a vault's folder, one per day."""
     from daybook.operators.context import markdown
 
-    title = F.col("date").cast("string")
-    write_texts(summaries.select(title.alias("name"), markdown(title, F.col("summary"), F.col("standup"), F.col("total_activities")).alias("text")), folder)
+    title = F.date_format("date", "yyyy-MM-dd")
+    text = markdown(title, F.col("summary"), F.col("standup"), F.col("total_activities"))
+    write_files(summaries.select(F.concat(title, F.lit(".md")).alias("name"), text.alias("text"), "total_activities"), folder, order=["total_activities"])
+
+
+def agent_outputs(outputs: DataFrame) -> DataFrame:
+    """``(name, text, at)``: the file ``{slug}/{YYYY-MM-DD_HH-MM}.md`` of every
+    agent output (slug, at, text), which opens with the agent's name and time."""
+    stamp = F.date_format("at", "yyyy-MM-dd_HH-mm")
+    text = F.concat(F.lit("# "), "slug", F.lit(" \u2014 "), stamp, F.lit("\n\n"), F.coalesce("text", F.lit("")))
+    return outputs.select(F.concat("slug", F.lit("/"), stamp, F.lit(".md")).alias("name"), text.alias("text"), "at")
 
 
 def write_agent_outputs(outputs: DataFrame, folder: str) -> None:
-    """Agent outputs (slug, at, text) under ``{slug}/{time}.md``, as ``output_path`` names them."""
-    name = F.concat("slug", F.lit("/"), F.date_format("at", "yyyy-MM-dd_HH-mm"), F.lit(".md"))
-    write_texts(outputs.select(name.alias("name"), "text"), folder)
+    """Agent outputs as files; of an agent's outputs of one minute the latest stays."""
+    write_files(agent_outputs(outputs), folder, order=["at"])
 
 
 def output_path(folder: str, slug: str, at: str) -> str:
@@ -47,16 +52,6 @@ def output_path(folder: str, slug: str, at: str) -> str:
     return f"{folder.rstrip('/')}/{slug}/{at.replace(' ', '_').replace(':', '-')}.md"
 
 
-def confined(base: str, path: str) -> str:
-    """``path`` below ``base``; an escape from it is an error."""
-    import posixpath
-
-    full = posixpath.normpath(posixpath.join(base, path.lstrip("/")))
-    if full != posixpath.normpath(base) and not full.startswith(posixpath.normpath(base) + "/"):
-        raise ValueError(f"{path} leaves {base}")
-    return full
-
-
 def to_json(df: DataFrame) -> DataFrame:
     """Rows as JSON texts, as an interface would send them."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))

@@ -136,8 +136,8 @@ def test_agent_files(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "one\ntwo"), ("b", "three")], "name string, text string")
-    sinks.write_texts(df, str(tmp_path / "out"))
-    assert {r["name"]: r.value for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()} == {"a": "one\ntwo\n", "b": "three\n"}
+    sinks.write_files(df, str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"a": "one\ntwo", "b": "three"}
     days = spark.createDataFrame([(1, datetime.date(2024, 1, 1)), (2, datetime.date(2024, 1, 2))], "id long, date date")
     sinks.append(days, str(tmp_path / "t"))
     sinks.replace_days(days.where("id = 2").withColumn("id", F.lit(5).cast("long")), str(tmp_path / "t"))

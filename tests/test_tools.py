@@ -66,11 +66,16 @@ def test_notes_outputs_and_logs(spark, tmp_path):
     notes = str(tmp_path / "notes")
     days = spark.createDataFrame([(datetime.date(2024, 1, 2), "sum", "stand", 3), (datetime.date(2024, 1, 3), None, "", 0)], "date date, summary string, standup string, total_activities long")
     sinks.write_notes(days, notes)
-    back = {r["name"]: r["value"] for r in spark.read.text(notes, wholetext=True).select(F.col("name").cast("string").alias("name"), "value").collect()}
-    assert "## Standup\n\nstand" in back["2024-01-02"] and "Standup" not in back["2024-01-03"]
+    assert sorted(p.name for p in (tmp_path / "notes").iterdir()) == ["2024-01-02.md", "2024-01-03.md"]
+    assert "## Standup\n\nstand" in (tmp_path / "notes/2024-01-02.md").read_text() and "Standup" not in (tmp_path / "notes/2024-01-03.md").read_text()
     outputs = str(tmp_path / "outputs")
-    sinks.write_agent_outputs(spark.createDataFrame([("daily", AT, "body")], "slug string, at timestamp_ntz, text string"), outputs)
-    assert [r["value"] for r in spark.read.option("recursiveFileLookup", True).text(outputs).collect()] == ["body"]
+    late = AT + datetime.timedelta(seconds=30)
+    said = [("daily", AT, "body"), ("daily", late, "later"), ("weekly", datetime.datetime(2024, 1, 2, 3, 4), "all\nof it"), ("weekly", AT, None)]
+    sinks.write_agent_outputs(spark.createDataFrame(said, "slug string, at timestamp_ntz, text string"), outputs)
+    assert (tmp_path / "outputs/weekly/2024-01-02_03-04.md").read_text() == "# weekly \u2014 2024-01-02_03-04\n\nall\nof it"
+    assert (tmp_path / "outputs/daily/2024-01-15_10-00.md").read_text().endswith("\n\nlater")
+    found = agents.outputs(spark, f"{outputs}/weekly", newest=1).collect()
+    assert [(r["file"], r["total"]) for r in found] == [("2024-01-15_10-00.md", 2)] and found[0]["size"] == len(found[0]["text"].encode())
     log = tmp_path / "log.json"
     log.write_text("\n".join(json.dumps({"id": i, "agent": "a", "timestamp": f"2024-01-01T00:00:{i:02d}", "status": "ok"}) for i in range(40)))
     assert [r["id"] for r in agents.run_log(spark, str(log)).collect()] == list(range(39, 9, -1))
