@@ -862,6 +862,40 @@ def _(spark, d):
     return tumbling(a).withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
 
 
+@query(
+    "sliding_counts",
+    """select w as start, w + interval 1 hour as "end", category, count(*) as n
+    from (select category, unnest(list_transform(range(0, 4), lambda k: time_bucket(interval 15 minutes, timestamp) - to_minutes((15 * k)::int))) as w, timestamp from activities)
+    where timestamp < w + interval 1 hour group by all""",
+)
+def _(spark, d):
+    from daybook.streaming.streams import tumbling
+
+    a = tumbling(activities(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")), "1 hour", "15 minutes")
+    return a.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@query(
+    "session_counts",
+    """with g as (select app_name, timestamp, coalesce(timestamp > lag(timestamp) over w + interval 20 minutes, true)::int as opens from activities window w as (partition by app_name order by timestamp)),
+    s as (select app_name, timestamp, sum(opens) over (partition by app_name order by timestamp) as k from g)
+    select app_name, min(timestamp) as start, max(timestamp) + interval 20 minutes as "end", count(*) as n from s group by app_name, k""",
+)
+def _(spark, d):
+    from daybook.streaming.streams import sessions
+
+    a = sessions(activities(spark, d).withColumn("timestamp", F.col("timestamp").cast("timestamp")), "20 minutes")
+    return a.withColumns({"start": F.col("start").cast("timestamp_ntz"), "end": F.col("end").cast("timestamp_ntz")})
+
+
+@query("deduplicated_rows", "select id, user_id, category from (select *, row_number() over (partition by user_id, category, date_trunc('hour', timestamp) order by timestamp, id) as k from activities) where k = 1")
+def _(spark, d):
+    from daybook.streaming.streams import deduplicated
+
+    a = activities(spark, d).withColumn("hour", F.date_trunc("hour", F.col("timestamp").cast("timestamp")))
+    return deduplicated(a, ["user_id", "category", "hour"]).select("id", "user_id", "category")
+
+
 @query(
     "known_categories",
     """select page_id, case page_id % 6 when 0 then 'terminal' when 1 then 'communication' when 2 then 'writing' when 3 then 'communication' else 'terminal' end as category from pages""",

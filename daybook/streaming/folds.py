@@ -182,15 +182,24 @@ def poll_kernel(rows, **settings):
     return look_kernel(None, rows, **settings)[0]
 
 
-def per_key(rows: DataFrame, kernel: Callable, key: str | list[str], columns: list[str], schema: str) -> DataFrame:
+def per_key(rows: DataFrame, kernel: Callable, key: str | list[str], columns: list[str], schema: str, *, finish: Callable | None = None) -> DataFrame:
     """A kernel over each key's rows in order of (timestamp, id), in batch. The
-    outputs follow the key's columns; ``seconds`` among ``columns`` is the time in seconds."""
+    outputs follow the key's columns; ``seconds`` among ``columns`` is the time in seconds.
+    ``finish`` gives the outputs of a key's last state."""
     keys = [key] if isinstance(key, str) else key
     wanted = list(dict.fromkeys([*keys, "timestamp", "id", *(c for c in columns if c != "seconds")]))
     shape = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
+
+        def shown(out: list) -> pa.RecordBatch:
+            made = list(zip(*out)) if out else [()] * len(shape)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, shape)], schema=shape)
+
+        def ended() -> list:
+            return [(*at, *(x if isinstance(x, tuple) else (x,))) for x in finish(state)] if finish and at is not None else []
+
         for batch in batches:
             values = {c: batch.column(c).to_pylist() for c in wanted if c != "timestamp"}
             micros = batch.column("timestamp").cast(pa.timestamp("us", batch.column("timestamp").type.tz)).cast(pa.int64()).to_pylist()
@@ -199,10 +208,12 @@ def per_key(rows: DataFrame, kernel: Callable, key: str | list[str], columns: li
             spots = zip(zip(*(values[k] for k in keys)), zip(*(values[c] for c in columns)))
             for own, some in groupby(spots, lambda x: x[0]):
                 if own != at:
+                    out += ended()
                     at, state = own, None
                 made, state = kernel(state, [x for _, x in some])
                 out += [(*own, *(x if isinstance(x, tuple) else (x,))) for x in made]
-            made = list(zip(*out)) if out else [()] * len(shape)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(made, shape)], schema=shape)
+            yield shown(out)
+        if out := ended():
+            yield shown(out)
 
     return rows.select(*wanted).repartition(*keys).sortWithinPartitions(*keys, "timestamp", "id").mapInArrow(run, schema)

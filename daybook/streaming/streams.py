@@ -1,19 +1,15 @@
-"""Streaming twins of the folds, and windowed counts.
+"""Watermarks, deduplication and windowed counts, the same over streams and tables.
 
 Event times of a stream are TIMESTAMP; a journal's naive times are read as UTC.
-Windowed counts with watermarks and late-data handling have no counterpart in
-the batch catalogue: they are an extension.
+A row that is late, but within the watermark's delay, is counted; one that
+comes after its window has closed is dropped (``late_rows`` tells how many).
+Folds with state of their own are in ``stateful``.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def timed(df: DataFrame, delay: str = "3 minutes") -> DataFrame:
@@ -21,21 +17,13 @@ def timed(df: DataFrame, delay: str = "3 minutes") -> DataFrame:
     return df.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", delay)
 
 
-def keyed_fold(df: DataFrame, kernel, key: str, columns: list[str], schema: str, mode: str = "append") -> DataFrame:
-    """A kernel of ``folds`` over a stream, its state kept per key. Rows of a
-    micro-batch are put in order of (timestamp, id) first."""
-    names = [x.split()[0] for x in schema.split(",")]
-
-    def run(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(frames)).sort_values(["timestamp", "id"])
-        seconds = pdf["timestamp"].astype("datetime64[us, UTC]" if pdf["timestamp"].dt.tz is not None else "datetime64[us]").astype("int64") / 1e6
-        data = {"seconds": seconds, **{c: pdf[c] for c in pdf.columns}}
-        before = pickle.loads(state.get[0]) if state.exists else None
-        out, after = kernel(before, list(zip(*(data[c] for c in columns), strict=True)))
-        state.update((pickle.dumps(after),))
-        yield pd.DataFrame([(keys[0], *(x if isinstance(x, tuple) else (x,))) for x in out], columns=names)
-
-    return df.groupBy(key).applyInPandasWithState(run, schema, "state binary", mode, GroupStateTimeout.NoTimeout)
+def deduplicated(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row of each key. A stream forgets a key once the watermark has
+    passed its row by the delay, so what it holds is bounded by the rows of that
+    time; a table, which has no watermark, keeps the earliest row (ties by id)."""
+    if df.isStreaming:
+        return df.dropDuplicatesWithinWatermark(keys)
+    return df.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "id"))).where("_at = 1").drop("_at")
 
 
 def tumbling(df: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -58,3 +46,8 @@ def fresh(df: DataFrame, seconds: int = 180, now=None) -> DataFrame:
 def counted(df: DataFrame, name: str = "capture") -> DataFrame:
     """Counters of a running query, seen by listeners as observed metrics."""
     return df.observe(name, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "skipped").alias("skipped"), F.count_if(F.col("status") == "failed").alias("failed"))
+
+
+def late_rows(query) -> int:
+    """How many rows the operators of a streaming query have dropped as too late, as far as its kept progress goes."""
+    return sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"])

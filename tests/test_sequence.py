@@ -73,22 +73,6 @@ def test_meetings_and_polls():
     assert looks == [(0, True), (10, False), (15, False), (20, False), (40, False), (45, True), (55, False), (60, False), (65, False), (85, False)]
 
 
-@pytest.mark.parametrize("kernel,columns,schema", [(folds.alert_kernel, ["id", "seconds", "app_name", "category"], "user_id long, id long, kind string, minutes int"), (folds.tier_kernel, ["id", "seconds", "h", "mark"], "user_id long, id long, tier string")])
-def test_stream_equals_batch(spark, tmp_path, kernel, columns, schema):
-    rows = ordered(frames(7))
-    source = str(tmp_path / "in")
-    for k in range(3):  # three micro-batches in order of time
-        part = spark.createDataFrame(rows[k * 100 : (k + 1) * 100], SCHEMA).withColumn("mark", F.col("id") % 9 == 0)
-        part.coalesce(1).write.mode("append").parquet(source)
-    batch = folds.per_key(spark.read.parquet(source), kernel, "user_id", columns, schema)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(source)
-    out = streams.keyed_fold(stream.withColumn("timestamp", F.col("timestamp").cast("timestamp")), kernel, "user_id", columns, schema)
-    name = f"out_{len(columns)}_{kernel.__name__}"
-    q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
-    q.awaitTermination(120)
-    assert sorted(map(tuple, spark.table(name).collect())) == sorted(map(tuple, batch.collect()))
-
-
 def test_windowed_counts_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(frames(3), SCHEMA).write.parquet(source)
