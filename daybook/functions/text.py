@@ -150,15 +150,53 @@ def embedding_text(summary: Column, scene: Column, details: Column, app: Column,
     return F.concat_ws(". ", some(summary), some(scene, F.substring(scene, 1, 500)), some(details), some(app, F.concat(F.lit("Application: "), app)), some(category, F.concat(F.lit("Category: "), category)), shown)
 
 
-#: Signs of browser chrome in accessibility text.
-CHROME_MARKERS = ("minimize", "maximize", "close", "address and search bar", "bookmarks", "new tab", "back", "forward", "reload")
+#: Signs of window chrome in accessibility text, and what parts it from recognised text.
+CHROME_MARKERS = (
+    "minimize", "maximize", "restore", "close",
+    "tab bar", "app bar", "address and search bar",
+    "has access to this site", "no access needed",
+    "memory usage", "sleeping", "extensions",
+)
+PICTURE_MARK = "\n--- (from image OCR) ---\n"
 
 
 def is_content(text: Column, markers: tuple[str, ...] = CHROME_MARKERS) -> Column:
-    """Long text with fewer than three signs of window chrome."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    """Long text (over 100 characters but for white space at its ends) with fewer than three signs of window chrome."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.lower(text)
     seen = F.size(F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(low, m)))
-    return (F.length(low) > 100) & (seen < 3)
+    return (F.length(strip(text)) > 100) & (seen < 3)
+
+
+def merge_screen_texts(accessible: Column, recognised: Column) -> Column:
+    """``struct<text, method>`` of a screen that was read through accessibility
+    and by recognition; either may be null or empty.
+
+    Accessibility text that is content comes first; of the recognised text only
+    lines of more than three characters follow that it does not contain,
+    whatever their case. Text of window chrome precedes the recognised text as
+    a whole. Method is ``a11y``, ``ocr``, ``a11y+ocr`` or ``none``; chrome of
+    more than 20 characters without recognised text counts as ``a11y``, but no
+    text is kept of it."""
+    said, seen = F.coalesce(accessible, F.lit("")), F.coalesce(recognised, F.lit(""))
+    low = F.lower(said)
+    lines = F.transform(F.split(seen, "\n"), strip)
+    extras = F.filter(lines, lambda x: (F.length(x) > 3) & ~F.contains(low, F.lower(x)))
+    content = is_content(said)
+    both = lambda more: F.concat(said, F.lit(PICTURE_MARK), more)
+    text = (
+        F.when(content & (F.size(extras) > 0), both(F.array_join(extras, "\n")))
+        .when(content, said)
+        .when((seen != "") & (said != ""), both(seen))
+        .when(seen != "", seen)
+    )
+    method = (
+        F.when(content, F.when(F.size(extras) > 0, "a11y+ocr").otherwise("a11y"))
+        .when(seen != "", F.when(said != "", "a11y+ocr").otherwise("ocr"))
+        .when(F.length(strip(said)) > 20, "a11y")
+        .otherwise("none")
+    )
+    return F.struct(text.alias("text"), method.alias("method"))
 
 
 def first_keyword(text: Column, words: list[str]) -> Column:

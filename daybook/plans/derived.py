@@ -3,6 +3,8 @@ tables, for functions whose own inputs (screens, models, microphones) no table h
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from daybook.functions import layout, modeltext, titles
@@ -193,10 +195,42 @@ def _(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", T.is_casual(q).alias("casual"))
 
 
-@query("content_texts", f"with t as (select doc_id, lower(coalesce(text, '')) || case when doc_id % 3 = 0 then ' minimize maximize close' else '' end as low from documents) select doc_id, length(low) > 100 and ({' + '.join(f'''contains(low, '{m}')::integer''' for m in T.CHROME_MARKERS)}) < 3 as content from t")
+_MARKED = "contains(low, 'minimize')::int + contains(low, 'maximize')::int + contains(low, 'restore')::int + contains(low, 'close')::int + contains(low, 'tab bar')::int + contains(low, 'app bar')::int + contains(low, 'address and search bar')::int + contains(low, 'has access to this site')::int + contains(low, 'no access needed')::int + contains(low, 'memory usage')::int + contains(low, 'sleeping')::int + contains(low, 'extensions')::int"
+
+
+@query("content_texts", f"""with t as (select doc_id, case when lang = 'de' then 'Restore Tab Bar Extensions ' when lang = 'fr' then 'Close, sleeping: ' else '' end || coalesce(text, '') || '   ' as s from documents),
+    u as (select doc_id, s, lower(s) as low from t) select doc_id, length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) > 100 and {_MARKED} < 3 as content from u""")
+def _(spark, d):
+    """Texts behind three signs of window chrome, two, or none."""
+    chrome = F.when(F.col("lang") == "de", "Restore Tab Bar Extensions ").when(F.col("lang") == "fr", "Close, sleeping: ").otherwise("")
+    return read(spark, d, "documents").select("doc_id", T.is_content(F.concat(chrome, F.coalesce("text", F.lit("")), F.lit("   "))).alias("content"))
+
+
+_TWO_TEXTS = """t as (select doc_id, coalesce(text, '') as s, lang, source from documents),
+    u as (select doc_id, case when source in ('src1', 'src2') then null when lang = 'es' then 'Minimize Maximize Memory usage ' || substr(s, 1, 40) else substr(s, 1, 400) end as a,
+        case when source in ('src2', 'src4') then null else translate(substr(s, 201, 60), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || chr(10) || substr(s, 301, 300) end as o from t)"""
+
+
+@query(
+    "merged_texts",
+    f"""with {_TWO_TEXTS},
+    v as (select doc_id, coalesce(a, '') as a, coalesce(o, '') as o, lower(coalesce(a, '')) as low from u),
+    w as (select *, length(regexp_replace(a, '^\\s+|\\s+$', '', 'g')) as n, {_MARKED} as marks,
+        list_filter(list_transform(string_split(o, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) > 3 and not contains(low, lower(x))) as extras from v)
+    select doc_id,
+        case when n > 100 and marks < 3 then case when len(extras) > 0 then a || chr(10) || '--- (from image OCR) ---' || chr(10) || array_to_string(extras, chr(10)) else a end
+            when o <> '' and a <> '' then a || chr(10) || '--- (from image OCR) ---' || chr(10) || o when o <> '' then o end as text,
+        case when n > 100 and marks < 3 then case when len(extras) > 0 then 'a11y+ocr' else 'a11y' end when o <> '' then case when a <> '' then 'a11y+ocr' else 'ocr' end when n > 20 then 'a11y' else 'none' end as method
+    from w""",
+)
 def _(spark, d):
-    said = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " minimize maximize Close").otherwise(""))
-    return read(spark, d, "documents").select("doc_id", T.is_content(said).alias("content"))
+    """A screen's accessibility text, its chrome or none of it, beside recognised
+    text that overlaps with it and says some of it in capitals."""
+    s = F.coalesce("text", F.lit(""))
+    accessible = F.when(F.col("source").isin("src1", "src2"), None).when(F.col("lang") == "es", F.concat(F.lit("Minimize Maximize Memory usage "), F.substring(s, 1, 40))).otherwise(F.substring(s, 1, 400))
+    recognised = F.when(~F.col("source").isin("src2", "src4"), F.concat(F.translate(F.substring(s, 201, 60), ascii_lowercase, ascii_uppercase), F.lit("\n"), F.substring(s, 301, 300)))
+    rows = read(spark, d, "documents").select("doc_id", T.merge_screen_texts(accessible, recognised).alias("m"))
+    return rows.select("doc_id", "m.text", "m.method")
 
 
 @query("context_texts", "select doc_id, substr(coalesce(nullif(trim(case when doc_id % 3 = 0 then '  ' when doc_id % 3 = 1 then source end), ''), nullif(trim(text), '')), 1, 3000) as text from documents")

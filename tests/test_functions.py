@@ -187,3 +187,37 @@ def test_bm25_equals_fts5(spark, match, phrases):
     want = dict(db.execute("select rowid, bm25(t) from t where t match ?", (match,)).fetchall())
     got = {r.id: r.score for r in search.bm25(spark.createDataFrame(rows, "id long, one string, two string"), ["one", "two"], phrases).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+CHROME = ["minimize", "maximize", "restore", "close", "tab bar", "app bar", "address and search bar", "has access to this site", "no access needed", "memory usage", "sleeping", "extensions"]
+
+
+def merged(spark, rows):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, o string")
+    return [tuple(r["m"]) for r in df.select("i", text.merge_screen_texts(F.col("a"), F.col("o")).alias("m")).orderBy("i").collect()]
+
+
+def test_chrome_is_told_by_three_of_twelve_signs(spark):
+    long = "some words of a document that goes on for more than a hundred characters so that it can count as content "
+    rows = [(m, f"{long} {m.upper()} {CHROME[i - 1]} {CHROME[i - 2]}") for i, m in enumerate(CHROME)] + [("two", f"{long} close Close extensions"), ("long", long), ("short", "x" * 100 + " " * 50), ("edge", "x" * 101), ("null", None)]
+    got = dict(spark.createDataFrame(rows, "k string, t string").select("k", text.is_content(F.col("t"))).collect())
+    assert got == {**dict.fromkeys(CHROME, False), "two": True, "long": True, "short": False, "edge": True, "null": False}
+
+
+def test_two_texts_of_a_screen(spark):
+    content = "Notes of the day: the quick brown fox jumps over the lazy dog, again and again, until it gets dark and cold outside."
+    chrome = "Minimize Maximize Close Address and search bar"
+    mark = "\n--- (from image OCR) ---\n"
+    assert merged(spark, [(content, None), (content, "QUICK BROWN FOX\n  new line \nabc\n\nmore here"), (content, " lazy dog \nfox"), (chrome, "all of\n it "), (None, "seen"), ("", "seen"), (chrome, None), ("tiny", ""), (None, None), ("tiny", "seen")]) == [
+        (content, "a11y"),
+        (content + mark + "new line\nmore here", "a11y+ocr"),
+        (content, "a11y"),
+        (chrome + mark + "all of\n it ", "a11y+ocr"),
+        ("seen", "ocr"),
+        ("seen", "ocr"),
+        (None, "a11y"),
+        (None, "none"),
+        (None, "none"),
+        ("tiny" + mark + "seen", "a11y+ocr"),
+    ]
+
