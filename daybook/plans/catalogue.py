@@ -927,7 +927,64 @@ def _(spark, d):
     return rows.select("doc_id", organised_text(F.col("boxes"), column_regions(F.col("boxes"), F.lit(1920)), F.lit(1920), F.lit(1080)).alias("text"))
 
 
-@query("organized_screens", None)
+#: Boxes (id, place, x, y, text, conf) of DuckDB in reading order: regions (id, r, name, x0, x1, y0, y1, kind) take
+#: them, rows open where a box lies more than 25 below the first of its row, senders stand left of a timestamp.
+_PLACE_BOXES = r"""
+    homes as (
+        select b.*, (select arg_min(r.name, ((r.x1 - r.x0) * (r.y1 - r.y0), r.r)) from regions r
+            where r.id = b.id and b.cx between r.x0 and r.x1 and b.cy between r.y0 and r.y1) as home
+        from boxes b where length(text) > 1 and conf >= 0.3
+    ), placed as (
+        select *, regexp_matches(text, '\d{2}[-./]\d{2}[-./]\d{2,4}') as stamped, row_number() over (partition by id, home order by y, x, place) as k from homes
+    )"""
+_READ_SCREENS = r"""
+    senders as (
+        select t.id, t.home, arg_max(b.k, (b.x, -b.y, -b.place)) as k from placed t join placed b
+            on b.id = t.id and b.home = t.home and t.stamped and not b.stamped and b.x < t.x and b.y > t.y - 15 and b.y < t.y + 15
+        group by t.id, t.home, t.k
+    ), said as (
+        select p.*, p.k in (select s.k from senders s where s.id = p.id and s.home = p.home) as names from placed p
+    ), turns as (
+        select *, sum(names::int) over (partition by id, home order by k) as turn from said
+    ), spoken as (
+        select id, home, turn, max(text) filter (where names) || ': ' || string_agg(text, ' | ' order by k) filter (where not names and not stamped) as line
+        from turns where turn > 0 group by all
+    ), chats as (
+        select id, home, string_agg(line, chr(10) order by turn) as chat from spoken group by all
+    ), rows_of as (
+        select id, home, line, string_agg(text, '  ' order by x, k) as text from lines group by all
+    ), flat as (
+        select id, home, string_agg(text, chr(10) order by line) as flat from rows_of group by all
+    ), marked as (select id, home, bool_or(stamped) as stamped from placed group by all),
+    sections as (
+        select f.id, coalesce(r.r, 99) as r, '[' || coalesce(upper(replace(r.name, '_', ' ')), 'OTHER') || ']' || chr(10)
+            || case when r.kind in ('messages', 'chat') or contains(r.name, 'chat') or contains(r.name, 'message') or (m.stamped and r.kind in ('content', 'unknown', 'navigation')) then coalesce(c.chat, f.flat) else f.flat end as text
+        from flat f join marked m on m.id = f.id and m.home is not distinct from f.home
+            left join chats c on c.id = f.id and c.home = f.home left join regions r on r.id = f.id and r.name = f.home
+    )"""
+
+
+@query(
+    "organized_screens",
+    rf"""with w as (select doc_id as id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents),
+    u as (select id, unnest(w) as text, unnest(range(0, len(w))) as i, len(w) as n from w where len(w) > 0),
+    b as (
+        select id, n, n - 1 - i + 2 as place, (case i % 3 when 0 then 100 when 1 then 900 else 1600 end + 70 * (1 - (i // 3) % 2))::int as x, (40 * (i // 6) + 5 * ((i // 3) % 2))::int as y, text, 0.9 as conf from u
+        union all select distinct id, n, 0, 900, 10, 'doubtful', 0.29 from u
+        union all select distinct id, n, 1, 1750, 0, '12.03.24', 0.9 from u where id % 2 = 0
+    ), boxes as materialized (select *, (x + x + 60) / 2.0::double / 1920 as cx, (y + y + 20) / 2.0::double / (40 * n + 60) as cy from b),
+    sides as (select id, count(*) filter (where cx < 0.22) as l, count(*) filter (where cx > 0.78) as r, count(*) as n from boxes group by all),
+    regions as materialized (
+        select id, 1 as r, 'region_left' as name, 0.0 as x0, 0.22 as x1, 0.0 as y0, 1.0 as y1, 'navigation' as kind from sides where l >= 2
+        union all select id, 2, 'region_center', case when l >= 2 then 0.22 else 0.0 end, case when r >= 2 then 0.78 else 1.0 end, 0.0, 1.0, 'content' from sides where n - l - r >= 2
+        union all select id, 3, 'region_right', 0.78, 1.0, 0.0, 1.0, 'content' from sides where r >= 2
+        union all select id, 4, 'main_content', 0.0, 1.0, 0.0, 1.0, 'content' from sides where l < 2 and r < 2 and n - l - r < 2
+    ),
+    {_PLACE_BOXES},
+    lines as (select *, sum(opens) over (partition by id, home order by k) as line from (select *, coalesce(y - lag(y) over (partition by id, home order by k) > 25, true)::int as opens from placed)),
+    {_READ_SCREENS}
+    select id as doc_id, coalesce((select string_agg(s.text, chr(10) || chr(10) order by s.r) from sections s where s.id = i.id), '') as text from (select distinct id from u) i""",
+)
 def _(spark, d):
     """Every word of every text as a box: three columns, two boxes a row, the
     right one a chat for even ids; doubtful boxes between, and all in reverse."""
@@ -943,10 +1000,46 @@ def _(spark, d):
         x = F.when(i % 3 == 0, 100).when(i % 3 == 1, 900).otherwise(1600) + 70 * (1 - k % 2)
         return box(x, 40 * F.floor(k / 2) + 5 * (k % 2), word, 0.9)
 
-    words = F.filter(F.split("text", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    words = F.filter(F.split("text", "[ \t\n\x0B\f\r]+"), lambda w: w != "")
     rows = read(spark, d, "documents").select("doc_id", words.alias("words")).where(F.size("words") > 0)
     stamp = F.when(F.col("doc_id") % 2 == 0, F.array(box(F.lit(1750), F.lit(0), F.lit("12.03.24"), 0.9))).otherwise(F.array().cast("array<struct<box:array<array<int>>,text:string,conf:double>>"))
     doubtful = F.array(box(F.lit(900), F.lit(10), F.lit("doubtful"), 0.29))
     boxes = F.reverse(F.concat(F.transform("words", placed), stamp, doubtful))
     rows = rows.select("doc_id", boxes.alias("boxes"), (40 * F.size("words") + 60).alias("height"))
     return rows.select("doc_id", organised_text(F.col("boxes"), column_regions(F.col("boxes"), F.lit(1920)), F.lit(1920), F.col("height")).alias("text"))
+
+
+@query(
+    "screen_texts",
+    rf"""with recursive b as (
+        select conv_id as id, turn as place, ((turn * 331 + length(text) * 7) % 1700)::int as x, ((turn * 17 + length(text)) % 1000)::int as y,
+            case when turn % 3 = 1 then '02-12-2024 20:02' else regexp_replace(substr(text, 1, 12), '^\s+|\s+$', '', 'g') end as text, case when length(text) % 7 = 0 then 0.2 else 0.8 end as conf
+        from conversations
+    ), boxes as materialized (select *, (x + x + 60) / 2.0::double / 1920 as cx, (y + y + 20) / 2.0::double / 1080 as cy from b),
+    ids as (select distinct id from b),
+    regions as materialized (select id, r, name, x0, x1, y0, y1, kind from ids, (values (1, 'main', 0.0, 1.0, 0.0, 1.0, 'table'), (2, 'team_chat', 0.0, 0.6, 0.2, 0.9, 'content'), (3, 'top_bar', 0.0, 0.9, 0.0, 0.3, 'navigation')) v(r, name, x0, x1, y0, y1, kind)),
+    {_PLACE_BOXES},
+    tops as (
+        select id, home, k, y, y as top, 1 as line from placed where k = 1
+        union all select p.id, p.home, p.k, p.y, case when p.y - t.top > 25 then p.y else t.top end, t.line + (p.y - t.top > 25)::int
+        from tops t join placed p on p.id = t.id and p.home is not distinct from t.home and p.k = t.k + 1
+    ),
+    lines as (select p.*, t.line from placed p join tops t on t.id = p.id and t.home is not distinct from p.home and t.k = p.k),
+    {_READ_SCREENS}
+    select id as conv_id, coalesce((select string_agg(s.text, chr(10) || chr(10) order by s.r) from sections s where s.id = i.id), '') as text from ids i""",
+)
+def _(spark, d):
+    """Turns of a conversation as boxes strewn over a screen of three regions that
+    overlap; every third one is a timestamp."""
+    from daybook.functions.layout import organised_text
+    from daybook.functions.text import strip
+
+    n = F.length("text")
+    x, y = ((F.col("turn") * 331 + n * 7) % 1700).cast("int"), ((F.col("turn") * 17 + n) % 1000).cast("int")
+    point = lambda a, b: F.array(a, b)
+    said = F.when(F.col("turn") % 3 == 1, "02-12-2024 20:02").otherwise(strip(F.substring("text", 1, 12)))
+    box = F.struct(F.array(point(x, y), point(x + 60, y), point(x + 60, y + 20), point(x, y + 20)).alias("box"), said.alias("text"), F.when(n % 7 == 0, 0.2).otherwise(0.8).alias("conf"))
+    screens = read(spark, d, "conversations").select("conv_id", F.struct("turn", box.alias("b")).alias("t")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["b"]).alias("boxes"))
+    part = lambda name, x0, x1, y0, y1, kind: F.struct(F.lit(name).alias("name"), F.lit(x0).alias("x_start"), F.lit(x1).alias("x_end"), F.lit(y0).alias("y_start"), F.lit(y1).alias("y_end"), F.lit(kind).alias("content_type"))
+    regions = F.array(part("main", 0.0, 1.0, 0.0, 1.0, "table"), part("team_chat", 0.0, 0.6, 0.2, 0.9, "content"), part("top_bar", 0.0, 0.9, 0.0, 0.3, "navigation"))
+    return screens.select("conv_id", organised_text(F.col("boxes"), regions, F.lit(1920), F.lit(1080)).alias("text"))

@@ -142,23 +142,6 @@ def box(x, y, said, conf=0.9, w=80):
     return {"box": [[x, y], [x + w, y], [x + w, y + 20], [x, y + 20]], "text": said, "conf": conf}
 
 
-def test_layout_text(spark):
-    assert layout.plain_text([box(200, 12, "b"), box(10, 0, "a"), box(10, 40, "c")]) == "a  b\nc"
-    assert len(layout.visual_rows([box(0, 0, "a"), box(0, 20, "b"), box(0, 40, "c")])) == 2  # the row's first box is the anchor
-    chat = [box(10, 0, "Ann"), box(200, 3, "02-12-2024 20:02"), box(10, 30, "hi"), box(10, 60, "there"), box(10, 100, "Bob"), box(200, 100, "02-12-2024 20:03"), box(10, 130, "yo")]
-    assert layout.chat_text(chat) == "Ann: hi | there\nBob: yo"
-    assert layout.chat_text([box(0, 0, "just"), box(100, 0, "rows")]) == "just  rows"
-    regions = [{"name": "main_content", "x_start": 0.0, "x_end": 1.0, "y_start": 0.0, "y_end": 1.0, "content_type": "content"}, {"name": "side", "x_start": 0.0, "x_end": 0.2, "y_start": 0.0, "y_end": 1.0, "content_type": "navigation"}]
-    boxes = [box(10, 10, "menu"), box(900, 10, "body"), box(900, 60, "x"), box(900, 90, "dim", 0.2)]
-    want = "[MAIN CONTENT]\nbody\n\n[SIDE]\nmenu"
-    assert layout.organise(boxes, regions, 1920, 1080) == want
-    from daybook.schema import BOX, REGION
-
-    got = one(spark, layout.organised_text(F.col("b"), F.col("r"), F.lit(1920), F.lit(1080)), b=(f"array<{BOX}>", boxes), r=(f"array<{REGION}>", regions))
-    assert got == want
-    assert layout.organise([], regions, 1, 1) == ""
-
-
 def test_layout_regions(spark):
     from daybook.schema import BOX
 
