@@ -17,6 +17,7 @@ read whole; repeated rows come out alike; other columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -37,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 class PieceCodec:
     """Encoder and decoder of one model; built from the bytes of its file."""
 
-    def __init__(self, model: bytes, cache_size: int = 100_000):
+    def __init__(self, model: bytes, cache_size: int = 150_000):
         import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -65,7 +66,7 @@ class PieceCodec:
         if not trainer.byte_fallback:
             self.bytes = [self.unknown] * 256
         self.decimal = [str(i) for i in range(len(self.texts))]
-        split = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        self.split = split = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if split else r"(?s).+")
         self.pairs: dict[int, bool] = {}
         self.histories: dict[int, list[tuple[float, str, str]]] = {}
@@ -75,6 +76,10 @@ class PieceCodec:
                 self.automaton.add_word(piece, (i, len(piece)))
         self.automaton.make_automaton()
         self.cache: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.marks: dict[str, tuple[int, str, str]] = {}
+        self.inside = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours in some piece
         self.cache_size = cache_size
 
     def merged(self, text: str) -> tuple[list[str], list[tuple[float, str, str]]]:
@@ -185,6 +190,45 @@ class PieceCodec:
             ids += found
         return ids
 
+    def _word(self, word: str) -> tuple[int, str, str]:
+        """Of a blank and a word: how many ids, the ids in decimal, and what they decode to.
+        No piece holds the last two characters of most words that end in a mark, so none crosses there."""
+        if len(word) > 1 and word[-2:] not in self.inside:
+            a, b = self._known(word[:-1]), self.marks.get(word[-1])
+            if b is None:
+                b = self.marks[word[-1]] = self._shown(self._chunk(word[-1]))
+            return a[0] + b[0], f"{a[1]},{b[1]}", a[2] + b[2]
+        return self._shown(self._chunk(BLANK + word))
+
+    def _known(self, word: str) -> tuple[int, str, str]:
+        """``_word`` without a look at its mark, kept for the next time."""
+        found = self.words.get(word) or self.older.get(word) or self._shown(self._chunk(BLANK + word))
+        if len(word) <= 64:
+            self.words[word] = found
+        return found
+
+    def _shown(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), ",".join(map(self.decimal.__getitem__, ids)), b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
+
+    def texts_of(self, text: str | None) -> tuple[int, str, str]:
+        """How many ids a text has, the ids in decimal, joined by commas, and what they decode to.
+        Words parted by single blanks are chunks of their own, and known ones are looked up."""
+        words = text.split(" ") if text else []
+        if not words or not self.prefix or not self.split or "" in words or BLANK in text:
+            ids = self.encode(text)
+            return len(ids), ",".join(map(self.decimal.__getitem__, ids)), self.decode(ids)
+        if len(self.words) > self.cache_size:  # words not met since the last time are forgotten
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        new = [w for w in set(words) if w not in known]
+        for w in new:
+            known[w] = older.get(w) or self._word(w)
+        n, ids, shown = zip(*map(known.__getitem__, words))
+        for w in new:
+            if len(w) > 64:
+                del known[w]
+        return sum(n), ",".join(ids), "".join(shown)[1:]  # without the blank put before the text
+
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.surface.__getitem__, ids))
         if self.prefix and ids and self.texts[ids[0]].startswith(BLANK):
@@ -242,16 +286,18 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # large caches without cycles; tidy collects when the task ends
         codec = PieceCodec(shared.value)  # of this task: goes with its caches
         for batch in batches:
             n_tokens, ids_sha256, decoded_sha256 = [], [], []
             for text in batch.column(1):  # one text at a time, not a batch of them
-                ids = codec.encode(text.as_py())
-                n_tokens.append(len(ids))
-                ids_sha256.append(hashlib.sha256(",".join(map(codec.decimal.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha256.append(hashlib.sha256(codec.decode(ids).encode()).hexdigest())
+                n, ids, shown = codec.texts_of(text.as_py())
+                n_tokens.append(n)
+                ids_sha256.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded_sha256.append(hashlib.sha256(shown.encode()).hexdigest())
             columns = [batch.column(0), pa.array(n_tokens, pa.int64()), pa.array(ids_sha256, pa.string()), pa.array(decoded_sha256, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        gc.enable()
 
     out = T.StructType([docs.schema[id_col], *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))])
     return docs.select(id_col, text_col).mapInArrow(run, out)
