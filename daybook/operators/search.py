@@ -10,6 +10,8 @@ of the terms asked for, or, for rows without one, from one scan of their texts.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,7 @@ def _indexed_counts(index: TextIndex, phrases: list[list[str]]) -> DataFrame:
         part = index.hits(phrase).select("key", *[(F.col("f") if i == j else F.lit(0)).alias(f"f{i}") for i in range(len(phrases))])
         found = part if found is None else found.unionByName(part)
     sums = [F.sum(f"f{j}").alias(f"f{j}") for j in range(len(phrases))]
-    return index.table("rows").join(found.groupBy("key").agg(*sums), "key").groupBy("id").agg(F.first("len").alias("len"), *sums)
+    return index.matches(found.groupBy("key").agg(*sums)).groupBy("id").agg(F.first("len").alias("len"), *sums)
 
 
 def bm25(rows: DataFrame | None, columns: list[str], phrases: list[list[str]], id_col: str = "id", *, index: TextIndex | None = None) -> DataFrame:
@@ -84,6 +86,17 @@ def bm25(rows: DataFrame | None, columns: list[str], phrases: list[list[str]], i
     return both.select("id", score.alias("score"))
 
 
+def best_of_term(index: TextIndex, term: str, allowed: DataFrame, limit: int) -> DataFrame | None:
+    """``(id, score)`` of the best rows of one term, out of the first blocks of a
+    frequent one; None for a term without blocks. Scores are those of ``bm25``."""
+    best = index.best(term, limit, allowed)
+    if best is None:
+        return None
+    found, n, _ = best
+    idf = log((index.rows - n + 0.5) / (n + 0.5))
+    return found.select("id", (-(idf if idf > 0 else LEAST_IDF) * F.col("weight")).alias("score"))
+
+
 def cosine(vector: str, query: list[float]) -> Column:
     """Inner product with a unit query vector, in double precision."""
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -102,9 +115,10 @@ def nearest(rows: DataFrame, query: list[float], top: int, *, cap: int | None =
 
 def keyword_hits(activities: DataFrame, columns: list[str], phrases: list[list[str]], limit: int, *, only_ok: bool = True, first: str | None = None, last: str | None = None, index: TextIndex | None = None) -> DataFrame:
     """``(id, score, place)`` of the best matches, places from 0."""
-    found = bm25(activities, columns, phrases, index=index)
-    kept = ok(activities) if only_ok else activities
-    found = found.join(in_range(kept, first, last).select("id"), "id", "left_semi").orderBy("score", "id").limit(limit)
+    kept = in_range(ok(activities) if only_ok else activities, first, last).select("id")
+    found = best_of_term(index, phrases[0][0], kept, limit) if index is not None and len(phrases) == 1 and len(phrases[0]) == 1 else None
+    if found is None:
+        found = bm25(activities, columns, phrases, index=index).join(kept, "id", "left_semi").orderBy("score", "id").limit(limit)
     return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("score", "id")) - 1)  # over ``limit`` rows
 
 

@@ -1,33 +1,49 @@
-"""A stored inverted index of texts, checked against its source and mended where it differs.
+"""A stored inverted index of texts in segments, checked against its source and mended where it differs.
 
-Screen texts repeat: most frames look like the one before. So the index is kept
-by distinct text, and rows point to the texts of their columns. A generation is
-four tables below one folder, written once and never changed:
+Screen texts repeat: most frames look like the one before. So words are kept by
+distinct text, and rows point to the texts of their columns. A change writes a
+segment of its own size: the rows it brings, and a list of the older rows that
+it replaces or deletes. Segments of like size are merged when there are several
+of them, so a row is rewritten a few times in all, and a question meets few
+segments. Below one folder stand, each partitioned by segment:
 
 * ``texts``: key (128-bit hash of the text), words
 * ``postings``: bucket (of the term), term, key, positions
-* ``rows``: id, column, key, len (words of all columns of the row)
-* ``about`` (of all generations): generation, sign of the source, columns, rows, words
-
-A question reads the buckets of its terms, the narrow ``rows`` table, and one
-row of ``about``. A generation counts once its row of ``about`` is there, so a
-build that is cut off leaves no half index behind.
+* ``rows``: part (of the key), id, column, key, len (words of all columns of the row)
+* ``terms``: bucket, term, n (rows that hold it), and of frequent terms blocks
+* ``tops``: of frequent terms bucket, term, block, id, f, len
+* ``gone``: rows (of a segment, id) that no longer count, with their keys
+* ``about``: one row a generation: its segments, what is gone, rows, words, sign of the source
+
+The rows of a frequent term are ordered by their weight in a score, and cut
+into blocks that double in size; a block's largest weight bounds the score of
+all its rows, also when the average length has changed since (``bound``). The best rows of a term are therefore
+found from its first blocks: reading stops where no block left can hold a
+better one, whatever the filter, and the scores are those of a full scan.
+
+A generation counts once its row of ``about`` is there, so a change that is cut
+off leaves the last one as it was. Files are never changed; ``vacuum`` removes
+segments that no kept generation names.
 """
 
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Letters and what they are without their marks.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-BUCKETS = 64
-FORMAT = "format-1"  # below a store's folder: tables of another format are not looked at
+BUCKETS, PARTS = 64, 64
+FORMAT = "format-2"  # below a store's folder: tables of another format are not looked at
+FREQUENT = 128  # rows from which a term has blocks, and rows of its first block
+FANOUT = 4  # segments of like size that are merged into one, and the step between sizes
+SMALL = 100_000  # rows up to which a list of gone rows is broadcast; its size is in ``about``
+K1, B = 1.2, 0.75
 
 
 def tokens(text: Column) -> Column:
@@ -39,9 +55,35 @@ def _bucket(term: Column | str) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _part(key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+
+
+def weight(f: Column, length: Column, average: Column | float) -> Column:
+    """A row's share of a term's score, before the term's rarity."""
+    return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
+
+
+def bound(most: float, before: float, average: float) -> float:
+    """What a weight can be at most now that was ``most`` while the average length
+    was ``before``: a longer average lightens the share of length by their ratio at most."""
+    x, ratio = most / (K1 + 1), max(average / before, 1.0)
+    return (K1 + 1) * x * ratio / (x * ratio + 1 - x)
+
+
+SHAPES = {
+    "texts": "key binary, words array<string>, seg string",
+    "postings": "term string, key binary, positions array<int>, seg string, bucket int",
+    "rows": "id {kind}, column int, key binary, len long, seg string, part int",
+    "terms": "term string, n long, blocks array<struct<w:double,n:long>>, seg string, bucket int",
+    "tops": "term string, block int, id {kind}, f int, len long, seg string, bucket int",
+    "gone": "of string, id {kind}, len long, keys array<binary>, seg string",
+}
+
+
 @dataclass
 class TextIndex:
-    """One generation."""
+    """One generation. ``segments`` are (name, rows, words), ``gone`` (name, rows)."""
 
     spark: SparkSession
     path: str
@@ -49,14 +91,30 @@ class TextIndex:
     rows: int
     words: int
     kind: str  # type of the ids
-
-    def table(self, name: str) -> DataFrame:
-        shape = {"texts": "key binary, words array<string>", "postings": "term string, key binary, positions array<int>, bucket int", "rows": f"id {self.kind}, column int, key binary, len long"}
-        return self.spark.read.schema(shape[name]).parquet(f"{self.path}/{name}")
+    generation: str = ""
+    sign: str = ""
+    segments: list[tuple[str, int, int]] = field(default_factory=list)
+    gone: list[tuple[str, int]] = field(default_factory=list)
+
+    def table(self, name: str, segments: list[str] | None = None) -> DataFrame:
+        """A table of the generation's segments, without what is gone of its rows."""
+        wanted = segments if segments is not None else [g for g, _ in self.gone] if name == "gone" else [x for x, *_ in self.segments]
+        shape = SHAPES[name].format(kind=self.kind)
+        if not wanted:
+            return self.spark.createDataFrame([], shape)
+        found = self.spark.read.schema(shape).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/seg={x}" for x in wanted])
+        return self.living(found) if name in ("rows", "tops") and self.gone else found
+
+    def living(self, rows: DataFrame) -> DataFrame:
+        """Rows (seg, id) that still count."""
+        gone = self.table("gone").select(F.col("of").alias("seg"), "id")
+        return rows.join(F.broadcast(gone) if sum(n for _, n in self.gone) <= SMALL else gone, ["seg", "id"], "left_anti")
 
     def postings(self, term: str) -> DataFrame:
-        """``(key, positions)`` of the texts that hold a term; reads one bucket."""
-        return self.table("postings").where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)).select("key", "positions")
+        """``(key, positions)`` of the texts that hold a term, a text once; reads one bucket of each segment."""
+        found = self.table("postings").where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term))
+        found = found.select("key", "positions")
+        return found if len(self.segments) == 1 else found.groupBy("key").agg(F.first("positions").alias("positions"))  # the same text has the same positions
 
     def hits(self, phrase: list[str]) -> DataFrame:
         """``(key, f)``: how often each text holds the words one after another."""
@@ -66,6 +124,55 @@ class TextIndex:
             found = found.join(after, "key").select("key", F.array_intersect("positions", "before").alias("positions"))
         return found.select("key", F.size("positions").alias("f")).where("f > 0")
 
+    def matches(self, hits: DataFrame) -> DataFrame:
+        """``rows`` of texts (key, ...); only the parts of their keys are read where the planner knows them."""
+        return self.table("rows").join(hits.withColumn("part", _part("key")), ["part", "key"])
+
+    def frequency(self, term: str) -> tuple[int, list[tuple[str, int, int, float]], list[str]]:
+        """How many rows hold a term, its blocks as (segment, block, rows, largest weight), and segments where it has none."""
+        found = self.table("terms").where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)).collect()  # a row a segment
+        n = sum(r["n"] for r in found)
+        if n and self.gone:
+            lost = self.table("gone").select("of", "id", F.explode(F.array_distinct("keys")).alias("key")).join(self.postings(term).select("key"), "key")
+            n -= lost.where(F.col("of").isin([x for x, *_ in self.segments])).select("of", "id").distinct().count()
+        return n, [(r["seg"], i, b["n"], b["w"]) for r in found for i, b in enumerate(r["blocks"] or [])], [r["seg"] for r in found if not r["blocks"]]
+
+    def best(self, term: str, limit: int, allowed: DataFrame | None = None) -> tuple[DataFrame, int, int] | None:
+        """The ``limit`` rows (id, weight) of the largest weight among those of
+        ``allowed`` (ties to the smaller id), how many rows hold the term, and
+        how many rows of its blocks were read; None for a term without blocks."""
+        n, blocks, rare = self.frequency(term)
+        if not blocks:
+            return None
+        average = self.words / self.rows
+        own = lambda t, segments: self.table(t, segments).where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term))
+        few = None  # rows of segments that hold the term rarely, all of them
+        if rare:
+            hits = own("postings", rare).select("seg", "key", F.size("positions").alias("f"))
+            few = self.table("rows", rare).join(hits, ["seg", "key"]).groupBy("id").agg(F.sum("f").alias("f"), F.first("len").alias("len"))
+        before = {seg: max(words, 1) / max(rows, 1) for seg, rows, words in self.segments}
+        order = sorted(((bound(most, before[seg], average) + 1e-9, size, seg, block) for seg, block, size, most in blocks if size), reverse=True)
+        taken, read, least, found = 0, 0, float("-inf"), None
+        while taken < len(order) and order[taken][0] >= least:
+            aim, more = max(4 * limit, FREQUENT, read), 0  # each round reads about as much as all before it
+            while taken < len(order) and order[taken][0] >= least and more < aim:
+                more += order[taken][1]
+                taken += 1
+            read += more
+            chosen = F.array(*[F.struct(F.lit(seg).alias("seg"), F.lit(block).alias("block")) for _, _, seg, block in order[:taken]])
+            tops = own("tops", sorted({x[2] for x in order[:taken]})).where(F.col("block").isin(sorted({x[3] for x in order[:taken]})) & F.array_contains(chosen, F.struct("seg", "block")))
+            tops = tops.select("id", "f", "len") if few is None else tops.select("id", "f", "len").unionByName(few)
+            tops = tops.select("id", weight(F.col("f"), F.col("len"), average).alias("weight"))
+            found = tops if allowed is None else allowed.select("id").join(F.broadcast(tops) if read <= SMALL else tops, "id")
+            found = found.orderBy(F.col("weight").desc(), "id").limit(limit)
+            if taken < len(order):
+                held = [r["weight"] for r in found.select("weight").collect()]  # ``limit`` numbers at most
+                least = min(held) if len(held) == limit else float("-inf")
+        return found, n, read
+
+
+# --------------------------------------------------------------------- writing
+
 
 def _cells(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     """``(id, column, text, key)``; a null text is the empty one."""
@@ -80,39 +187,153 @@ def _about(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+def _generation(spark: SparkSession, folder: str, row) -> TextIndex:
+    return TextIndex(spark, f"{folder}/{FORMAT}", list(row["columns"]), row["n"], row["words"], row["kind"], row["generation"], row["sign"], [tuple(x) for x in row["segments"]], [tuple(x) for x in row["gone"]])
+
+
 def current(spark: SparkSession, folder: str, sign: str | None = None) -> TextIndex | None:
     """The newest generation, or the newest of a source's ``sign``."""
     about = _about(spark, folder)
     if about is None:
         return None
-    found = (about if sign is None else about.where(F.col("sign") == sign)).orderBy(F.col("built").desc(), "generation").first()
-    return TextIndex(spark, f"{folder}/{FORMAT}/{found['generation']}", list(found["columns"]), found["n"], found["words"], found["kind"]) if found else None
-
-
-def build(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_col: str = "id", *, old: TextIndex | None = None, splits: int = 4) -> TextIndex:
-    """Write a generation. Texts that ``old`` knows are taken from it and not split into words again."""
-    spark, generation = rows.sparkSession, uuid.uuid4().hex
-    path, kind = f"{folder}/{FORMAT}/{generation}", rows.schema[id_col].dataType.simpleString()
-    made = TextIndex(spark, path, columns, 0, 0, kind)
-    cells = _cells(rows, columns, id_col)
-    new = cells.select("key", "text")
-    if old is not None:
-        new = new.join(old.table("texts").select("key"), "key", "left_anti")
-    fresh = new.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("words"))
-    if old is not None:
-        fresh = fresh.unionByName(old.table("texts").join(cells.select("key"), "key", "left_semi"))
-    fresh.write.parquet(f"{path}/texts")
-    texts = made.table("texts")
+    found = (about if sign is None else about.where(F.col("sign") == sign)).orderBy(F.col("generation").desc()).first()
+    return _generation(spark, folder, found) if found else None
+
+
+def _next(spark: SparkSession, folder: str) -> str:
+    """A name that sorts behind those of all generations and segments so far."""
+    about = _about(spark, folder)
+    last = None if about is None else about.agg(F.max("generation")).first()[0]
+    return f"{int(last.split('-')[0]) + 1 if last else 0:010d}-{uuid.uuid4().hex[:12]}"
+
+
+def _publish(index: TextIndex, folder: str, name: str, sign: str, segments: list, gone: list) -> TextIndex:
+    """Write a generation's row of ``about``. Lists of gone rows older than every segment have no effect and are left out."""
+    gone = [g for g in gone if any(x < g[0] for x, *_ in segments)]
+    lost = index.table("gone", [g for g, _ in gone]).where(F.col("of").isin([x for x, *_ in segments])).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first() if gone else (0, 0)
+    n, words = sum(x[1] for x in segments) - lost[0], sum(x[2] for x in segments) - lost[1]
+    made = TextIndex(index.spark, index.path, index.columns, n, words, index.kind, name, sign, segments, gone)
+    about = index.spark.createDataFrame([(name, sign, index.columns, segments, gone, n, words, index.kind)], "generation string, sign string, columns array<string>, segments array<struct<name:string,n:long,words:long>>, gone array<struct<name:string,n:long>>, n long, words long, kind string")
+    about.coalesce(1).write.mode("append").parquet(f"{folder}/{FORMAT}/about")
+    return made
+
+
+def _segment(index: TextIndex, name: str, cells: DataFrame, texts: DataFrame, splits: int = 4) -> tuple[str, int, int]:
+    """Write the tables of one segment out of cells (id, column, key) and their texts (key, words)."""
+
+    def put(table: str, rows: DataFrame, *by: str) -> None:
+        (rows.write.partitionBy(*by) if by else rows.write).parquet(f"{index.path}/{table}/seg={name}")
+
+    def own(table: str) -> DataFrame:
+        return TextIndex(index.spark, index.path, index.columns, 0, 0, index.kind).table(table, [name])
+
+    put("texts", texts.select("key", "words"))
+    texts = own("texts")
     places = texts.select("key", F.posexplode("words").alias("position", "term")).groupBy("key", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
     places = places.select(_bucket("term").alias("bucket"), "term", "key", "positions")
-    places.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(splits))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    put("postings", places.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(splits))).sortWithinPartitions("bucket", "term"), "bucket")
     sized = cells.select("id", "column", "key").join(texts.select("key", F.size("words").alias("n")), "key")
-    whole = sized.groupBy("id").agg(F.sum("n").alias("len"), F.collect_list(F.struct("column", "key")).alias("cells"))
-    whole.select("id", F.inline("cells"), "len").write.parquet(f"{path}/rows")
-    n, words = made.table("rows").where(F.col("column") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
-    about = spark.createDataFrame([(generation, sign, columns, n, words, kind)], "generation string, sign string, columns array<string>, n long, words long, kind string")
-    about.withColumn("built", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{folder}/{FORMAT}/about")
-    return TextIndex(spark, path, columns, n, words, kind)
+    whole = sized.groupBy("id").agg(F.sum("n").cast("long").alias("len"), F.collect_list(F.struct("column", "key")).alias("cells"))
+    whole = whole.select("id", F.inline("cells"), "len").withColumn("part", _part("key"))
+    put("rows", whole.repartition("part").sortWithinPartitions("part", "key"), "part")
+    n, words = own("rows").where(F.col("column") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+    # the rows of each term, by weight
+    counts = own("postings").select("bucket", "term", "key", F.size("positions").alias("f")).join(own("rows").select("id", "key", "len"), "key")
+    counts = counts.groupBy("bucket", "term", "id").agg(F.sum("f").cast("int").alias("f"), F.first("len").alias("len"))
+    many = counts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"))
+    often = counts.join(many.where(F.col("n") >= FREQUENT).select("bucket", "term"), ["bucket", "term"])
+    # a block is a range of weights, so no task has to order all rows of a term: how many rows each weight
+    # has comes first, and the rows before a weight give its block
+    exact = weight(F.col("f"), F.col("len"), max(words, 1) / max(n, 1))
+    often = often.withColumn("w", F.round(exact, 4))
+    steps = often.groupBy("bucket", "term", "w").agg(F.count(F.lit(1)).alias("c"))
+    before = F.sum("c").over(Window.partitionBy("bucket", "term").orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.select("bucket", "term", "w", F.floor(F.log2(F.coalesce(before, F.lit(0)) / FREQUENT + 1)).cast("int").alias("block"))
+    put("tops", often.join(steps, ["bucket", "term", "w"]).select("bucket", "term", "block", "id", "f", "len").repartition("bucket", "block").sortWithinPartitions("bucket", "term", "block"), "bucket")
+    blocks = own("tops").groupBy("bucket", "term", "block").agg(F.max(exact).alias("w"), F.count(F.lit(1)).alias("n"))
+    # blocks are numbered without gaps by their place in the list
+    blocks = blocks.groupBy("bucket", "term").agg(F.array_sort(F.collect_list(F.struct("block", "w", "n"))).alias("b"))
+    last = F.element_at("b", -1)["block"]
+    found = lambda k: F.get(F.filter("b", lambda x: x["block"] == k), F.lit(0))
+    listed = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.coalesce(found(k)["w"], F.lit(0.0)).alias("w"), F.coalesce(found(k)["n"], F.lit(0)).cast("long").alias("n")))
+    terms = many.join(blocks.select("bucket", "term", listed.alias("blocks")), ["bucket", "term"], "left")
+    put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
+    return name, n, words
+
+
+def _fresh(cells: DataFrame) -> DataFrame:
+    """``(key, words)`` of the distinct texts of cells."""
+    return cells.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("words"))
+
+
+def build(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_col: str = "id") -> TextIndex:
+    """A generation of one segment, out of the source alone."""
+    spark = rows.sparkSession
+    index = TextIndex(spark, f"{folder}/{FORMAT}", columns, 0, 0, rows.schema[id_col].dataType.simpleString())
+    name, cells = _next(spark, folder), _cells(rows, columns, id_col)
+    return _publish(index, folder, name, sign, [_segment(index, name, cells, _fresh(cells))], [])
+
+
+def change(index: TextIndex, folder: str, sign: str, *, rows: DataFrame | None = None, ids: DataFrame | None = None, id_col: str = "id") -> TextIndex:
+    """A generation with ``rows`` put in, those of known ids replaced, and rows of
+    ``ids`` (a column id) deleted. What is written has the size of the change."""
+    name = _next(index.spark, folder)
+    parts = [x.select(F.col(c).alias("id")) for x, c in ((rows, id_col), (ids, "id")) if x is not None]
+    changed = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct()
+    old = index.table("rows").join(changed, "id", "left_semi").groupBy(F.col("seg").alias("of"), "id").agg(F.first("len").alias("len"), F.collect_list("key").alias("keys"))
+    old.write.parquet(f"{index.path}/gone/seg={name}")
+    lost = index.table("gone", [name]).count()
+    segments = list(index.segments)
+    if rows is not None:
+        cells = _cells(rows, index.columns, id_col)
+        segments.append(_segment(index, name, cells, _fresh(cells)))
+    return merged(_publish(index, folder, name, sign, segments, [*index.gone, *([(name, lost)] if lost else [])]), folder)
+
+
+def merged(index: TextIndex, folder: str) -> TextIndex:
+    """The generation with segments of like size (by the power of ``FANOUT``) merged where there are ``FANOUT`` of them."""
+    tiers: dict[int, list[tuple[str, int, int]]] = {}
+    for x in index.segments:
+        tier = 0
+        while x[1] >= FANOUT ** (tier + 1):
+            tier += 1
+        tiers.setdefault(tier, []).append(x)
+    for some in tiers.values():
+        if len(some) >= FANOUT:
+            return merged(compact(index, folder, [x for x, *_ in some]), folder)
+    return index
+
+
+def compact(index: TextIndex, folder: str, names: list[str] | None = None) -> TextIndex:
+    """A generation whose segments ``names`` (all, if None) are one; rows that are gone are left behind. No text is split into words again."""
+    names = [x for x, *_ in index.segments] if names is None else names
+    name = _next(index.spark, folder)
+    cells = index.table("rows", names).select("id", "column", "key")
+    texts = index.table("texts", names).join(cells.select("key"), "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    made = _segment(index, name, cells, texts)
+    kept = [x for x in index.segments if x[0] not in names]
+    return _publish(index, folder, name, index.sign, [*kept, made], index.gone)
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
+    """Remove segments that none of the newest ``keep`` generations names; returns their names."""
+    about = _about(spark, folder)
+    kept = set()
+    for row in about.orderBy(F.col("generation").desc()).limit(keep).collect():
+        kept |= {x["name"] for x in row["segments"]} | {x["name"] for x in row["gone"]}
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{FORMAT}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = set()
+    for table in SHAPES:
+        for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{FORMAT}/{table}/seg=*")) or []:
+            name = found.getPath().getName().removeprefix("seg=")
+            if name not in kept:
+                files.delete(found.getPath(), True)
+                removed.add(name)
+    return sorted(removed)
+
+
+# -------------------------------------------------------------------- checking
 
 
 def differences(index: TextIndex, rows: DataFrame, id_col: str = "id") -> DataFrame:
@@ -125,9 +346,12 @@ def differences(index: TextIndex, rows: DataFrame, id_col: str = "id") -> DataFr
 
 def there(index: TextIndex) -> bool:
     """Whether a generation's tables are there and list its rows; looks at folders and footers only."""
+    names = [x for x, *_ in index.segments]
     try:
-        index.table("texts"), index.table("postings")
-        return index.table("rows").count() == index.rows * len(index.columns)
+        for table in ("texts", "postings", "terms", "tops"):
+            index.table(table, names)
+        listed = index.spark.read.option("basePath", f"{index.path}/rows").parquet(*[f"{index.path}/rows/seg={x}" for x in names]).count()
+        return listed == sum(n for _, n, _ in index.segments) * len(index.columns)
     except Exception:  # noqa: BLE001  a table that cannot be read
         return False
 
@@ -137,23 +361,30 @@ def damaged(index: TextIndex) -> bool:
     try:
         words = index.table("texts").agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
         placed = index.table("postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
+        counted = index.table("terms").agg(F.coalesce(F.sum(F.aggregate(F.coalesce("blocks", F.array()), F.lit(0).cast("long"), lambda s, b: s + b["n"])), F.lit(0))).first()[0]
+        blocks = TextIndex(index.spark, index.path, index.columns, 0, 0, index.kind, segments=index.segments).table("tops").count()
         n = index.table("rows").where(F.col("column") == 0).count()
     except Exception:  # noqa: BLE001  a file or table that cannot be read
         return True
-    return words != placed or n != index.rows
+    return words != placed or counted != blocks or n != index.rows
 
 
 def ensure(rows: DataFrame, columns: list[str], folder: str, sign: str, id_col: str = "id") -> TextIndex:
-    """The generation of the source as it is now: the stored one, else the newest one
-    mended (only texts it does not know are split into words), else a first one."""
-    spark = rows.sparkSession
-    found = current(spark, folder, sign)
+    """The generation of the source as it is now: the stored one, else the newest
+    one changed where it differs, else a first one."""
+    found = current(rows.sparkSession, folder, sign)
     if found is not None and found.columns == columns and there(found):
         return found
     return repair(rows, columns, folder, sign, id_col)
 
 
 def repair(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_col: str = "id") -> TextIndex:
-    """Write a new generation, from the newest one if that is whole, else from the source alone."""
+    """A generation that agrees with the source: the newest one with the rows that
+    differ changed, if it is whole, else one from the source alone."""
     old = current(rows.sparkSession, folder)
-    return build(rows, columns, folder, sign, id_col, old=old if old is not None and not damaged(old) else None)
+    if old is None or old.columns != columns or not old.segments or damaged(old):
+        return build(rows, columns, folder, sign, id_col)
+    wrong = differences(old, rows, id_col)
+    fresh = wrong.where("problem <> 'extra'").select(F.col("id").alias(id_col))
+    new = rows.join(fresh, id_col, "left_semi")
+    return change(old, folder, sign, rows=new, ids=wrong.where("problem = 'extra'").select("id"), id_col=id_col)

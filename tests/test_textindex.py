@@ -13,6 +13,12 @@ from daybook.sources.store import signature
 COLUMNS = ["text", "app"]
 
 
+@pytest.fixture(autouse=True)
+def few_files(monkeypatch):
+    monkeypatch.setattr(textindex, "BUCKETS", 4)
+    monkeypatch.setattr(textindex, "PARTS", 4)
+
+
 def rows(spark, seed=1, n=120):
     rng = random.Random(seed)
     words = ["spark", "Delta", "naïve", "of", "the", "plan", "42"]
@@ -41,19 +47,74 @@ def test_scores_equal_those_of_a_scan(spark, tmp_path):
 def test_a_changed_table_is_mended(spark, tmp_path):
     folder, df = str(tmp_path), rows(spark)
     first = textindex.ensure(df, COLUMNS, folder, "one")
-    assert textindex.ensure(df, COLUMNS, folder, "one").path == first.path
+    assert textindex.ensure(df, COLUMNS, folder, "one").generation == first.generation
     changed = df.where("id % 5 <> 0").withColumn("text", F.when(F.col("id") % 7 == 1, "wholly new words").otherwise(F.col("text"))).unionByName(spark.createDataFrame([(5000, "the plan", "y")], df.schema))
     found = {r["id"]: r["problem"] for r in textindex.differences(first, changed).collect()}
     assert found[5000] == "missing" and found[5] == "extra" and found[8] == "stale" and 2 not in found
     second = textindex.ensure(changed, COLUMNS, folder, "two")
-    assert second.path != first.path and textindex.differences(second, changed).count() == 0
+    assert second.generation != first.generation and textindex.differences(second, changed).count() == 0
     for phrases in PHRASES:
         assert scores(search.bm25(None, COLUMNS, phrases, index=second)) == scores(search.bm25(changed, COLUMNS, phrases))
-    assert textindex.current(spark, folder).path == second.path and textindex.current(spark, folder, "one").path == first.path
-
-
-@pytest.mark.parametrize("harm", ["postings", "texts"])
-def test_a_damaged_index_is_rebuilt(spark, tmp_path, harm):
+    assert textindex.current(spark, folder).generation == second.generation and textindex.current(spark, folder, "one").generation == first.generation
+    assert textindex.differences(first, df).count() == 0  # the older generation stands as it was
+
+
+def size(folder):
+    return sum(os.path.getsize(f) for f in glob.glob(f"{folder}/**/*.parquet", recursive=True))
+
+
+def test_a_small_change_writes_a_small_segment(spark, tmp_path):
+    folder, df = str(tmp_path), rows(spark, n=890)
+    index = textindex.build(df, COLUMNS, folder)
+    whole = {t: size(f"{index.path}/{t}/seg={index.segments[0][0]}") for t in ("texts", "rows", "tops")}
+    few = df.where("id < 9").withColumn("text", F.concat("text", F.lit(" fresh")))
+    second = textindex.change(index, folder, "t", rows=few, ids=spark.createDataFrame([(900,), (31,), (77_777,)], "id long"))
+    assert [n for _, n, _ in second.segments] == [index.rows, 9] and second.gone[0][1] == 11 and second.rows == index.rows - 2
+    # rows and texts written are a hundredth (their files hold a fixed part too)
+    assert sum(second.table(t, [second.segments[1][0]]).count() for t in ("texts", "rows")) <= 0.02 * sum(index.table(t).count() for t in ("texts", "rows"))
+    assert all(size(f"{index.path}/{t}/seg={second.segments[1][0]}") < w / 2 for t, w in whole.items() if t != "rows")
+    changed = df.where("id not in (900, 31) and id >= 9").unionByName(few)
+    assert textindex.differences(second, changed).count() == 0 and not textindex.damaged(second)
+    for phrases in [*PHRASES, [["fresh"]]]:
+        assert scores(search.bm25(None, COLUMNS, phrases, index=second)) == scores(search.bm25(changed, COLUMNS, phrases)), phrases
+    one = textindex.compact(second, folder)
+    assert len(one.segments) == 1 and not one.gone and one.rows == second.rows
+    assert scores(search.bm25(None, COLUMNS, [["spark"]], index=one)) == scores(search.bm25(changed, COLUMNS, [["spark"]]))
+    assert textindex.vacuum(spark, folder, keep=1) == sorted(x for x, *_ in second.segments)
+    assert textindex.there(textindex.current(spark, folder)) and not textindex.there(second)
+
+
+def test_segments_of_like_size_are_merged(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "FANOUT", 2)
+    folder, df = str(tmp_path), rows(spark, n=16)
+    index = textindex.build(df.where("id < 4"), COLUMNS, folder)
+    for k in (1, 2, 3):
+        index = textindex.change(index, folder, "", rows=df.where(f"id between {4 * k} and {4 * k + 3}"))
+    assert sum(n for _, n, _ in index.segments) == 16 and len(index.segments) == 1
+    assert scores(search.bm25(None, COLUMNS, [["of", "the"]], index=index)) == scores(search.bm25(df.where("id < 16"), COLUMNS, [["of", "the"]]))
+
+
+def test_the_best_rows_of_a_frequent_term_come_from_few_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "FREQUENT", 16)
+    rng = random.Random(9)
+    made = [(i, " ".join(["spark"] * rng.choice([1, 1, 1, 2, 3, 9]) + ["word"] * rng.randint(0, 40)), rng.choice(["Editor", "spark"])) for i in range(1500)]
+    df = spark.createDataFrame(made, "id long, text string, app string")
+    folder = str(tmp_path)
+    index = textindex.build(df, COLUMNS, folder)
+    more = spark.createDataFrame([(5, "spark spark", "spark"), (2000, "spark " * 30, "x"), (2001, "nothing", "x")], df.schema)
+    for index, source in ((index, df), (textindex.change(index, folder, "", rows=more), df.where("id <> 5").unionByName(more))):  # noqa: B020
+        for allowed in (source.select("id"), source.where("id % 7 = 0").select("id")):
+            want = search.bm25(source, COLUMNS, [["spark"]]).join(allowed, "id", "left_semi").orderBy("score", "id").limit(25)
+            got = search.best_of_term(index, "spark", allowed, 25)
+            assert [(r["id"], round(r["score"], 9)) for r in got.orderBy("score", "id").collect()] == [(r["id"], round(r["score"], 9)) for r in want.collect()]
+        _, n, read = index.best("spark", 25)
+        assert n >= 1500 and read < n / 3  # counted in rows of the blocks that were read
+    assert search.best_of_term(index, "nothing", df.select("id"), 5) is None
+
+
+@pytest.mark.parametrize("harm", ["postings", "texts", "tops"])
+def test_a_damaged_index_is_rebuilt(spark, tmp_path, monkeypatch, harm):
+    monkeypatch.setattr(textindex, "FREQUENT", 16)
     folder, df = str(tmp_path), rows(spark)
     index = textindex.build(df, COLUMNS, folder, "s")
     victim = max(glob.glob(f"{index.path}/{harm}/**/*.parquet", recursive=True), key=os.path.getsize)
@@ -61,7 +122,7 @@ def test_a_damaged_index_is_rebuilt(spark, tmp_path, harm):
     spark.catalog.refreshByPath(index.path)
     assert textindex.damaged(index)
     new = textindex.repair(df, COLUMNS, folder, "s")
-    assert new.path != index.path and not textindex.damaged(new)
+    assert new.generation != index.generation and not textindex.damaged(new)
     assert scores(search.bm25(None, COLUMNS, [["spark"]], index=new)) == scores(search.bm25(df, COLUMNS, [["spark"]]))
 
 
@@ -72,7 +133,7 @@ def test_a_cleared_store_is_built_anew(spark, tmp_path):
         os.remove(f)
     spark.catalog.refreshByPath(index.path)
     new = textindex.ensure(df, COLUMNS, folder, "s")
-    assert new.path != index.path and scores(search.bm25(None, COLUMNS, [["spark"]], index=new)) == scores(search.bm25(df, COLUMNS, [["spark"]]))
+    assert new.generation != index.generation and scores(search.bm25(None, COLUMNS, [["spark"]], index=new)) == scores(search.bm25(df, COLUMNS, [["spark"]]))
 
 
 def test_empty_table_and_signature(spark, tmp_path):
