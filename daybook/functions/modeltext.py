@@ -81,3 +81,44 @@ def parsed(text: Column) -> Column:
     filled = lambda read: F.when(read.isNotNull(), F.struct(*(F.coalesce(read[k], F.lit(v)).alias(k) for k, v in plain.items())))
     read = lambda found: F.when(_valid(found), F.from_json(found, RECORD.removeprefix("struct<").removesuffix(">").replace(":", " ")))
     return bound(text, lambda t: F.coalesce(bound(bound(json_object(t), read), filled), salvaged(t)))
+
+
+#: The region that stands for a whole screen, and what a region lacks if it is not told.
+WHOLE_SCREEN = {"name": "full_screen", "x_start": 0.0, "x_end": 1.0, "y_start": 0.0, "y_end": 1.0, "content_type": "unknown"}
+
+
+def array_objects(text: Column) -> Column:
+    """The whole objects of the first array of a text, as texts; what is broken off is left out.
+
+    One scan from the first bracket counts how deep it is: an object begins and
+    ends one level below the array, and the array's own end ends the scan."""
+    rest = F.nullif(F.regexp_extract(text, r"(?s)\[.*", 0), F.lit(""))
+    pieces = F.regexp_extract_all(rest, F.lit(_PIECE), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("here"), F.array().cast("array<string>").alias("found"), F.lit(False).alias("done"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece.isin("{", "["), 1).when(piece.isin("}", "]"), -1).otherwise(0)
+        inside = (s["depth"] > 1) | (depth > 1)
+        here = F.when(inside, F.concat(s["here"], piece)).otherwise("")
+        ends = (piece == "}") & (depth == 1)
+        after = F.struct(depth.alias("depth"), F.when(ends, "").otherwise(here).alias("here"), F.when(ends, F.array_append(s["found"], here)).otherwise(s["found"]).alias("found"), (depth == 0).alias("done"))
+        return F.when(s["done"], s).otherwise(after)
+
+    return F.coalesce(F.aggregate(pieces, state, step, lambda s: s["found"]), F.array().cast("array<string>"))
+
+
+def regions_of(text: Column) -> Column:
+    """Regions of a model's answer, whatever stands around its array and even if
+    that is broken off. Objects without name, x_start or x_end are left out, other
+    fields have defaults; if an object can't be read or none is left, it is the whole screen."""
+    whole = F.array(F.struct(*(F.lit(v).alias(k) for k, v in WHOLE_SCREEN.items())))
+    needed = F.array(*(F.lit(k) for k in ("name", "x_start", "x_end")))
+
+    def read(objects: Column) -> Column:
+        told = F.filter(objects, lambda o: F.size(F.array_except(needed, F.json_object_keys(o))) == 0)
+        value = lambda o, k: F.get_json_object(o, f"$.{k}")
+        number = lambda o, k: F.coalesce(value(o, k).try_cast("double"), F.lit(WHOLE_SCREEN[k]) if k.startswith("y") else F.lit(None).cast("double")).alias(k)
+        found = F.transform(told, lambda o: F.struct(value(o, "name").alias("name"), *(number(o, k) for k in ("x_start", "x_end", "y_start", "y_end")), F.coalesce(value(o, "content_type"), F.lit(WHOLE_SCREEN["content_type"])).alias("content_type")))
+        return F.when(F.exists(objects, lambda o: ~_valid(o)) | (F.size(told) == 0), whole).otherwise(found)
+
+    return bound(array_objects(text), read)

@@ -320,6 +320,24 @@ def _(spark, d):
     return r.select("event_id", "r.x_end", "r.y_end")
 
 
+@query(
+    "region_answers",
+    r"""with t as (select doc_id, lang, 1 + length(coalesce(text, '')) % 4 as n, length(coalesce(text, '')) % 3 as more from documents),
+    told as (select doc_id, list_transform(range(0, n - case when lang = 'es' then 1 else 0 end), lambda j: concat('r', j, ':', j * 10, '-', j * 10 + 9, ':', case when more = 1 then '5' else '0' end, '-', case when more = 1 then '50' else '1' end, ':', case when more = 2 then 'chat' else 'unknown' end)) as r from t where lang is not null)
+    select doc_id, case when len(r) = 0 then 'full_screen:0-1:0-1:unknown' else array_to_string(r, ' ') end as regions from told""",
+)
+def _(spark, d):
+    """A model's answers: one to four regions, in fences, in prose, or broken off within the last one."""
+    n, more = F.length(F.coalesce("text", F.lit(""))) % 4 + 1, F.length(F.coalesce("text", F.lit(""))) % 3
+    extra = F.when(more == 1, ', "y_start": 5, "y_end": 50').when(more == 2, ', "content_type": "chat"').otherwise("")
+    one = lambda j: F.concat(F.lit('{"name": "r'), j.cast("string"), F.lit('", "x_start": '), (j * 10).cast("string"), F.lit(', "x_end": '), (j * 10 + 9).cast("string"), extra, F.lit("}"))
+    whole = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(0), n - 1), one), ", "), F.lit("]"))
+    said = F.when(F.col("lang") == "fr", F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).when(F.col("lang") == "de", F.concat(F.lit("The regions are: "), whole, F.lit(" and no more."))).when(F.col("lang") == "es", F.substring(whole, F.lit(1), F.length(whole) - 8)).otherwise(whole)
+    rows = read(spark, d, "documents").where(F.col("lang").isNotNull()).select("doc_id", modeltext.regions_of(said).alias("r"))
+    shown = lambda x: F.format_string("%s:%.0f-%.0f:%.0f-%.0f:%s", x["name"], x["x_start"], x["x_end"], x["y_start"], x["y_end"], x["content_type"])
+    return rows.select("doc_id", F.array_join(F.transform("r", shown), " ").alias("regions"))
+
+
 @query("marked_boxes", f"with {_BOXES} select event_id, count(*) filter (where contains(lower(text), 'spark'))::integer as n, coalesce(sum(greatest(x - 4, 0) + greatest(y - 4, 0) + least(x + 64, 1920) + least(y + 24, 1080)) filter (where contains(lower(text), 'spark')), 0)::bigint as total from b group by 1")
 def _(spark, d):
     hit = layout.highlights(F.col("boxes"), "to Spark", F.lit(1920), F.lit(1080))

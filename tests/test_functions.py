@@ -151,8 +151,6 @@ def test_layout_regions(spark):
     assert one(spark, layout.column_regions(F.col("b"), F.lit(1920)), b=(f"array<{BOX}>", [])) == []
     hit = one(spark, layout.highlights(F.col("b"), "of AAA", F.lit(100), F.lit(100)), b=(f"array<{BOX}>", [box(2, 2, "xaaay"), box(50, 50, "no")]))
     assert [(h["x1"], h["y1"], h["x2"], h["y2"]) for h in hit] == [(0, 0, 86, 26)]
-    assert layout.parse_regions('```json\n[{"name": "a", "x_start": 0, "x_end": 1}, {"name": "b", "x_st') == [{"y_start": 0.0, "y_end": 1.0, "content_type": "unknown", "name": "a", "x_start": 0, "x_end": 1}]
-    assert layout.parse_regions("junk") == layout.WHOLE_SCREEN == layout.parse_regions("[1]")
     from daybook.schema import REGION
 
     percent = [{"name": "a", "x_start": 0.0, "x_end": 50.0, "y_start": 0.0, "y_end": 100.0, "content_type": "x"}]
@@ -204,3 +202,34 @@ def test_two_texts_of_a_screen(spark):
         ("tiny" + mark + "seen", "a11y+ocr"),
     ]
 
+
+SCREEN = ("full_screen", 0.0, 1.0, 0.0, 1.0, "unknown")
+A, PLAIN_A = '{"name": "a", "x_start": 0, "x_end": 0.5}', ("a", 0.0, 0.5, 0.0, 1.0, "unknown")
+FULL = '{"name": "b [x] {y}", "x_start": 10, "x_end": 50.5, "y_start": 0.1, "y_end": 0.9, "content_type": "chat", "more": {"z": [1]}}'
+PLAIN_FULL = ("b [x] {y}", 10.0, 50.5, 0.1, 0.9, "chat")
+
+
+@pytest.mark.parametrize(
+    "raw,want",
+    [
+        (f"[{A}, {FULL}]", [PLAIN_A, PLAIN_FULL]),
+        (f"```json\n[{A}]\n```", [PLAIN_A]),
+        (f"Here they are:\n[{A},\n {FULL}\n] as asked.", [PLAIN_A, PLAIN_FULL]),
+        (f'{{"regions": [{A}]}}', [PLAIN_A]),
+        (f'[{A}, {{"name": "c", "x_st', [PLAIN_A]),
+        (f'[{FULL}, {A}, {{"name": "never end', [PLAIN_FULL, PLAIN_A]),
+        (f"[{A},]", [PLAIN_A]),
+        (f'[{{"name": "c", "x_start": 1}}, {A}]', [PLAIN_A]),
+        (f"[{A}, {{name: 1}}]", [SCREEN]),
+        ('[{"x_start": 0, "x_end": 1}]', [SCREEN]),
+        ("[1]", [SCREEN]),
+        ("[]", [SCREEN]),
+        ("junk", [SCREEN]),
+        ("", [SCREEN]),
+        (None, [SCREEN]),
+    ],
+)
+def test_regions_of_an_answer(spark, raw, want):
+    got = on(spark, modeltext.regions_of, raw)
+    assert [tuple(r.asDict().values()) if hasattr(r, "asDict") else tuple(r.values()) for r in got] == want
+
