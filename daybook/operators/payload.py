@@ -1,4 +1,7 @@
-"""What an agent is told about a day: sections in order of priority within a budget of characters."""
+"""What agents are told about a day: sections in order of priority within a budget of characters.
+
+A day's counts and lines are worked out once (``day_parts``), whatever the
+number of agents; an agent's own sections and budget only choose among them."""
 
 from __future__ import annotations
 
@@ -6,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daybook.functions.text import host
+from daybook.operators.context import agent_budget
 from daybook.operators.stats import ok
 from daybook.operators.timeline import newest_first
 
@@ -21,8 +25,8 @@ def _counted(rows: DataFrame, column: str, name: str, top: int | None) -> DataFr
     return some.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("r", "key", "n"))).alias(name))
 
 
-def day_payload(activities: DataFrame, meetings: DataFrame, *, budget: int = 12_000, sections: tuple[str, ...] = SECTIONS, newest: int | None = 200) -> DataFrame:
-    """``(date, text)``: one text per day with analysed rows among its newest ones."""
+def day_parts(activities: DataFrame, meetings: DataFrame, *, newest: int | None = 200) -> DataFrame:
+    """One row per day with analysed rows among its newest ones: what the sections are made of."""
     rows = activities
     if newest:
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("date").orderBy(*newest_first()))).where(F.col("r") <= newest).drop("r")
@@ -37,15 +41,18 @@ def day_payload(activities: DataFrame, meetings: DataFrame, *, budget: int = 12_
     m = m.withColumn("r", F.row_number().over(Window.partitionBy("date").orderBy(F.col("start_time").desc(), F.col("id").desc()))).where("r <= 5")
     base = base.join(m.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("r", "said"))).alias("met")), "date", "left")
 
+    return base
+
+
+def rendered(parts: DataFrame, sections: Column, budget: Column) -> DataFrame:
+    """``parts`` with their text: the sections asked for, as far as the budget goes."""
     pairs = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["key"], F.lit(": "), x["n"].cast("string"))), ", ")
-    out = base.withColumn("text", F.concat(F.lit("## Data of "), F.col("date").cast("string"), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" rows analysed")))
-    out = out.withColumn("left", F.lit(budget) - F.length("text"))
+    out = parts.withColumn("text", F.concat(F.lit("## Data of "), F.col("date").cast("string"), F.lit("\n\n"), F.col("n").cast("string"), F.lit(" rows analysed")))
+    out = out.withColumn("left", budget - F.length("text"))
 
     def add(df: DataFrame, name: str, least: int, section: Column, there: Column) -> DataFrame:
         """Append a section if it is asked for, has something to say, and more than ``least`` characters are left."""
-        if name not in sections:
-            return df
-        fits = there & (F.col("left") > least)
+        fits = F.array_contains(sections, name) & there & (F.col("left") > least)
         df = df.withColumn("_s", F.when(fits, section))
         return df.withColumns({"text": F.concat("text", F.when(F.col("_s").isNotNull(), F.concat(F.lit("\n\n"), F.col("_s"))).otherwise("")), "left": F.col("left") - F.coalesce(F.length("_s"), F.lit(0))}).drop("_s")
 
@@ -57,4 +64,28 @@ def day_payload(activities: DataFrame, meetings: DataFrame, *, budget: int = 12_
     out = add(out, "mood", 80, F.concat(F.lit("### Moods\n"), pairs(F.col("moods"))), F.col("moods").isNotNull())
     fits = F.greatest(F.floor(F.col("left") / 80).cast("int"), F.lit(3))
     out = add(out, "timeline", 80, F.concat(F.lit("### Timeline\n"), F.array_join(F.transform(F.slice("lines", F.lit(1), fits), lambda x: x["line"]), "\n")), F.lit(True))
-    return out.select("date", "text")
+    return out.drop("left")
+
+
+def day_payload(activities: DataFrame, meetings: DataFrame, *, budget: int = 12_000, sections: tuple[str, ...] = SECTIONS, newest: int | None = 200) -> DataFrame:
+    """``(date, text)``: one text per day with analysed rows among its newest ones."""
+    asked = F.array(*[F.lit(x) for x in sections]) if sections else F.array().cast("array<string>")
+    return rendered(day_parts(activities, meetings, newest=newest), asked, F.lit(budget)).select("date", "text")
+
+
+def agent_payloads(agents: DataFrame, activities: DataFrame, meetings: DataFrame, window: int, *, newest: int | None = 200, most: int = 1000) -> DataFrame:
+    """``(slug, date, prompt, text, small_window)`` for every enabled markdown
+    agent (``sources.agents.discover``) and day: just the sections that its file
+    selects, within the budget of a model's context window; ``small_window``
+    tells that the agent asks for a larger one. Agent files are few; more than
+    ``most`` are an error."""
+    found = agents.where(F.col("enabled") & (F.col("type") == "markdown")).select("slug", "sections", "prompt", "model_requirement").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} agents")
+    texts = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    told = [F.struct(F.lit(r["slug"]).alias("slug"), texts(r["sections"]).alias("sections"), F.lit(r["prompt"]).cast("string").alias("prompt"), F.lit((r["model_requirement"] or 0) > window).alias("small_window")) for r in found]
+    parts = day_parts(activities, meetings, newest=newest)
+    if not told:
+        return parts.where("false").select(F.lit("").alias("slug"), "date", F.lit("").alias("prompt"), F.lit("").alias("text"), F.lit(False).alias("small_window"))
+    parts = parts.withColumn("agent", F.explode(F.array(*told)))
+    return rendered(parts, F.col("agent.sections"), F.lit(agent_budget(window))).select("agent.slug", "date", "agent.prompt", "text", "agent.small_window")

@@ -476,3 +476,20 @@ def _(spark, d):
 @query("tool_search", None)
 def _(spark, d):
     return _tools(spark, d, "text", "embedding", search=True).search_screen("thorou")
+
+
+# -------------------------------------------------------------------- plug-ins
+
+
+@query(
+    "plugin_streaks",
+    """with r as (select user_id, app_name, timestamp, id, row_number() over (partition by user_id order by timestamp, id) - row_number() over (partition by user_id, app_name order by timestamp, id) as g from activities)
+    select user_id, app_name, min(timestamp) as start, max(timestamp) as "end", count(*) as n from r group by user_id, app_name, g""",
+)
+def _(spark, d):
+    """A plug-in called as a table function of SQL."""
+    from daybook.plans.registry import Streaks, register_plugin
+
+    register_plugin(spark, "app_streaks", Streaks, {"app_streaks"})
+    activities(spark, d).select("user_id", "app_name", "timestamp", "id").createOrReplaceTempView("streak_rows")
+    return spark.sql("select * from app_streaks(TABLE(streak_rows), key => 'user_id')")

@@ -37,3 +37,32 @@ def test_plugins(spark):
     assert registry.run_plugin(spark, "n", {"n": 3}, {"n"}).count() == 3
     with pytest.raises(PermissionError):
         registry.run_plugin(spark, "n", {"n": 3}, set())
+
+
+def test_agent_files_select_sections(spark, day, tmp_path):
+    from daybook.operators.payload import agent_payloads
+    from daybook.sources import agents
+
+    (tmp_path / "mood.md").write_text("---\nname: M\ndata: Mood , apps\n---\nHow was it?")
+    (tmp_path / "plain.md").write_text("Tell me.")
+    (tmp_path / "big.md").write_text("---\ndata: meetings\nmodel_requirement: 9000\n---\nLong.")
+    (tmp_path / "off.md").write_text("---\nenabled: no\n---\nx")
+    (tmp_path / "plug.py").write_text('"""\nname: Plug\n"""')
+    found = {r["slug"]: r for r in agent_payloads(agents.discover(spark, str(tmp_path)), *day, 4096).collect()}
+    heads = {k: [x.split("\n")[0] for x in r["text"].split("### ")[1:]] for k, r in found.items()}
+    assert heads == {"mood": ["Apps", "Categories", "Moods"], "plain": ["Apps", "Categories", "Timeline"], "big": ["Meetings"]}
+    assert found["mood"]["text"] == day_payload(*day, sections=("apps", "mood")).first()["text"]
+    assert found["mood"]["prompt"] == "How was it?" and {k: r["small_window"] for k, r in found.items()} == {"mood": False, "plain": False, "big": True}
+    assert agent_payloads(agents.discover(spark, str(tmp_path)).where("slug = 'off'"), *day, 4096).count() == 0
+
+
+def test_table_plugins(spark, day):
+    with pytest.raises(PermissionError):
+        registry.register_plugin(spark, "s", registry.Streaks, set())
+    registry.register_plugin(spark, "s", registry.Streaks, {"s"})
+    day[0].withColumnRenamed("mood", "who").createOrReplaceTempView("plugged")
+    rows = spark.sql("select * from s(TABLE(plugged), key => 'who') order by start").collect()
+    assert len(rows) == 20 and rows[0].asDict().keys() == {"who", "app_name", "start", "end", "n"} and {r["n"] for r in rows} == {1}
+    with pytest.raises(Exception, match="needs the columns nothing"):
+        spark.sql("select * from s(TABLE(plugged), key => 'nothing')").collect()
+
