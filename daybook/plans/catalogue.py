@@ -409,7 +409,7 @@ def _(spark, d):
     return read(spark, d, "pages").select("page_id", T.host(F.col("url")).alias("host"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = "'what', 'should', 'would', 'could', 'will', 'shall', 'how', 'why', 'when', 'where', 'which', 'who', 'whom', 'that', 'this', 'these', 'those', 'have', 'has', 'had', 'does', 'did', 'doing', 'done', 'the', 'and', 'but', 'for', 'not', 'you', 'your', 'yours', 'they', 'them', 'their', 'was', 'were', 'been', 'being', 'are', 'can', 'may', 'might', 'must', 'need', 'with', 'from', 'about', 'into', 'over', 'after', 'before', 'between', 'reply', 'respond', 'tell', 'say', 'said', 'ask', 'asked', 'show', 'see', 'look', 'find', 'get', 'got', 'give', 'gave', 'last', 'recent', 'latest', 'happening', 'going', 'any', 'some', 'there', 'also', 'just', 'like', 'know', 'to', 'do', 'me', 'my', 'is', 'it', 'in', 'on', 'at', 'if', 'so', 'or', 'no', 'up', 'an', 'be', 'am', 'of', 'i', 'next', 'now', 'then', 'than', 'too', 'message', 'messages', 'text', 'send', 'sent', 'chat', 'mail', 'email', 'wrote', 'write', 'writing', 'hi', 'hii', 'hey', 'hello', 'please', 'yeah', 'yes', 'thanks', 'thank', 'okay', 'ok', 'cool', 'nice'"  # as SQL has it
 
 
 @query(

@@ -93,11 +93,11 @@ def _titles(spark, d):
 
 def _last_part(dash: str) -> str:
     last = f"trim(string_split(title, '{dash}')[-1])"
-    return f"case when contains(title, '{dash}') and length({last}) between 2 and 40 and not (contains({last}, '.') and lower(string_split({last}, '.')[-1]) in ({_list(titles.EXTENSIONS)})) then {last} end"
+    return f"case when contains(title, '{dash}') and length({last}) between 2 and 40 and not (contains({last}, '.') and lower(string_split({last}, '.')[-1]) in ('py', 'js', 'ts', 'rs', 'go', 'java', 'c', 'cpp', 'h', 'rb', 'php', 'cs', 'kt', 'swift', 'lua', 'sh', 'bash', 'zsh', 'ps1', 'html', 'css', 'json', 'yaml', 'yml', 'toml', 'xml', 'ini', 'cfg', 'conf', 'txt', 'md', 'log', 'csv', 'pdf', 'doc', 'docx', 'xls', 'xlsx', 'ppt', 'pptx', 'mp4', 'mkv', 'avi', 'mov', 'webm', 'mp3', 'flac', 'wav', 'ogg', 'png', 'jpg', 'jpeg', 'gif', 'svg', 'bmp', 'webp', 'ico')) then {last} end"
 
 
 _APP_SQL = f"coalesce({_last_part(' - ')}, {_last_part(' – ')}, {_last_part(' — ')})"
-_SIMPLE_SQL = "case when trim(title) <> '' and length(trim(title)) <= 25 and not (" + " or ".join(f"contains(lower(trim(title)), '{x}')" for x in titles.NO_SIMPLE_TITLE) + " or starts_with(lower(trim(title)), 'untitled') or starts_with(lower(trim(title)), 'new ') or starts_with(lower(trim(title)), 'document')) then trim(title) end"
+_SIMPLE_SQL = "case when trim(title) <> '' and length(trim(title)) <= 25 and not (contains(lower(trim(title)), '/') or contains(lower(trim(title)), '\') or contains(lower(trim(title)), '@') or contains(lower(trim(title)), ':') or contains(lower(trim(title)), '$') or contains(lower(trim(title)), '#') or contains(lower(trim(title)), '~') or contains(lower(trim(title)), '.txt') or contains(lower(trim(title)), '.py') or contains(lower(trim(title)), '.js') or contains(lower(trim(title)), '.ts') or contains(lower(trim(title)), '.rs') or contains(lower(trim(title)), '.go') or contains(lower(trim(title)), '.html') or contains(lower(trim(title)), '.css') or contains(lower(trim(title)), '.md') or contains(lower(trim(title)), '.json') or contains(lower(trim(title)), '.yaml') or starts_with(lower(trim(title)), 'untitled') or starts_with(lower(trim(title)), 'new ') or starts_with(lower(trim(title)), 'document')) then trim(title) end"
 
 
 @query("title_apps", f"with {_TITLES} select event_id, {_APP_SQL} as app, {_SIMPLE_SQL} as simple from t")
@@ -105,7 +105,7 @@ def _(spark, d):
     return _titles(spark, d).select("event_id", titles.app_from_title(F.col("title")).alias("app"), titles.simple_title(F.col("title")).alias("simple"))
 
 
-@query("browser_windows", f"with {_TITLES} select event_id, ({' or '.join(f'''ends_with(title, '{x}')''' for x in titles.BROWSER_TITLES)} or coalesce(lower(trim(hint)) in ({_list(titles.BROWSERS)}), false)) as browser from t")
+@query("browser_windows", f"with {_TITLES} select event_id, (ends_with(title, '- Google Chrome') or ends_with(title, '- Mozilla Firefox') or ends_with(title, '- Firefox') or ends_with(title, '- Microsoft Edge') or ends_with(title, '- Brave') or ends_with(title, '- Opera') or ends_with(title, '- Safari') or ends_with(title, '- Vivaldi') or ends_with(title, '- Arc') or ends_with(title, '- Chromium') or ends_with(title, '- Zen Browser') or coalesce(lower(trim(hint)) in ('chrome', 'chromium', 'firefox', 'firefox-esr', 'brave', 'opera', 'safari', 'vivaldi', 'arc', 'msedge'), false)) as browser from t")
 def _(spark, d):
     return _titles(spark, d).select("event_id", titles.is_browser(F.col("title"), F.col("hint")).alias("browser"))
 
@@ -130,7 +130,7 @@ def _(spark, d):
     return rows.select("event_id", titles.category(F.col("said")).alias("category"), titles.mood(F.col("said")).alias("mood"))
 
 
-@query("coding_windows", f"with {_TITLES} select event_id, (case event_id % 9 when 0 then 'Coding' when 1 then 'terminal' else 'other' end in ('Coding', 'terminal') or coalesce(replace(lower(hint), '.exe', '') in ({_list(titles.CODING_APPS)}), false) or {' or '.join(f'''contains(lower(title), '{x}')''' for x in titles.CODING_TITLES)}) as coding from t")
+@query("coding_windows", f"with {_TITLES} select event_id, (case event_id % 9 when 0 then 'Coding' when 1 then 'terminal' else 'other' end in ('Coding', 'terminal') or coalesce(replace(lower(hint), '.exe', '') in ('code', 'code - insiders', 'devenv', 'idea64', 'pycharm64', 'webstorm64', 'goland64', 'sublime_text', 'atom', 'notepad++', 'windowsterminal', 'cmd', 'powershell', 'pwsh', 'wt', 'mintty', 'git-bash', 'alacritty', 'wezterm'), false) or contains(lower(title), '.py') or contains(lower(title), '.js') or contains(lower(title), '.ts') or contains(lower(title), '.go') or contains(lower(title), '.rs') or contains(lower(title), '.java') or contains(lower(title), '.cpp') or contains(lower(title), '.c') or contains(lower(title), '.html') or contains(lower(title), '.css') or contains(lower(title), '.jsx') or contains(lower(title), '.tsx') or contains(lower(title), '.vue') or contains(lower(title), '.rb') or contains(lower(title), '.php') or contains(lower(title), 'visual studio code') or contains(lower(title), 'vs code') or contains(lower(title), 'pycharm') or contains(lower(title), 'intellij') or contains(lower(title), 'terminal') or contains(lower(title), 'powershell') or contains(lower(title), 'cmd.exe') or contains(lower(title), 'git ') or contains(lower(title), 'npm ') or contains(lower(title), 'pip ') or contains(lower(title), 'python ') or contains(lower(title), 'node ')) as coding from t")
 def _(spark, d):
     i = F.col("event_id") % 9
     kind = F.when(i == 0, "Coding").when(i == 1, "terminal").otherwise("other")
@@ -187,7 +187,7 @@ def _(spark, d):
     "casual_questions",
     rf"""with t as (select conv_id, turn, case turn % 4 when 0 then 'Hey!' when 1 then 'hello there' when 2 then 'THANKS ... ' else lower(coalesce(text, '')) end as q from conversations),
     w as (select *, list_distinct(list_filter(regexp_split_to_array(lower(q), '\s+'), lambda x: x <> '')) as words from t)
-    select conv_id, turn, regexp_replace(lower(q), '^[?!. ]+|[?!. ]+$', '', 'g') in ({_list(T.CASUAL)}) or (len(words) <= 2 and len(list_filter(words, lambda x: x in ({_list(T.GREETINGS)}))) > 0) as casual from w""",
+    select conv_id, turn, regexp_replace(lower(q), '^[?!. ]+|[?!. ]+$', '', 'g') in ('hi', 'hii', 'hey', 'hello', 'sup', 'yo', 'thanks', 'thank', 'bye', 'goodbye', 'how are you', 'what''s up', 'whats up', 'tell me a joke', 'joke', 'funny', 'who are you', 'what are you', 'your name', 'good morning', 'good night', 'good evening') or (len(words) <= 2 and len(list_filter(words, lambda x: x in ('hi', 'hii', 'hey', 'hello', 'sup', 'yo', 'thanks', 'bye'))) > 0) as casual from w""",
 )
 def _(spark, d):
     turn = F.col("turn") % 4
