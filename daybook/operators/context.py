@@ -12,19 +12,36 @@ from daybook.operators.timeline import newest_first
 FEW_HOOKS = 10_000  # hooks that are broadcast
 
 
-def entries(activities: DataFrame, *, rich: int = 20, width: int = 300, most: int = 150) -> DataFrame:
-    """Lines of a day's report, newest first; the first ``rich`` rows with
-    organised text show some of it. Columns: date, place, entry."""
+def _lines(activities: DataFrame, line: Column, label: str, rich: int, width: int, most: int) -> DataFrame:
+    """``(date, place, entry)`` of a day's newest rows: ``line``, and for the first
+    ``rich`` rows with organised text some of it behind ``label``."""
     day = Window.partitionBy("date").orderBy(*newest_first())
     text = F.trim(F.coalesce("organized_text", F.lit("")))
     rows = ok(activities).withColumn("place", F.row_number().over(day)).where(F.col("place") <= most)
     seen = F.count_if(text != "").over(day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = rows.withColumn("shows", (text != "") & (seen <= rich))
-    shown = F.concat(F.lit("\n  Screen content: "), F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text))
-    line = F.concat(F.lit("["), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.coalesce("app_name", F.lit("?")), F.lit(" ("), F.coalesce("category", F.lit("?")), F.lit("): "), F.coalesce("summary", F.lit("")))
+    shown = F.concat(F.lit(f"\n  {label}: "), F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text))
     return rows.select("date", "place", F.concat(line, F.when(F.col("shows"), shown).otherwise("")).alias("entry"))
 
 
+def entries(activities: DataFrame, *, rich: int = 20, width: int = 300, most: int = 150) -> DataFrame:
+    """Lines of a day's report, newest first; the first ``rich`` rows with
+    organised text show some of it. Columns: date, place, entry."""
+    line = F.concat(F.lit("["), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), F.coalesce("app_name", F.lit("?")), F.lit(" ("), F.coalesce("category", F.lit("?")), F.lit("): "), F.coalesce("summary", F.lit("")))
+    return _lines(activities, line, "Screen content", rich, width, most)
+
+
+def standup_budget(window: int) -> int:
+    """Characters that the activities of standup notes may take in a model's context window."""
+    return (window - min(1024, window // 4) - 300) * 3 - 450
+
+
+def standup(activities: DataFrame, window: int = 4096, *, rich: int = 15, width: int = 200, most: int = 150) -> DataFrame:
+    """``(date, text)``: what standup notes of a day are written from, newest first, as far as the window goes."""
+    line = F.concat(F.lit("- "), F.coalesce("app_name", F.lit("?")), F.lit(": "), F.coalesce("summary", F.lit("")))
+    return report(within_budget(_lines(activities, line, "Content", rich, width, most), standup_budget(window)))
+
+
 def within_budget(lines: DataFrame, budget: int) -> DataFrame:
     """The newest entries of each day whose lengths, one more each, fit the budget."""
     upto = F.sum(F.length("entry") + 1).over(Window.partitionBy("date").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))

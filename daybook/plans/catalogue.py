@@ -710,6 +710,20 @@ def _(spark, d):
     return _entries(spark, d)
 
 
+@query(
+    "standup_notes",
+    """with s0 as (select *, trim(case when value > 50 then ocr_text else '' end) as o, row_number() over (partition by date order by timestamp desc, id desc) as place from activities where status = 'ok'),
+    s1 as (select *, count(*) filter (where o <> '') over (partition by date order by place rows unbounded preceding) as seen from s0 where place <= 150),
+    s2 as (select date, place, '- ' || app_name || ': ' || coalesce(summary, '') || case when o <> '' and seen <= 15 then chr(10) || '  Content: ' || case when length(o) > 200 then substr(o, 1, 200) || '...' else o end else '' end as entry from s1),
+    s3 as (select *, sum(length(entry) + 1) over (partition by date order by place rows unbounded preceding) as used from s2)
+    select date, string_agg(entry, chr(10) order by place) as text from s3 where used <= 7866 group by 1""",
+    days=("date",),
+)
+def _(spark, d):
+    a = activities(spark, d, "text")
+    return context.standup(a.withColumn("organized_text", F.when(F.col("value") > 50, F.col("ocr_text")).otherwise("")), 4096)
+
+
 @query("budget_context", f"with {_ENTRIES}, u as (select *, sum(length(entry) + 1) over (partition by date order by place rows unbounded preceding) as used from en) select date, string_agg(entry, chr(10) order by place) as text from u where used <= 6000 group by 1", days=('date',))
 def _(spark, d):
     return context.report(context.within_budget(_entries(spark, d), 6000))

@@ -97,7 +97,7 @@ def _last_part(dash: str) -> str:
 
 
 _APP_SQL = f"coalesce({_last_part(' - ')}, {_last_part(' – ')}, {_last_part(' — ')})"
-_SIMPLE_SQL = "case when trim(title) <> '' and length(trim(title)) <= 25 and not (contains(lower(trim(title)), '/') or contains(lower(trim(title)), '\') or contains(lower(trim(title)), '@') or contains(lower(trim(title)), ':') or contains(lower(trim(title)), '$') or contains(lower(trim(title)), '#') or contains(lower(trim(title)), '~') or contains(lower(trim(title)), '.txt') or contains(lower(trim(title)), '.py') or contains(lower(trim(title)), '.js') or contains(lower(trim(title)), '.ts') or contains(lower(trim(title)), '.rs') or contains(lower(trim(title)), '.go') or contains(lower(trim(title)), '.html') or contains(lower(trim(title)), '.css') or contains(lower(trim(title)), '.md') or contains(lower(trim(title)), '.json') or contains(lower(trim(title)), '.yaml') or starts_with(lower(trim(title)), 'untitled') or starts_with(lower(trim(title)), 'new ') or starts_with(lower(trim(title)), 'document')) then trim(title) end"
+_SIMPLE_SQL = "case when trim(title) <> '' and length(trim(title)) <= 25 and not (contains(lower(trim(title)), '/') or contains(lower(trim(title)), '\\') or contains(lower(trim(title)), '@') or contains(lower(trim(title)), ':') or contains(lower(trim(title)), '$') or contains(lower(trim(title)), '#') or contains(lower(trim(title)), '~') or contains(lower(trim(title)), '.txt') or contains(lower(trim(title)), '.py') or contains(lower(trim(title)), '.js') or contains(lower(trim(title)), '.ts') or contains(lower(trim(title)), '.rs') or contains(lower(trim(title)), '.go') or contains(lower(trim(title)), '.html') or contains(lower(trim(title)), '.css') or contains(lower(trim(title)), '.md') or contains(lower(trim(title)), '.json') or contains(lower(trim(title)), '.yaml') or starts_with(lower(trim(title)), 'untitled') or starts_with(lower(trim(title)), 'new ') or starts_with(lower(trim(title)), 'document')) then trim(title) end"
 
 
 @query("title_apps", f"with {_TITLES} select event_id, {_APP_SQL} as app, {_SIMPLE_SQL} as simple from t")
