@@ -10,12 +10,12 @@ segments. Below one folder stand, each partitioned by segment:
 * ``texts``: key (128-bit hash of the text), words
 * ``postings``: bucket (of the term), term, key, positions
 * ``rows``: part (of the key), id, column, key, len (words of all columns of the row)
-* ``terms``: bucket, term, n (rows that hold it), and of frequent terms blocks
-* ``tops``: of frequent terms bucket, term, block, id, f, len
+* ``terms``: bucket, term, n (rows that hold it), and of frequent terms of one column blocks
+* ``tops``: of such terms bucket, term, block, key, f
 * ``gone``: rows (of a segment, id) that no longer count, with their keys
 * ``about``: one row a generation: its segments, what is gone, rows, words, sign of the source
 
-The rows of a frequent term are ordered by their weight in a score, and cut
+The texts of a frequent term are ordered by their rows' largest weight in a score, and cut
 into blocks that double in size; a block's largest weight bounds the score of
 all its rows, also when the average length has changed since (``bound``). The best rows of a term are therefore
 found from its first blocks: reading stops where no block left can hold a
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 #: Letters and what they are without their marks.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-BUCKETS, PARTS = 64, 64
+BUCKETS, PARTS = 16, 16  # folders of a segment's tables; within one, terms and keys are sorted, so their statistics tell what to read
 FORMAT = "format-2"  # below a store's folder: tables of another format are not looked at
 FREQUENT = 128  # rows from which a term has blocks, and rows of its first block
 FANOUT = 4  # segments of like size that are merged into one, and the step between sizes
@@ -75,8 +75,8 @@ SHAPES = {
     "texts": "key binary, words array<string>, seg string",
     "postings": "term string, key binary, positions array<int>, seg string, bucket int",
     "rows": "id {kind}, column int, key binary, len long, seg string, part int",
-    "terms": "term string, n long, blocks array<struct<w:double,n:long>>, seg string, bucket int",
-    "tops": "term string, block int, id {kind}, f int, len long, seg string, bucket int",
+    "terms": "term string, n long, blocks array<struct<block:int,w:double,n:long,k:long>>, seg string, bucket int",
+    "tops": "term string, block int, key binary, f int, seg string, bucket int",
     "gone": "of string, id {kind}, len long, keys array<binary>, seg string",
 }
 
@@ -103,7 +103,7 @@ class TextIndex:
         if not wanted:
             return self.spark.createDataFrame([], shape)
         found = self.spark.read.schema(shape).option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/seg={x}" for x in wanted])
-        return self.living(found) if name in ("rows", "tops") and self.gone else found
+        return self.living(found) if name == "rows" and self.gone else found
 
     def living(self, rows: DataFrame) -> DataFrame:
         """Rows (seg, id) that still count."""
@@ -135,7 +135,7 @@ class TextIndex:
         if n and self.gone:
             lost = self.table("gone").select("of", "id", F.explode(F.array_distinct("keys")).alias("key")).join(self.postings(term).select("key"), "key")
             n -= lost.where(F.col("of").isin([x for x, *_ in self.segments])).select("of", "id").distinct().count()
-        return n, [(r["seg"], i, b["n"], b["w"]) for r in found for i, b in enumerate(r["blocks"] or [])], [r["seg"] for r in found if not r["blocks"]]
+        return n, [(r["seg"], b["block"], b["n"], b["w"]) for r in found for b in r["blocks"] or []], [r["seg"] for r in found if not r["blocks"]]
 
     def best(self, term: str, limit: int, allowed: DataFrame | None = None) -> tuple[DataFrame, int, int] | None:
         """The ``limit`` rows (id, weight) of the largest weight among those of
@@ -146,7 +146,7 @@ class TextIndex:
             return None
         average = self.words / self.rows
         own = lambda t, segments: self.table(t, segments).where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term))
-        few = None  # rows of segments that hold the term rarely, all of them
+        few = None  # rows of segments that have no blocks of the term, all of them
         if rare:
             hits = own("postings", rare).select("seg", "key", F.size("positions").alias("f"))
             few = self.table("rows", rare).join(hits, ["seg", "key"]).groupBy("id").agg(F.sum("f").alias("f"), F.first("len").alias("len"))
@@ -161,7 +161,9 @@ class TextIndex:
             read += more
             chosen = F.array(*[F.struct(F.lit(seg).alias("seg"), F.lit(block).alias("block")) for _, _, seg, block in order[:taken]])
             tops = own("tops", sorted({x[2] for x in order[:taken]})).where(F.col("block").isin(sorted({x[3] for x in order[:taken]})) & F.array_contains(chosen, F.struct("seg", "block")))
-            tops = tops.select("id", "f", "len") if few is None else tops.select("id", "f", "len").unionByName(few)
+            used = sorted({x[2] for x in order[:taken]})
+            tops = self.table("rows", used).join(tops.select("seg", _part("key").alias("part"), "key", "f"), ["seg", "part", "key"]).select("id", "f", "len")
+            tops = tops if few is None else tops.unionByName(few)
             tops = tops.select("id", weight(F.col("f"), F.col("len"), average).alias("weight"))
             found = tops if allowed is None else allowed.select("id").join(F.broadcast(tops) if read <= SMALL else tops, "id")
             found = found.orderBy(F.col("weight").desc(), "id").limit(limit)
@@ -218,7 +220,7 @@ def _publish(index: TextIndex, folder: str, name: str, sign: str, segments: list
     return made
 
 
-def _segment(index: TextIndex, name: str, cells: DataFrame, texts: DataFrame, splits: int = 4) -> tuple[str, int, int]:
+def _segment(index: TextIndex, name: str, cells: DataFrame, texts: DataFrame, splits: int = 1) -> tuple[str, int, int]:
     """Write the tables of one segment out of cells (id, column, key) and their texts (key, words)."""
 
     def put(table: str, rows: DataFrame, *by: str) -> None:
@@ -237,26 +239,24 @@ def _segment(index: TextIndex, name: str, cells: DataFrame, texts: DataFrame, sp
     whole = whole.select("id", F.inline("cells"), "len").withColumn("part", _part("key"))
     put("rows", whole.repartition("part").sortWithinPartitions("part", "key"), "part")
     n, words = own("rows").where(F.col("column") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
-    # the rows of each term, by weight
-    counts = own("postings").select("bucket", "term", "key", F.size("positions").alias("f")).join(own("rows").select("id", "key", "len"), "key")
-    counts = counts.groupBy("bucket", "term", "id").agg(F.sum("f").cast("int").alias("f"), F.first("len").alias("len"))
-    many = counts.groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("n"))
-    often = counts.join(many.where(F.col("n") >= FREQUENT).select("bucket", "term"), ["bucket", "term"])
-    # a block is a range of weights, so no task has to order all rows of a term: how many rows each weight
-    # has comes first, and the rows before a weight give its block
+    # how many rows hold each term, out of the rows of each text; only terms of several columns are counted row by row
+    many = own("rows").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("len").alias("len"), F.min("column").alias("c0"), F.max("column").alias("c1"))
+    held = own("postings").select("bucket", "term", "key", F.size("positions").alias("f")).join(many, "key")
+    terms = held.groupBy("bucket", "term").agg(F.sum("m").alias("n"), (F.min("c0") == F.max("c1")).alias("one"))
+    several = held.join(terms.where("not one").select("bucket", "term"), ["bucket", "term"]).select("bucket", "term", "key").join(own("rows").select("key", "id"), "key")
+    several = several.groupBy("bucket", "term").agg(F.count_distinct("id").alias("exact"))
+    # the texts of each frequent term of one column, by the largest weight of their rows. A block is a range of weights, so no
+    # task has to order all texts of a term: how many rows each weight has comes first, and the rows before a weight give its block
+    often = held.join(terms.where((F.col("n") >= FREQUENT) & F.col("one")).select("bucket", "term"), ["bucket", "term"])
     exact = weight(F.col("f"), F.col("len"), max(words, 1) / max(n, 1))
-    often = often.withColumn("w", F.round(exact, 4))
-    steps = often.groupBy("bucket", "term", "w").agg(F.count(F.lit(1)).alias("c"))
-    before = F.sum("c").over(Window.partitionBy("bucket", "term").orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    steps = steps.select("bucket", "term", "w", F.floor(F.log2(F.coalesce(before, F.lit(0)) / FREQUENT + 1)).cast("int").alias("block"))
-    put("tops", often.join(steps, ["bucket", "term", "w"]).select("bucket", "term", "block", "id", "f", "len").repartition("bucket", "block").sortWithinPartitions("bucket", "term", "block"), "bucket")
-    blocks = own("tops").groupBy("bucket", "term", "block").agg(F.max(exact).alias("w"), F.count(F.lit(1)).alias("n"))
-    # blocks are numbered without gaps by their place in the list
-    blocks = blocks.groupBy("bucket", "term").agg(F.array_sort(F.collect_list(F.struct("block", "w", "n"))).alias("b"))
-    last = F.element_at("b", -1)["block"]
-    found = lambda k: F.get(F.filter("b", lambda x: x["block"] == k), F.lit(0))
-    listed = F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.coalesce(found(k)["w"], F.lit(0.0)).alias("w"), F.coalesce(found(k)["n"], F.lit(0)).cast("long").alias("n")))
-    terms = many.join(blocks.select("bucket", "term", listed.alias("blocks")), ["bucket", "term"], "left")
+    often = often.withColumn("x", exact).withColumn("w", F.round("x", 4))
+    steps = often.groupBy("bucket", "term", "w").agg(F.sum("m").alias("n"), F.max("x").alias("x"), F.count(F.lit(1)).alias("k"))
+    before = F.sum("n").over(Window.partitionBy("bucket", "term").orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.select("bucket", "term", "w", "n", "x", "k", F.floor(F.log2(F.coalesce(before, F.lit(0)) / FREQUENT + 1)).cast("int").alias("block"))
+    put("tops", often.join(steps.select("bucket", "term", "w", "block"), ["bucket", "term", "w"]).select("bucket", "term", "block", "key", "f").repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
+    blocks = steps.groupBy("bucket", "term", "block").agg(F.max("x").alias("w"), F.sum("n").alias("n"), F.sum("k").alias("k"))
+    blocks = blocks.groupBy("bucket", "term").agg(F.array_sort(F.collect_list(F.struct("block", "w", "n", "k"))).alias("blocks"))
+    terms = terms.join(several, ["bucket", "term"], "left").join(blocks, ["bucket", "term"], "left").select("bucket", "term", F.coalesce("exact", "n").alias("n"), "blocks")
     put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
     return name, n, words
 
@@ -361,7 +361,7 @@ def damaged(index: TextIndex) -> bool:
     try:
         words = index.table("texts").agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
         placed = index.table("postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
-        counted = index.table("terms").agg(F.coalesce(F.sum(F.aggregate(F.coalesce("blocks", F.array()), F.lit(0).cast("long"), lambda s, b: s + b["n"])), F.lit(0))).first()[0]
+        counted = index.table("terms").agg(F.coalesce(F.sum(F.aggregate(F.coalesce("blocks", F.array()), F.lit(0).cast("long"), lambda s, b: s + b["k"])), F.lit(0))).first()[0]
         blocks = TextIndex(index.spark, index.path, index.columns, 0, 0, index.kind, segments=index.segments).table("tops").count()
         n = index.table("rows").where(F.col("column") == 0).count()
     except Exception:  # noqa: BLE001  a file or table that cannot be read
