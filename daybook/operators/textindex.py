@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 BUCKETS, PARTS = 16, 16  # folders of a segment's tables; within one, terms and keys are sorted, so their statistics tell what to read
-FORMAT = "format-2"  # below a store's folder: tables of another format are not looked at
+FORMAT = "format-3"  # below a store's folder: tables of another format are not looked at
 FREQUENT = 128  # rows from which a term has blocks, and rows of its first block
 FANOUT = 4  # segments of like size that are merged into one, and the step between sizes
 SMALL = 100_000  # rows up to which a list of gone rows is broadcast; its size is in ``about``
