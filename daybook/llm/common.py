@@ -45,6 +45,20 @@ def stash(df: DataFrame, name: str, *, by: str | None = None) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def batch_rows(spark: SparkSession, rows: int) -> None:
+    """How many rows pass to Python at a time from here on. A batch of whole texts
+    is held by the JVM outside its heap, with room to grow, and by the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back(spark: SparkSession, rounds: int = 4) -> None:
+    """Let the executors return memory that earlier stages have left unused: a
+    collection makes a JVM's heap shrink to what it holds. A few tiny tasks per
+    core reach every executor; one that they miss only keeps its memory."""
+    n = max(1, rounds * spark.sparkContext.defaultParallelism)
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') as done").where("done is not null").count()
+
+
 def held_out(column: str, modulus: int, remainder: int):
     """True where crc32(decimal text of the id) mod ``modulus`` is ``remainder``; false for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

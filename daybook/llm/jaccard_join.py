@@ -401,12 +401,22 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_one(docs: DataFrame, *, k: int = 3, percent: int = 90, name: str = "jaccard") -> DataFrame:
     """The rows of ``docs`` but for those of a component that has a smaller id
-    (a null id is larger than any). Rows that repeat the kept id and text stay.
-    Columns stay."""
-    found = _components(docs, k=k, percent=percent, name=name)
+    (a null id is larger than any). Of rows that repeat an id and its text one
+    stays: the least by a hash of all its columns. Columns stay."""
+    found = stash(_components(docs, k=k, percent=percent, name=name), f"{name}-found")
     gone = stash(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("gone_id"), F.col("tkey").alias("gone_key")).distinct(), f"{name}-gone")
     if gone.count() <= 2 * BROADCAST_ROWS:
         gone = F.broadcast(gone)
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     kept = whole.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("row.text") == F.col("gone_key")), "left_anti")
-    return kept.select("row.*")
+    again = stash(found.groupBy(F.col("doc_id").alias("again_id"), F.col("tkey").alias("again_key")).agg(F.count(F.lit(1)).alias("times")).where("times > 1"), f"{name}-again")
+    n = again.count()
+    if not n:
+        return kept.select("row.*")
+    if n <= 2 * BROADCAST_ROWS:
+        again = F.broadcast(again)
+    marked = kept.join(again, F.col("row.doc_id").eqNullSafe(F.col("again_id")) & (F.xxhash64("row.text") == F.col("again_key")), "left")
+    # one row of each of the repeated ones: the least hash is a partial aggregate, the row comes back by it
+    hashed = marked.where("times is not null").select("row", F.xxhash64(F.to_json("row")).alias("h"))
+    first = hashed.groupBy(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("tkey")).agg(F.min_by("row", "h").alias("row"))
+    return marked.where("times is null").select("row.*").unionByName(first.select("row.*"))

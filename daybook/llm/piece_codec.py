@@ -279,15 +279,16 @@ def decoder(spark: SparkSession, path: str):
     return run
 
 
-def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 150_000) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: encodes every whole
-    text, decodes its ids, and returns digests of both."""
+    text, decodes its ids, and returns digests of both. A task remembers at
+    most twice ``cache_size`` words, some 300 bytes each."""
     shared = load_model(docs.sparkSession, path)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # large caches without cycles; tidy collects when the task ends
-        codec = PieceCodec(shared.value)  # of this task: goes with its caches
+        codec = PieceCodec(shared.value, cache_size)  # of this task: goes with its caches
         for batch in batches:
             n_tokens, ids_sha256, decoded_sha256 = [], [], []
             for text in batch.column(1):  # one text at a time, not a batch of them
