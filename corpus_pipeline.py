@@ -13,22 +13,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from daybook.llm import jaccard_join, lang_id, mixing, piece_codec, quality_crf
-from daybook.llm.common import stash
+from daybook.llm.common import batch_rows, give_back, stash
+
+#: Rows of whole texts that pass to Python at a time; narrow rows of hashes pass more.
+TEXTS, NARROW = 1000, 2500
+
+
+def _ready(spark: SparkSession, rows: int) -> None:
+    """Stages share executors: each starts without what the one before has left."""
+    give_back(spark)
+    batch_rows(spark, rows)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without a told language go, so rows whose text is null, empty or without a letter do."""
+    _ready(spark, TEXTS)
     return lang_id.keep_identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows below the quality threshold go. A null or blank text scores 0. Without labels of both classes all rows score alike."""
+    _ready(spark, TEXTS)
     return quality_crf.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of similar rows (five-word shingles, similarity 0.8) the one of the smallest id stays.
-    Repeats of its id and text stay with it; a text without words is similar to none; a null id is larger than any."""
+    Of rows that repeat an id and its text one stays; a text without words is similar to none; a null id is larger than any."""
+    _ready(spark, NARROW)
     return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
@@ -39,7 +51,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every row, and what they decode to, as digests. A null text is the empty one, which has no ids."""
-    return piece_codec.round_trip(docs, piece_codec.default_model())
+    _ready(spark, TEXTS)
+    return piece_codec.round_trip(docs, piece_codec.default_model(), cache_size=50_000)
 
 
 STAGES = [
