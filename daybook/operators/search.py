@@ -15,7 +15,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daybook.functions.text import snippet
+from daybook.functions.text import bound, snippet
 from daybook.operators.stats import in_range, ok
 from daybook.operators.textindex import MARKED, PLAIN, TextIndex, tokens
 from daybook.operators.timeline import contains, newest_first
@@ -45,9 +45,13 @@ def _hits(words: Column, phrase: list[str]) -> Column:
 
 def _counts(rows: DataFrame, columns: list[str], phrases: list[list[str]], id_col: str) -> DataFrame:
     """``(id, len, f0, f1 ...)`` of every row, by one scan of its texts."""
-    words = rows.select(F.col(id_col).alias("id"), *[tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
-    every = range(len(columns))
-    return words.select("id", sum((F.size(f"_{i}") for i in every), F.lit(0)).alias("len"), *[sum((_hits(F.col(f"_{i}"), p) for i in every), F.lit(0)).alias(f"f{j}") for j, p in enumerate(phrases)])
+    def counted(words: Column) -> Column:
+        every = [words[f"_{i}"] for i in range(len(columns))]
+        return F.struct(sum((F.size(w) for w in every), F.lit(0)).alias("len"), *[sum((_hits(w, p) for w in every), F.lit(0)).alias(f"f{j}") for j, p in enumerate(phrases)])
+
+    # bound, as the optimiser puts the splitting of a text into the function that looks at each of its words
+    words = F.struct(*[tokens(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)])
+    return rows.select(F.col(id_col).alias("id"), bound(words, counted).alias("c")).select("id", "c.*")
 
 
 def _indexed_counts(index: TextIndex, phrases: list[list[str]]) -> DataFrame:

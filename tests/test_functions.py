@@ -233,3 +233,12 @@ def test_regions_of_an_answer(spark, raw, want):
     got = on(spark, modeltext.regions_of, raw)
     assert [tuple(r.asDict().values()) if hasattr(r, "asDict") else tuple(r.values()) for r in got] == want
 
+
+
+def test_a_scan_splits_a_long_text_once(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "of the " * 20_000), (2, "of it")], "id long, text string")
+    start = time.monotonic()
+    assert sorted(r.id for r in search.bm25(df, ["text"], [["of", "the"]]).collect()) == [1]
+    assert time.monotonic() - start < 30  # seconds; splitting it for each of its words takes minutes
