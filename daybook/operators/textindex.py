@@ -7,20 +7,25 @@ it replaces or deletes. Segments of like size are merged when there are several
 of them, so a row is rewritten a few times in all, and a question meets few
 segments. Below one folder stand, each partitioned by segment:
 
-* ``texts``: key (128-bit hash of the text), words
-* ``postings``: bucket (of the term), term, key, positions
+* ``texts``: key (128-bit hash of the text), said (its words, by spaces), n (of them), and of its rows m (how many), len (the least), col (their column, -1 for several)
+* ``postings``: bucket (of the term), term, block, key, m and col of the text, positions
 * ``rows``: part (of the key), id, column, key, len (words of all columns of the row)
-* ``terms``: bucket, term, n (rows that hold it), and of frequent terms of one column blocks
-* ``tops``: of such terms bucket, term, block, key, f
+* ``terms``: bucket, term, n (rows that hold it), k (texts that do), often (whether it has blocks: frequent, and in one column)
+* ``tops``: of such terms bucket, term, block, w (what bounds its weights), n, k
 * ``gone``: rows (of a segment, id) that no longer count, with their keys
 * ``about``: one row a generation: its segments, what is gone, rows, words, sign of the source
 
-The texts of a frequent term are ordered by their rows' largest weight in a score, and cut
-into blocks that double in size; a block's largest weight bounds the score of
-all its rows, also when the average length has changed since (``bound``). The best rows of a term are therefore
+A posting's block is a range of weights in a score (``block_of``), the largest one of the text's rows;
+the end of the range bounds the score of
+all its rows, also when the average length has changed since (``bound``). The best rows of a frequent term are therefore
 found from its first blocks: reading stops where no block left can hold a
 better one, whatever the filter, and the scores are those of a full scan.
 
+Building moves little: a text goes through one exchange, to stand once, and its
+postings through one, to stand by term; the words of a text are brought together
+inside its row. What belongs to rows is narrow. Where many rows show few texts,
+a ``Source`` gives the rows with keys and each text once.
+
 A generation counts once its row of ``about`` is there, so a change that is cut
 off leaves the last one as it was. Files are never changed; ``vacuum`` removes
 segments that no kept generation names.
@@ -32,17 +37,22 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.functions.text import bound as bind
+
 #: Letters and what they are without their marks.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 BUCKETS, PARTS = 16, 16  # folders of a segment's tables; within one, terms and keys are sorted, so their statistics tell what to read
-FORMAT = "format-3"  # below a store's folder: tables of another format are not looked at
-FREQUENT = 128  # rows from which a term has blocks, and rows of its first block
+FORMAT = "format-4"  # below a store's folder: tables of another format are not looked at
+FREQUENT = 128  # rows from which a term has blocks, and rows that are read first
+STEPS = 32  # blocks while the share that a weight lacks of the largest one halves
+SPLIT = 2_000_000  # words of texts for one task that sorts postings
 FANOUT = 4  # segments of like size that are merged into one, and the step between sizes
-SMALL = 100_000  # rows up to which a list of gone rows is broadcast; its size is in ``about``
+SMALL = 100_000  # rows up to which a list of gone rows, or of a segment's keys, is broadcast
+MANY = 1_000_000  # frequent terms up to which their list is
 K1, B = 1.2, 0.75
 
 
@@ -64,6 +74,16 @@ def weight(f: Column, length: Column, average: Column | float) -> Column:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / average))
 
 
+def block_of(f: Column, length: Column, average: float) -> Column:
+    """The block of a weight: equal steps of the logarithm of what it lacks of the largest one, so heavy rows lie in small blocks."""
+    return F.floor(F.log2(1 + f / (K1 * (1 - B + B * length / average))) * STEPS).cast("int")
+
+
+def _most(block: Column) -> Column:
+    """No weight of a block is above it."""
+    return (K1 + 1) * (1 - F.pow(F.lit(2.0), -(block + 1) / F.lit(float(STEPS))))
+
+
 def bound(most: float, before: float, average: float) -> float:
     """What a weight can be at most now that was ``most`` while the average length
     was ``before``: a longer average lightens the share of length by their ratio at most."""
@@ -72,11 +92,11 @@ def bound(most: float, before: float, average: float) -> float:
 
 
 SHAPES = {
-    "texts": "key binary, words array<string>, seg string",
-    "postings": "term string, key binary, positions array<int>, seg string, bucket int",
+    "texts": "key binary, said string, n int, m long, len long, col int, seg string",
+    "postings": "term string, block int, key binary, m long, col int, positions array<int>, seg string, bucket int",
     "rows": "id {kind}, column int, key binary, len long, seg string, part int",
-    "terms": "term string, n long, blocks array<struct<block:int,w:double,n:long,k:long>>, seg string, bucket int",
-    "tops": "term string, block int, key binary, f int, seg string, bucket int",
+    "terms": "term string, n long, k long, often boolean, seg string, bucket int",
+    "tops": "term string, block int, w double, n long, k long, seg string, bucket int",
     "gone": "of string, id {kind}, len long, keys array<binary>, seg string",
 }
 
@@ -130,12 +150,14 @@ class TextIndex:
 
     def frequency(self, term: str) -> tuple[int, list[tuple[str, int, int, float]], list[str]]:
         """How many rows hold a term, its blocks as (segment, block, rows, largest weight), and segments where it has none."""
-        found = self.table("terms").where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)).collect()  # a row a segment
+        own = lambda table: self.table(table).where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)).collect()
+        found = own("terms")  # a row a segment
         n = sum(r["n"] for r in found)
         if n and self.gone:
             lost = self.table("gone").select("of", "id", F.explode(F.array_distinct("keys")).alias("key")).join(self.postings(term).select("key"), "key")
             n -= lost.where(F.col("of").isin([x for x, *_ in self.segments])).select("of", "id").distinct().count()
-        return n, [(r["seg"], b["block"], b["n"], b["w"]) for r in found for b in r["blocks"] or []], [r["seg"] for r in found if not r["blocks"]]
+        blocks = own("tops") if any(r["often"] for r in found) else []  # a row a block, of which a term has some hundred at most
+        return n, [(b["seg"], b["block"], b["n"], b["w"]) for b in blocks], [r["seg"] for r in found if not r["often"]]
 
     def best(self, term: str, limit: int, allowed: DataFrame | None = None) -> tuple[DataFrame, int, int] | None:
         """The ``limit`` rows (id, weight) of the largest weight among those of
@@ -160,9 +182,9 @@ class TextIndex:
                 taken += 1
             read += more
             chosen = F.array(*[F.struct(F.lit(seg).alias("seg"), F.lit(block).alias("block")) for _, _, seg, block in order[:taken]])
-            tops = own("tops", sorted({x[2] for x in order[:taken]})).where(F.col("block").isin(sorted({x[3] for x in order[:taken]})) & F.array_contains(chosen, F.struct("seg", "block")))
+            tops = own("postings", sorted({x[2] for x in order[:taken]})).where(F.col("block").isin(sorted({x[3] for x in order[:taken]})) & F.array_contains(chosen, F.struct("seg", "block")))
             used = sorted({x[2] for x in order[:taken]})
-            tops = self.table("rows", used).join(tops.select("seg", _part("key").alias("part"), "key", "f"), ["seg", "part", "key"]).select("id", "f", "len")
+            tops = self.table("rows", used).join(tops.select("seg", _part("key").alias("part"), "key", F.size("positions").alias("f")), ["seg", "part", "key"]).select("id", "f", "len")
             tops = tops if few is None else tops.unionByName(few)
             tops = tops.select("id", weight(F.col("f"), F.col("len"), average).alias("weight"))
             found = tops if allowed is None else allowed.select("id").join(F.broadcast(tops) if read <= SMALL else tops, "id")
@@ -176,10 +198,62 @@ class TextIndex:
 # --------------------------------------------------------------------- writing
 
 
-def _cells(rows: DataFrame, columns: list[str], id_col: str) -> DataFrame:
-    """``(id, column, text, key)``; a null text is the empty one."""
-    texts = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return rows.select(F.col(id_col).alias("id"), F.posexplode(texts).alias("column", "text")).withColumn("key", F.unhex(F.md5("text")))
+@dataclass
+class Source:
+    """Rows to index: ``cells`` are (id, cells: an array of ``cell``, one of each
+    column), ``texts`` (text) holds every text of theirs, and may hold others."""
+
+    cells: DataFrame
+    texts: DataFrame
+
+    def of(self, ids: DataFrame) -> Source:
+        """The rows of some ids (a column id)."""
+        return Source(self.cells.join(ids, "id", "left_semi"), self.texts)
+
+
+def cell(text: Column) -> Column:
+    """What rows hold of a text: its key, and how many words it has. A null text is the empty one."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.struct(_key(text).alias("key"), F.size(tokens(text)).alias("n"))
+
+
+def _key(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _source(rows: DataFrame | Source, columns: list[str], id_col: str) -> Source:
+    if isinstance(rows, Source):
+        return rows
+    texts = rows.select(F.explode(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])).alias("text"))
+    return Source(rows.select(F.col(id_col).alias("id"), F.array(*[cell(F.col(c)) for c in columns]).alias("cells")), texts)
+
+
+def _rows(source: Source) -> DataFrame:
+    """``(id, column, key, len)`` of every cell."""
+    length = F.aggregate("cells", F.lit(0).cast("long"), lambda s, c: s + c["n"])
+    rows = source.cells.select("id", length.alias("len"), F.posexplode("cells").alias("column", "cell"))
+    return rows.select("id", "column", F.col("cell.key").alias("key"), "len")
+
+
+def _texts(source: Source, many: DataFrame, few: bool) -> DataFrame:
+    """``(key, said, n)`` of the texts of ``many`` (key, ...), each once."""
+    texts = source.texts.select(_key("text").alias("key"), "text")
+    texts = texts.join(F.broadcast(many.select("key")), "key", "left_semi") if few else texts
+    words = texts.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("words"))
+    return words.select("key", F.array_join("words", " ").alias("said"), F.size("words").alias("n"))
+
+
+def places(said: Column) -> Column:
+    """``array<struct<term, positions>>`` of words with spaces between, by term."""
+    words = F.filter(F.split(said, " "), lambda w: w != "")
+    told = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("i"))))
+
+    def grouped(told: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(told) - 1), lambda i: (i == 0) | (F.get(told, i)["term"] != F.get(told, i - 1)["term"]))
+        one = lambda at: lambda a, j: F.struct(F.get(told, a)["term"].alias("term"), F.transform(F.sequence(a, F.coalesce(F.get(at, j + 1), F.size(told)) - 1), lambda k: F.get(told, k)["i"]).alias("positions"))
+        return bind(at, lambda at: F.transform(at, one(at)))
+
+    return bind(told, lambda told: F.when(F.size(told) > 0, grouped(told)))
 
 
 def _about(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -220,73 +294,70 @@ def _publish(index: TextIndex, folder: str, name: str, sign: str, segments: list
     return made
 
 
-def _segment(index: TextIndex, name: str, cells: DataFrame, texts: DataFrame, splits: int = 1) -> tuple[str, int, int]:
-    """Write the tables of one segment out of cells (id, column, key) and their texts (key, words)."""
+def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list[str]) -> tuple[str, int, int]:
+    """Write the tables of one segment out of rows (id, column, key, len), and
+    their texts: a source's, or those of other segments."""
 
     def put(table: str, rows: DataFrame, *by: str) -> None:
-        (rows.write.partitionBy(*by) if by else rows.write).parquet(f"{index.path}/{table}/seg={name}")
+        (rows.write.partitionBy(*by) if by else rows.write).option("compression", "zstd").parquet(f"{index.path}/{table}/seg={name}")
 
     def own(table: str) -> DataFrame:
         return TextIndex(index.spark, index.path, index.columns, 0, 0, index.kind).table(table, [name])
 
-    put("texts", texts.select("key", "words"))
-    texts = own("texts")
-    places = texts.select("key", F.posexplode("words").alias("position", "term")).groupBy("key", "term").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    places = places.select(_bucket("term").alias("bucket"), "term", "key", "positions")
-    put("postings", places.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(splits))).sortWithinPartitions("bucket", "term"), "bucket")
-    sized = cells.select("id", "column", "key").join(texts.select("key", F.size("words").alias("n")), "key")
-    whole = sized.groupBy("id").agg(F.sum("n").cast("long").alias("len"), F.collect_list(F.struct("column", "key")).alias("cells"))
-    whole = whole.select("id", F.inline("cells"), "len").withColumn("part", _part("key"))
-    put("rows", whole.repartition("part").sortWithinPartitions("part", "key"), "part")
+    put("rows", rows.select("id", "column", "key", "len").withColumn("part", _part("key")).repartition("part").sortWithinPartitions("part", "key"), "part")
     n, words = own("rows").where(F.col("column") == 0).agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+    average = max(words, 1) / max(n, 1)
+    col = F.when(F.min("column") == F.max("column"), F.min("column")).otherwise(-1)
+    many = own("rows").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("len").alias("len"), col.alias("col"))
+    if isinstance(source, Source):
+        texts = _texts(source, many, n * len(index.columns) <= SMALL)
+    else:
+        texts = index.table("texts", source).groupBy("key").agg(F.first("said").alias("said"), F.first("n").alias("n")) if len(source) > 1 else index.table("texts", source)
+    put("texts", texts.select("key", "said", "n").join(many, "key"))
+    splits = 1 + own("texts").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (SPLIT * BUCKETS)
+    held = own("texts").select("key", "m", "len", "col", F.inline(places(F.col("said"))))
+    held = held.select(_bucket("term").alias("bucket"), "term", block_of(F.size("positions"), F.col("len"), average).alias("block"), "key", "m", "col", "positions")
+    by = ["bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(splits))]
+    held = held.repartition(BUCKETS * splits, *by) if splits > 1 else held.repartition("bucket")
+    put("postings", held.sortWithinPartitions("bucket", "term", "block"), "bucket")
     # how many rows hold each term, out of the rows of each text; only terms of several columns are counted row by row
-    many = own("rows").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("len").alias("len"), F.min("column").alias("c0"), F.max("column").alias("c1"))
-    held = own("postings").select("bucket", "term", "key", F.size("positions").alias("f")).join(many, "key")
-    terms = held.groupBy("bucket", "term").agg(F.sum("m").alias("n"), (F.min("c0") == F.max("c1")).alias("one"))
-    several = held.join(terms.where("not one").select("bucket", "term"), ["bucket", "term"]).select("bucket", "term", "key").join(own("rows").select("key", "id"), "key")
+    held = own("postings").select("bucket", "term", "block", "key", "m", "col")
+    one = (F.min("col") == F.max("col")) & (F.min("col") >= 0)
+    terms = held.groupBy("bucket", "term").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), one.alias("one"))
+    several = held.join(terms.where("not one").select("bucket", "term"), ["bucket", "term"], "left_semi").select("bucket", "term", "key").join(own("rows").select("key", "id"), "key")
     several = several.groupBy("bucket", "term").agg(F.count_distinct("id").alias("exact"))
-    # the texts of each frequent term of one column, by the largest weight of their rows. A block is a range of weights, so no
-    # task has to order all texts of a term: how many rows each weight has comes first, and the rows before a weight give its block
-    often = held.join(terms.where((F.col("n") >= FREQUENT) & F.col("one")).select("bucket", "term"), ["bucket", "term"])
-    exact = weight(F.col("f"), F.col("len"), max(words, 1) / max(n, 1))
-    often = often.withColumn("x", exact).withColumn("w", F.round("x", 4))
-    steps = often.groupBy("bucket", "term", "w").agg(F.sum("m").alias("n"), F.max("x").alias("x"), F.count(F.lit(1)).alias("k"))
-    before = F.sum("n").over(Window.partitionBy("bucket", "term").orderBy(F.col("w").desc()).rowsBetween(Window.unboundedPreceding, -1))
-    steps = steps.select("bucket", "term", "w", "n", "x", "k", F.floor(F.log2(F.coalesce(before, F.lit(0)) / FREQUENT + 1)).cast("int").alias("block"))
-    put("tops", often.join(steps.select("bucket", "term", "w", "block"), ["bucket", "term", "w"]).select("bucket", "term", "block", "key", "f").repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
-    blocks = steps.groupBy("bucket", "term", "block").agg(F.max("x").alias("w"), F.sum("n").alias("n"), F.sum("k").alias("k"))
-    blocks = blocks.groupBy("bucket", "term").agg(F.array_sort(F.collect_list(F.struct("block", "w", "n", "k"))).alias("blocks"))
-    terms = terms.join(several, ["bucket", "term"], "left").join(blocks, ["bucket", "term"], "left").select("bucket", "term", F.coalesce("exact", "n").alias("n"), "blocks")
+    terms = terms.join(several, ["bucket", "term"], "left").select("bucket", "term", F.coalesce("exact", "n").alias("n"), "k", (F.col("one") & (F.col("n") >= FREQUENT)).alias("often"))
     put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
+    often = own("terms").where("often").select("bucket", "term")
+    often = F.broadcast(often) if often.count() <= MANY else often
+    blocks = held.join(often, ["bucket", "term"]).groupBy("bucket", "term", "block").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
+    blocks = blocks.select("bucket", "term", "block", _most(F.col("block")).alias("w"), "n", "k")
+    put("tops", blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
     return name, n, words
 
 
-def _fresh(cells: DataFrame) -> DataFrame:
-    """``(key, words)`` of the distinct texts of cells."""
-    return cells.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("words"))
-
-
-def build(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_col: str = "id") -> TextIndex:
+def build(rows: DataFrame | Source, columns: list[str], folder: str, sign: str = "", id_col: str = "id") -> TextIndex:
     """A generation of one segment, out of the source alone."""
-    spark = rows.sparkSession
-    index = TextIndex(spark, f"{folder}/{FORMAT}", columns, 0, 0, rows.schema[id_col].dataType.simpleString())
-    name, cells = _next(spark, folder), _cells(rows, columns, id_col)
-    return _publish(index, folder, name, sign, [_segment(index, name, cells, _fresh(cells))], [])
+    source = _source(rows, columns, id_col)
+    spark = source.cells.sparkSession
+    index = TextIndex(spark, f"{folder}/{FORMAT}", columns, 0, 0, source.cells.schema["id"].dataType.simpleString())
+    name = _next(spark, folder)
+    return _publish(index, folder, name, sign, [_segment(index, name, _rows(source), source)], [])
 
 
-def change(index: TextIndex, folder: str, sign: str, *, rows: DataFrame | None = None, ids: DataFrame | None = None, id_col: str = "id") -> TextIndex:
+def change(index: TextIndex, folder: str, sign: str, *, rows: DataFrame | Source | None = None, ids: DataFrame | None = None, id_col: str = "id") -> TextIndex:
     """A generation with ``rows`` put in, those of known ids replaced, and rows of
     ``ids`` (a column id) deleted. What is written has the size of the change."""
     name = _next(index.spark, folder)
-    parts = [x.select(F.col(c).alias("id")) for x, c in ((rows, id_col), (ids, "id")) if x is not None]
+    source = None if rows is None else _source(rows, index.columns, id_col)
+    parts = [x.select("id") for x in (source and source.cells, ids) if x is not None]
     changed = (parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])).distinct()
     old = index.table("rows").join(changed, "id", "left_semi").groupBy(F.col("seg").alias("of"), "id").agg(F.first("len").alias("len"), F.collect_list("key").alias("keys"))
     old.write.parquet(f"{index.path}/gone/seg={name}")
     lost = index.table("gone", [name]).count()
     segments = list(index.segments)
-    if rows is not None:
-        cells = _cells(rows, index.columns, id_col)
-        segments.append(_segment(index, name, cells, _fresh(cells)))
+    if source is not None:
+        segments.append(_segment(index, name, _rows(source), source))
     return merged(_publish(index, folder, name, sign, segments, [*index.gone, *([(name, lost)] if lost else [])]), folder)
 
 
@@ -308,9 +379,7 @@ def compact(index: TextIndex, folder: str, names: list[str] | None = None) -> Te
     """A generation whose segments ``names`` (all, if None) are one; rows that are gone are left behind. No text is split into words again."""
     names = [x for x, *_ in index.segments] if names is None else names
     name = _next(index.spark, folder)
-    cells = index.table("rows", names).select("id", "column", "key")
-    texts = index.table("texts", names).join(cells.select("key"), "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
-    made = _segment(index, name, cells, texts)
+    made = _segment(index, name, index.table("rows", names), names)
     kept = [x for x in index.segments if x[0] not in names]
     return _publish(index, folder, name, index.sign, [*kept, made], index.gone)
 
@@ -336,10 +405,10 @@ def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> list[str]:
 # -------------------------------------------------------------------- checking
 
 
-def differences(index: TextIndex, rows: DataFrame, id_col: str = "id") -> DataFrame:
+def differences(index: TextIndex, rows: DataFrame | Source, id_col: str = "id") -> DataFrame:
     """``(id, problem)``: rows that the index lacks (missing), knows with another text (stale) or should not know (extra)."""
-    there = index.table("rows").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("column", "key"))).alias("there"))
-    here = _cells(rows, index.columns, id_col).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("column", "key"))).alias("here"))
+    own = lambda rows, name: rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("column", "key"))).alias(name))
+    here, there = own(_rows(_source(rows, index.columns, id_col)), "here"), own(index.table("rows"), "there")
     problem = F.when(F.col("there").isNull(), "missing").when(F.col("here").isNull(), "extra").when(F.col("there") != F.col("here"), "stale")
     return here.join(there, "id", "full_outer").select("id", problem.alias("problem")).where("problem is not null")
 
@@ -359,32 +428,31 @@ def there(index: TextIndex) -> bool:
 def damaged(index: TextIndex) -> bool:
     """Whether the tables of a generation do not agree: a table is gone, or words lack postings."""
     try:
-        words = index.table("texts").agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-        placed = index.table("postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0))).first()[0]
-        counted = index.table("terms").agg(F.coalesce(F.sum(F.aggregate(F.coalesce("blocks", F.array()), F.lit(0).cast("long"), lambda s, b: s + b["k"])), F.lit(0))).first()[0]
-        blocks = TextIndex(index.spark, index.path, index.columns, 0, 0, index.kind, segments=index.segments).table("tops").count()
+        words, spaces = index.table("texts").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size(F.filter(F.split("said", " "), lambda w: w != ""))), F.lit(0))).first()
+        placed, held = index.table("postings").agg(F.coalesce(F.sum(F.size("positions")), F.lit(0)), F.count(F.lit(1))).first()
+        counted, framed = index.table("terms").agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("often"), F.col("k"))), F.lit(0))).first()
+        blocks = index.table("tops").agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
         n = index.table("rows").where(F.col("column") == 0).count()
     except Exception:  # noqa: BLE001  a file or table that cannot be read
         return True
-    return words != placed or counted != blocks or n != index.rows
+    return not words == spaces == placed or held != counted or framed != blocks or n != index.rows
 
 
-def ensure(rows: DataFrame, columns: list[str], folder: str, sign: str, id_col: str = "id") -> TextIndex:
+def ensure(rows: DataFrame | Source, columns: list[str], folder: str, sign: str, id_col: str = "id") -> TextIndex:
     """The generation of the source as it is now: the stored one, else the newest
     one changed where it differs, else a first one."""
-    found = current(rows.sparkSession, folder, sign)
+    found = current((rows.cells if isinstance(rows, Source) else rows).sparkSession, folder, sign)
     if found is not None and found.columns == columns and there(found):
         return found
     return repair(rows, columns, folder, sign, id_col)
 
 
-def repair(rows: DataFrame, columns: list[str], folder: str, sign: str = "", id_col: str = "id") -> TextIndex:
+def repair(rows: DataFrame | Source, columns: list[str], folder: str, sign: str = "", id_col: str = "id") -> TextIndex:
     """A generation that agrees with the source: the newest one with the rows that
     differ changed, if it is whole, else one from the source alone."""
-    old = current(rows.sparkSession, folder)
+    source = _source(rows, columns, id_col)
+    old = current(source.cells.sparkSession, folder)
     if old is None or old.columns != columns or not old.segments or damaged(old):
-        return build(rows, columns, folder, sign, id_col)
-    wrong = differences(old, rows, id_col)
-    fresh = wrong.where("problem <> 'extra'").select(F.col("id").alias(id_col))
-    new = rows.join(fresh, id_col, "left_semi")
-    return change(old, folder, sign, rows=new, ids=wrong.where("problem = 'extra'").select("id"), id_col=id_col)
+        return build(source, columns, folder, sign)
+    wrong = differences(old, source)
+    return change(old, folder, sign, rows=source.of(wrong.where("problem <> 'extra'").select("id")), ids=wrong.where("problem = 'extra'").select("id"))

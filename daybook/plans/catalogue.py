@@ -46,7 +46,11 @@ def _vector(spark: SparkSession, d: str) -> list[float]:
 def _index(spark: SparkSession, d: str) -> textindex.TextIndex:
     """The stored text index of the activities, built when their tables have changed."""
     sign = signature(spark, *(f"{d}/{name}.parquet" for name in ("events", "documents")))
-    return textindex.ensure(activities(spark, d, "text"), ["ocr_text", "app_name"], f"{shared_dir(spark)}/activity-texts", sign)
+    rows = activities(spark, d, "cell")  # events show few texts many times: a row carries the text's key, a text comes once
+    texts = read(spark, d, "documents").select(F.coalesce("text", F.lit("")).alias("text")).unionByName(activities(spark, d).select(F.col("app_name").alias("text")).distinct())
+    texts = texts.unionByName(spark.range(1).select(F.lit("").alias("text")))
+    source = textindex.Source(rows.select("id", F.array("cell", textindex.cell(F.col("app_name"))).alias("cells")), texts.select(F.coalesce("text", F.lit("")).alias("text")))
+    return textindex.ensure(source, ["ocr_text", "app_name"], f"{shared_dir(spark)}/activity-texts", sign)
 
 
 def _document_index(spark: SparkSession, d: str) -> textindex.TextIndex:
@@ -530,8 +534,12 @@ for _name, _columns, _phrases in (("bm25_term", ["text", "source"], [["thorou"]]
 @query("postings", f"select word as term, doc_id, count(*) as n from (select doc_id, unnest({_WT}) as word from documents) group by 1, 2")
 def _(spark, d):
     index = _document_index(spark, d)
-    texts = index.table("rows").where(F.col("column") == 0).select(F.col("id").alias("doc_id"), "key")
-    return texts.join(index.table("postings"), "key").select("term", "doc_id", F.size("positions").cast("long").alias("n"))
+    rows = index.table("rows").where(F.col("column") == 0).select(F.col("id").alias("doc_id"), "key")
+    # every word of every row: texts meet their rows, and words are counted inside a text
+    texts = index.table("texts").select("key", "said")
+    texts = texts if len(index.segments) == 1 else texts.groupBy("key").agg(F.first("said").alias("said"))
+    held = rows.join(texts, "key").select("doc_id", F.inline(textindex.places(F.col("said"))))
+    return held.select("term", "doc_id", F.size("positions").cast("long").alias("n"))
 
 
 @query("bm25_scan", f"with {_bm25_sql('documents', 'doc_id', ['text'], [['thorou'], ['of', 'the']])} select id as doc_id, round(score, 6) as score from bm")

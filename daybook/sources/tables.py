@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.operators.textindex import cell
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def activities(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """One row per event. ``extra`` names what is joined on: url, text, embedding;
-    a query that needs none of them reads the event table alone."""
+    """One row per event. ``extra`` names what is joined on: url, text, embedding, or
+    cell, what a text index holds of the text (``textindex.cell``); a query that needs none of them reads the event table alone."""
     e = read(spark, sf_dir, "events")
     kind = F.col("event_type")
     out = e.select(
@@ -29,10 +31,10 @@ def activities(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
         "event_type",
     )
 
-    def beside(name: str, key: str, column: str, alias: str) -> DataFrame:
+    def beside(name: str, key: str, column: str | Column, alias: str) -> DataFrame:
         side = read(spark, sf_dir, name)
         count = side.count()  # from the files' footers
-        return out.join(side.select(F.col(key).alias("_k"), F.col(column).alias(alias)), F.col("id") % F.lit(max(count, 1)) == F.col("_k"), "left").drop("_k")
+        return out.join(side.select(F.col(key).alias("_k"), (F.col(column) if isinstance(column, str) else column).alias(alias)), F.col("id") % F.lit(max(count, 1)) == F.col("_k"), "left").drop("_k")
 
     if "url" in extra:
         out = beside("pages", "page_id", "url", "page_url")
@@ -40,6 +42,9 @@ def activities(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     if "text" in extra:
         out = beside("documents", "doc_id", "text", "ocr_text")
         out = out.withColumn("summary", F.substring("ocr_text", 1, 80))
+    if "cell" in extra:
+        out = beside("documents", "doc_id", cell(F.col("text")), "cell")
+        out = out.withColumn("cell", F.coalesce("cell", cell(F.lit(""))))
     if "embedding" in extra:
         out = beside("embeddings", "vec_id", "embedding", "embedding")
     return out.drop("event_type")

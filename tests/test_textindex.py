@@ -146,3 +146,28 @@ def test_empty_table_and_signature(spark, tmp_path):
     assert signature(spark, path) == before
     spark.range(1).write.mode("append").parquet(path)
     assert signature(spark, path) != before
+
+
+def moved(spark):
+    """Rows that stages of this session have written to exchanges."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_building_moves_each_posting_once(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    df = spark.createDataFrame([(i, " ".join(rng.sample(words, 300)), None) for i in range(120)], "id long, text string, app string")
+    before = moved(spark)
+    index = textindex.build(df, COLUMNS, str(tmp_path))
+    assert index.table("postings").count() == 300 * 120 and moved(spark) - before < 2 * 300 * 120
+
+
+def test_rows_that_share_texts_are_indexed_by_key(spark, tmp_path):
+    df = rows(spark)
+    cells = df.select("id", F.array(*[textindex.cell(F.col(c)) for c in COLUMNS]).alias("cells"))
+    texts = df.select(F.coalesce("text", F.lit("")).alias("text")).union(df.select(F.coalesce("app", F.lit("")))).union(spark.createDataFrame([("of no row",)], "text string"))
+    index = textindex.build(textindex.Source(cells, texts), COLUMNS, str(tmp_path))
+    assert textindex.differences(index, df).count() == 0 and not textindex.damaged(index)
+    for phrases in PHRASES[:2]:
+        assert scores(search.bm25(None, COLUMNS, phrases, index=index)) == scores(search.bm25(df, COLUMNS, phrases))
