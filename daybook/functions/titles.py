@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from itertools import groupby
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from daybook.functions.text import bound
 from daybook.schema import CATEGORIES, MOODS
 
 #: Process names that tell nothing about the application.
@@ -30,8 +34,9 @@ CODING_APPS = ("code", "code - insiders", "devenv", "idea64", "pycharm64", "webs
 CODING_TITLES = (".py", ".js", ".ts", ".go", ".rs", ".java", ".cpp", ".c", ".html", ".css", ".jsx", ".tsx", ".vue", ".rb", ".php", "visual studio code", "vs code", "pycharm", "intellij", "terminal", "powershell", "cmd.exe", "git ", "npm ", "pip ", "python ", "node ")
 
 
-def _any(values: tuple[str, ...], test) -> Column:
-    return F.exists(F.array(*[F.lit(v) for v in values]), test)
+def _any(text: Column, values: tuple[str, ...], where: str = "%s") -> Column:
+    """Whether one of fixed ``values`` is in a text, by one pattern that is compiled once; ``where`` holds it to a place."""
+    return F.rlike(text, F.lit(where % f"(?:{'|'.join(map(re.escape, values))})"))
 
 
 def app_from_title(title: Column) -> Column:
@@ -49,7 +54,7 @@ def simple_title(title: Column) -> Column:
     """A short title without signs of content is the application's name."""
     t = F.trim(title)
     low = F.lower(t)
-    content = _any(NO_SIMPLE_TITLE, lambda x: F.contains(low, x)) | _any(("untitled", "new ", "document"), lambda x: F.startswith(low, x))
+    content = _any(low, NO_SIMPLE_TITLE) | _any(low, ("untitled", "new ", "document"), "^%s")
     return F.when((t != "") & (F.length(t) <= 25) & ~content, t)
 
 
@@ -60,29 +65,32 @@ def _word_in(word: Column, text: Column) -> Column:
 
 
 def is_more_specific(name: Column, other: Column) -> Column:
-    """Whether ``other`` is longer and contains ``name`` as a word; both in lower case."""
-    return (F.length(other) > F.length(name)) & _word_in(name, other)
+    """Whether ``other`` is longer and contains ``name`` as a word; both in lower case.
+    A pattern of its own is made only for a name that the other contains."""
+    return (F.length(other) > F.length(name)) & F.contains(other, name) & _word_in(name, other)
 
 
 def is_browser(title: Column, hint: Column) -> Column:
-    ends = F.coalesce(_any(BROWSER_TITLES, lambda x: F.endswith(title, x)), F.lit(False))
+    ends = F.coalesce(_any(title, BROWSER_TITLES, r"%s\z"), F.lit(False))
     return ends | F.coalesce(F.lower(F.trim(hint)).isin(*BROWSERS), F.lit(False))
 
 
 def known_category(app: Column) -> Column:
     """Exact name, then prefixes either way, then a word of the name; the first rule in order wins."""
-    name = F.regexp_replace(F.lower(F.trim(app)), r"[-. ]+$", "")
-    rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c")) for k, c in KNOWN.items()])
-    first = lambda test: F.get(F.filter(rules, test), F.lit(0))["c"]
-    exact = first(lambda r: r["k"] == name)
-    prefix = first(lambda r: F.startswith(name, r["k"]) | (F.startswith(r["k"], name) & (F.length(name) >= 5) & (F.length(name) >= F.length(r["k"]) - 3)))
-    return F.coalesce(exact, prefix, first(lambda r: _word_in(r["k"], name)))
+    runs = [(kind, tuple(k for k, _ in run)) for kind, run in groupby(KNOWN.items(), lambda r: r[1])]  # one test for neighbours of a category
+
+    def kind_of(name: Column) -> Column:
+        first = lambda test: [F.when(test(names), F.lit(kind)) for kind, names in runs]
+        begun = lambda names: {k[:n] for k in names for n in range(max(5, len(k) - 3), len(k) + 1)}  # noqa: E731  what a rule's name may be cut to
+        prefix = lambda names: _any(name, names, "^%s") | (name.isin(*sorted(begun(names))) if begun(names) else F.lit(False))
+        return F.coalesce(*first(lambda names: name.isin(*names)), *first(prefix), *first(lambda names: _any(name, names, r"(?U)\b%s\b")))
+
+    return bound(F.regexp_replace(F.lower(F.trim(app)), r"[-. ]+$", ""), kind_of)
 
 
 def _declared(value: Column, names: tuple[str, ...], otherwise: str) -> Column:
     """The first declared name that the value contains."""
-    low = F.lower(F.trim(F.coalesce(value, F.lit(""))))
-    return F.coalesce(F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(low, n)), F.lit(0)), F.lit(otherwise))
+    return bound(F.lower(F.trim(F.coalesce(value, F.lit("")))), lambda low: F.coalesce(*[F.when(F.contains(low, F.lit(n)), n) for n in names], F.lit(otherwise)))
 
 
 def category(value: Column) -> Column:
@@ -97,15 +105,19 @@ def reconcile(app: Column, raw_category: Column, hint: Column, title: Column) ->
     """``struct<app_name, category>`` from a model's guess, the process name and the window title."""
     said = F.coalesce(app, F.lit(""))
     process = F.when((F.coalesce(hint, F.lit("")) != "") & ~F.lower(F.trim(hint)).isin(*GENERIC), hint)
-    found = F.coalesce(app_from_title(title), process, simple_title(title))
-    keep = F.coalesce(is_more_specific(F.lower(F.trim(found)), F.lower(F.trim(said))), F.lit(False))
-    name = F.when(found.isNull() | keep, said).otherwise(found)
-    kind = F.when(is_browser(title, hint), category(raw_category)).otherwise(F.coalesce(known_category(name), category(raw_category)))
-    return F.struct(name.alias("app_name"), kind.alias("category"))
+    by_name = lambda name: F.when(is_browser(title, hint), category(raw_category)).otherwise(F.coalesce(known_category(name), category(raw_category)))
+
+    def named(found: Column) -> Column:
+        keep = F.coalesce(is_more_specific(F.lower(F.trim(found)), F.lower(F.trim(said))), F.lit(False))
+        return F.when(found.isNull() | keep, said).otherwise(found)
+
+    # the name is worked out once, not for each rule that looks at it
+    name = bound(F.coalesce(app_from_title(title), process, simple_title(title)), named)
+    return bound(name, lambda name: F.struct(name.alias("app_name"), by_name(name).alias("category")))
 
 
 def is_coding(kind: Column, app: Column, title: Column) -> Column:
     """By category, by process name, or by the window title."""
     by_app = F.replace(F.lower(app), F.lit(".exe"), F.lit("")).isin(*CODING_APPS)
-    by_title = _any(CODING_TITLES, lambda w: F.contains(F.lower(title), w))
+    by_title = _any(F.lower(title), CODING_TITLES)
     return F.coalesce(F.lower(kind).isin("coding", "terminal"), F.lit(False)) | F.coalesce(by_app, F.lit(False)) | F.coalesce(by_title, F.lit(False))

@@ -1,6 +1,7 @@
 """Scalar functions on golden strings and boxes."""
 
 import random
+import re
 import sqlite3
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daybook.functions import layout, modeltext, text, titles
 from daybook.operators import search
+from daybook.plans import catalogue, derived  # noqa: F401  derived registers more queries
 
 
 def one(spark, column, **values):
@@ -242,3 +244,24 @@ def test_a_scan_splits_a_long_text_once(spark):
     start = time.monotonic()
     assert sorted(r.id for r in search.bm25(df, ["text"], [["of", "the"]]).collect()) == [1]
     assert time.monotonic() - start < 30  # seconds; splitting it for each of its words takes minutes
+
+
+def plain_category(app):
+    """The rules one after another, as the reference states them."""
+    name = re.sub(r"[-. ]+$", "", app.strip(" ").lower())
+    for test in (lambda k: k == name, lambda k: name.startswith(k) or (k.startswith(name) and len(name) >= 5 and len(name) >= len(k) - 3), lambda k: re.search(rf"\b{re.escape(k)}\b", name)):
+        for k, kind in titles.KNOWN.items():
+            if test(k):
+                return kind
+
+
+def test_known_category_makes_no_pattern_of_a_row(spark):
+    names = [*titles.KNOWN, *(k[:n] for k in titles.KNOWN for n in range(1, len(k))), *(f"my {k} app" for k in titles.KNOWN), *(f"x{k}y" for k in titles.KNOWN), *(f"{k}-9. " for k in titles.KNOWN), "slack zoom", "é zoom", "ézoom", "", "  ", "Teams Discord", "vlc notion"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", titles.known_category(F.col("n")).alias("kind"))
+    assert {r.n: r.kind for r in rows.collect()} == {n: plain_category(n) for n in names}
+    assert "concat((?U)" not in rows._jdf.queryExecution().toString()
+
+
+def test_model_answers_are_read_once(spark):
+    plan = catalogue.QUERIES["model_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in plan and plan.count("(?s)\\{.*") == 1
