@@ -31,7 +31,7 @@ def json_object(text: Column) -> Column:
     the object is closed, or closes what the text's end left open, innermost
     first. A comma waits until something follows it, so a trailing one goes. Line
     ends inside strings are escaped, a string without an end gets one."""
-    rest = F.nullif(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(""))
+    rest = F.get(F.regexp_extract_all(text, F.lit(r"(?s)\{.*"), F.lit(0)), F.lit(0))
     pieces = F.regexp_extract_all(rest, F.lit(_PIECE), F.lit(0))
     state = F.struct(F.lit("").alias("out"), F.lit("").alias("open"), F.lit("").alias("comma"), F.lit(False).alias("done"))
 
@@ -92,7 +92,7 @@ def array_objects(text: Column) -> Column:
 
     One scan from the first bracket counts how deep it is: an object begins and
     ends one level below the array, and the array's own end ends the scan."""
-    rest = F.nullif(F.regexp_extract(text, r"(?s)\[.*", 0), F.lit(""))
+    rest = F.get(F.regexp_extract_all(text, F.lit(r"(?s)\[.*"), F.lit(0)), F.lit(0))
     pieces = F.regexp_extract_all(rest, F.lit(_PIECE), F.lit(0))
     state = F.struct(F.lit(0).alias("depth"), F.lit("").alias("here"), F.array().cast("array<string>").alias("found"), F.lit(False).alias("done"))
 

@@ -176,7 +176,8 @@ def _(spark, d):
         .when(i % 8 == 6, F.concat(F.lit('app_name = "app'), F.col("user_id").cast("string"), F.lit('", activity_summary: "'), said, F.lit('"')))
         .otherwise("nothing to tell")
     )
-    r = read(spark, d, "events").select("event_id", modeltext.parsed(modeltext.without_thinking(answer)).alias("r")).where("r is not null")
+    read_once = F.explode(F.array_compact(F.array(modeltext.parsed(modeltext.without_thinking(answer)))))  # not again for each field
+    r = read(spark, d, "events").select("event_id", read_once.alias("r"))
     return r.select("event_id", "r.app_name", F.col("r.activity_category").alias("category"), F.col("r.activity_summary").alias("summary"), "r.confidence")
 
 
