@@ -88,11 +88,9 @@ def _identity(members: np.ndarray) -> bytes:
     return b"".join(int(mix64(members ^ _U(salt)).sum() & _U(0xFFFFFFFFFFFFFFFF)).to_bytes(8, "big") for salt in (0x51ED270B0A1F39C1, 0x8CB92BA72F3D8DD7))
 
 
-def _bitmap(members: np.ndarray) -> tuple[bytes, bytes]:
-    """Parities of ``BITS`` cells and of ``FOLD`` cells: two sets differ in at least as many members as cells."""
-    wide = (np.bincount((members & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
-    small = np.bitwise_xor.reduce(wide.reshape(-1, FOLD), axis=0)
-    return np.packbits(wide).tobytes(), np.packbits(small).tobytes()
+def _bitmap(members: np.ndarray) -> bytes:
+    """Parities of ``BITS`` cells: two sets differ in at least as many members as cells."""
+    return np.packbits((np.bincount((members & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
 def _table(names: str, *columns) -> pa.RecordBatch:
@@ -145,13 +143,13 @@ def frequent_shingles(docs: DataFrame, *, text_col: str, k: int, max_hot: int, p
 
 def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k: int, t: Fraction, kind: str) -> DataFrame:
     """Two kinds of rows. 'd', one per document: id, text hash, class, size,
-    group, bitmaps. 'p', one per prefix member: token, position, group, size,
+    group, bitmap. 'p', one per prefix member: token, position, group, size,
     and how many rare members the prefix has. A task sends the prefix of a group
     once, as long as it remembers the group, so copies do not make members hot."""
     order = np.argsort(hot)
     shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
-    schema = f"kind string, id {kind}, tkey long, cid binary, n int, gid long, wide binary, small binary, token long, pos int, rare int"
-    names = "kind id tkey cid n gid wide small token pos rare"
+    schema = f"kind string, id {kind}, tkey long, cid binary, n int, gid long, wide binary, token long, pos int, rare int"
+    names = "kind id tkey cid n gid wide token pos rare"
 
     def prefix(members: np.ndarray, hot_keys: np.ndarray, hot_rank: np.ndarray) -> tuple[np.ndarray, int]:
         n = len(members)
@@ -174,12 +172,12 @@ def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k:
         for batch in sliced(batches, 2, SLICE):
             ids, tkeys = batch.column(0), batch.column(1)
             size = len(ids)
-            cid, n, gid, wide, small, tokens, rares = [None] * size, np.zeros(size, np.int32), np.zeros(size, np.int64), [None] * size, [None] * size, [], []
+            cid, n, gid, wide, tokens, rares = [None] * size, np.zeros(size, np.int32), np.zeros(size, np.int64), [None] * size, [], []
             for row, members in shingler.sets(batch.column(2)):
                 if not len(members):
                     continue
                 n[row], cid[row] = len(members), _identity(members)
-                wide[row], small[row] = _bitmap(members)
+                wide[row] = _bitmap(members)
                 first, rare = prefix(members, keys, ranks)
                 gid[row] = int(mix64(first * _U(0x9FB21C651E98DF25) + np.arange(len(first), dtype=_U)).sum(dtype=_U) >> _U(1))
                 group = (int(gid[row]), len(members), rare)
@@ -190,7 +188,7 @@ def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k:
                     tokens.append((row, first))
                     rares.append(rare)
             none = lambda count, kind_: pa.nulls(count, kind_)
-            yield _table(names, pa.array(["d"] * size), ids, tkeys, pa.array(cid, pa.binary()), pa.array(n), pa.array(gid), pa.array(wide, pa.binary()), pa.array(small, pa.binary()), none(size, pa.int64()), none(size, pa.int32()), none(size, pa.int32()))
+            yield _table(names, pa.array(["d"] * size), ids, tkeys, pa.array(cid, pa.binary()), pa.array(n), pa.array(gid), pa.array(wide, pa.binary()), none(size, pa.int64()), none(size, pa.int32()), none(size, pa.int32()))
             for lo in range(0, len(tokens), 500):
                 some = tokens[lo : lo + 500]
                 rows = np.repeat([r for r, _ in some], [len(p) for _, p in some])
@@ -198,7 +196,7 @@ def _digest(docs: DataFrame, hot: np.ndarray, *, id_col: str, text_col: str, k:
                 pos = np.concatenate([np.arange(len(p), dtype=np.int32) for _, p in some])
                 rare = np.repeat(np.array(rares[lo : lo + 500], np.int32), [len(p) for _, p in some])
                 c = len(flat)
-                yield _table(names, pa.array(["p"] * c), none(c, ids.type), none(c, pa.int64()), none(c, pa.binary()), pa.array(n[rows]), pa.array(gid[rows]), none(c, pa.binary()), none(c, pa.binary()), pa.array(flat.view(np.int64)), pa.array(pos), pa.array(rare))
+                yield _table(names, pa.array(["p"] * c), none(c, ids.type), none(c, pa.int64()), none(c, pa.binary()), pa.array(n[rows]), pa.array(gid[rows]), none(c, pa.binary()), pa.array(flat.view(np.int64)), pa.array(pos), pa.array(rare))
 
     return docs.select(id_col, F.xxhash64(text_col).alias("tkey"), text_col).mapInArrow(run, schema)
 
@@ -211,6 +209,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(len(column), width // 64)
 
 
+def _folded(wide: np.ndarray) -> np.ndarray:
+    """Bitmaps of ``FOLD`` cells out of those of ``BITS``."""
+    return np.bitwise_xor.reduce(wide.reshape(len(wide), BITS // FOLD, FOLD // 64), axis=1)
+
+
 def _most(na: np.ndarray, nb: np.ndarray, t: Fraction) -> np.ndarray:
     """The most members in which sets of these sizes may differ: I >= t (na + nb) / (1 + t)."""
     need = -(-(t.numerator * (na + nb)) // (t.numerator + t.denominator))
@@ -268,15 +271,17 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, *, text_col
 
 def _across(entries: DataFrame, t: Fraction, *, bitmaps: bool) -> DataFrame:
     """``(a, b, least)``, once per token: class pairs of different components
-    that share a token and pass the size and position bounds (and the small
-    bitmaps'); least: in how many tokens a similar pair meets at least.
+    that share a token and pass the size and position bounds (and the bitmaps':
+    folded ones first, whole ones for what is left, or a large family of texts
+    that are nearly similar would meet in pairs); least: in how many tokens a
+    similar pair meets at least.
     Buckets of more than ``BLOCK`` classes are dealt out as pairs of blocks."""
-    # entries: token, key, n, pos, comp, m (classes of the token), and small if bitmaps
+    # entries: token, key, n, pos, comp, m (classes of the token), and wide if bitmaps
     parts = F.greatest(F.ceil(F.col("m") / BLOCK), F.lit(1)).cast("int") if bitmaps else F.lit(1)
     dealt = entries.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = dealt.withColumn("other", F.explode(others) if bitmaps else F.lit(0))
-    more = ["small"] if bitmaps else []
+    more = ["wide"] if bitmaps else []
     dealt = dealt.select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "pos", "comp", *more)
     dealt = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
@@ -286,7 +291,8 @@ def _across(entries: DataFrame, t: Fraction, *, bitmaps: bool) -> DataFrame:
             token, i, j, block, key = (batch.column(x).to_numpy() for x in range(5))
             n, pos = (batch.column(x).to_numpy().astype(np.int64) for x in (5, 6))
             comp = batch.column(7).to_numpy()
-            small = _matrix(batch.column(8), FOLD) if bitmaps else None
+            wide = _matrix(batch.column(8), BITS) if bitmaps else None
+            small = _folded(wide) if bitmaps else None
             rows = len(n)
             change = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             ends = np.repeat(np.concatenate([change, [rows]]), np.diff(np.concatenate([[0], change, [rows]])))
@@ -305,7 +311,8 @@ def _across(entries: DataFrame, t: Fraction, *, bitmaps: bool) -> DataFrame:
                 at_best = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
                 ok = (np.minimum(n[x], n[y]) * t.denominator >= np.maximum(n[x], n[y]) * t.numerator) & (at_best >= need)
                 if bitmaps:
-                    ok[ok] = _differ(small[x[ok]], small[y[ok]]) <= most[ok]
+                    for bits in (small, wide):
+                        ok[ok] = _differ(bits[x[ok]], bits[y[ok]]) <= most[ok]
                 lefts.append(x[ok])
                 rights.append(y[ok])
                 leasts.append(np.minimum(need[ok], DEPTH))
@@ -346,8 +353,8 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(id_col, text_col)
     hot = frequent_shingles(docs, text_col=text_col, k=k, max_hot=max_hot)
     rows = stash(_digest(docs, hot, id_col=id_col, text_col=text_col, k=k, t=t, kind=kind), f"{name}-digest", by="kind")
-    each = rows.where("kind = 'd'").select("id", "tkey", "cid", "n", "gid", "wide", "small")
-    classes = each.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("wide").alias("wide"), F.first("small").alias("small"))
+    each = rows.where("kind = 'd'").select("id", "tkey", "cid", "n", "gid", "wide")
+    classes = each.where("n > 0").groupBy("cid").agg(F.min("id").alias("rep"), F.min("tkey").alias("tkey"), F.first("n").alias("n"), F.first("gid").alias("gid"), F.first("wide").alias("wide"))
     classes = stash(classes.withColumn("key", F.monotonically_increasing_id()), f"{name}-classes")  # numbered as written
     label = F.struct(F.col("rep").isNull().alias("none"), "rep", "key")
 
@@ -371,17 +378,17 @@ def _components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     # what still lies in different components, class by class
     roots = connected_components(links, name)
-    placed = stash(classes.join(roots.select("node.key", F.col("root.key").alias("root")), "key", "left").select("gid", "n", "key", F.coalesce("root", "key").alias("comp"), "small"), f"{name}-placed")
+    placed = stash(classes.join(roots.select("node.key", F.col("root.key").alias("root")), "key", "left").select("gid", "n", "key", F.coalesce("root", "key").alias("comp"), "wide"), f"{name}-placed")
     spread = stash(placed.groupBy("gid", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")), f"{name}-spread")
     lean = shared.select("token", "gid", "n", "pos").join(spread, ["gid", "n"])
     mixed = lean.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).where("lo <> hi").select("token", "m")
     open_ = stash(shared.select("token", "gid", "n", "pos").join(mixed, "token"), f"{name}-open")
     few = open_.where(F.col("m") <= LARGE).join(placed.select("gid", "n", "key", "comp"), ["gid", "n"]).select("token", "key", "n", "pos", "comp", "m")
-    many = open_.where(F.col("m") > LARGE).join(placed.select("gid", "n", "key", "comp", "small"), ["gid", "n"]).select("token", "key", "n", "pos", "comp", "m", "small")
+    many = open_.where(F.col("m") > LARGE).join(placed.select("gid", "n", "key", "comp", "wide"), ["gid", "n"]).select("token", "key", "n", "pos", "comp", "m", "wide")
     met = _across(few, t, bitmaps=False).unionByName(_across(many, t, bitmaps=True))
     # a group that the comparisons with its head left in several components, whether or not others hold its members
-    split = placed.join(spread.where("lo <> hi").select("gid", "n", "m"), ["gid", "n"]).select(F.xxhash64("gid", "n").alias("token"), "key", "n", F.lit(0).alias("pos"), "comp", "m", "small")
-    own = _across(split.where(F.col("m") <= LARGE).drop("small"), t, bitmaps=False).unionByName(_across(split.where(F.col("m") > LARGE), t, bitmaps=True))
+    split = placed.join(spread.where("lo <> hi").select("gid", "n", "m"), ["gid", "n"]).select(F.xxhash64("gid", "n").alias("token"), "key", "n", F.lit(0).alias("pos"), "comp", "m", "wide")
+    own = _across(split.where(F.col("m") <= LARGE).drop("wide"), t, bitmaps=False).unionByName(_across(split.where(F.col("m") > LARGE), t, bitmaps=True))
     met = met.unionByName(own.withColumn("least", F.lit(1)))
     met = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.min("least").alias("least")).where("times >= least").select(F.col("a").alias("ka"), F.col("b").alias("kb"))
     met = stash(met, f"{name}-met")
