@@ -68,7 +68,9 @@ class PieceCodec:
         self.decimal = [str(i) for i in range(len(self.texts))]
         self.split = split = not any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.chunks = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if split else r"(?s).+")
-        self.pairs: dict[int, bool] = {}
+        self.sizes = [len(t) for t in self.texts]
+        self.known = re.compile(f"[{''.join(re.escape(p) for p in self.ids if len(p) == 1)}]*") if any(len(p) == 1 for p in self.ids) else re.compile("")
+        self.pairs: dict[int, bool] = {}  # by left * number of pieces + right
         self.histories: dict[int, list[tuple[float, str, str]]] = {}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
@@ -132,13 +134,14 @@ class PieceCodec:
                 i += 1
             else:
                 j += 1
-        self.pairs[left << 32 | right] = known
+        self.pairs[left * len(self.texts) + right] = known
         return known
 
     def _known_run(self, text: str) -> list[int]:
         """Ids of a text whose every character is a piece."""
-        last = [-1] * (len(text) + 1)
-        pairs, done = self.pairs, -1
+        n, pieces, sizes = len(text), len(self.texts), self.sizes
+        last = [-1] * (n + 1)
+        get, done = self.pairs.get, -1
         for end, (token, size) in self.automaton.iter(text):
             if end == done:  # a prefix has one last token only
                 continue
@@ -147,20 +150,21 @@ class PieceCodec:
                 left = last[start]
                 if left < 0:
                     continue
-                ok = pairs.get(left << 32 | token)
+                ok = get(left * pieces + token)
                 if not (self._compatible(left, token) if ok is None else ok):
                     continue
             last[end + 1] = token
             done = end
-        ids, at = [], len(text)
+        ids, at = [], n
         while at:
-            ids.append(last[at])
-            at -= len(self.texts[last[at]])
+            token = last[at]
+            ids.append(token)
+            at -= sizes[token]
         ids.reverse()
         return ids
 
     def _chunk(self, text: str) -> list[int]:
-        if self.ids.keys() >= set(text):
+        if self.known.fullmatch(text):
             return self._known_run(text)
         ids: list[int] = []
         lo = 0
@@ -236,6 +240,19 @@ class PieceCodec:
         return data.decode("utf-8", "replace")
 
 
+_kept: list[tuple[tuple[bytes, int], PieceCodec]] = []
+
+
+def codec_of(model: bytes, cache_size: int) -> PieceCodec:
+    """This process's codec of a model: tasks of one worker follow one another,
+    and the next one finds the automaton, the tested pairs and the words of the
+    last one, within the same bounds. One codec is kept."""
+    key = (model, cache_size)
+    if not _kept or _kept[0][0] != key:
+        _kept[:] = [(key, PieceCodec(model, cache_size))]
+    return _kept[0][1]
+
+
 def load_model(spark: SparkSession, path: str):
     """Broadcast the bytes of a model file that the driver can read (its size is that of the file)."""
     with open(path, "rb") as f:
@@ -281,14 +298,14 @@ def decoder(spark: SparkSession, path: str):
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", cache_size: int = 150_000) -> DataFrame:
     """``(id, n_tokens, ids_sha256, decoded_sha256)``: encodes every whole
-    text, decodes its ids, and returns digests of both. A task remembers at
+    text, decodes its ids, and returns digests of both. A worker remembers at
     most twice ``cache_size`` words, some 300 bytes each."""
     shared = load_model(docs.sparkSession, path)
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # large caches without cycles; tidy collects when the task ends
-        codec = PieceCodec(shared.value, cache_size)  # of this task: goes with its caches
+        gc.disable()  # large caches without cycles; tidy collects when a task ends
+        codec = codec_of(shared.value, cache_size)
         for batch in batches:
             n_tokens, ids_sha256, decoded_sha256 = [], [], []
             for text in batch.column(1):  # one text at a time, not a batch of them

@@ -5,6 +5,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
@@ -217,6 +218,22 @@ def test_jaccard_links_of_single_groups(spark, seed):
     assert Counter(tuple(r) for r in out.collect()) == brute_components(rows)
 
 
+def test_jaccard_family_of_unlike_texts(spark):
+    """Sets that share most members, all in the same large buckets, but are not similar: they do not come as pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 330, dtype=np.uint64)
+    sets = [np.concatenate([base, rng.integers(0, 2**64, 65, dtype=np.uint64)]) for _ in range(60)]
+    sets.append(np.concatenate([sets[0][:380], rng.integers(0, 2**64, 15, dtype=np.uint64)]))  # similar to the first
+    cells = [np.bincount((s % 1024).astype(int), minlength=1024) & 1 for s in sets]
+    packed = lambda c: bytearray(np.packbits(c.astype(np.uint8)).tobytes())
+    rows = [(t, i, 395, t, i, 61, packed(c), packed(c.reshape(4, 256).sum(0) & 1)) for t in range(20) for i, c in enumerate(cells)]
+    entries = spark.createDataFrame(rows, "token long, key long, n int, pos int, comp long, m long, wide binary, small binary")
+    met = Counter((r.a, r.b) for r in jaccard_join._across(entries, Fraction(80, 100), bitmaps=True).collect())
+    assert met[0, 60] == 20 and sum(met.values()) < 200
+
+
 def test_jaccard_long_texts_and_forgotten_groups(spark, monkeypatch):
     """Texts longer than a slice, and prefixes sent again as a task forgets its groups."""
     monkeypatch.setattr(jaccard_join, "SLICE", 2000)
@@ -392,3 +409,23 @@ def test_lm_counts_every_word_and_bigram(spark, monkeypatch):
             base = lambda x: (uni[m][x] + 0.5) / mass  # noqa: B023, E731
             want = -math.log(base(w[0])) - sum(math.log((bi[m][a, b] + 2 * base(b)) / (uni[m][a] + 2)) for a, b in zip(w, w[1:]))
             assert math.isclose(got, want / len(w), rel_tol=1e-9)
+
+
+def test_piece_codec_is_kept_by_its_worker(monkeypatch):
+    """The next task of a worker loads no model again, and finds what the last one has learned."""
+    loaded = []
+
+    class Counted(piece_codec.PieceCodec):
+        def __init__(self, *args):
+            loaded.append(args)
+            super().__init__(*args)
+
+    monkeypatch.setattr(piece_codec, "PieceCodec", Counted)
+    monkeypatch.setattr(piece_codec, "_kept", [])
+    with open(piece_codec.default_model(), "rb") as f:
+        model = f.read()
+    first = piece_codec.codec_of(model, 1000).texts_of("the cat é一 sat-on")
+    again = piece_codec.codec_of(bytes(bytearray(model)), 1000)
+    assert again.texts_of("the cat é一 sat-on") == first and len(loaded) == 1
+    piece_codec.codec_of(model, 2000)
+    assert len(loaded) == 2 and len(piece_codec._kept) == 1
