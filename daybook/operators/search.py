@@ -152,7 +152,7 @@ def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query
 
 def tool_search(activities: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 10, *, index: TextIndex | None = None) -> DataFrame:
     """Vector results, then keyword results at a constant relevance; nothing is boosted."""
-    sem = nearest(ok(activities), vector, limit).select("id", F.round("similarity", 3).alias("relevance"), F.lit("semantic").alias("match"))
+    sem = nearest(ok(activities), vector, limit, cap=None).select("id", F.round("similarity", 3).alias("relevance"), F.lit("semantic").alias("match"))
     kw = keyword_hits(activities, columns, [query_tokens(query)], limit, index=index).join(sem.select("id"), "id", "left_anti").select("id", F.lit(0.5).alias("relevance"), F.lit("keyword").alias("match"))
     return sem.unionByName(kw).orderBy(F.col("relevance").desc(), F.col("match").desc(), "id").limit(limit)
 

@@ -560,8 +560,8 @@ def _(spark, d):
 _DOT = "list_sum(list_transform(list_zip(embedding, (select embedding from embeddings where vec_id = 7)), lambda p: p[1]::double * p[2]::double))"
 
 
-def _near_sql(name: str, where: str, top: int) -> str:
-    return f"""{name}_c as (select * from activities where {where} and embedding is not null order by timestamp desc, id desc limit 500),
+def _near_sql(name: str, where: str, top: int, newest: str = " order by timestamp desc, id desc limit 500") -> str:
+    return f"""{name}_c as (select * from activities where {where} and embedding is not null{newest}),
     {name}_s as (select *, {_DOT} as similarity from {name}_c), {name} as (select * from {name}_s where similarity > 0.1 order by similarity desc, id desc limit {top})"""
 
 
@@ -596,7 +596,7 @@ def _(spark, d):
 
 @query(
     "agent_tool_search",
-    f"""with {_near_sql('s', _OK, 10)}, {_KEY}, k0 as (select bm.id, score from bm join activities a on a.id = bm.id where a.status = 'ok' order by score, bm.id limit 10),
+    f"""with {_near_sql('s', _OK, 10, '')}, {_KEY}, k0 as (select bm.id, score from bm join activities a on a.id = bm.id where a.status = 'ok' order by score, bm.id limit 10),
     r as (select id, round(similarity, 3)::double as relevance, 'semantic' as match from s union all select id, 0.5::double, 'keyword' from k0 where id not in (select id from s))
     select * from r order by relevance desc, match desc, id limit 10""",
 )
