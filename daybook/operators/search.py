@@ -138,7 +138,7 @@ def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query
     """Vector, keyword and meeting results fused. The category limits the
     vector results only; the dates limit all three."""
     rows = in_range(ok(activities), first, last)
-    sem = nearest(rows.where(F.col("category") == category) if category else rows, vector, limit).select("id", F.round("similarity", 3).alias("sem"))
+    sem = nearest(rows.where(F.col("category") == category) if category else rows, vector, limit, cap=None).select("id", F.round("similarity", 3).alias("sem"))
     hits = keyword_hits(activities, columns, [query_tokens(query)], limit, first=first, last=last, index=index)
     n = hits.agg(F.count(F.lit(1)).alias("n"))
     kw = hits.crossJoin(F.broadcast(n)).select("id", F.round(0.7 - F.col("place") * 0.4 / F.greatest(F.col("n") - 1, F.lit(1)), 3).alias("kw"))

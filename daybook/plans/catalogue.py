@@ -582,7 +582,7 @@ _MET = "(contains(lower(transcript), 'thorou') or coalesce(contains(lower(summar
 
 @query(
     "hybrid_search",
-    f"""with {_near_sql('s', _OK, 20)}, {_KEY}, k0 as (select bm.id, score from bm join activities a on a.id = bm.id where a.status = 'ok' order by score, bm.id limit 20),
+    f"""with {_near_sql('s', _OK, 20, '')}, {_KEY}, k0 as (select bm.id, score from bm join activities a on a.id = bm.id where a.status = 'ok' order by score, bm.id limit 20),
     k1 as (select id, round(0.7 - (row_number() over (order by score, id) - 1) * 0.4 / greatest((select count(*) from k0) - 1, 1), 3) as kw from k0),
     b as (select coalesce(s.id, k1.id) as id, round(similarity, 3) as sem, kw from s full join k1 on k1.id = s.id),
     r as (select id::varchar as id, (case when sem is not null and kw is not null then least(sem + 0.1, 1.0) else coalesce(sem, kw) end)::double as relevance,

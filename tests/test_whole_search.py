@@ -18,8 +18,18 @@ def old_hit(spark):
     return spark.createDataFrame(rows, SHAPE).repartition(2)
 
 
+@pytest.fixture(scope="module")
+def no_meetings(spark):
+    return spark.createDataFrame([], "id long, start_time timestamp_ntz, app_name string, duration_minutes double, transcript string, summary string")
+
 
 def test_agent_tool_search(old_hit):
     found = search.tool_search(old_hit, ["ocr_text", "app_name"], "nothing", [1.0, 0.0], 3).collect()
     assert [(r["id"], r["relevance"], r["match"]) for r in found] == [(0, 1.0, "semantic"), (599, 0.6, "semantic"), (600, 0.6, "semantic")]
     assert "limit 500" not in catalogue.ORACLES["agent_tool_search"]
+
+
+def test_hybrid_search(old_hit, no_meetings):
+    found = search.hybrid(old_hit, no_meetings, ["ocr_text", "app_name"], "nothing", [1.0, 0.0], 3).collect()
+    assert [(r["id"], r["relevance"], r["match_type"]) for r in found] == [("0", 1.0, "semantic"), ("599", 0.6, "semantic"), ("600", 0.6, "semantic")]
+    assert "limit 500" not in catalogue.ORACLES["hybrid_search"]
