@@ -107,11 +107,11 @@ def cosine(vector: str, query: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(rows: DataFrame, query: list[float], top: int, *, cap: int | None = 500, above: float = 0.1) -> DataFrame:
-    """The rows nearest to a unit vector among the newest ``cap`` embedded ones
-    (None: among all), above a least similarity; ties to the larger id."""
+def nearest(rows: DataFrame, query: list[float], top: int, *, cap: int | None = None, above: float = 0.1) -> DataFrame:
+    """The rows nearest to a unit vector among all embedded ones (or the newest
+    ``cap`` of them), above a least similarity; ties to the larger id."""
     some = rows.where(F.col("embedding").isNotNull())
-    if cap:
+    if cap is not None:
         some = some.orderBy(*newest_first()).limit(cap)
     scored = some.withColumn("similarity", cosine("embedding", query)).where(F.col("similarity") > above)
     return scored.orderBy(F.col("similarity").desc(), F.col("id").desc()).limit(top)
@@ -135,10 +135,11 @@ def meeting_hits(meetings: DataFrame, query: str, limit: int, *, around: int = 8
 
 
 def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 20, *, category: str | None = None, first: str | None = None, last: str | None = None, index: TextIndex | None = None) -> DataFrame:
-    """Vector, keyword and meeting results fused. The category limits the
-    vector results only; the dates limit all three."""
+    """Vector, keyword and meeting results fused: of each kind the best ``limit``
+    of all rows, as a keyword's relevance is its place among those shown. The
+    category limits the vector results only; the dates limit all three."""
     rows = in_range(ok(activities), first, last)
-    sem = nearest(rows.where(F.col("category") == category) if category else rows, vector, limit, cap=None).select("id", F.round("similarity", 3).alias("sem"))
+    sem = nearest(rows.where(F.col("category") == category) if category else rows, vector, limit).select("id", F.round("similarity", 3).alias("sem"))
     hits = keyword_hits(activities, columns, [query_tokens(query)], limit, first=first, last=last, index=index)
     n = hits.agg(F.count(F.lit(1)).alias("n"))
     kw = hits.crossJoin(F.broadcast(n)).select("id", F.round(0.7 - F.col("place") * 0.4 / F.greatest(F.col("n") - 1, F.lit(1)), 3).alias("kw"))
@@ -151,8 +152,9 @@ def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query
 
 
 def tool_search(activities: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 10, *, index: TextIndex | None = None) -> DataFrame:
-    """Vector results, then keyword results at a constant relevance; nothing is boosted."""
-    sem = nearest(ok(activities), vector, limit, cap=None).select("id", F.round("similarity", 3).alias("relevance"), F.lit("semantic").alias("match"))
+    """Vector results, then keyword results at a constant relevance; nothing is boosted.
+    The best ``limit`` of all rows by either measure are enough for the best ``limit`` of both."""
+    sem = nearest(ok(activities), vector, limit).select("id", F.round("similarity", 3).alias("relevance"), F.lit("semantic").alias("match"))
     kw = keyword_hits(activities, columns, [query_tokens(query)], limit, index=index).join(sem.select("id"), "id", "left_anti").select("id", F.lit(0.5).alias("relevance"), F.lit("keyword").alias("match"))
     return sem.unionByName(kw).orderBy(F.col("relevance").desc(), F.col("match").desc(), "id").limit(limit)
 
@@ -189,8 +191,8 @@ def rerank(candidates: DataFrame, vector: list[float], now: str, hits: int, top:
     return scored.withColumn("relevance", relevance).orderBy(F.col("relevance").desc(), order, *newest_first()).limit(top).select("id", "timestamp", "relevance")
 
 
-def fallback(activities: DataFrame, vector: list[float], gate: float = 0.35, top: int = 5) -> DataFrame:
-    """The nearest rows, if the best of them is near enough; else none."""
-    found = nearest(ok(activities), vector, top).select("id", F.round("similarity", 3).alias("relevance"))
+def fallback(activities: DataFrame, vector: list[float], gate: float = 0.35, top: int = 5, cap: int | None = 500) -> DataFrame:
+    """The nearest of the newest ``cap`` rows (None: of all), if the best of them is near enough; else none."""
+    found = nearest(ok(activities), vector, top, cap=cap).select("id", F.round("similarity", 3).alias("relevance"))
     best = found.agg(F.max("relevance").alias("best"))
     return found.crossJoin(F.broadcast(best)).where(F.col("best") >= gate).drop("best")

@@ -567,12 +567,12 @@ def _near_sql(name: str, where: str, top: int, newest: str = " order by timestam
 
 @query("vector_topk", f"with {_near_sql('s', _OK, 20)} select id, round(similarity, 3)::double as relevance from s")
 def _(spark, d):
-    return search.nearest(stats.ok(activities(spark, d, "embedding")), _vector(spark, d), 20).select("id", F.round("similarity", 3).alias("relevance"))
+    return search.nearest(stats.ok(activities(spark, d, "embedding")), _vector(spark, d), 20, cap=500).select("id", F.round("similarity", 3).alias("relevance"))
 
 
 @query("vector_topk_all", f"with s as (select id, {_DOT} as similarity from activities where {_OK}) select id, round(similarity, 3)::double as relevance from s where similarity > 0.1 order by similarity desc, id desc limit 20")
 def _(spark, d):
-    return search.nearest(stats.ok(activities(spark, d, "embedding")), _vector(spark, d), 20, cap=None).select("id", F.round("similarity", 3).alias("relevance"))
+    return search.nearest(stats.ok(activities(spark, d, "embedding")), _vector(spark, d), 20).select("id", F.round("similarity", 3).alias("relevance"))
 
 
 _KEY = _bm25_sql("activities", "id", ["ocr_text", "app_name"], [["thorou"]])

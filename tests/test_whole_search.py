@@ -5,6 +5,7 @@ import datetime
 import pytest
 
 from daybook.operators import search
+from daybook.operators.tools import Tools
 from daybook.plans import catalogue
 
 AT = datetime.datetime(2024, 1, 15)
@@ -33,3 +34,13 @@ def test_hybrid_search(old_hit, no_meetings):
     found = search.hybrid(old_hit, no_meetings, ["ocr_text", "app_name"], "nothing", [1.0, 0.0], 3).collect()
     assert [(r["id"], r["relevance"], r["match_type"]) for r in found] == [("0", 1.0, "semantic"), ("599", 0.6, "semantic"), ("600", 0.6, "semantic")]
     assert "limit 500" not in catalogue.ORACLES["hybrid_search"]
+
+
+def test_tool_search(old_hit, no_meetings):
+    told = Tools(old_hit, old_hit, no_meetings, embed=lambda _: [1.0, 0.0]).search_screen("nothing", 1).first()["json"]
+    assert '"count":1' in told and '"id":0,' in told
+
+
+def test_nearest_takes_all_rows_unless_told_how_many(old_hit):
+    assert [r["id"] for r in search.nearest(old_hit, [1.0, 0.0], 1).collect()] == [0]
+    assert [r["id"] for r in search.nearest(old_hit, [1.0, 0.0], 1, cap=500).collect()] == [600]
