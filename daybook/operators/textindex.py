@@ -8,9 +8,9 @@ of them, so a row is rewritten a few times in all, and a question meets few
 segments. Below one folder stand, each partitioned by segment:
 
 * ``texts``: key (128-bit hash of the text), said (its words, by spaces), n (of them), and of its rows m (how many), len (the least), col (their column, -1 for several)
-* ``postings``: bucket (of the term), term, block, key, m and col of the text, positions
+* ``postings``: bucket (of the term), term, block, key, m and col of the text, positions; a bucket has a sorted file of each file of ``texts``
 * ``rows``: part (of the key), id, column, key, len (words of all columns of the row)
-* ``terms``: bucket, term, n (rows that hold it), k (texts that do), often (whether it has blocks: frequent, and in one column)
+* ``terms``: bucket, term, n (rows that hold it), k (texts that do), often (whether it has blocks: frequent; null if in several columns, and a further row takes off what n counts twice)
 * ``tops``: of such terms bucket, term, block, w (what bounds its weights), n, k
 * ``gone``: rows (of a segment, id) that no longer count, with their keys
 * ``about``: one row a generation: its segments, what is gone, rows, words, sign of the source
@@ -22,9 +22,11 @@ found from its first blocks: reading stops where no block left can hold a
 better one, whatever the filter, and the scores are those of a full scan.
 
 Building moves little: a text goes through one exchange, to stand once, and its
-postings through one, to stand by term; the words of a text are brought together
-inside its row. What belongs to rows is narrow. Where many rows show few texts,
-a ``Source`` gives the rows with keys and each text once.
+postings through none: a task sorts those of its own texts by term (a bucket's
+files are sorted each, and statistics tell which parts of them hold a term), and
+keys of few texts take little room. Terms are counted in the tasks first. What
+belongs to rows is narrow. Where many rows show few texts, a ``Source`` gives the
+rows with keys and each text once.
 
 A generation counts once its row of ``about`` is there, so a change that is cut
 off leaves the last one as it was. Files are never changed; ``vacuum`` removes
@@ -34,6 +36,8 @@ segments that no kept generation names.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -49,10 +53,10 @@ BUCKETS, PARTS = 16, 16  # folders of a segment's tables; within one, terms and
 FORMAT = "format-4"  # below a store's folder: tables of another format are not looked at
 FREQUENT = 128  # rows from which a term has blocks, and rows that are read first
 STEPS = 32  # blocks while the share that a weight lacks of the largest one halves
-SPLIT = 2_000_000  # words of texts for one task that sorts postings
+SPLIT = 3_000_000  # words of texts for one task that sorts postings
 FANOUT = 4  # segments of like size that are merged into one, and the step between sizes
 SMALL = 100_000  # rows up to which a list of gone rows, or of a segment's keys, is broadcast
-MANY = 1_000_000  # frequent terms up to which their list is
+MANY = 500_000  # frequent terms up to which their list is; of more, those of some buckets after others
 K1, B = 1.2, 0.75
 
 
@@ -151,13 +155,13 @@ class TextIndex:
     def frequency(self, term: str) -> tuple[int, list[tuple[str, int, int, float]], list[str]]:
         """How many rows hold a term, its blocks as (segment, block, rows, largest weight), and segments where it has none."""
         own = lambda table: self.table(table).where((F.col("bucket") == _bucket(F.lit(term))) & (F.col("term") == term)).collect()
-        found = own("terms")  # a row a segment
+        found = own("terms")  # a row or two a segment
         n = sum(r["n"] for r in found)
         if n and self.gone:
             lost = self.table("gone").select("of", "id", F.explode(F.array_distinct("keys")).alias("key")).join(self.postings(term).select("key"), "key")
             n -= lost.where(F.col("of").isin([x for x, *_ in self.segments])).select("of", "id").distinct().count()
         blocks = own("tops") if any(r["often"] for r in found) else []  # a row a block, of which a term has some hundred at most
-        return n, [(b["seg"], b["block"], b["n"], b["w"]) for b in blocks], [r["seg"] for r in found if not r["often"]]
+        return n, [(b["seg"], b["block"], b["n"], b["w"]) for b in blocks], sorted({r["seg"] for r in found if not r["often"]})
 
     def best(self, term: str, limit: int, allowed: DataFrame | None = None) -> tuple[DataFrame, int, int] | None:
         """The ``limit`` rows (id, weight) of the largest weight among those of
@@ -235,11 +239,11 @@ def _rows(source: Source) -> DataFrame:
     return rows.select("id", "column", F.col("cell.key").alias("key"), "len")
 
 
-def _texts(source: Source, many: DataFrame, few: bool) -> DataFrame:
-    """``(key, said, n)`` of the texts of ``many`` (key, ...), each once."""
+def _texts(source: Source, many: DataFrame, few: bool, splits: int) -> DataFrame:
+    """``(key, said, n)`` of the texts of ``many`` (key, ...), each once, in so many parts."""
     texts = source.texts.select(_key("text").alias("key"), "text")
     texts = texts.join(F.broadcast(many.select("key")), "key", "left_semi") if few else texts
-    words = texts.groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("words"))
+    words = texts.repartition(splits, "key").groupBy("key").agg(F.first("text").alias("text")).select("key", tokens(F.col("text")).alias("words"))
     return words.select("key", F.array_join("words", " ").alias("said"), F.size("words").alias("n"))
 
 
@@ -294,12 +298,24 @@ def _publish(index: TextIndex, folder: str, name: str, sign: str, segments: list
     return made
 
 
+@contextmanager
+def _file_by_file(spark: SparkSession, rows: DataFrame) -> Iterator[None]:
+    """Tasks that read ``rows`` meanwhile take about one file each."""
+    largest = rows.agg(F.max("_metadata.file_size")).first()[0] or 1
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(largest))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list[str]) -> tuple[str, int, int]:
     """Write the tables of one segment out of rows (id, column, key, len), and
     their texts: a source's, or those of other segments."""
 
     def put(table: str, rows: DataFrame, *by: str) -> None:
-        (rows.write.partitionBy(*by) if by else rows.write).option("compression", "zstd").parquet(f"{index.path}/{table}/seg={name}")
+        (rows.write.partitionBy(*by) if by else rows.write).mode("append").option("compression", "zstd").parquet(f"{index.path}/{table}/seg={name}")
 
     def own(table: str) -> DataFrame:
         return TextIndex(index.spark, index.path, index.columns, 0, 0, index.kind).table(table, [name])
@@ -309,30 +325,37 @@ def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list
     average = max(words, 1) / max(n, 1)
     col = F.when(F.min("column") == F.max("column"), F.min("column")).otherwise(-1)
     many = own("rows").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("len").alias("len"), col.alias("col"))
+    splits = 1 + many.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0] // SPLIT  # a text has no more words than its rows
     if isinstance(source, Source):
-        texts = _texts(source, many, n * len(index.columns) <= SMALL)
+        texts = _texts(source, many, n * len(index.columns) <= SMALL, splits)
     else:
-        texts = index.table("texts", source).groupBy("key").agg(F.first("said").alias("said"), F.first("n").alias("n")) if len(source) > 1 else index.table("texts", source)
-    put("texts", texts.select("key", "said", "n").join(many, "key"))
-    splits = 1 + own("texts").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // (SPLIT * BUCKETS)
+        texts = index.table("texts", source)
+        texts = texts.repartition(splits, "key").groupBy("key").agg(F.first("said").alias("said"), F.first("n").alias("n")) if len(source) > 1 else texts
+    put("texts", texts.select("key", "said", "n").join(many.repartition(splits, "key"), "key"))
     held = own("texts").select("key", "m", "len", "col", F.inline(places(F.col("said"))))
     held = held.select(_bucket("term").alias("bucket"), "term", block_of(F.size("positions"), F.col("len"), average).alias("block"), "key", "m", "col", "positions")
-    by = ["bucket", F.pmod(F.xxhash64("term", F.lit(1)), F.lit(splits))]
-    held = held.repartition(BUCKETS * splits, *by) if splits > 1 else held.repartition("bucket")
-    put("postings", held.sortWithinPartitions("bucket", "term", "block"), "bucket")
-    # how many rows hold each term, out of the rows of each text; only terms of several columns are counted row by row
-    held = own("postings").select("bucket", "term", "block", "key", "m", "col")
+    with _file_by_file(index.spark, own("texts")):
+        put("postings", held.sortWithinPartitions("bucket", "term", "block"), "bucket")
+    # how many rows hold each term, out of the rows of each text
+    held = own("postings")
     one = (F.min("col") == F.max("col")) & (F.min("col") >= 0)
     terms = held.groupBy("bucket", "term").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), one.alias("one"))
-    several = held.join(terms.where("not one").select("bucket", "term"), ["bucket", "term"], "left_semi").select("bucket", "term", "key").join(own("rows").select("key", "id"), "key")
-    several = several.groupBy("bucket", "term").agg(F.count_distinct("id").alias("exact"))
-    terms = terms.join(several, ["bucket", "term"], "left").select("bucket", "term", F.coalesce("exact", "n").alias("n"), "k", (F.col("one") & (F.col("n") >= FREQUENT)).alias("often"))
+    terms = terms.select("bucket", "term", "n", "k", F.when(F.col("one"), F.col("n") >= FREQUENT).alias("often"))
     put("terms", terms.repartition("bucket").sortWithinPartitions("bucket", "term"), "bucket")
+    # only terms of several columns are looked at row by row
+    several = own("terms").where("often is null").select("bucket", "term")
+    some = several.count()
+    if some:
+        cells = held.join(F.broadcast(several) if some <= SMALL else several, ["bucket", "term"], "left_semi").select("bucket", "term", "key").join(own("rows").select("key", "id"), "key")
+        twice = cells.groupBy("bucket", "term", "id").agg((F.count(F.lit(1)) - 1).alias("more")).where("more > 0").groupBy("bucket", "term").agg((-F.sum("more")).alias("n"))
+        put("terms", twice.select("bucket", "term", "n", F.lit(0).cast("long").alias("k"), F.lit(None).cast("boolean").alias("often")).coalesce(1), "bucket")
     often = own("terms").where("often").select("bucket", "term")
-    often = F.broadcast(often) if often.count() <= MANY else often
-    blocks = held.join(often, ["bucket", "term"]).groupBy("bucket", "term", "block").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
-    blocks = blocks.select("bucket", "term", "block", _most(F.col("block")).alias("w"), "n", "k")
-    put("tops", blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
+    rounds = min(1 + often.count() // MANY, BUCKETS)
+    for turn in range(rounds):
+        mine = F.col("bucket") % rounds == turn
+        blocks = held.where(mine).join(F.broadcast(often.where(mine)), ["bucket", "term"]).groupBy("bucket", "term", "block").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
+        blocks = blocks.select("bucket", "term", "block", _most(F.col("block")).alias("w"), "n", "k")
+        put("tops", blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
     return name, n, words
 
 
