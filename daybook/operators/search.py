@@ -134,13 +134,14 @@ def meeting_hits(meetings: DataFrame, query: str, limit: int, *, around: int = 8
     return m.select("id", "start_time", "app_name", "duration_minutes", "summary", snippet(F.col("transcript"), query, around, otherwise).alias("snippet"))
 
 
-def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 20, *, category: str | None = None, first: str | None = None, last: str | None = None, index: TextIndex | None = None) -> DataFrame:
+def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 20, *, category: str | None = None, first: str | None = None, last: str | None = None, index: TextIndex | None = None, known: DataFrame | None = None) -> DataFrame:
     """Vector, keyword and meeting results fused: of each kind the best ``limit``
     of all rows, as a keyword's relevance is its place among those shown. The
-    category limits the vector results only; the dates limit all three."""
+    category limits the vector results only; the dates limit all three. With an
+    index, ``known`` may be the activities without what is joined on."""
     rows = in_range(ok(activities), first, last)
     sem = nearest(rows.where(F.col("category") == category) if category else rows, vector, limit).select("id", F.round("similarity", 3).alias("sem"))
-    hits = keyword_hits(activities, columns, [query_tokens(query)], limit, first=first, last=last, index=index)
+    hits = keyword_hits(activities if known is None else known, columns, [query_tokens(query)], limit, first=first, last=last, index=index)
     n = hits.agg(F.count(F.lit(1)).alias("n"))
     kw = hits.crossJoin(F.broadcast(n)).select("id", F.round(0.7 - F.col("place") * 0.4 / F.greatest(F.col("n") - 1, F.lit(1)), 3).alias("kw"))
     both = sem.join(kw, "id", "full_outer")
@@ -151,11 +152,12 @@ def hybrid(activities: DataFrame, meetings: DataFrame, columns: list[str], query
     return out.unionByName(met).orderBy(F.col("relevance").desc(), "match_type", "id").limit(limit)
 
 
-def tool_search(activities: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 10, *, index: TextIndex | None = None) -> DataFrame:
+def tool_search(activities: DataFrame, columns: list[str], query: str, vector: list[float], limit: int = 10, *, index: TextIndex | None = None, known: DataFrame | None = None) -> DataFrame:
     """Vector results, then keyword results at a constant relevance; nothing is boosted.
-    The best ``limit`` of all rows by either measure are enough for the best ``limit`` of both."""
+    The best ``limit`` of all rows by either measure are enough for the best ``limit`` of both.
+    With an index, ``known`` may be the activities without what is joined on."""
     sem = nearest(ok(activities), vector, limit).select("id", F.round("similarity", 3).alias("relevance"), F.lit("semantic").alias("match"))
-    kw = keyword_hits(activities, columns, [query_tokens(query)], limit, index=index).join(sem.select("id"), "id", "left_anti").select("id", F.lit(0.5).alias("relevance"), F.lit("keyword").alias("match"))
+    kw = keyword_hits(activities if known is None else known, columns, [query_tokens(query)], limit, index=index).join(sem.select("id"), "id", "left_anti").select("id", F.lit(0.5).alias("relevance"), F.lit("keyword").alias("match"))
     return sem.unionByName(kw).orderBy(F.col("relevance").desc(), F.col("match").desc(), "id").limit(limit)
 
 

@@ -47,19 +47,27 @@ def _shown(rows: DataFrame, width: int, *more: str) -> DataFrame:
 
 @dataclass
 class Tools:
-    """Tools over a journal's tables. ``index`` is its text index, ``embed`` turns a question into a unit vector."""
+    """Tools over a journal's tables. ``index`` is its text index, ``embed`` turns a question into a unit vector,
+    ``screens`` gives the activities of a list of ids with their texts, where ``activities`` come without or at more cost."""
 
     activities: DataFrame
     contexts: DataFrame
     meetings: DataFrame
     index: TextIndex | None = None
     embed: object = None
+    screens: object = None
 
     def search_screen(self, query: str, limit: int = 10) -> DataFrame:
         """Screens that tell of ``query``, by meaning and by words."""
         between("limit", limit, 1, 500)
         found = search.tool_search(self.activities, ["ocr_text", "app_name"], query, self.embed(query), limit, index=self.index)
-        rows = _shown(self.activities.join(F.broadcast(found), "id"), SHOWN, "relevance", "match")
+        if self.screens is None:
+            shown = self.activities
+        else:
+            held = found.collect()  # ``limit`` rows at most
+            found = self.activities.sparkSession.createDataFrame(held, found.schema)
+            shown = self.screens([r["id"] for r in held])
+        rows = _shown(shown.join(F.broadcast(found), "id"), SHOWN, "relevance", "match")
         return answer(rows, "results", [-F.col("relevance"), F.col("match") != "semantic", F.col("id")], query=query)
 
     def recent_activity(self, count: int = 10) -> DataFrame:

@@ -591,7 +591,7 @@ _MET = "(contains(lower(transcript), 'thorou') or coalesce(contains(lower(summar
     select id, relevance, match_type from r order by relevance desc, match_type, id limit 20""",
 )
 def _(spark, d):
-    return search.hybrid(activities(spark, d, "text", "embedding"), meetings(spark, d), ["ocr_text", "app_name"], "thorou", _vector(spark, d), index=_index(spark, d))
+    return search.hybrid(activities(spark, d, "embedding"), meetings(spark, d), ["ocr_text", "app_name"], "thorou", _vector(spark, d), index=_index(spark, d), known=activities(spark, d))
 
 
 @query(
@@ -601,7 +601,7 @@ def _(spark, d):
     select * from r order by relevance desc, match desc, id limit 10""",
 )
 def _(spark, d):
-    return search.tool_search(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], "thorou", _vector(spark, d), index=_index(spark, d))
+    return search.tool_search(activities(spark, d, "embedding"), ["ocr_text", "app_name"], "thorou", _vector(spark, d), index=_index(spark, d), known=activities(spark, d))
 
 
 _CHAT = f"""{_bm25_sql('activities', 'id', ['ocr_text', 'app_name'], [['thorou'], ['eauoi']])}, h as (select id, (row_number() over (order by score, id) - 1) as place from bm order by score, id limit 25),
@@ -613,7 +613,7 @@ _CHAT = f"""{_bm25_sql('activities', 'id', ['ocr_text', 'app_name'], [['thorou']
 
 @query("chat_candidates", f"with {_CHAT} select id, place::integer as place from cand")
 def _(spark, d):
-    return search.chat_candidates(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], WORDS, index=_index(spark, d)).select("id", "place")
+    return search.chat_candidates(activities(spark, d, "embedding"), ["ocr_text", "app_name"], WORDS, index=_index(spark, d)).select("id", "place")
 
 
 @query(
@@ -624,7 +624,7 @@ def _(spark, d):
     select id, timestamp, relevance from rr order by relevance desc, timestamp desc, id desc limit 5""",
 )
 def _(spark, d):
-    found = search.chat_candidates(activities(spark, d, "text", "embedding"), ["ocr_text", "app_name"], WORDS, index=_index(spark, d))
+    found = search.chat_candidates(activities(spark, d, "embedding"), ["ocr_text", "app_name"], WORDS, index=_index(spark, d))
     return search.rerank(found, _vector(spark, d), NOW, 25)
 
 

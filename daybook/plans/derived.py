@@ -445,7 +445,10 @@ def _(spark, d):
 
 
 def _tools(spark, d, *extra: str, search: bool = False) -> Tools:
-    return Tools(activities(spark, d, *extra), dev_contexts(spark, d), meetings(spark, d), _index(spark, d) if search else None, (lambda _: _vector(spark, d)) if search else None)
+    rows = activities(spark, d, *extra)
+    if not search:
+        return Tools(rows, dev_contexts(spark, d), meetings(spark, d))
+    return Tools(rows, dev_contexts(spark, d), meetings(spark, d), _index(spark, d), lambda _: _vector(spark, d), lambda ids: activities(spark, d, "text", ids=ids))
 
 
 def _numbers(answered, name: str, fields: str):
@@ -476,7 +479,7 @@ def _(spark, d):
 
 @query("tool_search", None)
 def _(spark, d):
-    return _tools(spark, d, "text", "embedding", search=True).search_screen("thorou")
+    return _tools(spark, d, "embedding", search=True).search_screen("thorou")
 
 
 # -------------------------------------------------------------------- plug-ins

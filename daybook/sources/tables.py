@@ -12,10 +12,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def activities(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+def activities(spark: SparkSession, sf_dir: str, *extra: str, ids: list[int] | None = None) -> DataFrame:
     """One row per event. ``extra`` names what is joined on: url, text, embedding, or
-    cell, what a text index holds of the text (``textindex.cell``); a query that needs none of them reads the event table alone."""
+    cell, what a text index holds of the text (``textindex.cell``); a query that needs none of them reads the event table alone.
+    With a short list of ``ids`` only their rows are given, and only what belongs to them is joined on."""
     e = read(spark, sf_dir, "events")
+    if ids is not None:
+        e = e.where(F.col("event_id").isin(ids))
     kind = F.col("event_type")
     out = e.select(
         F.col("event_id").alias("id"),
@@ -34,6 +37,8 @@ def activities(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
     def beside(name: str, key: str, column: str | Column, alias: str) -> DataFrame:
         side = read(spark, sf_dir, name)
         count = side.count()  # from the files' footers
+        if ids is not None:
+            side = side.where(F.col(key).isin([abs(i) % max(count, 1) * (1 if i >= 0 else -1) for i in ids]))  # the sign is that of the id, as in SQL
         return out.join(side.select(F.col(key).alias("_k"), (F.col(column) if isinstance(column, str) else column).alias(alias)), F.col("id") % F.lit(max(count, 1)) == F.col("_k"), "left").drop("_k")
 
     if "url" in extra:

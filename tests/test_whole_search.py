@@ -44,3 +44,24 @@ def test_tool_search(old_hit, no_meetings):
 def test_nearest_takes_all_rows_unless_told_how_many(old_hit):
     assert [r["id"] for r in search.nearest(old_hit, [1.0, 0.0], 1).collect()] == [0]
     assert [r["id"] for r in search.nearest(old_hit, [1.0, 0.0], 1, cap=500).collect()] == [600]
+
+
+def test_screens_of_few_ids_are_those_of_all(spark):
+    from daybook.sources.tables import activities
+
+    sf = "/root/testdata/sf0.001"
+    ids = [0, 7, 205, 999]
+    want = activities(spark, sf, "url", "text", "embedding").where("id in (0, 7, 205, 999)")
+    assert sorted(activities(spark, sf, "url", "text", "embedding", ids=ids).collect()) == sorted(want.collect()) and want.count() == 4
+    assert activities(spark, sf, "text", ids=[]).count() == 0
+
+
+def test_keyword_rows_may_come_without_what_is_joined_on(spark, old_hit, tmp_path):
+    from daybook.operators import textindex
+
+    columns, plain = ["ocr_text", "app_name"], old_hit.drop("ocr_text", "embedding")
+    index = textindex.build(old_hit, columns, str(tmp_path))
+    found = search.tool_search(old_hit.drop("ocr_text"), columns, "5", [1.0, 0.0], 3, index=index, known=plain)
+    assert sorted(found.collect()) == sorted(search.tool_search(old_hit, columns, "5", [1.0, 0.0], 3).collect())
+    told = Tools(old_hit, old_hit, old_hit, embed=lambda _: [1.0, 0.0]).search_screen("5", 2).first()
+    assert Tools(old_hit, old_hit, old_hit, embed=lambda _: [1.0, 0.0], screens=lambda ids: old_hit.where(old_hit["id"].isin(ids))).search_screen("5", 2).first() == told
