@@ -298,6 +298,11 @@ def _publish(index: TextIndex, folder: str, name: str, sign: str, segments: list
     return made
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Spark removes the exchanges of finished steps when the driver collects its garbage; a large index should not wait for that."""
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def _file_by_file(spark: SparkSession, rows: DataFrame) -> Iterator[None]:
     """Tasks that read ``rows`` meanwhile take about one file each."""
@@ -332,6 +337,8 @@ def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list
         texts = index.table("texts", source)
         texts = texts.repartition(splits, "key").groupBy("key").agg(F.first("said").alias("said"), F.first("n").alias("n")) if len(source) > 1 else texts
     put("texts", texts.select("key", "said", "n").join(many.repartition(splits, "key"), "key"))
+    if splits > 1:
+        _let_go(index.spark)
     held = own("texts").select("key", "m", "len", "col", F.inline(places(F.col("said"))))
     held = held.select(_bucket("term").alias("bucket"), "term", block_of(F.size("positions"), F.col("len"), average).alias("block"), "key", "m", "col", "positions")
     with _file_by_file(index.spark, own("texts")):
@@ -356,6 +363,8 @@ def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list
         blocks = held.where(mine).join(F.broadcast(often.where(mine)), ["bucket", "term"]).groupBy("bucket", "term", "block").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
         blocks = blocks.select("bucket", "term", "block", _most(F.col("block")).alias("w"), "n", "k")
         put("tops", blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
+        if splits > 1:
+            _let_go(index.spark)
     return name, n, words
 
 
