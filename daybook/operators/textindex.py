@@ -53,7 +53,7 @@ BUCKETS, PARTS = 16, 16  # folders of a segment's tables; within one, terms and
 FORMAT = "format-4"  # below a store's folder: tables of another format are not looked at
 FREQUENT = 128  # rows from which a term has blocks, and rows that are read first
 STEPS = 32  # blocks while the share that a weight lacks of the largest one halves
-SPLIT = 3_000_000  # words of texts for one task that sorts postings
+SPLIT, SHARE = 3_000_000, 200_000  # words of texts for one task that sorts postings, at most and (if cores are free) at least
 FANOUT = 4  # segments of like size that are merged into one, and the step between sizes
 SMALL = 100_000  # rows up to which a list of gone rows, or of a segment's keys, is broadcast
 MANY = 500_000  # frequent terms up to which their list is; of more, those of some buckets after others
@@ -330,14 +330,15 @@ def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list
     average = max(words, 1) / max(n, 1)
     col = F.when(F.min("column") == F.max("column"), F.min("column")).otherwise(-1)
     many = own("rows").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("len").alias("len"), col.alias("col"))
-    splits = 1 + many.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0] // SPLIT  # a text has no more words than its rows
+    most = many.agg(F.coalesce(F.sum("len"), F.lit(0))).first()[0]  # a text has no more words than its rows
+    splits = 1 + max(most // SPLIT, min(most // SHARE, index.spark.sparkContext.defaultParallelism))
     if isinstance(source, Source):
         texts = _texts(source, many, n * len(index.columns) <= SMALL, splits)
     else:
         texts = index.table("texts", source)
         texts = texts.repartition(splits, "key").groupBy("key").agg(F.first("said").alias("said"), F.first("n").alias("n")) if len(source) > 1 else texts
     put("texts", texts.select("key", "said", "n").join(many.repartition(splits, "key"), "key"))
-    if splits > 1:
+    if most > SPLIT:
         _let_go(index.spark)
     held = own("texts").select("key", "m", "len", "col", F.inline(places(F.col("said"))))
     held = held.select(_bucket("term").alias("bucket"), "term", block_of(F.size("positions"), F.col("len"), average).alias("block"), "key", "m", "col", "positions")
@@ -363,7 +364,7 @@ def _segment(index: TextIndex, name: str, rows: DataFrame, source: Source | list
         blocks = held.where(mine).join(F.broadcast(often.where(mine)), ["bucket", "term"]).groupBy("bucket", "term", "block").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
         blocks = blocks.select("bucket", "term", "block", _most(F.col("block")).alias("w"), "n", "k")
         put("tops", blocks.repartition("bucket").sortWithinPartitions("bucket", "term", "block"), "bucket")
-        if splits > 1:
+        if most > SPLIT:
             _let_go(index.spark)
     return name, n, words
 
